@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import simhash, urlfilter
+from docgrain.llm import decontam, mixing, quality, simhash, urlfilter, warc
 
 #: Rules of the URL query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -17,6 +17,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontam.with_hits(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    hits = F.col("hits")
+    return found.select(
+        "doc_id",
+        hits["n_words"].alias("n_words"),
+        hits["n_hit"].alias("n_hit"),
+        F.size(hits["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", hits["items"]), 256).alias("items_sha256"),
+        decontam.is_contaminated(hits).alias("contaminated"),
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the URL of every page."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
@@ -24,17 +38,38 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, and whether it is kept."""
+    scored = quality.with_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= 0.5).alias("kept"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     groups = simhash.simhash_groups(_read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    back = warc.archive_pages(_read(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mixture of all documents: a row for each use of a document."""
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {
+        "op3_decontamination": op3_decontamination,
         "op4_url_filter": op4_url_filter,
+        "op5_quality": op5_quality,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op8_warc": op8_warc,
+        "op10_mixing": op10_mixing,
     }
 
 
@@ -62,7 +97,64 @@ WITH rules(rhost, rpath, action) AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
+DECONTAMINATION_SQL = """
+WITH low AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), doc AS (
+  SELECT rid, doc_id, regexp_extract_all(t, '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM low
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w
+  FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS gram
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM sized)
+), starts AS (
+  SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p
+  FROM doc CROSS JOIN (SELECT DISTINCT n FROM windows)
+  WHERE len(w) >= n
+), met AS (
+  SELECT s.rid, s.p, s.n, g.item_id
+  FROM starts s JOIN windows g ON g.n = s.n AND g.gram = array_to_string(s.w[s.p:s.p + s.n - 1], ' ')
+), hit AS (
+  SELECT rid, count(DISTINCT q) AS n_hit
+  FROM (SELECT DISTINCT rid, unnest(range(p, p + n)) AS q FROM met) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS i FROM met WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+       coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN hit h USING (rid) LEFT JOIN named m USING (rid)
+"""
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         sha256(coalesce(html, '')) AS k
+  FROM pages
+), g AS (
+  SELECT k, max(page_id) AS last FROM p GROUP BY k
+)
+SELECT p.page_id, p.payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN p.page_id = g.last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = g.last THEN NULL ELSE g.last END AS refers_to
+FROM p JOIN g USING (k)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op4_url_filter": URL_SQL}
+    return {
+        "op3_decontamination": DECONTAMINATION_SQL,
+        "op4_url_filter": URL_SQL,
+        "op8_warc": WARC_SQL,
+    }
