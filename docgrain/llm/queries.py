@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import decontam, mixing, quality, simhash, urlfilter, warc
+from docgrain.llm import decontam, embed_dedup, langid, lmscore, mixing, pii, quality, simhash, urlfilter, warc
 
 #: Rules of the URL query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -17,6 +17,23 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all vectors."""
+    return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.with_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col("pii.base"), F.col("pii.spans")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(spans).alias("spans"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     found = decontam.with_hits(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
@@ -50,12 +67,23 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written to archives and read back."""
     back = warc.archive_pages(_read(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document."""
+    scored = lmscore.with_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "lm.n_tokens", "lm.log_prob", "lm.mean_log_prob")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mixture of all documents: a row for each use of a document."""
     return mixing.mix(_read(spark, sf_dir, "documents"))
@@ -64,11 +92,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_pii": op2_pii,
         "op3_decontamination": op3_decontamination,
         "op4_url_filter": op4_url_filter,
         "op5_quality": op5_quality,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op7_language": op7_language,
         "op8_warc": op8_warc,
+        "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
     }
 
@@ -97,6 +129,29 @@ WITH rules(rhost, rpath, action) AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best
 """
 
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT rid, vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b, a.vec_id AS va, b.vec_id AS vb
+  FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(rid, vec_id) AS (
+  SELECT rid, vec_id FROM v
+  UNION
+  SELECT p.a, r.vec_id FROM reach r JOIN pairs p ON p.b = r.rid
+), links AS (
+  SELECT a, count(*) AS n FROM pairs GROUP BY a
+)
+SELECT v.vec_id, coalesce(any_value(l.n), 0) AS n_links, min(r.vec_id) AS component_id, v.vec_id = min(r.vec_id) AS kept
+FROM v JOIN reach r ON r.rid = v.rid LEFT JOIN links l ON l.a = v.rid
+GROUP BY v.rid, v.vec_id
+"""
+
 DECONTAMINATION_SQL = """
 WITH low AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -154,6 +209,7 @@ FROM p JOIN g USING (k)
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
+        "op1_embedding_dedup": EMBEDDING_SQL,
         "op3_decontamination": DECONTAMINATION_SQL,
         "op4_url_filter": URL_SQL,
         "op8_warc": WARC_SQL,

@@ -4,10 +4,15 @@ Two fingerprints that differ in at most k bits agree on at least ``blocks - k``
 such pair meets under one key made of ``blocks - k`` blocks. Equal fingerprints are one class from the start;
 only one row for each distinct fingerprint and key is shuffled, and a bucket emits the edges of a spanning
 forest, never all its pairs.
+
+For similarities that leave far more bits differing than 64-bit blocks can separate (a Jaccard similarity of 0.8
+leaves one bit in seven), wide fingerprints of several words are compared: their blocks are drawn at random from all
+bits, many enough that nearly all such pairs share one, and the distance over all bits is what decides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,31 +37,50 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of word shingles (A-Z lower-cased; words are runs without space and \\t-\\r).
+def bit_counts(text: str | None, shingle: int, words: int = 1) -> tuple[np.ndarray, int]:
+    """How many shingles have each of ``64 * words`` bits set, and the number of shingles.
 
-    Null or no word: 0. Fewer words than ``shingle``: the whole sequence is the only shingle.
+    Words are runs without space and \\t-\\r, A-Z lower-cased. Fewer than ``shingle``: the whole sequence is the only
+    shingle. The first 64 bits are XXH64 itself; further words are mixed from it.
     """
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    counts = np.zeros(BITS * words, np.int64)
+    found = [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split(b" ") if w] if text else []
+    if not found:
+        return counts, 0
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, last = xxhash.xxh64_intdigest, len(words) - shingle + 1
-    counts = np.zeros(BITS, np.int64)
+    digest, last = xxhash.xxh64_intdigest, max(1, len(found) - shingle + 1)
     for at in range(0, last, 1 << 15):  # bounds the memory of a very long text
         to = min(at + (1 << 15), last)
-        spans = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist(), strict=True)
+        spans = zip(starts[at:to].tolist(), ends[min(at + shingle, len(found)) - 1 :].tolist(), strict=False)
         hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in np.nonzero(2 * counts > last)[0].tolist()))
+        for k in range(words):
+            mixed = _mixed(hashes, k)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[BITS * k : BITS * (k + 1)] += bits.sum(axis=0, dtype=np.int64)
+    return counts, last
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of hashes; the 0-th is the hash itself."""
+    if not k:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash: a bit is set where it is in over half the shingles' hashes. Null or no word: 0."""
+    counts, n = bit_counts(text, shingle)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """SimHash of ``64 * words`` bits."""
+    counts, n = bit_counts(text, shingle, words)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -83,6 +107,10 @@ def block_keys(fp: Column, masks: list[int]) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
 
 
+def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16) <= distance
+
+
 def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray]]:
     """For one run: (smallest node, the others) of each component by Hamming distance, by searches from front to rest."""
     rest = np.arange(len(fp))
@@ -90,7 +118,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[i
         members, front, rest = [rest[:1]], rest[:1], rest[1:]
         while len(front) and len(rest):
             part, front = front[:FRONT], front[FRONT:]
-            near = (np.bitwise_count(fp[part][:, None] ^ fp[rest][None, :]) <= distance).any(axis=0)
+            near = _near(fp[part][:, None], fp[rest][None, :], distance).any(axis=0)
             found, rest = rest[near], rest[~near]
             front = np.concatenate((front, found))
             members.append(found)
@@ -100,7 +128,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[i
 
 
 def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between nodes of equal keys, sorted by key, whose fingerprints differ in at most ``distance`` bits.
+    """Edges between nodes of equal keys, sorted by key, whose fingerprints (rows of words) differ in at most ``distance`` bits.
 
     They connect exactly what the pairs within the distance connect.
     """
@@ -112,7 +140,7 @@ def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance:
         same = np.nonzero((key[shift:] == key[:-shift]) & short[:-shift])[0]
         if not len(same):
             break
-        near = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= distance]
+        near = same[_near(fp[same], fp[same + shift], distance)]
         a.append(node[near])
         b.append(node[near + shift])
     for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
@@ -123,30 +151,31 @@ def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance:
     return np.concatenate([none, *a]).astype(np.int64), np.concatenate([none, *b]).astype(np.int64)
 
 
-def near_edges(classes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """Edges (a, b) between the nodes of (node, fp) within ``distance`` bits, enough to give all components."""
-    masks = block_masks(blocks, distance)
-    keyed = classes.select("node", "fp", F.explode(block_keys(F.col("fp"), masks)).alias("key"))
+def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
+
+    They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes.
+    """
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
     hot = materialise(hot.select("key", "parts"), "hot")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sorted_groups(batches, "key"):
-            a, b = links_of_frame(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["node"].to_numpy(), distance)
+            fp = frame["fp"].to_numpy()
+            fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
+            a, b = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy(), distance)
             yield pd.DataFrame({"a": a, "b": b})
 
-    if hot.isEmpty():
-        dealt = keyed
-    else:
+    dealt = keyed
+    if not hot.isEmpty():
         # Part i of a hot bucket goes to every pair of parts (i, j); each pair is a bucket of its own.
         part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         wide = keyed.join(hot, "key").withColumn("i", part).withColumn("j", other)
         wide = wide.select("node", "fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
         dealt = keyed.join(hot, "key", "left_anti").select("node", "fp", "key").unionByName(wide)
-    sorted_keys = dealt.repartition("key").sortWithinPartitions("key")
-    return sorted_keys.mapInPandas(compare, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -162,16 +191,51 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("there must be more blocks than differing bits")
     sig = materialise(fingerprints(docs, id_col, text_col, shingle), "sig")
     classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "classes")
-    components = connected_components(near_edges(classes.where("node is not null"), distance, blocks))
+    keys = F.explode(block_keys(F.col("fp"), block_masks(blocks, distance))).alias("key")
+    components = connected_components(near_edges(classes.where("node is not null").select("node", "fp", keys), distance))
     found = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return sig.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 6) -> DataFrame:
+def bits_apart(similarity: float, bits: int) -> int:
+    """Differing bits, of ``bits``, to expect of texts with this Jaccard similarity of shingles."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 40, slack: int = 3) -> DataFrame:
+    """Near-duplicate groups by estimated similarity of shingles: (id, component_id) for every row of ``docs``.
+
+    Rows link where wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
+    ``slack`` more. Candidates share one of ``draws`` blocks of ``width`` random bits, as nearly all such pairs do
+    (the tests measure it). Rows and ids are treated as in :func:`simhash_groups`.
+    """
+    bits = BITS * words
+    rng = np.random.default_rng(SEED)
+    chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(draws)])
+
+    @F.pandas_udf("binary")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, shingle, words) for t in texts], dtype=object)
+
+    @F.pandas_udf("array<long>")
+    def keys(fps: pd.Series) -> pd.Series:
+        each = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), bits // 8)
+        drawn = np.unpackbits(each, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # rows x draws x width
+        return pd.Series(list((drawn << np.arange(width)).sum(axis=2) * draws + np.arange(draws)))
+
+    sig = materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "sig")
+    classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "classes")
+    keyed = materialise(classes.where("node is not null").select("node", "fp", keys("fp").alias("keys")), "keys").select("node", "fp", F.explode("keys").alias("key"))
+    components = connected_components(near_edges(keyed, bits_apart(similarity, bits) + slack))
+    found = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return sig.join(found, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near-duplicates: the rows whose id is the smallest of their group, with all columns.
 
     Rows without an id stay, and rows that repeat the kept id stay too: they are the same document.
     """
-    groups = simhash_groups(docs, id_col, text_col, shingle, distance, blocks)
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     drop = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped")).distinct()
     return docs.join(drop, docs[id_col] == F.col("__dropped"), "left_anti")
