@@ -7,15 +7,13 @@ and write what the next round reads.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
+from docgrain.session import materialise
 
 #: Relations that say no more than that two names meet.
 GENERIC_RELATIONS = ("co_occurs", "related_to", "")
@@ -23,20 +21,6 @@ TYPED_BOOST = 3.0
 DAMPING = 0.85
 
 
-def materialise(df: DataFrame, label: str = "graph") -> DataFrame:
-    """Write to the folder that the session shares (``spark.checkpoint.dir``) and read back: cuts the lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docgrain-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/docgrain-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def is_typed(rel: Column) -> Column:
     return ~F.coalesce(rel, F.lit("")).isin(*GENERIC_RELATIONS)
 

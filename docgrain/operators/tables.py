@@ -79,11 +79,16 @@ def parse_table(text: str | None) -> dict | None:
     return parse_pipes(text) or parse_columns(text)
 
 
-@F.pandas_udf(CELLS)
-def table_cells(texts: pd.Series) -> pd.DataFrame:
+def table_cells(text: Column | str) -> Column:
     """Parsed cells of each text, null where it is no table."""
-    none = {"columns": None, "rows": None, "n_rows": None, "n_cols": None, "format": None}
-    return pd.DataFrame([parse_table(t) or none for t in texts], columns=list(none))
+
+    @F.pandas_udf(CELLS)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        none = {"columns": None, "rows": None, "n_rows": None, "n_cols": None, "format": None}
+        return pd.DataFrame([parse_table(t) or none for t in texts], columns=list(none))
+
+    cells = parse(text)
+    return F.when(cells["rows"].isNotNull(), cells)
 
 
 def table_text(cells: Column, most: int = 40) -> Column:
@@ -217,7 +222,7 @@ def find_rows(tables: DataFrame, rows: DataFrame, keys: DataFrame, common: int =
     then the words must all be in the row. A key of one word counts only if at most ``common`` tables have it. The
     score grows with the key's length and with a year that fits the table's source or date.
     """
-    wanted = F.broadcast(keys.withColumn("key_id", F.monotonically_increasing_id()))
+    wanted = F.broadcast(keys.withColumn("key_id", F.xxhash64("query_id", "key", "year")))
     cells = rows.select("table_id", "idx", F.explode("cells").alias("cell")).where(F.col("cell").rlike(r"\p{L}"))
     words = cells.select("table_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("cell"), F.lit(r"[A-Z0-9]{2,}"), F.lit(0)))).alias("word")).distinct()
     asked = wanted.select("key_id", "query_id", F.size("key").alias("n"), F.explode("key").alias("word"))

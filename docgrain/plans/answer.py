@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docgrain.functions import text as T
 from docgrain.operators import search
 from docgrain.plans import planner
+from docgrain.session import materialise
 
 
 @dataclass(frozen=True)
@@ -91,12 +92,13 @@ def compose(ranked: DataFrame, chunks: DataFrame, most_lines: int = 4) -> DataFr
 
 def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None) -> DataFrame:
     """Answers to all questions (query_id, question); a weak first retrieval is repeated with the question's content words."""
-    planned = planner.plan_questions(questions)
-    hits = evaluate(retrieve(chunks, planned, settings, lanes), chunks, planned, settings)
+    planned = materialise(planner.plan_questions(questions), "questions")
+    hits = materialise(evaluate(materialise(retrieve(chunks, planned, settings, lanes), "hits"), chunks, planned, settings), "evidence")
     if settings.retries:
         best = hits.groupBy("query_id").agg(F.max("eval_score").alias("best"), F.count("*").alias("n"))
         weak = planned.join(best, "query_id", "left").where(planner.is_weak(F.col("best"), F.col("n"))).drop("best", "n")
-        again = weak.withColumn("question", planner.reformulate(F.col("question")))
-        more = retrieve(chunks, again, settings).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        hits = hits.unionByName(evaluate(more, chunks, planned, settings))
-    return compose(rerank(hits, chunks, planned, settings), chunks)
+        again = materialise(weak.withColumn("question", planner.reformulate(F.col("question"))), "weak")
+        if not again.isEmpty():
+            more = retrieve(chunks, again, settings).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+            hits = hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
+    return compose(materialise(rerank(hits, chunks, planned, settings), "ranked"), chunks)

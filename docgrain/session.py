@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Engine settings that change plans but not results.
@@ -28,3 +31,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialise(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write to the folder that the session shares (``spark.checkpoint.dir``) and read back: cuts the lineage.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster it must be set.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docgrain-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/docgrain-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -37,10 +37,14 @@ def text_of(html: str | None) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
-def html_text(pages: pd.Series) -> pd.Series:
+def html_text(html: Column | str) -> Column:
     """:func:`text_of` each page; null gives an empty text."""
-    return pages.map(text_of)
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pages.map(text_of)
+
+    return text(html)
 
 
 def title(html: Column) -> Column:
