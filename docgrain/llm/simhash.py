@@ -30,6 +30,8 @@ BITS = 64
 SHORT_RUN = 48
 #: Nodes of a search front that are compared with the rest at once; bounds the memory of a long run.
 FRONT = 64
+#: Blocks of wide fingerprints that are joined before the others.
+FIRST_DRAWS = 8
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
 LONG_RUN = 100_000
 
@@ -122,9 +124,8 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[i
             found, rest = rest[near], rest[~near]
             front = np.concatenate((front, found))
             members.append(found)
-        if len(members := np.concatenate(members)) > 1:
-            root = node[members].min()
-            yield int(root), node[members][node[members] != root]
+        if len(members := np.unique(node[np.concatenate(members)])) > 1:
+            yield int(members[0]), members[1:]
 
 
 def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,8 @@ def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance:
 def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
 
-    They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes.
+    They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes. Rows with the same
+    node count as joined already.
     """
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
@@ -165,7 +167,7 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
             fp = frame["fp"].to_numpy()
             fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
             a, b = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy(), distance)
-            yield pd.DataFrame({"a": a, "b": b})
+            yield pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
 
     dealt = keyed
     if not hot.isEmpty():
@@ -225,9 +227,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     sig = materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "sig")
     classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "classes")
-    keyed = materialise(classes.where("node is not null").select("node", "fp", keys("fp").alias("keys")), "keys").select("node", "fp", F.explode("keys").alias("key"))
-    components = connected_components(near_edges(keyed, bits_apart(similarity, bits) + slack))
-    found = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    keyed = materialise(classes.where("node is not null").select("node", "fp", keys("fp").alias("keys")), "keys")
+    # The first draws join most of a large group. For the rest, classes stand under the name of their component, so
+    # that only links between components that are still apart are emitted.
+    near = bits_apart(similarity, bits) + slack
+    key = lambda at, n: F.explode(F.slice("keys", at, n)).alias("key")
+    once = materialise(connected_components(near_edges(keyed.select("node", "fp", key(1, FIRST_DRAWS)), near)), "components")
+    named = keyed.join(once, "node", "left").withColumn("name", F.coalesce("component", "node"))
+    named = materialise(named.select("node", F.col("name"), "fp", "keys"), "named")
+    twice = connected_components(near_edges(named.select(F.col("name").alias("node"), "fp", key(FIRST_DRAWS + 1, max(1, draws - FIRST_DRAWS))), near))
+    whole = named.select("node", "name").join(twice.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component_id"))
+    found = materialise(classes.join(whole, "node", "left").select("fp", "component_id"), "found")
     return sig.join(found, "fp").select(F.col("id").alias(id_col), "component_id")
 
 
