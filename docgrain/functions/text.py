@@ -45,12 +45,12 @@ CONTENTS_LINE = r"(?mi)^\s*\d+[\.\)]\s+(?:Table|Chart|Figure|Appendix|Graph|Sect
 OUTLINE_LINE = r"(?m)^\s*\d+(?:\.\d+)*\s+\w.*\s{4,}\d+\s*$"
 SUMMARY_MARK = "[DOC SUMMARY"
 
-# Patterns that the guardrail redacts, in order.
+# Patterns that the guardrail redacts, in order. Letters, digits and boundaries are those of Unicode.
 REDACTIONS = (
-    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("CREDIT_CARD", r"\b(?:\d[ -]*?){13,16}\b"),
-    ("EMAIL", r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
-    ("PHONE", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+    ("SSN", r"(?U)\b\d{3}-\d{2}-\d{4}\b"),
+    ("CREDIT_CARD", r"(?U)\b(?:\d[ -]*?){13,16}\b"),
+    ("EMAIL", r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"),
+    ("PHONE", r"(?U)\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
 )
 WITHHELD = "[blocked by guardrail] This response was withheld because it violated a configured content policy."
 
