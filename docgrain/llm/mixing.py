@@ -70,7 +70,7 @@ def mixture(docs: DataFrame, source_col: str = "source", evenness: float | None
 
     ``evenness`` is the target entropy as a share of the largest possible one, that of equal weights. ``budget``
     defaults to all tokens of the table. A null source is a source of its own; a source without tokens
-    has share, weight and budget 0. Budgets are whole tokens, rounded down.
+    has share, weight and budget 0. Budgets are whole tokens, rounded.
     """
     sums = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(F.sum("n_tokens").alias("tokens")), "sources")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
@@ -82,7 +82,7 @@ def mixture(docs: DataFrame, source_col: str = "source", evenness: float | None
     out = sums.withColumn("share", share).withColumn("raw", raw)
     z = out.agg(F.sum("raw")).first()[0] or 1.0
     out = out.withColumn("weight", F.col("raw") / F.lit(z))
-    out = out.withColumn("budget", F.floor(F.col("weight") * float(budget)).cast("long"))
+    out = out.withColumn("budget", F.round(F.col("weight") * float(budget)).cast("long"))
     epochs = F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(0.0)
     return materialise(out.select("source", "tokens", "share", "weight", "budget", epochs.alias("epochs"), F.lit(e).alias("exponent")), "mixture")
 
