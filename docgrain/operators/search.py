@@ -25,6 +25,8 @@ SMALL_SOURCE, SMALL_SOURCE_BOOST = 500, 1.5
 MIN_EVIDENCE, ROW_FLOOR = 0.10, 0.72
 STRUCTURED = ("table", "chart", "figure")
 
+#: Places to which scores are compared, so that sums in another order leave ties as ties.
+PLACES = 9
 #: Queries up to this number are broadcast as one matrix; more are taken block by block.
 QUERY_BLOCK = 4096
 #: Query terms up to this number are broadcast against the postings.
@@ -69,7 +71,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 30, id_col: str =
     part = F.col("idf") * (f * (K1 + 1)) / (f + K1 * (1 - B + B * dl / F.lit(size["avg_dl"])))
     scored = tf.join(F.broadcast(weighted) if few else weighted, "term").groupBy("q", "id").agg(F.sum(part).alias("raw"))
     scored = scored.where("raw > 0")
-    order = Window.partitionBy("q").orderBy(F.desc("raw"), "id")
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("raw", PLACES)), "id")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     top = F.max("raw").over(Window.partitionBy("q"))
     return best.select(F.col("q").alias(query_id), F.col("id").alias(id_col), (F.col("raw") / top).alias("score"), "rank")
@@ -91,7 +93,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 45, id_col: str
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "q long, id long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", PLACES)), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
@@ -137,7 +139,7 @@ def _batch_best(block: list, k: int, match: bool, exclude_self: bool):
                 if exclude_self:
                     ok &= mine != q
                 at = np.nonzero(ok)[0]
-                at = at[np.lexsort((mine[at], -score[i][at]))[:k]]
+                at = at[np.lexsort((mine[at], -np.round(score[i][at], PLACES)))[:k]]
                 out.append(pd.DataFrame({"q": q, "id": mine[at], "score": score[i][at]}))
             if out:
                 yield pd.concat(out)
@@ -154,7 +156,7 @@ def fuse(lanes: DataFrame) -> DataFrame:
 def cap_sources(hits: DataFrame, key: str = "doc_source", query_id: str = "query_id", id_col: str = "chunk_id", many: int = 15, small_cap: int = 3, large_cap: int = 6) -> DataFrame:
     """At most 3 hits of one source, or 6 where a query's hits have 15 sources or more; best scores first."""
     sources = hits.groupBy(query_id).agg(F.count_distinct(key).alias("__n"))
-    order = Window.partitionBy(query_id, key).orderBy(F.desc("score"), id_col)
+    order = Window.partitionBy(query_id, key).orderBy(F.desc(F.round("score", PLACES)), id_col)
     ranked = hits.withColumn("__rank", F.row_number().over(order)).join(sources, query_id)
     cap = F.when(F.col("__n") >= many, large_cap).otherwise(small_cap)
     return ranked.where(F.col("__rank") <= cap).drop("__rank", "__n")
@@ -162,7 +164,7 @@ def cap_sources(hits: DataFrame, key: str = "doc_source", query_id: str = "query
 
 def pool(hits: DataFrame, size: int, query_id: str = "query_id", id_col: str = "chunk_id", score: str = "score") -> DataFrame:
     """The best ``size`` hits of each query, with their rank."""
-    order = Window.partitionBy(query_id).orderBy(F.desc(score), id_col)
+    order = Window.partitionBy(query_id).orderBy(F.desc(F.round(score, PLACES)), id_col)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
 
 
