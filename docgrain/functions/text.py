@@ -64,15 +64,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def tokens(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters, digits and underscores; null gives none."""
-    return F.transform(F.regexp_extract_all(_text(c), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)), F.lower)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def tokens(c: Column, shortest: int = 1) -> Column:
+    """Lower-cased runs of ASCII letters, digits and underscores, of ``shortest`` characters or more; null gives none."""
+    return F.regexp_extract_all(F.translate(_text(c), UPPER, LOWER), F.lit(rf"[a-z0-9_]{{{shortest},}}"), F.lit(0))
 
 
 def content_tokens(c: Column) -> Column:
     """:func:`tokens` of two characters or more that are no stop words; repeats are kept."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(tokens(c, 2), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def overlap(question: Column, other: Column) -> Column:

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from hashlib import md5
+from math import sqrt
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.functions.text import content_tokens
+from docgrain.functions.text import LOWER, STOP_WORDS, UPPER
 
 DIM = 384
+#: Grams of a batch whose slots are remembered; bounds the memory of a task.
+KNOWN_GRAMS = 500_000
+
+_TOKEN = re.compile(r"[a-z0-9_]{2,}")
+_LOWER = str.maketrans(UPPER, LOWER)
+_STOP = frozenset(STOP_WORDS)
 
 
 def grams(words: Column) -> Column:
@@ -32,18 +44,34 @@ def hash_slot(gram: Column, dim: int = DIM) -> tuple[Column, Column]:
     return slot.cast("int"), sign
 
 
+def sparse_embedding(text: str | None, dim: int, known: dict[str, tuple[int, int]]) -> list[tuple[int, float]]:
+    """(slot, weight) of a text, slots ascending; ``known`` remembers the slots of grams."""
+    words = [w for w in _TOKEN.findall((text or "").translate(_LOWER)) if w not in _STOP]
+    sums: dict[int, int] = {}
+    for gram, count in Counter([*words, *map("_".join, zip(words, words[1:], strict=False))]).items():
+        place = known.get(gram)
+        if place is None:
+            h = int(md5(gram.encode()).hexdigest(), 16)
+            place = h % dim, -1 if h >> 8 & 1 else 1
+            if len(known) < KNOWN_GRAMS:
+                known[gram] = place
+        sums[place[0]] = sums.get(place[0], 0) + place[1] * count
+    norm = sqrt(sum(v * v for v in sums.values()))
+    return [(k, sums[k] / norm) for k in sorted(sums) if sums[k]]
+
+
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM) -> DataFrame:
     """Sparse unit vectors of texts: (id, slot, weight). Texts without content tokens have no row.
 
-    Grams are summed by slot and sign, so that only slots are shuffled, at most ``dim`` for each document.
+    A text's vector is made where the text is, in Arrow batches; nothing is shuffled.
     """
-    slot, sign = hash_slot(F.col("gram"), dim)
-    parts = docs.select(F.col(id_col), F.explode(grams(content_tokens(F.col(text_col)))).alias("gram"))
-    sums = parts.select(id_col, slot.alias("slot"), sign.alias("sign")).groupBy(id_col, "slot").agg(F.sum("sign").alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")
-    norms = sums.groupBy(F.col(id_col).alias("__id")).agg(norm)
-    joined = sums.where("raw <> 0").join(norms, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.select(id_col, "slot", (F.col("raw") / F.col("norm")).alias("weight"))
+
+    @F.pandas_udf("array<struct<slot:int,weight:double>>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+        return pd.Series([[{"slot": k, "weight": w} for k, w in sparse_embedding(t, dim, known)] for t in texts], dtype=object)
+
+    return docs.select(id_col, F.inline(embed(F.col(text_col))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -28,7 +28,9 @@ STRUCTURED = ("table", "chart", "figure")
 #: Places to which scores are compared, so that sums in another order leave ties as ties.
 PLACES = 9
 #: Queries up to this number are broadcast as one matrix; more are taken block by block.
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+#: Vectors that a block of queries is multiplied with at once.
+VECTOR_SLICE = 2048
 #: Query terms up to this number are broadcast against the postings.
 BROADCAST_TERMS = 200_000
 
@@ -128,7 +130,7 @@ def _batch_best(block: list, k: int, match: bool, exclude_self: bool):
     labels = np.array([r["m"] for r in block], dtype=object) if match else None
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[i : i + VECTOR_SLICE] for b in batches for i in range(0, len(b), VECTOR_SLICE)):
             mine = batch["id"].to_numpy(np.int64)
             score = matrix @ _unit(list(batch["v"]), width).T
             out = []

@@ -9,7 +9,7 @@ from docgrain.functions import text as T
 from docgrain.functions import vectors as V
 from docgrain.operators import audit, chunking, metadata, resolution
 from docgrain.plans import planner
-from docgrain.session import table
+from docgrain.session import spread, table
 from docgrain.sources import files, html
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -22,7 +22,7 @@ STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     words = T.content_tokens(F.col("text"))
     return docs.select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(words).cast("long").alias("n_content"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
 
@@ -55,7 +55,7 @@ EXACT_DEDUP_SQL = "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PART
 
 def chunk_quality(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", T.chunk_quality(t).alias("quality"), T.gate_allows(t, F.lit("text"), F.lit("text")).alias("allowed"), T.needs_ocr(t).alias("needs_ocr"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.chunk_quality(t).alias("quality"), T.gate_allows(t, F.lit("text"), F.lit("text")).alias("allowed"), T.needs_ocr(t).alias("needs_ocr"))
 
 
 CHUNK_QUALITY_SQL = rf"""
@@ -83,7 +83,7 @@ FROM q
 
 def redact(spark: SparkSession, sf: str) -> DataFrame:
     g = T.guardrail(F.col("text"), ["worthless"])
-    rows = table(spark, sf, "documents").select("doc_id", g.alias("g"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", g.alias("g"))
     return rows.select("doc_id", F.md5("g.text").alias("text_md5"), F.col("g.blocked").alias("blocked"), F.array_join("g.reasons", ",").alias("reasons"))
 
 
@@ -121,7 +121,7 @@ def entity_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_dates(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", T.first_date(t).alias("first_date"), T.first_year(t).alias("first_year"), T.location(t).alias("location"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.first_date(t).alias("first_date"), T.first_year(t).alias("first_year"), T.location(t).alias("location"))
 
 
 DOCUMENT_DATES_SQL = r"""
@@ -135,17 +135,17 @@ FROM documents
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "ordinal", "chunk_id", "heading", "content_type", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return chunking.chunk(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id").select("doc_id", "ordinal", "chunk_id", "heading", "content_type", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    rows = metadata.enrich(table(spark, sf, "documents").select("doc_id", "text", F.lit("text").alias("content_type"), F.col("source").alias("source_name")))
+    rows = metadata.enrich(spread(table(spark, sf, "documents")).select("doc_id", "text", F.lit("text").alias("content_type"), F.col("source").alias("source_name")))
     lists = [F.array_join(c, "|").alias(c) for c in ("manufacturers", "sellers", "buyers", "entities", "organizations")]
     return rows.select("doc_id", "document_date", "incident_date", "location", "case_reference", "report_type", "us_state", "item_type", "incident_type", *lists)
 
 
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.hash_embedding(table(spark, sf, "documents"), "doc_id", "text")
+    rows = V.hash_embedding(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return rows.select("doc_id", "slot", F.round("weight", 6).alias("weight"))
 
 
@@ -264,7 +264,7 @@ def answer_grounding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan_questions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
+    rows = spread(table(spark, sf, "conversations")).select("conv_id", "turn", F.col("text").alias("question"))
     return planner.plan_questions(rows).select("conv_id", "turn", "intent", "use_graph", "use_metadata", "domain", "mode")
 
 

@@ -33,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan, dealt over all cores where the files are too few to keep them busy.
+
+    A file is read by one task for each of its row groups at most. Tables of many files, and files of many splits,
+    stay as they are, so that nothing large is shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if 2 * len(rows.inputFiles()) > cores or rows.rdd.getNumPartitions() >= 4 * cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write to the folder that the session shares (``spark.checkpoint.dir``) and read back: cuts the lineage.
 
