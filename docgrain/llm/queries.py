@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrain.llm import decontam, embed_dedup, langid, lmscore, mixing, pii, quality, simhash, urlfilter, warc
+from docgrain.session import spread
 
 #: Rules of the URL query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -17,6 +18,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores also where they are in one file."""
+    return spread(_read(spark, sf_dir, "documents"))
+
+
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all vectors."""
     return embed_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
@@ -24,7 +30,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
-    found = pii.with_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.with_pii(_documents(spark, sf_dir).select("doc_id", "text"))
     base, spans = F.col("pii.base"), F.col("pii.spans")
 
     def count(kind: str) -> Column:
@@ -36,7 +42,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
-    found = decontam.with_hits(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    found = decontam.with_hits(_documents(spark, sf_dir).select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     hits = F.col("hits")
     return found.select(
         "doc_id",
@@ -57,19 +63,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, and whether it is kept."""
-    scored = quality.with_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = quality.with_quality(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= 0.5).alias("kept"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
-    groups = simhash.simhash_groups(_read(spark, sf_dir, "documents"))
+    groups = simhash.simhash_groups(_documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
-    return langid.identify(_read(spark, sf_dir, "documents"))
+    return langid.identify(_documents(spark, sf_dir))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +86,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document."""
-    scored = lmscore.with_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = lmscore.with_scores(_documents(spark, sf_dir).select("doc_id", "text"))
     return scored.select("doc_id", "lm.n_tokens", "lm.log_prob", "lm.mean_log_prob")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mixture of all documents: a row for each use of a document."""
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
