@@ -115,3 +115,23 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def delete_document(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     """Chunks without those of the documents in ``ids`` (document_id)."""
     return chunks.join(ids, "document_id", "left_anti")
+
+
+def document_detail(chunks: DataFrame, fields: list[str], by: str = "document_id") -> DataFrame:
+    """A row for each document: chunks by content type and by method (maps), share of each field filled, distinct entities.
+
+    chunks: content_type, extraction_method, entities and the fields.
+    """
+    shares = coverage(chunks, fields, [by])
+    for name, column in (("content_types", "content_type"), ("methods", "extraction_method")):
+        counts = chunks.groupBy(by, column).agg(F.count("*").alias("n"))
+        entry = F.struct(F.coalesce(F.col(column), F.lit("")).alias("key"), "n")
+        shares = shares.join(counts.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)), by)
+    names = chunks.select(by, F.explode("entities").alias("e")).distinct().groupBy(by).agg(F.count("*").alias("n_entities"))
+    return shares.join(names, by, "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+
+
+def touching(nodes: DataFrame, chunks: DataFrame, by: str = "document_id") -> DataFrame:
+    """(document, key): the graph's nodes that a document's chunks mention."""
+    rows = nodes.select("key", F.explode("chunks").alias("chunk_id"))
+    return rows.join(chunks.select("chunk_id", by), "chunk_id").select(by, "key").distinct()

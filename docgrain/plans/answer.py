@@ -6,6 +6,8 @@ search) are functions that a caller may pass; the defaults are the offline behav
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +20,11 @@ from docgrain.plans import planner
 from docgrain.session import materialise
 
 
+# Words of questions that ask for a number.
+NUMERIC = r"(?i)\b(how many|how much|number of|total|count|rate|percent|percentage|average|figure|amount|share|proportion|sum|exactly)\b"
+HOP = re.compile(r"\{hop(\d)\}")
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters that change results."""
@@ -68,7 +75,7 @@ def evaluate(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings:
 def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Best hits in their final order; a ``reranker`` may replace rerank_score."""
     rows = hits.join(chunks.select("chunk_id", "text", "content_type", "has_cells"), "chunk_id").join(questions.select("query_id", "question", "intent"), "query_id")
-    numeric = (F.col("intent") == "table") | F.lower("question").rlike(r"\b(?:how many|how much|total|number of|count|rate|percent)")
+    numeric = (F.col("intent") == "table") | F.col("question").rlike(NUMERIC)
     score = search.rerank_score(evidence=F.col("eval_score"), question_tokens=T.content_tokens(F.col("question")), text_tokens=T.content_tokens(F.col("text")), content_type=F.col("content_type"), has_cells=F.col("has_cells"), wants_structure=numeric | (F.col("intent") == "visual"))
     rows = rows.withColumns({"rerank_score": score, "numeric": numeric, "is_table": (F.col("content_type") == "table") & F.col("has_cells")})
     rows = rows.select(*hits.columns, "rerank_score", "numeric", "is_table")
@@ -76,11 +83,16 @@ def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: S
 
 
 def compose(ranked: DataFrame, chunks: DataFrame, most_lines: int = 4) -> DataFrame:
-    """(query_id, answer, confidence, citations): the first lines of over 40 characters, the mean evidence of the first five hits, what is cited."""
-    rows = ranked.join(chunks.select("chunk_id", "text", F.col("doc_source").alias("__source")), "chunk_id")
+    """(query_id, answer, confidence, citations): the first lines of over 40 characters, the mean evidence of the first five hits, what is cited.
+
+    A question that asks for a number and got no structured evidence has 0.4 of that confidence.
+    """
+    rows = ranked.join(chunks.select("chunk_id", "text", "content_type", F.col("doc_source").alias("__source")), "chunk_id")
     lines = F.filter(F.split("text", r"\n"), lambda x: F.length(T.strip(x)) > 40)
     by = Window.partitionBy("query_id")
-    rows = rows.withColumn("top5", F.avg(F.when(F.col("rank") <= 5, F.col("eval_score"))).over(by))
+    gap = F.max("numeric").over(by) & ~F.max(F.col("content_type").isin(*search.STRUCTURED)).over(by)
+    mean = F.avg(F.when(F.col("rank") <= 5, F.col("eval_score"))).over(by)
+    rows = rows.withColumn("top5", mean * F.when(gap, 0.4).otherwise(1.0))
     out = rows.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", lines.alias("lines")))).alias("parts"),
         F.round(F.first("top5"), 3).alias("confidence"),
@@ -102,3 +114,25 @@ def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Setting
             more = retrieve(chunks, again, settings).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
             hits = hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
     return compose(materialise(rerank(hits, chunks, planned, settings), "ranked"), chunks)
+
+
+def decompose(question: str, chat: Callable[[list[str]], list[str]], most: int = 3) -> list[str]:
+    """Two or three questions to ask one after the other, as a chat service splits the question; none offline or for a simple one."""
+    reply = chat([f'Reply in JSON {{"hops": [...]}} with sub-questions that lead to the answer, or none: {question}'])[0] or ""
+    found = re.search(r"\{.*\}", reply, re.S)
+    try:
+        hops = json.loads(found[0]).get("hops", []) if found else []
+    except ValueError:
+        return []
+    hops = [h for h in hops if isinstance(h, str) and len(h) > 8][:most]
+    return hops if len(hops) >= 2 else []
+
+
+def answer_in_hops(chunks: DataFrame, hops: list[str], settings: Settings = Settings()) -> list[tuple[str, str]]:
+    """(question, answer) of each hop; ``{hopN}`` stands for an earlier answer. One interactive question at a time."""
+    spark, done = chunks.sparkSession, []
+    for hop in hops:
+        asked = HOP.sub(lambda m: done[int(m[1]) - 1][1] if int(m[1]) <= len(done) else "", hop)
+        row = answer(chunks, spark.createDataFrame([(1, asked)], "query_id int, question string"), settings).first()
+        done.append((asked, row["answer"][:160] if row else "unknown"))
+    return done

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.operators import audit, tables
+from docgrain.operators import audit, evaluation, tables
 from docgrain.session import materialise, table
 from docgrain.streaming import ingest
 
@@ -164,6 +164,54 @@ WHERE (d.doc_id IS NOT NULL OR toxic = 1) AND coalesce(quality, 1) <> 0
 """
 
 
+def answer_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals and numbers among the replies."""
+    signals = evaluation.answer_signals(F.col("text"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", signals.alias("s"), evaluation.is_insufficient(F.col("text")).alias("insufficient"))
+    return rows.select("conv_id", "turn", "role", F.col("s.answered").alias("answered"), F.col("s.has_number").alias("has_number"), "insufficient")
+
+
+ANSWER_CHECKS_SQL = r"""
+WITH a AS (SELECT conv_id, turn, role, coalesce(text, '') AS t,
+  regexp_matches(lower(coalesce(text, '')), 'does not contain|not contain|cannot provide|no information|insufficient|does not provide|not found|not available|unable to|no relevant|not specify|not include') AS refused FROM conversations)
+SELECT conv_id, turn, role, NOT refused AS answered, regexp_matches(t, '\d[\d,]{2,}') AS has_number, refused OR length(regexp_replace(t, '^\s+|\s+$', '', 'g')) < 25 AS insufficient FROM a
+"""
+
+
+def entity_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' first two orders from each supplier: documents that share an entity."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return evaluation.entity_pairs(lines.select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk_id")))
+
+
+ENTITY_PAIRS_SQL = """
+WITH o AS (SELECT l_suppkey AS entity, l_orderkey AS d, min(l_linenumber) AS c FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) AS r FROM o)
+SELECT a.entity, a.d AS first_document, b.d AS second_document, a.c AS first_chunk, b.c AS second_chunk FROM r a JOIN r b ON a.entity = b.entity WHERE a.r = 1 AND b.r = 2
+"""
+
+
+def document_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources in detail: documents by language, fields filled, distinct capitalised words."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    names = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Z][a-z]+"), F.lit(0)))
+    rows = rows.select(F.col("source").alias("document_id"), F.col("lang").alias("content_type"), F.lit("text").alias("extraction_method"), names.alias("entities"), "text", "quality")
+    out = audit.document_detail(rows, ["text", "quality"])
+    flat = F.array_join(F.transform(F.map_entries("content_types"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("document_id", "n_rows", "text", "quality", flat.alias("content_types"), "n_entities")
+
+
+DOCUMENT_DETAIL_SQL = r"""
+WITH d AS (SELECT source, coalesce(lang, '') AS lang, text, quality FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT source, lang, count(*) AS n FROM d GROUP BY ALL),
+t AS (SELECT source, string_agg(lang || ':' || n, ',' ORDER BY lang) AS content_types FROM k GROUP BY source),
+e AS (SELECT source, count(DISTINCT w) AS n_entities FROM (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+')) AS w FROM d) GROUP BY source)
+SELECT d.source AS document_id, count(*) AS n_rows, round(avg(CASE WHEN text <> '' THEN 1.0 ELSE 0.0 END), 2) AS text, round(avg(CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0.0 END), 2) AS quality,
+  any_value(content_types) AS content_types, coalesce(any_value(n_entities), 0) AS n_entities
+FROM d JOIN t USING (source) LEFT JOIN e USING (source) GROUP BY d.source
+"""
+
+
 QUERIES = {
     "table_rows": table_rows,
     "table_families": table_families,
@@ -175,6 +223,9 @@ QUERIES = {
     "stream_windows": stream_windows,
     "manifest_actions": manifest_actions,
     "upsert_documents": upsert_documents,
+    "answer_checks": answer_checks,
+    "entity_pairs": entity_pairs,
+    "document_detail": document_detail,
 }
 
 SQL = {
@@ -187,4 +238,7 @@ SQL = {
     "stream_windows": EVENT_WINDOWS_SQL,
     "manifest_actions": MANIFEST_ACTIONS_SQL,
     "upsert_documents": UPSERT_DOCUMENTS_SQL,
+    "answer_checks": ANSWER_CHECKS_SQL,
+    "entity_pairs": ENTITY_PAIRS_SQL,
+    "document_detail": DOCUMENT_DETAIL_SQL,
 }
