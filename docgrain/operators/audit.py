@@ -131,7 +131,6 @@ def document_detail(chunks: DataFrame, fields: list[str], by: str = "document_id
     return shares.join(names, by, "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
 
 
-def touching(nodes: DataFrame, chunks: DataFrame, by: str = "document_id") -> DataFrame:
-    """(document, key): the graph's nodes that a document's chunks mention."""
-    rows = nodes.select("key", F.explode("chunks").alias("chunk_id"))
-    return rows.join(chunks.select("chunk_id", by), "chunk_id").select(by, "key").distinct()
+def touching(of_nodes: DataFrame, chunks: DataFrame, by: str = "document_id") -> DataFrame:
+    """Distinct (document, key): the graph's nodes, by (key, chunk_id), that a document's chunks mention."""
+    return of_nodes.join(chunks.select("chunk_id", by), "chunk_id").select(by, "key").distinct()

@@ -1,8 +1,9 @@
 """Entity graph: build, prune, walk, rank and cluster.
 
-Nodes are (key, label, type, count, chunks, corpora, description), edges are directed rows (src, dst, rel, weight,
-typed, chunks, description); walks see them undirected. Iterations join a frontier, which is small, with the edges,
-and write what the next round reads.
+Nodes are (key, label, type, count, n_chunks, corpora, description), edges are directed rows (src, dst, rel, weight,
+typed, n_chunks, description); walks see them undirected. Which chunks a node is in is a table of its own (key,
+chunk_id), since a hub may be in a large part of them. Iterations join a frontier, which is small, with the edges, and
+write what the next round reads.
 """
 
 from __future__ import annotations
@@ -37,12 +38,18 @@ def aggregate_nodes(mentions: DataFrame) -> DataFrame:
         F.min_by("name", "seq").alias("label"),
         F.coalesce(F.max_by("type", named), F.lit("entity")).alias("type"),
         F.count("*").alias("count"),
-        F.array_sort(F.collect_set("chunk_id")).alias("chunks"),
+        F.count_distinct("chunk_id").alias("n_chunks"),
         F.array_sort(F.collect_set("corpus")).alias("corpora"),
         F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
     )
 
 
+def node_chunks(mentions: DataFrame) -> DataFrame:
+    """Distinct (key, chunk_id) of mentions whose names are entities."""
+    rows = mentions.where(~T.is_junk_name(F.col("name")) & F.col("chunk_id").isNotNull())
+    return rows.select(T.node_key(F.col("name")).alias("key"), "chunk_id").distinct()
+
+
 def aggregate_edges(relations: DataFrame) -> DataFrame:
     """Edges from relations (src, dst, rel, chunk_id, weight, description, seq), names as written.
 
@@ -54,7 +61,7 @@ def aggregate_edges(relations: DataFrame) -> DataFrame:
         F.min_by("rel", F.struct(~F.col("typed"), "seq")).alias("rel"),
         F.sum("weight").alias("weight"),
         F.max("typed").alias("typed"),
-        F.array_sort(F.collect_set("chunk_id")).alias("chunks"),
+        F.count_distinct("chunk_id").alias("n_chunks"),
         F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
     )
 
@@ -132,9 +139,9 @@ def within_hops(edges: DataFrame, seeds: DataFrame, hops: int = 2, typed_only: b
     return seen
 
 
-def chunks_within(nodes: DataFrame, reached: DataFrame) -> DataFrame:
-    """Distinct (seed, chunk_id) of the nodes reached."""
-    return reached.join(nodes, reached["node"] == nodes["key"]).select("seed", F.explode("chunks").alias("chunk_id")).distinct()
+def chunks_within(of_nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """Distinct (seed, chunk_id) of the nodes reached, by (key, chunk_id)."""
+    return reached.join(of_nodes, reached["node"] == of_nodes["key"]).select("seed", "chunk_id").distinct()
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -203,9 +210,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 30,
     return rank.select("node", "rank")
 
 
-def rank_chunks(ranks: DataFrame, nodes: DataFrame, k: int = 30) -> DataFrame:
-    """Best ``k`` (chunk_id, score): a chunk has the rank of its best node."""
-    rows = ranks.join(nodes, ranks["node"] == nodes["key"]).select("rank", F.explode("chunks").alias("chunk_id"))
+def rank_chunks(ranks: DataFrame, of_nodes: DataFrame, k: int = 30) -> DataFrame:
+    """Best ``k`` (chunk_id, score): a chunk has the rank of its best node, by (key, chunk_id)."""
+    rows = ranks.join(of_nodes, ranks["node"] == of_nodes["key"])
     return rows.groupBy("chunk_id").agg(F.max("rank").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
@@ -307,19 +314,19 @@ def modularity(edges: DataFrame, labels: DataFrame) -> float:
 
 
 def community_briefs(members: DataFrame, nodes: DataFrame, edges: DataFrame, entities: int = 15, relations: int = 20) -> DataFrame:
-    """(community, name, summary, members, relations, chunks, members_hash): what a community is about, in fixed words.
+    """(community, name, summary, n_members, n_chunks, members_hash, top, relations): what a community is about, in fixed words.
 
-    ``name`` joins its three most mentioned members; relations are those with both ends inside, typed and heavy first.
+    ``members_hash`` changes with the members, whatever their order: a summary is made anew where it does. ``name`` joins its three most mentioned members; relations are those with both ends inside, typed and heavy first.
     """
-    rows = members.join(nodes, members["node"] == nodes["key"]).select("community", "key", "label", "type", "count", "chunks")
+    rows = members.join(nodes, members["node"] == nodes["key"]).select("community", "key", "label", "type", "count", "n_chunks")
     order = Window.partitionBy("community").orderBy(F.desc("count"), "key")
     ranked = rows.withColumn("r", F.row_number().over(order))
     top = F.array_sort(F.collect_list(F.when(F.col("r") <= entities, F.struct("r", "label", "type", "count"))))
     info = ranked.groupBy("community").agg(
         top.alias("top"),
         F.count("*").alias("n_members"),
-        T.set_hash(F.collect_set("key")).alias("members_hash"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunks")))).alias("chunks"),
+        F.hex(F.bit_xor(F.xxhash64("key"))).alias("members_hash"),
+        F.sum("n_chunks").alias("n_chunks"),
     )
     ends = lambda x: members.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))
     inner = edges.join(ends("src"), "src").join(ends("dst"), "dst").where("csrc = cdst")
@@ -329,7 +336,7 @@ def community_briefs(members: DataFrame, nodes: DataFrame, edges: DataFrame, ent
     name = F.array_join(F.slice(F.transform("top", lambda x: x["label"]), 1, 3), ", ")
     out = info.join(inner, "community", "left").withColumn("name", name)
     said = F.concat(F.lit("Community of "), F.col("n_members").cast("string"), F.lit(" entities around "), F.col("name"), F.lit("."))
-    return out.select("community", "name", said.alias("summary"), "n_members", "members_hash", "top", "relations", "chunks")
+    return out.select("community", "name", said.alias("summary"), "n_members", "n_chunks", "members_hash", "top", "relations")
 
 
 def relevant_communities(briefs: DataFrame, question: str, k: int = 6) -> DataFrame:
@@ -363,11 +370,14 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[D
     return nodes.join(keys, "key", "left_anti"), left
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, most: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """The ``most`` nodes of highest degree with community (-1: none) and at most 25 chunks, and the edges between them."""
+def export_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, of_nodes: DataFrame, most: int = 2000, chunks: int = 25) -> tuple[DataFrame, DataFrame]:
+    """The ``most`` nodes of highest degree with community (-1: none) and their first ``chunks`` chunks, and the edges between them."""
     deg = degrees(edges).withColumnRenamed("node", "key")
     rows = nodes.join(deg, "key", "left").join(members.withColumnRenamed("node", "key"), "key", "left")
-    top = rows.select("key", "label", "type", "count", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("community", F.lit("-1")).alias("community"), F.slice("chunks", 1, 25).alias("chunks"))
-    top = top.orderBy(F.desc("degree"), "key").limit(most)
+    top = rows.select("key", "label", "type", "count", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("community", F.lit("-1")).alias("community"))
+    top = materialise(top.orderBy(F.desc("degree"), "key").limit(most))
+    order = Window.partitionBy("key").orderBy("chunk_id")
+    first = of_nodes.join(top.select("key"), "key", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= chunks)
+    first = first.groupBy("key").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunks"))
     inside = edges.join(top.select(F.col("key").alias("src")), "src", "left_semi").join(top.select(F.col("key").alias("dst")), "dst", "left_semi")
-    return top, inside
+    return top.join(first, "key", "left"), inside

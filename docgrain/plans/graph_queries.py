@@ -53,7 +53,7 @@ GRAPH_COOCCUR_SQL = f"WITH {EDGES_CTE} SELECT src, dst, CAST(weight AS BIGINT) A
 
 
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return _edges(spark, sf).select("src", "dst", "rel", "weight", "typed", F.size("chunks").cast("long").alias("n_chunks"))
+    return _edges(spark, sf).select("src", "dst", "rel", "weight", "typed", "n_chunks")
 
 
 GRAPH_EDGES_SQL = f"WITH {EDGES_CTE} SELECT src, dst, rel, CAST(weight AS BIGINT) AS weight, typed, n_chunks FROM e"
@@ -65,7 +65,7 @@ def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     ends = rows.select(F.col("src").alias("name"), "chunk_id").unionByName(rows.select(F.col("dst").alias("name"), "chunk_id"))
     kind = F.split("name", " ")[0]
     mentions = ends.withColumns({"type": kind, "corpus": F.lit("orders"), "description": F.lit(""), "seq": F.col("chunk_id")})
-    return graph.aggregate_nodes(mentions).select("key", "type", "count", F.size("chunks").cast("long").alias("n_chunks"))
+    return graph.aggregate_nodes(mentions).select("key", "type", "count", "n_chunks")
 
 
 GRAPH_NODES_SQL = f"""

@@ -22,28 +22,28 @@ def matched_nodes(nodes: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "node"))).select("query_id", "place", "node")
 
 
-def graph_lane(nodes: DataFrame, edges: DataFrame, questions: DataFrame, hops: int = 2) -> DataFrame:
-    """Lane hits of chunks near the first matched nodes: those along typed edges score 0.65, the others 0.50."""
+def graph_lane(nodes: DataFrame, of_nodes: DataFrame, edges: DataFrame, questions: DataFrame, hops: int = 2) -> DataFrame:
+    """Lane hits of chunks, by (key, chunk_id), near the first matched nodes: those along typed edges score 0.65, the others 0.50."""
     seeds = materialise(matched_nodes(nodes, questions).where(F.col("place") <= FIRST_NODES), "seeds")
     wanted = seeds.select(F.col("node").alias("seed")).distinct()
-    near = lambda typed: graph.chunks_within(nodes, graph.within_hops(edges, wanted, hops, typed))
+    near = lambda typed: graph.chunks_within(of_nodes, graph.within_hops(edges, wanted, hops, typed))
     scored = near(True).withColumn("score", F.lit(TYPED_SCORE)).unionByName(near(False).withColumn("score", F.lit(LOOSE_SCORE)))
     rows = scored.join(seeds.withColumnRenamed("node", "seed"), "seed").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return rows.select("query_id", "chunk_id", "score", F.lit("graph").alias("source"), F.lit(2).alias("lane"))
 
 
-def pagerank_lane(nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 45) -> DataFrame:
+def pagerank_lane(nodes: DataFrame, of_nodes: DataFrame, edges: DataFrame, questions: DataFrame, k: int = 45) -> DataFrame:
     """Lane hits by personalised PageRank, one run for each question, scores from 0.50 to 0.70."""
     seeds = materialise(matched_nodes(nodes, questions), "seeds")
     weights = materialise(graph.undirected(edges), "weights")
     out = None
     for row in seeds.select("query_id").distinct().collect():  # one interactive question is one run
         ranks = graph.pagerank(weights, seeds.where(F.col("query_id") == row["query_id"]).select("node"))
-        best = graph.rank_chunks(ranks, nodes, k)
+        best = graph.rank_chunks(ranks, of_nodes, k)
         top = F.max("score").over(Window.partitionBy(F.lit(0)))  # at most k rows
         hits = best.select(F.lit(row["query_id"]).alias("query_id"), "chunk_id", (BAND_LOW + BAND_WIDTH * F.col("score") / top).alias("score"), F.lit("graph").alias("source"), F.lit(2).alias("lane"))
         out = hits if out is None else out.unionByName(hits)
-    return graph_lane(nodes, edges, questions) if out is None else out
+    return graph_lane(nodes, of_nodes, edges, questions) if out is None else out
 
 
 def evidence_paths(nodes: DataFrame, edges: DataFrame, questions: DataFrame, most: int = 8) -> DataFrame:

@@ -27,7 +27,7 @@ def test_detail(spark):
     got = {r["document_id"]: r for r in audit.document_detail(spark.createDataFrame(rows, "document_id string, content_type string, extraction_method string, entities array<string>, title string"), ["title"]).collect()}
     assert got["d"]["content_types"] == {"table": 1, "text": 1} and got["d"]["n_entities"] == 2 and got["d"]["title"] == 0.5
     assert got["e"]["methods"] == {"": 1} and got["e"]["n_entities"] == 0
-    nodes = spark.createDataFrame([("k", ["1", "2"]), ("m", ["9"])], "key string, chunks array<string>")
+    nodes = spark.createDataFrame([("k", "1"), ("k", "2"), ("m", "9")], "key string, chunk_id string")
     chunks = spark.createDataFrame([("1", "d"), ("2", "d")], "chunk_id string, document_id string")
     assert audit.touching(nodes, chunks).collect() == [("d", "k")]
 

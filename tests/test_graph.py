@@ -15,13 +15,15 @@ def edges_of(spark, rows):
 
 def test_typed_relations_upgrade_and_weights_add(spark):
     got = graph.aggregate_edges(relations(spark, [("A b", "C", "co_occurs", "1", 1, "x"), ("a  B", "c", "SOLD_BY", "2", 2, "longer"), ("C", "C", "X", "3", 1, "")])).collect()
-    assert [(r["src"], r["dst"], r["rel"], r["weight"], r["typed"], r["chunks"], r["description"]) for r in got] == [("a b", "c", "SOLD_BY", 3, True, ["1", "2"], "longer")]
+    assert [(r["src"], r["dst"], r["rel"], r["weight"], r["typed"], r["n_chunks"], r["description"]) for r in got] == [("a b", "c", "SOLD_BY", 3, True, 2, "longer")]
 
 
 def test_nodes(spark):
     rows = [("Acme Arms", "entity", "1", "pdf", "", 0), ("acme arms", "maker", "2", "web", "makes things", 1), ("Sunday", "entity", "1", "pdf", "", 2)]
-    got = graph.aggregate_nodes(spark.createDataFrame(rows, "name string, type string, chunk_id string, corpus string, description string, seq int")).collect()
-    assert [(r["key"], r["label"], r["type"], r["count"], r["chunks"], r["corpora"], r["description"]) for r in got] == [("acme arms", "Acme Arms", "maker", 2, ["1", "2"], ["pdf", "web"], "makes things")]
+    mentions = spark.createDataFrame(rows, "name string, type string, chunk_id string, corpus string, description string, seq int")
+    got = graph.aggregate_nodes(mentions).collect()
+    assert sorted(map(tuple, graph.node_chunks(mentions.union(mentions)).collect())) == [("acme arms", "1"), ("acme arms", "2")]
+    assert [(r["key"], r["label"], r["type"], r["count"], r["n_chunks"], r["corpora"], r["description"]) for r in got] == [("acme arms", "Acme Arms", "maker", 2, 2, ["pdf", "web"], "makes things")]
 
 
 def test_cooccurrence_skips_typed_pairs(spark):
@@ -89,19 +91,20 @@ def test_communities_of_two_cliques(spark):
 
 def test_briefs_and_stats(spark):
     edges = edges_of(spark, [("dealer", "incident", "LINKED", 2), ("dealer", "buyer", "SOLD_TO", 3)])
-    nodes = spark.createDataFrame([(k, k.title(), "entity", c, [f"c{c}"]) for k, c in (("dealer", 5), ("incident", 2), ("buyer", 1))], "key string, label string, type string, count int, chunks array<string>")
+    nodes = spark.createDataFrame([(k, k.title(), "entity", c, 1) for k, c in (("dealer", 5), ("incident", 2), ("buyer", 1))], "key string, label string, type string, count int, n_chunks int")
+    of_nodes = spark.createDataFrame([("dealer", f"c{i:02d}") for i in range(40)] + [("buyer", "x")], "key string, chunk_id string")
     members = spark.createDataFrame([(k, "buyer") for k in ("dealer", "incident", "buyer")], "node string, community string")
     brief = graph.community_briefs(members, nodes, edges)
     row = brief.first()
-    assert row["name"] == "Dealer, Incident, Buyer" and row["n_members"] == 3 and len(row["relations"]) == 2 and row["chunks"] == ["c1", "c2", "c5"]
+    assert row["name"] == "Dealer, Incident, Buyer" and row["n_members"] == 3 and len(row["relations"]) == 2 and row["n_chunks"] == 3
     assert graph.relevant_communities(brief, "what about the dealer").count() == 1 and graph.relevant_communities(brief, "zebra").count() == 0
     stats = graph.community_stats(spark.createDataFrame([(10,), (4,)], "n int")).first()
     assert (stats["n"], stats["max"], stats["mean"]) == (2, 10, 7.0)
     assert graph.find_nodes(nodes, spark.createDataFrame([("Deal",), ("buyer",)], "term string")).orderBy("term").collect() == [("Deal", "dealer"), ("buyer", "buyer")]
     left, rest = graph.remove_nodes(nodes, edges, spark.createDataFrame([("buyer",)], "key string"))
     assert left.count() == 2 and rest.count() == 1
-    top, inside = graph.export_graph(nodes, edges, members, 2)
-    assert top.count() == 2 and inside.count() == 1
+    top, inside = graph.export_graph(nodes, edges, members, of_nodes, 2)
+    assert {r["key"]: len(r["chunks"]) for r in top.collect()} == {"dealer": 25, "buyer": 1} and inside.count() == 1
     assert audit.graph_quality(nodes, edges).first()["verdict"] == "ok"
 
 

@@ -60,11 +60,13 @@ def test_extraction(spark):
 def test_lanes(spark):
     rows = [("acme", "dealer one", "SOLD_TO", "c1", 2, "", 0), ("dealer one", "riverside", "co_occurs", "c2", 1, "", 1), ("far", "away", "SOLD_TO", "c9", 1, "", 2)]
     edges = graph.aggregate_edges(spark.createDataFrame(rows, "src string, dst string, rel string, chunk_id string, weight int, description string, seq int")).persist()
-    nodes = spark.createDataFrame([(k, k, "entity", 1, [c]) for k, c in (("acme", "c1"), ("dealer one", "c2"), ("riverside", "c3"), ("far", "c9"), ("away", "c9"))], "key string, label string, type string, count int, chunks array<string>")
+    where = (("acme", "c1"), ("dealer one", "c2"), ("riverside", "c3"), ("far", "c9"), ("away", "c9"))
+    nodes = spark.createDataFrame([(k, k) for k, _ in where], "key string, label string")
+    of_nodes = spark.createDataFrame(where, "key string, chunk_id string")
     asked = spark.createDataFrame([(1, "How is Acme tied to Riverside?"), (2, "zebra")], "query_id int, question string")
-    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in lanes.graph_lane(nodes, edges, asked).collect()}
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in lanes.graph_lane(nodes, of_nodes, edges, asked).collect()}
     assert got == {(1, "c1"): 0.65, (1, "c2"): 0.65, (1, "c3"): 0.65}
-    ranked = {r["chunk_id"]: r["score"] for r in lanes.pagerank_lane(nodes, edges, asked).collect()}
+    ranked = {r["chunk_id"]: r["score"] for r in lanes.pagerank_lane(nodes, of_nodes, edges, asked).collect()}
     assert max(ranked.values()) == pytest.approx(0.70) and "c9" not in {c for c, s in ranked.items() if s > 0.5}
     assert [r["text"] for r in lanes.evidence_paths(nodes, edges, asked).collect()] == ["acme --SOLD_TO--> dealer one --co_occurs--> riverside"]
     briefs = spark.createDataFrame([("a", "Community of dealers around Acme.", [("Acme",)]), ("b", "Community of rivers.", [("Nile",)])], "community string, summary string, top array<struct<label:string>>")
