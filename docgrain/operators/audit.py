@@ -10,6 +10,13 @@ from docgrain.functions import text as T
 GARBLED = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the columns of ``b`` for the same keys; null keys are keys, too."""
+    named = b.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return a.join(named, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def exact_dedup(rows: DataFrame, text_col: str = "text", order: str = "doc_id") -> DataFrame:
     """The first row, by ``order``, of every text. Only the text's hash and the order are shuffled to find it.
 
@@ -26,7 +33,7 @@ def document_catalog(chunks: DataFrame, keys: tuple[str, ...] = ("corpus", "sour
     types = chunks.groupBy(*keys, type_col).agg(F.count("*").alias("n"))
     types = types.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(type_col), F.lit("")), "n")))).alias("content_types"))
     totals = chunks.groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.count_distinct(page_col).alias("n_pages"), F.max(seen_col).alias("last_seen"))
-    return totals.join(types, list(keys))
+    return _same(totals, types, list(keys))
 
 
 def filled(c: Column, kind: str) -> Column:
@@ -126,9 +133,9 @@ def document_detail(chunks: DataFrame, fields: list[str], by: str = "document_id
     for name, column in (("content_types", "content_type"), ("methods", "extraction_method")):
         counts = chunks.groupBy(by, column).agg(F.count("*").alias("n"))
         entry = F.struct(F.coalesce(F.col(column), F.lit("")).alias("key"), "n")
-        shares = shares.join(counts.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)), by)
+        shares = _same(shares, counts.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)), [by])
     names = chunks.select(by, F.explode("entities").alias("e")).distinct().groupBy(by).agg(F.count("*").alias("n_entities"))
-    return shares.join(names, by, "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    return _same(shares, names, [by], "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
 
 
 def touching(of_nodes: DataFrame, chunks: DataFrame, by: str = "document_id") -> DataFrame:

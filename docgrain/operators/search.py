@@ -38,7 +38,8 @@ BROADCAST_TERMS = 200_000
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl): content tokens counted within their document, in the row, without a shuffle."""
     rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(F.col(text_col)).alias("words"))
-    rows = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    # The outer form: for the inner one Spark would make the tokens twice, to leave out rows without any first.
+    rows = rows.select("id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null")
     return rows.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
 
 
@@ -64,7 +65,7 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 30, id_col: str =
     terms = wanted.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(F.col(text_col)).alias("words"))
-    rows = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    rows = rows.select("id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
     rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     tf = rows.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -100,6 +100,13 @@ def test_audits(spark):
     assert (j["done"], j["failed"], j["remaining"], j["eta_secs"], j["pct"]) == (1, 1, 1, 3.0, 66.7)
 
 
+def test_catalog_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, "a", "text", 1, 5), (None, "a", "table", 1, 7), ("c", "a", None, 2, 1)], "corpus string, source_name string, content_type string, page int, ingested_at int")
+    got = {r["corpus"]: r for r in audit.document_catalog(rows).collect()}
+    assert got[None]["content_types"] == {"table": 1, "text": 1} and got[None]["n_pages"] == 1 and got[None]["last_seen"] == 7
+    assert got["c"]["content_types"] == {"": 1} and audit.document_catalog(rows.limit(0)).count() == 0
+
+
 def test_routes(spark):
     names = ["https://a.example/sitemap_1.xml", "https://a.example/x", "/d/a.pdf", "b.PNG", "c.html", "d.md", "folder/", "e"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "s string").select(files.route(F.col("s"))["kind"]).collect()]
