@@ -50,12 +50,12 @@ def node_chunks(mentions: DataFrame) -> DataFrame:
     return rows.select(T.node_key(F.col("name")).alias("key"), "chunk_id").distinct()
 
 
-def aggregate_edges(relations: DataFrame) -> DataFrame:
-    """Edges from relations (src, dst, rel, chunk_id, weight, description, seq), names as written.
+def aggregate_edges(relations: DataFrame, keys: bool = False) -> DataFrame:
+    """Edges from relations (src, dst, rel, chunk_id, weight, description, seq), names as written or, with ``keys``, keys already.
 
     Weights add up. The first typed relation names the edge, else the first of all. Loops and empty ends go.
     """
-    rows = relations.withColumn("src", T.node_key(F.col("src"))).withColumn("dst", T.node_key(F.col("dst")))
+    rows = relations if keys else relations.withColumns({"src": T.node_key(F.col("src")), "dst": T.node_key(F.col("dst"))})
     rows = rows.where("src <> dst and src <> '' and dst <> ''").withColumn("typed", is_typed(F.col("rel")))
     return rows.groupBy("src", "dst").agg(
         F.min_by("rel", F.struct(~F.col("typed"), "seq")).alias("rel"),

@@ -26,7 +26,7 @@ def _relations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     meets, typed = _relations(spark, sf)
     rows = meets.unionByName(typed).withColumns({"description": F.lit(""), "seq": F.col("chunk_id")})
-    return graph.aggregate_edges(rows)
+    return graph.aggregate_edges(rows, keys=True)
 
 
 EDGES_CTE = """
