@@ -192,11 +192,10 @@ def write_archives(records: DataFrame, out: str, archive_bytes: int = ARCHIVE_BY
         task, k, archive = TaskContext.get(), 0, None
         done = []
         for batch in batches:
-            ids, refs = (batch[c].astype("Int64") for c in ("page_id", "refers_to"))
-            for page_id, url, html, revisit, ref in zip(ids, batch["url"], batch["html"], batch["revisit"], refs, strict=True):
+            for page_id, url, html, revisit, ref in batch[["page_id", "url", "html", "revisit", "refers_to"]].itertuples(index=False):
                 if archive is None:
                     archive = ArchiveWriter(f"{out}/part-{task.partitionId():05d}-{k:04d}.warc.zst", str(task.taskAttemptId()))
-                archive.add(page_record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8", "surrogatepass"), None if pd.isna(ref) else int(ref), bool(revisit)))
+                archive.add(page_record(None if page_id is None else int(page_id), url, html.encode("utf-8", "surrogatepass"), None if ref is None else int(ref), bool(revisit)))
                 if archive.written >= archive_bytes:
                     done.append(archive.close())
                     archive, k = None, k + 1
@@ -205,6 +204,8 @@ def write_archives(records: DataFrame, out: str, archive_bytes: int = ARCHIVE_BY
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
     ordered = records.sortWithinPartitions("page_id", "url", F.octet_length("html"), "revisit")
+    # Ids as text: pandas has no whole numbers beside nulls.
+    ordered = ordered.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return materialise(ordered.mapInPandas(write, "path string, records long, bytes long"), "archives")
 
 
