@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -343,6 +344,12 @@ class Detector:
         return base, _sorted(taken)
 
 
+@cache
+def default_detector() -> Detector:
+    """The detector of the default examples, trained once in a process."""
+    return Detector.fit()
+
+
 SPAN_TYPE = "kind string, start int, end int"
 
 
@@ -363,7 +370,7 @@ def with_pii(docs: DataFrame, text_col: str = "text", into: str = "pii", detecto
     the text with every span replaced (null stays null). All rows and columns stay; an empty table gives an empty
     result. The detector is trained on generated examples only and is the same for every table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(detector or Detector.fit())
+    shared = docs.sparkSession.sparkContext.broadcast(detector or default_detector())
     schema = f"base array<struct<{_fields()}>>, spans array<struct<{_fields()}>>" + ", redacted string" * redacted
 
     @F.pandas_udf(schema)

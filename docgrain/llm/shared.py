@@ -33,20 +33,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/docgrain-{label}-{uuid.uuid4().hex}"
 
 
+#: What this process has written to the shared folder and not deleted.
+_written: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this process has materialised; results that still read one must have been written."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files stay until :func:`forget` or :func:`release`, since results are read late.
+    """
     path = new_path(df.sparkSession, label)
+    _written.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialise` wrote; it must not be read again."""
-    spark = df.sparkSession
-    roots = {name.rpartition("/")[0] for name in df.inputFiles()}
-    for root in roots:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for root in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, root)
+        _written.difference_update([p for p in _written if p.rpartition("/")[2] == root.rpartition("/")[2]])
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -93,7 +93,7 @@ def test_removal(spark):
 
 
 def pages_of(spark):
-    rows = [(1, "http://a/\r\nX: y", "<p>same</p>"), (9, None, "<p>same</p>"), (4, "http://b", "<p>same</p>"), (2, "http://ü", None), (3, "http://c", ""), (None, "http://d", "<p>same</p>"), (5, "http://e", "é" * 200_000), (6, "http://f", "\r\n\r\nWARC/1.1\r\n\r\n"), (6, "http://f", "\r\n\r\nWARC/1.1\r\n\r\n")]
+    rows = [(1, "http://a/\r\nX: y", "<p>same</p>"), (9, None, "<p>same</p>"), (4, "http://b", "<p>same</p>"), (2, "http://ü", None), (3, "http://c", ""), (None, "http://d", "<p>same</p>"), (5, "http://e", "é" * 200_000), ((1 << 60) + 1, "http://g", "<p>large</p>"), ((1 << 60) + 3, "http://g", "<p>large</p>"), (6, "http://f", "\r\n\r\nWARC/1.1\r\n\r\n"), (6, "http://f", "\r\n\r\nWARC/1.1\r\n\r\n")]
     rows += [(100 + i, f"http://x/{i}", f"<html><head><title>Page number {i}</title></head><body>{'text ' * (i % 50)}</body></html>") for i in range(3000)]
     return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
 
@@ -113,6 +113,7 @@ def test_archives_round_trip(spark, tmp_path):
         assert r["record_type"] == "revisit" or bytes(r["payload"]) == payload
     same = {k: (by_id[k]["record_type"], by_id[k]["refers_to"]) for k in (1, 9, 4, None, 2, 3, 5, 6)}
     assert same == {1: ("revisit", 9), 9: ("response", None), 4: ("revisit", 9), None: ("revisit", 9), 2: ("revisit", 3), 3: ("response", None), 5: ("response", None), 6: ("response", None)}
+    assert by_id[(1 << 60) + 1]["refers_to"] == (1 << 60) + 3 and by_id[(1 << 60) + 3]["record_type"] == "response"
     assert "\n" not in by_id[1]["url"] and by_id[9]["url"] is None
     least = {r["page_id"]: r["record_type"] for r in warc.archive_pages(pages, f"{tmp_path}/v", min_bytes=100).collect()}
     assert set(least.values()) == {"response"}

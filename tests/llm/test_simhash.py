@@ -139,3 +139,14 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in shared.connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(65)) and all(got[1000 + i] == 1000 for i in range(400)) and got[1400] == 1000
     assert shared.connected_components(edges.limit(0)).count() == 0
+
+
+def test_release_deletes_what_was_written(spark):
+    kept = shared.materialise(spark.range(3), "t")
+    gone = shared.materialise(spark.range(4), "t")
+    shared.forget(gone)
+    assert kept.count() == 3
+    shared.release(spark)
+    assert not shared._written
+    with pytest.raises(Exception, match="(?i)not.exist|not found"):
+        kept.count()
