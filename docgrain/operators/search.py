@@ -89,7 +89,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 45, id_col: str
     """
     wanted = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else []))
     columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else [])]
-    rows = vectors.select(*columns)
+    rows = vectors.where(F.col(id_col).isNotNull()).select(*columns)
     found = None
     for block in _blocks(wanted):
         part = rows.mapInPandas(_batch_best(block, k, bool(match), exclude_self), "q long, id long, score double")
