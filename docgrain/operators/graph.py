@@ -235,20 +235,42 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-#: A component with more nodes than this is clustered by label rounds over the whole cluster, not in one task.
+#: A component with more nodes than this is clustered by rounds over the whole cluster, not in one task.
 LOCAL_NODES = 200_000
 
 
+def label_rounds(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, community) by label propagation over (a, b, weight): a node takes the label that weighs most among its neighbours.
+
+    In each round half of the nodes, by a hash, may change, so that neighbours do not swap labels for ever; ties keep
+    the own label, else go to the smallest. Every step is a join and a grouped sum over the whole cluster.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+    both = materialise(both)
+    labels = materialise(both.select("node").distinct().withColumn("community", F.col("node")))
+    for step in range(rounds):
+        near = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
+        ranked = near.join(labels.withColumnRenamed("community", "own"), "node")
+        order = Window.partitionBy("node").orderBy(F.desc(F.round("w", 9)), F.desc(F.col("community") == F.col("own")), "community")
+        best = ranked.withColumn("r", F.row_number().over(order)).where("r = 1")
+        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
+        now = materialise(best.select("node", F.when(turn, F.col("community")).otherwise(F.col("own")).alias("community"), (F.col("community") != F.col("own")).alias("moves")))
+        labels = now.select("node", "community")
+        if now.where("moves").isEmpty():
+            break
+    first = labels.groupBy("community").agg(F.min("node").alias("first"))
+    return labels.join(first, "community").select("node", F.col("first").alias("community"))
+
+
 def communities(edges: DataFrame, min_size: int = 3, seed: int = 42) -> DataFrame:
     """(node, community) by greedy modularity inside each component of (a, b, weight); small communities are left out.
 
-    A component of up to LOCAL_NODES nodes is clustered in one task; a larger one stays one community of its own
-    unless hubs are removed first (:func:`hub_nodes`). A community is named by its smallest node.
+    A component of up to LOCAL_NODES nodes is clustered in one task, larger ones together by :func:`label_rounds`. A
+    community is named by its smallest node.
     """
     parts = components(edges)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    rows = edges.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component")
-    large = parts.join(sizes.where(F.col("n") > LOCAL_NODES), "component", "left_semi").select("node", F.col("component").alias("community"))
+    rows = materialise(edges.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component"))
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         names, code = np.unique(np.concatenate((frame["a"].astype(str), frame["b"].astype(str))), return_inverse=True)
@@ -257,8 +279,12 @@ def communities(edges: DataFrame, min_size: int = 3, seed: int = 42) -> DataFram
         first = pd.Series(names).groupby(label).transform("min")
         return pd.DataFrame({"node": names, "community": first.to_numpy()})
 
-    small = rows.where(F.col("n") <= LOCAL_NODES).select("component", "a", "b", "weight").groupBy("component").applyInPandas(cluster, "node string, community string")
-    found = materialise(small.unionByName(large.select(F.col("node").cast("string"), F.col("community").cast("string"))))
+    found = rows.where(F.col("n") <= LOCAL_NODES).select("component", "a", "b", "weight").groupBy("component").applyInPandas(cluster, "node string, community string")
+    large = rows.where(F.col("n") > LOCAL_NODES)
+    if not large.isEmpty():
+        text = lambda c: F.col(c).cast("string").alias(c)
+        found = found.unionByName(label_rounds(large.select(text("a"), text("b"), "weight")))
+    found = materialise(found)
     big = found.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     return found.join(big.select("community"), "community", "left_semi").select("node", "community")
 

@@ -25,21 +25,23 @@ def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, s
     blocks = distinct.where("form <> ''").withColumn("block", F.substring("form", 1, 2))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        known: list[str] = []
+        known: dict[int, list[str]] = {}  # by length: a ratio of r needs lengths of which the shorter is at least r / (2 - r) of the longer
+        order: dict[str, int] = {}
         out = []
         for form in frame.sort_values(["first", "form"])["form"]:
-            best, at = form, threshold
+            best, at, n = form, threshold, len(form)
+            least = threshold / (2 - threshold)
+            near = [f for k in range(int(n * least), int(n / least) + 2) for f in known.get(k, ())]
             matcher = SequenceMatcher(None)
-            matcher.set_seq2(form)
-            for other in known:
-                matcher.set_seq1(form)
-                matcher.set_seq2(other)
+            for other in sorted(near, key=order.__getitem__):
+                matcher.set_seqs(form, other)
                 if matcher.real_quick_ratio() >= at and matcher.quick_ratio() >= at:
                     ratio = matcher.ratio()
                     if ratio > at or (ratio == at and best == form):
                         best, at = other, ratio
             if best == form:
-                known.append(form)
+                order[form] = len(order)
+                known.setdefault(n, []).append(form)
             out.append((form, best))
         return pd.DataFrame({"type": frame["type"].iloc[0], "form": [x for x, _ in out], "canonical": [y for _, y in out]})
 

@@ -89,6 +89,16 @@ def test_communities_of_two_cliques(spark):
     assert {r["component"] for r in graph.components(edges).collect()} == {"a0", "z1"}
 
 
+def test_large_components_are_clustered_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_NODES", 4)
+    clique = lambda names: [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
+    edges = spark.createDataFrame(clique([f"a{i}" for i in range(6)]) + clique([f"b{i}" for i in range(6)]) + [("a0", "b0", 1.0)] + clique(["c1", "c2", "c3"]), "a string, b string, weight double")
+    got = {}
+    for r in graph.communities(edges).collect():
+        got.setdefault(r["community"], set()).add(r["node"])
+    assert got["c1"] == {"c1", "c2", "c3"} and {n[0] for n in got["a0"]} == {"a"} and sum(map(len, got.values())) == 15
+
+
 def test_briefs_and_stats(spark):
     edges = edges_of(spark, [("dealer", "incident", "LINKED", 2), ("dealer", "buyer", "SOLD_TO", 3)])
     nodes = spark.createDataFrame([(k, k.title(), "entity", c, 1) for k, c in (("dealer", 5), ("incident", 2), ("buyer", 1))], "key string, label string, type string, count int, n_chunks int")
