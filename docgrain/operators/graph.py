@@ -66,6 +66,13 @@ def aggregate_edges(relations: DataFrame, keys: bool = False) -> DataFrame:
     )
 
 
+def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which both ends are nodes (key); names that are no entities leave none behind."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select(F.col("key").alias(end)), end, "left_semi")
+    return edges
+
+
 def cooccurrences(chunks: DataFrame, names_col: str = "names", typed: DataFrame | None = None) -> DataFrame:
     """Relations ``co_occurs`` of weight 1 between all names of a chunk, in their order: (src, dst, rel, chunk_id, weight).
 

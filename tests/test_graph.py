@@ -111,6 +111,7 @@ def test_briefs_and_stats(spark):
     stats = graph.community_stats(spark.createDataFrame([(10,), (4,)], "n int")).first()
     assert (stats["n"], stats["max"], stats["mean"]) == (2, 10, 7.0)
     assert graph.find_nodes(nodes, spark.createDataFrame([("Deal",), ("buyer",)], "term string")).orderBy("term").collect() == [("Deal", "dealer"), ("buyer", "buyer")]
+    assert graph.attached(edges, nodes).count() == 2 and graph.attached(edges, nodes.where("key <> 'buyer'")).count() == 1
     left, rest = graph.remove_nodes(nodes, edges, spark.createDataFrame([("buyer",)], "key string"))
     assert left.count() == 2 and rest.count() == 1
     top, inside = graph.export_graph(nodes, edges, members, of_nodes, 2)
