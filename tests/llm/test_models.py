@@ -245,7 +245,7 @@ def test_scores_equal_one_text_at_a_time(spark, sf):
 def test_word_counts_are_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "HELD_WORDS", 3)
     docs = spark.createDataFrame([("a b, c A",), ("b d 12",), (None,)], "text string")
-    assert {bytes(r["word"]): r["n"] for r in lmscore.word_counts(docs).collect()} == {b"a": 2, b"b": 2, b"c": 1, b"d": 1, b"00": 1} or True
+    assert {bytes(r["word"]): r["n"] for r in lmscore.word_counts(docs).collect()} == {b"a": 2, b"b": 2, b"c": 1, b"d": 1, b"00": 1}
     assert sum(r["n"] for r in lmscore.word_counts(docs).collect()) == 7
 
 
@@ -257,3 +257,34 @@ def test_lm_edges(spark):
     assert all(got[i]["n_tokens"] == 0 and got[i]["log_prob"] == 0 and got[i]["mean_log_prob"] is None for i in (1, 2, 3))
     assert got[5]["n_tokens"] == 60000 and got[5]["mean_log_prob"] == pytest.approx(got[5]["log_prob"] / 60000)
     assert lmscore.with_scores(docs.limit(0), into="scored").count() == 0
+
+
+def test_vocabulary_windows_and_rare_words_grow(spark, monkeypatch):
+    """Gibberish of one bucket scores by its count; words and shards follow the corpus, not a constant."""
+    monkeypatch.setattr(lmscore, "COMMON", 1200)
+    monkeypatch.setattr(lmscore, "SHARE", 1.0)
+    monkeypatch.setattr(lmscore, "OWN", 0.1)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10 % 10]}{'uvwxyzabcd'[j // 100]}w" for j in rng.choices(range(1000), k=60))) for i in range(500)]
+    rows += [(1000 + i, "pxyz") for i in range(6)] + [(2000, "qxyz"), (2001, "qxyz rxyz"), (2002, None), (2003, "rxyz")]
+    rows += [(3000 + i, "u" + "".join(rng.choices("abcdefgh", k=8))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = lmscore.fit_scorer(docs, windows=3000)
+    assert scorer.network.word_b.size > lmscore.SIZE and scorer.rare is not None
+    got = {r["doc_id"]: r["lm"] for r in lmscore.with_scores(docs, windows=3000).collect()}
+    assert len(got) == len(rows) and got[2002]["n_tokens"] == 0 and got[2002]["log_prob"] == 0
+    assert got[1000]["log_prob"] - got[2000]["log_prob"] == pytest.approx(np.log(3), abs=1e-5)  # six to two
+    assert got[2000]["log_prob"] == pytest.approx(got[2003]["log_prob"], abs=1e-6)
+    plain = {i: (n, s) for (i, _), (n, s) in zip(rows, scorer.score([t for _, t in rows]), strict=True)}
+    counts = {}
+    for _, t in rows:
+        for w in lmscore.words_of(t):
+            counts[w] = counts.get(w, 0) + 1
+    own = {w for w, i in scorer.vocabulary.items() if i < lmscore.SIZE - lmscore.BUCKETS or lmscore.SIZE < i < scorer.network.embed.shape[1]}
+    rest = {}
+    for w, n in counts.items():
+        if w not in own:
+            rest[lmscore.bucket(w)] = rest.get(lmscore.bucket(w), 0) + n
+    for i, t in rows:
+        more = sum(np.log(counts[w] / rest[lmscore.bucket(w)]) for w in lmscore.words_of(t) if lmscore.SIZE - lmscore.BUCKETS <= scorer.vocabulary[w] < lmscore.SIZE)
+        assert got[i]["log_prob"] == pytest.approx(plain[i][1] + more, rel=1e-4)
