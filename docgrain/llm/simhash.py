@@ -7,11 +7,13 @@ forest, never all its pairs.
 
 For similarities that leave far more bits differing than 64-bit blocks can separate (a Jaccard similarity of 0.8
 leaves one bit in seven), wide fingerprints of several words are compared: their blocks are drawn at random from all
-bits, many enough that nearly all such pairs share one, and the distance over all bits is what decides.
+bits, many enough that nearly all such pairs share one. The distance over all bits only names candidates; the exact
+similarity of the sets of shingles decides on each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -45,10 +47,22 @@ def bit_counts(text: str | None, shingle: int, words: int = 1) -> tuple[np.ndarr
     Words are runs without space and \\t-\\r, A-Z lower-cased. Fewer than ``shingle``: the whole sequence is the only
     shingle. The first 64 bits are XXH64 itself; further words are mixed from it.
     """
-    counts = np.zeros(BITS * words, np.int64)
+    counts, n = np.zeros(BITS * words, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        counts, n = counts + _counted(hashes, words), n + len(hashes)
+    return counts, n
+
+
+def _counted(hashes: np.ndarray, words: int) -> np.ndarray:
+    bits = [np.unpackbits(_mixed(hashes, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for k in range(words)]
+    return np.concatenate([b.sum(axis=0, dtype=np.int64) for b in bits])
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles in order, a bounded number at once."""
     found = [w for w in text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACES).split(b" ") if w] if text else []
     if not found:
-        return counts, 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -56,12 +70,7 @@ def bit_counts(text: str | None, shingle: int, words: int = 1) -> tuple[np.ndarr
     for at in range(0, last, 1 << 15):  # bounds the memory of a very long text
         to = min(at + (1 << 15), last)
         spans = zip(starts[at:to].tolist(), ends[min(at + shingle, len(found)) - 1 :].tolist(), strict=False)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
-        for k in range(words):
-            mixed = _mixed(hashes, k)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[BITS * k : BITS * (k + 1)] += bits.sum(axis=0, dtype=np.int64)
-    return counts, last
+        yield np.array([digest(joined[s:e], SEED) for s, e in spans], dtype="<u8")
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -79,10 +88,22 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
-    """SimHash of ``64 * words`` bits."""
-    counts, n = bit_counts(text, shingle, words)
-    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, shingle)]))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of ``64 * words`` bits of distinct shingles."""
+    counts = sum((_counted(hashes[at : at + (1 << 15)], words) for at in range(0, len(hashes), 1 << 15)), np.zeros(BITS * words, np.int64))
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Of two sets of hashes, as the bytes of :func:`shingle_set`."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -156,8 +177,10 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
     """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
 
     They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes. Rows with the same
-    node count as joined already.
+    node count as joined already. With a column ``name`` the edges are candidate pairs of nodes of different names.
     """
+    named = "name" in keyed.columns
+    columns = ["node", "fp", *(["name"] if named else [])]
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
     hot = materialise(hot.select("key", "parts"), "hot")
@@ -166,7 +189,8 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
         for frame in sorted_groups(batches, "key"):
             fp = frame["fp"].to_numpy()
             fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
-            a, b = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy(), distance)
+            key, fp, node = frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy()
+            a, b = _links_of_pairs(key, fp, node, frame["name"].to_numpy(), distance) if named else links_of_frame(key, fp, node, distance)
             yield pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
 
     dealt = keyed
@@ -175,8 +199,8 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
         part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         wide = keyed.join(hot, "key").withColumn("i", part).withColumn("j", other)
-        wide = wide.select("node", "fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
-        dealt = keyed.join(hot, "key", "left_anti").select("node", "fp", "key").unionByName(wide)
+        wide = wide.select(*columns, F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+        dealt = keyed.join(hot, "key", "left_anti").select(*columns, "key").unionByName(wide)
     return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
 
 
@@ -204,41 +228,111 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def _links_of_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, name: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of nodes with equal keys, sorted by key, and different names, all of them within the distance.
+
+    Short runs give all such pairs. Of a long one every row is linked to its closest row in the front that reaches it
+    first, and all rows to their neighbours in the order of fingerprints, so that the pairs grow with the rows.
+    """
+    first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
+    sizes = np.diff(np.append(first, len(key)))
+    none = np.empty(0, np.int64)
+    a, b = [none], [none]
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        fine = name[x] != name[y]
+        x, y = x[fine], y[fine]
+        near = _near(fp[x], fp[y], distance)
+        a.append(x[near])
+        b.append(y[near])
+
+    short = np.repeat(sizes <= SHORT_RUN, sizes)
+    for shift in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
+        same = np.nonzero((key[shift:] == key[:-shift]) & short[:-shift])[0]
+        if not len(same):
+            break
+        add(same, same + shift)
+    for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
+        rows = np.arange(at, at + n)
+        order = rows[np.lexsort(fp[rows].T)]
+        for shift in range(1, 5):
+            add(order[:-shift], order[shift:])
+        rest = rows
+        while len(rest) > 1:
+            front, rest = rest[:1], rest[1:]
+            while len(front) and len(rest):
+                part, front = front[:FRONT], front[FRONT:]
+                apart = np.bitwise_count(fp[part][:, None] ^ fp[rest][None, :]).sum(axis=-1, dtype=np.int16)
+                near = apart.min(axis=0) <= distance
+                add(part[apart.argmin(axis=0)[near]], rest[near])
+                front, rest = np.concatenate((front, rest[near])), rest[~near]
+    x, y = node[np.concatenate(a)], node[np.concatenate(b)]
+    return np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 40, slack: int = 3) -> DataFrame:
-    """Near-duplicate groups by estimated similarity of shingles: (id, component_id) for every row of ``docs``.
+    """Near-duplicate groups by similarity of shingles: (id, component_id) for every row of ``docs``.
 
-    Rows link where wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
-    ``slack`` more. Candidates share one of ``draws`` blocks of ``width`` random bits, as nearly all such pairs do
-    (the tests measure it). Rows and ids are treated as in :func:`simhash_groups`.
+    Rows link where the Jaccard similarity of their sets of shingles is ``similarity`` or more, computed from the sets.
+    Candidates are those whose wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
+    ``slack`` more, and share one of ``draws`` blocks of ``width`` random bits, as nearly all such pairs do (the tests
+    measure it). Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
     """
     bits = BITS * words
     rng = np.random.default_rng(SEED)
     chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(draws)])
 
-    @F.pandas_udf("binary")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, shingle, words) for t in texts], dtype=object)
+    @F.pandas_udf("mark binary, shingles binary")
+    def simhash(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        marks = [wide_fingerprint(x, words) + hashlib.md5(x.tobytes()).digest() for x in sets]
+        return pd.DataFrame({"mark": marks, "shingles": [x.tobytes() for x in sets]}, dtype=object)
 
     @F.pandas_udf("array<long>")
     def keys(fps: pd.Series) -> pd.Series:
-        each = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), bits // 8)
-        drawn = np.unpackbits(each, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # rows x draws x width
-        return pd.Series(list((drawn << np.arange(width)).sum(axis=2) * draws + np.arange(draws)))
+        out = []
+        for at in range(0, len(fps), 1000):  # bounds the memory of the drawn bits
+            part = fps.iloc[at : at + 1000]
+            each = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), bits // 8)
+            drawn = np.unpackbits(each, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # rows x draws x width
+            out += list((drawn << np.arange(width)).sum(axis=2) * draws + np.arange(draws))
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("double")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    sig = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("s")).select("id", "s.mark", "s.shingles")
+    sig = materialise(sig, "sig")
+    classes = materialise(sig.groupBy("mark").agg(F.min("id").cast("long").alias("node")), "classes")
+    fp = F.substring("mark", 1, bits // 8).alias("fp")
+    keyed = materialise(classes.where("node is not null").select("node", fp).select("node", F.col("node").alias("name"), "fp", keys("fp").alias("keys")), "keys")
+    near = bits_apart(similarity, bits) + slack
+    key = lambda at, n: F.explode(F.slice("keys", at, n)).alias("key")
+
+    def links(named: DataFrame, at: int, n: int) -> DataFrame:
+        """Confirmed edges (a, b) between the names of nodes that share one of these keys."""
+        pairs = materialise(near_edges(named.select("node", "name", "fp", key(at, n)), near).distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+        # One row, with its set, for each class of a candidate node.
+        known = sig.join(classes.join(ends, "node"), "mark").where("id = node")
+        known = materialise(known.groupBy("node", "mark").agg(F.first("shingles").alias("shingles")).drop("mark"), "sets")
+        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        true = both.where(similar("x", "y") >= similarity).select("a", "b")
+        names = named.select("node", F.col("name")).distinct()
+        true = true.join(names.select(F.col("node").alias("a"), F.col("name").alias("m")), "a")
+        return true.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
 
-    sig = materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "sig")
-    classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "classes")
-    keyed = materialise(classes.where("node is not null").select("node", "fp", keys("fp").alias("keys")), "keys")
     # The first draws join most of a large group. For the rest, classes stand under the name of their component, so
     # that only links between components that are still apart are emitted.
-    near = bits_apart(similarity, bits) + slack
-    key = lambda at, n: F.explode(F.slice("keys", at, n)).alias("key")
-    once = materialise(connected_components(near_edges(keyed.select("node", "fp", key(1, FIRST_DRAWS)), near)), "components")
-    named = keyed.join(once, "node", "left").withColumn("name", F.coalesce("component", "node"))
+    once = materialise(connected_components(links(keyed, 1, FIRST_DRAWS)), "components")
+    named = keyed.drop("name").join(once, "node", "left").withColumn("name", F.coalesce("component", "node"))
     named = materialise(named.select("node", F.col("name"), "fp", "keys"), "named")
-    twice = connected_components(near_edges(named.select(F.col("name").alias("node"), "fp", key(FIRST_DRAWS + 1, max(1, draws - FIRST_DRAWS))), near))
-    whole = named.select("node", "name").join(twice.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component_id"))
-    found = materialise(classes.join(whole, "node", "left").select("fp", "component_id"), "found")
-    return sig.join(found, "fp").select(F.col("id").alias(id_col), "component_id")
+    twice = connected_components(links(named, FIRST_DRAWS + 1, max(1, draws - FIRST_DRAWS)))
+    whole = named.select("node", "name").distinct().join(twice.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component_id"))
+    found = materialise(classes.join(whole, "node", "left").select("mark", "component_id"), "found")
+    return sig.select("id", "mark").join(found, "mark").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -132,6 +132,16 @@ def test_similar_texts_group_and_others_do_not(spark):
     assert all(got[i] in (i, i - 1) for i in got)
 
 
+def test_repeated_lines_do_not_make_copies(spark):
+    """Different texts with the same line many times over have few shingles in common."""
+    rng = random.Random(6)
+    line = words(rng, 40)
+    rows = [(i, " ".join([words(rng, 300), *[line] * 15])) for i in range(40)]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.2
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i == c for i, c in got.items())
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 64)]
     star = [(1000, 1000 + i) for i in range(1, 400)]
