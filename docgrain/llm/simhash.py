@@ -270,7 +270,7 @@ def _links_of_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, name: np.
     return np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 40, slack: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 80, slack: int = 15) -> DataFrame:
     """Near-duplicate groups by similarity of shingles: (id, component_id) for every row of ``docs``.
 
     Rows link where the Jaccard similarity of their sets of shingles is ``similarity`` or more, computed from the sets.

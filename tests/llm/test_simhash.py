@@ -132,6 +132,24 @@ def test_similar_texts_group_and_others_do_not(spark):
     assert all(got[i] in (i, i - 1) for i in got)
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    """Similarities from 0.80 to 0.83 link, those just below do not."""
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for k in range(200):
+        base = words(rng, 300).split()
+        edited = list(base)
+        for at in rng.sample(range(5, 295), 6 if k % 4 else 8):
+            edited[at] = "edited" + str(rng.random())
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+        pairs.append(jaccard(rows[-2][1], rows[-1][1]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [got[2 * k + 1] == 2 * k for k, j in enumerate(pairs) if 0.8 <= j <= 0.83]
+    far = [got[2 * k + 1] == 2 * k for k, j in enumerate(pairs) if j < 0.8]
+    print("found", sum(near), "of", len(near))
+    assert len(near) >= 100 and sum(near) >= 0.96 * len(near) and far and not any(far)
+
+
 def test_repeated_lines_do_not_make_copies(spark):
     """Different texts with the same line many times over have few shingles in common."""
     rng = random.Random(6)
