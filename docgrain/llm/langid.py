@@ -12,9 +12,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Expected number of training texts of each language (a bound on what reaches the driver).
+#: Largest number of different training texts of each language (a bound on what reaches the driver).
 PER_LANGUAGE = 1500
 #: Of all languages together.
 ALL_LANGUAGES = 8000
@@ -135,19 +136,21 @@ class LanguageModel:
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Learn from the rows of ``docs`` with a language and a letter: about ``per_language`` of each, drawn by a hash of the text.
+    """Learn from the rows of ``docs`` with a language and a letter: at most ``per_language`` different texts of each, those with the smallest hashes.
 
     Only features, of DIMENSIONS numbers each, reach the driver. Without such rows the model knows no language.
     """
     text, lang = F.col(text_col), F.col(lang_col)
     rows = docs.where(lang.isNotNull() & text.isNotNull()).select(text.alias("text"), lang.alias("lang"))
-    # One row for each language.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text", F.lit(3)))
+    known = rows.select("lang").distinct().count()
+    if not known:
         return LanguageModel([], np.empty((0, DIMENSIONS)), np.empty(0), [], [], [])
-    per_language = min(per_language, ALL_LANGUAGES / len(counts))
-    odds = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_language / n) * (1 << 30)))])
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < odds[F.col("lang")])
+    per_language = max(1, min(per_language, ALL_LANGUAGES // known))
+    # Copies count once; the limit on the row number is applied before the shuffle, too.
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("place", order).where(F.col("place") <= per_language).drop("place")
+    drawn = rows.join(F.broadcast(least), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:

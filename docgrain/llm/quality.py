@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Expected number of documents that train the scorer; all documents count in the labellers' accuracies.
+#: Largest number of different documents that train the scorer; all documents count in the labellers' accuracies.
 SAMPLE = 4000
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 12
@@ -175,7 +175,7 @@ def _decode(codes: np.ndarray) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[Accuracies, Scorer]:
-    """Labellers' accuracies from the votes on all texts, and the scorer from a sample of about ``sample`` of them."""
+    """Labellers' accuracies from the votes on all texts, and the scorer from ``sample`` different ones at most."""
 
     @F.pandas_udf("long")
     def pattern(texts: pd.Series) -> pd.Series:
@@ -193,11 +193,12 @@ def fit_quality(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -
     if not len(codes):
         return Accuracies.unfitted(len(LABELLERS)), Scorer.fit([], np.empty(0))
     accuracies = Accuracies.fit(_decode(codes), counts)
-    # Copies of a text count once in the sample's odds: the draw is by a hash of the text.
-    share = min(1.0, sample / counts.sum())
-    drawn = docs.where(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).where(text.isNotNull())
-    drawn = drawn.groupBy(F.xxhash64(text).alias("h")).agg(F.first(text_col).alias("t")) if share >= 1 else drawn.select(text.alias("t"))
-    rows = drawn.select(pattern(F.col("t")).alias("code"), features(F.col("t")).alias("f")).collect()
+    # Copies of a text count once at every size: the texts with the smallest hashes are drawn, one row of each.
+    whole = docs.where(text.isNotNull()).select(F.xxhash64(text, F.lit(5)).alias("h"), text.alias("t"))
+    least = whole.select("h").distinct().orderBy("h").limit(sample)
+    drawn = whole.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+    rows = drawn.select("h", pattern(F.col("t")).alias("code"), features(F.col("t")).alias("f")).collect()
+    rows.sort(key=lambda r: r["h"])  # the order of arrival must not matter
     sparse = [dict(zip(r["f"]["k"], r["f"]["v"], strict=True)) for r in rows]
     target = accuracies.posterior(_decode(np.array([r["code"] for r in rows], np.int64))) if rows else np.empty(0)
     return accuracies, Scorer.fit(sparse, target)

@@ -144,6 +144,17 @@ def test_quality_edges(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0 and quality.with_quality(docs.where("text is null"), into="q").first()["q"] == 0.0
 
 
+def test_copies_of_a_text_train_once(spark, monkeypatch):
+    """Whatever the number of rows, the sample is of different texts and bounded."""
+    seen, fit = [], quality.Scorer.fit
+    monkeypatch.setattr(quality.Scorer, "fit", lambda rows, target: seen.append((len(rows), len({tuple(sorted(r.items())) for r in rows}))) or fit(rows, target))
+    rows = [("x " * (i + 1),) if i else ("a text of which there are many copies.",) for i in range(60)]
+    for copies in (1, 200):
+        quality.fit_quality(spark.createDataFrame(rows + rows[:1] * copies, "text string"), sample=30)
+        quality.fit_quality(spark.createDataFrame(rows + rows[:1] * copies, "text string"), sample=60)
+    assert [n for n, _ in seen] == [30, 60, 30, 60]
+
+
 # Language
 
 
@@ -163,6 +174,15 @@ def test_language_does_not_see_the_fold(spark):
     assert rows(docs) == rows(spoiled)
 
 
+def test_every_language_trains_on_different_texts(spark, monkeypatch):
+    """Copies crowd no other text of their language out, and a language of few texts keeps them."""
+    seen, fit = [], langid.LanguageModel.fit
+    monkeypatch.setattr(langid.LanguageModel, "fit", lambda x, langs: seen.append(langs) or fit(x, langs))
+    rows = [("many copies of this", "aa")] * 400 + [(f"word{i} " * 3 + chr(97 + i), "aa") for i in range(3)] + [(chr(97 + i) * 5, "bb") for i in range(20)] + [("12 34", "bb")] * 50
+    langid.fit_language_model(spark.createDataFrame(rows, "text string, lang string"), per_language=6)
+    assert sorted(seen[0]) == ["aa"] * 4 + ["bb"] * 6
+
+
 def test_families_join_like_languages():
     v = lambda *x: np.array(x, float)
     assert langid.group_languages({"a": v(1, 0, 0), "b": v(0.9, 0.1, 0), "c": v(0, 0, 1), "d": v(0, 0.2, 1)}) == [["a", "b"], ["c", "d"]]
