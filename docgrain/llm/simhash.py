@@ -16,12 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrain.llm.shared import connected_components, materialise, sorted_groups
@@ -270,6 +271,18 @@ def _links_of_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, name: np.
     return np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """What is materialised meanwhile reaches Python in batches of few rows: sets of shingles can be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 80, slack: int = 15) -> DataFrame:
     """Near-duplicate groups by similarity of shingles: (id, component_id) for every row of ``docs``.
 
@@ -303,7 +316,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     sig = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("s")).select("id", "s.mark", "s.shingles")
-    sig = materialise(sig, "sig")
+    with _small_batches(docs.sparkSession):
+        sig = materialise(sig, "sig")
     classes = materialise(sig.groupBy("mark").agg(F.min("id").cast("long").alias("node")), "classes")
     fp = F.substring("mark", 1, bits // 8).alias("fp")
     keyed = materialise(classes.where("node is not null").select("node", fp).select("node", F.col("node").alias("name"), "fp", keys("fp").alias("keys")), "keys")
@@ -319,7 +333,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         known = materialise(known.groupBy("node", "mark").agg(F.first("shingles").alias("shingles")).drop("mark"), "sets")
         both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        true = both.where(similar("x", "y") >= similarity).select("a", "b")
+        with _small_batches(docs.sparkSession):
+            true = materialise(both.where(similar("x", "y") >= similarity).select("a", "b"), "true")
         names = named.select("node", F.col("name")).distinct()
         true = true.join(names.select(F.col("node").alias("a"), F.col("name").alias("m")), "a")
         return true.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
