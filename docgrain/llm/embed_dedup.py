@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, sorted_groups
+from docgrain.llm.shared import connected_components, materialise, smallest_of_component, sorted_groups
 
 TABLES = 6
 HASHES = 2
@@ -149,20 +149,22 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Rows link where the cosine is at least ``least``, and every link counted is verified; hashing finds nearly all
     (see the tests for its recall). ``n_links`` counts the other rows linked directly, ``component_id`` is the
     smallest id reachable, and ``kept`` tells whether that is the row's own. Vectors that are null, empty, zero or
-    hold null or non-finite components link with nothing, nor do vectors of different lengths. Repeated rows are
-    rows of their own and link with each other. Rows without an id count as links of others; a group of equal
-    vectors without any id links with no other vector, and its component_id is null and its kept true. An id that
-    is given to different vectors makes them one node of the graph. Other columns are not read; an empty table
-    gives an empty result. ``hashes`` of 2 suits up to some 10**8 vectors, 3 more.
+    hold null or non-finite components link with nothing, nor do vectors of different lengths. Every row is a vector
+    of its own, whatever its id: repeated rows link with each other, an id that is given to different vectors joins
+    nothing, and a row without an id links like any other but is nobody's component_id. Where no row of a component
+    has an id, component_id is null; rows without an id are kept only there. Equal vectors are one class, told apart
+    by two 64-bit hashes. Other columns are not read; an empty table gives an empty result. ``hashes`` of 2 suits up
+    to some 10**8 vectors, 3 more.
     """
     x = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = rows.select("id", "embedding", valid.alias("valid"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    classes = rows.where("valid").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
-    classes = materialise(classes, "classes")
-    sig = materialise(_bucketed(classes.where("node is not null"), tables, hashes, probes), "buckets")
+    classes = rows.where("valid").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    # Classes have numbers of their own; they hold once they are written.
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    sig = materialise(_bucketed(classes, tables, hashes, probes), "buckets")
 
     keyed = sig.select("*", F.explode(F.array_distinct("keys")).alias("key"))
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_BUCKET).withColumn("parts", F.ceil(F.col("count") / (LONG_BUCKET // 2)).cast("int"))
@@ -198,9 +200,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     met = materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "links")
     sums = met.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     components = connected_components(met.select("a", "b"))
-    found = classes.select("h1", "h2", "node", "size").join(sums, "node", "left").join(components, "node", "left")
+    ids = smallest_of_component(components, classes, "least").select("node", F.col("least").alias("smallest"))
+    found = classes.select("h1", "h2", "node", "size", "least").join(sums, "node", "left").join(ids, "node", "left")
     links = F.col("size") - 1 + F.coalesce("links", F.lit(0))
-    found = materialise(found.select("h1", "h2", links.alias("n_links"), F.coalesce("component", "node").alias("component_id")), "found")
+    found = materialise(found.select("h1", "h2", links.alias("n_links"), F.coalesce("smallest", "least").alias("component_id")), "found")
 
     # Written first, so that both sides of the join are plain and a hot class can be split.
     out = rows.select("id", F.when(F.col("valid"), F.col("h1")).alias("h1"), "h2").join(found, ["h1", "h2"], "left")
@@ -210,5 +213,5 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,24 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docgrain-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/docgrain-{label}-{uuid.uuid4().hex}"
-
-
 #: What this process has written to the shared folder and not deleted.
 _written: set[str] = set()
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder, which :func:`release` deletes."""
+    path = f"{shared_dir(spark)}/docgrain-{label}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def release(spark: SparkSession) -> None:
-    """Delete every table that this process has materialised; results that still read one must have been written."""
+    """Delete what this process has put into the shared folder; results that still read it must have been written."""
     while _written:
         _delete(spark, _written.pop())
 
@@ -54,7 +57,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     The files stay until :func:`forget` or :func:`release`, since results are read late.
     """
     path = new_path(df.sparkSession, label)
-    _written.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -97,6 +99,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def smallest_of_component(components: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """(node, value): for every node of ``components`` the smallest value over its component, of (node, value); nulls do not count.
+
+    Nodes are numbers of their own, so that a node whose value is null still joins its neighbours.
+    """
+    named = components.join(values.select("node", value), "node")
+    least = named.groupBy("component").agg(F.min(value).alias(value))
+    return named.select("node", "component").join(least, "component").select("node", value)
+
+
 def sorted_groups(batches: Iterator[pd.DataFrame], key: str, rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
     """From batches sorted by ``key``: frames of about ``rows`` rows or more that never cut a run of equal keys."""
     held: list[pd.DataFrame] = []

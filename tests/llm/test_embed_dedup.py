@@ -29,8 +29,8 @@ def brute(vectors, least=0.95):
                     root[find(i)] = find(j)
     best = {}
     for i in range(n):
-        best[find(i)] = min(best.get(find(i), vectors[i][0]), vectors[i][0])
-    return [(vectors[i][0], links[i], best[find(i)]) for i in range(n)]
+        best.setdefault(find(i), []).extend([vectors[i][0]] if vectors[i][0] is not None else [])
+    return [(vectors[i][0], links[i], min(best[find(i)], default=None)) for i in range(n)]
 
 
 def clustered(rng, clusters, size, spread, dim=32):
@@ -80,10 +80,24 @@ def test_edges(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (9, [1.0, 0.0]), (7, [2.0, 0.0]), (8, [1.0, 0.0, 0.0]), (10, [1.0, 0.0]), (10, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 5.0])]
     frame = spark.createDataFrame([(i, v, None, None, None) for i, v in rows], SCHEMA)
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(frame).collect()), key=str)
-    want = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 8)] + [(7, 4, 7, True), (9, 4, 7, False), (10, 4, 7, False), (10, 4, 7, False), (None, 4, 7, True), (None, 0, None, True)]
+    want = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 8)] + [(7, 4, 7, True), (9, 4, 7, False), (10, 4, 7, False), (10, 4, 7, False), (None, 4, 7, False), (None, 0, None, True)]
     assert got == sorted(want, key=str)
     assert embed_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_ids_play_no_part_in_what_links(spark):
+    """Rows without an id are bridges, and an id on different vectors joins nothing."""
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    bridge = [(1, at(0)), (None, at(15)), (2, at(30))]
+    repeated = [(1, at(0)), (1, at(90)), (3, at(91)), (4, at(1)), (None, at(200)), (None, at(201))]
+    rng = np.random.default_rng(8)
+    vectors = clustered(rng, 10, 12, 0.2) + clustered(rng, 40, 1, 0)
+    mixed = [(None if rng.random() < 0.3 else int(rng.integers(0, 60)), v) for v in vectors]
+    for rows in (bridge, repeated, mixed):
+        frame = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
+        got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_vectors(frame).collect()), key=str)
+        assert got == sorted(brute(rows), key=str)
+
+
 def test_query_equals_sql(spark, sf):
     assert_same(queries.op1_embedding_dedup(spark, sf).toPandas(), connect(sf).execute(queries.oracle_sql()["op1_embedding_dedup"]).df())
