@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import combinations
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, sorted_groups
+from docgrain.llm.shared import connected_components, materialise, smallest_of_component, sorted_groups
 
 SEED = 42
 BITS = 64
@@ -33,8 +33,12 @@ BITS = 64
 SHORT_RUN = 48
 #: Nodes of a search front that are compared with the rest at once; bounds the memory of a long run.
 FRONT = 64
-#: Blocks of wide fingerprints that are joined before the others.
-FIRST_DRAWS = 8
+#: Bits of the blocks of wide fingerprints, at least, and the mean size of a bucket that lengthens them.
+LEAST_WIDTH, MEAN_BUCKET = 16, 512
+#: Chance that a pair at the threshold shares no block.
+MISSED = 0.002
+#: Share of the blocks that each of the first rounds joins, row by nearest row, and the number of these rounds.
+FIRST_SHARE, FIRST_ROUNDS = 0.2, 2
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
 LONG_RUN = 100_000
 
@@ -174,25 +178,19 @@ def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance:
     return np.concatenate([none, *a]).astype(np.int64), np.concatenate([none, *b]).astype(np.int64)
 
 
-def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
-    """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
+def in_buckets(keyed: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], types: str) -> DataFrame:
+    """``compare`` over frames sorted by ``key`` that never cut a run of equal keys, of rows (key, fp, ...).
 
-    They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes. Rows with the same
-    node count as joined already. With a column ``name`` the edges are candidate pairs of nodes of different names.
+    Buckets of more than LONG_RUN rows are dealt out in parts: every pair of parts is a bucket of its own.
     """
-    named = "name" in keyed.columns
-    columns = ["node", "fp", *(["name"] if named else [])]
+    columns = [c for c in keyed.columns if c != "key"]
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
     hot = materialise(hot.select("key", "parts"), "hot")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sorted_groups(batches, "key"):
-            fp = frame["fp"].to_numpy()
-            fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
-            key, fp, node = frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy()
-            a, b = _links_of_pairs(key, fp, node, frame["name"].to_numpy(), distance) if named else links_of_frame(key, fp, node, distance)
-            yield pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
+            yield compare(frame)
 
     dealt = keyed
     if not hot.isEmpty():
@@ -202,7 +200,21 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
         wide = keyed.join(hot, "key").withColumn("i", part).withColumn("j", other)
         wide = wide.select(*columns, F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
         dealt = keyed.join(hot, "key", "left_anti").select(*columns, "key").unionByName(wide)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, types)
+
+
+def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
+
+    They are enough to give all components. Rows with the same node count as joined already.
+    """
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        fp = frame["fp"].to_numpy().view(np.uint64).reshape(len(frame), 1)
+        a, b = links_of_frame(frame["key"].to_numpy(), fp, frame["node"].to_numpy(), distance)
+        return pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
+
+    return in_buckets(keyed, compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -210,17 +222,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows link where fingerprints differ in at most ``distance`` bits (exactly, none is missed), and
     ``component_id`` is the smallest id reachable by links, the row's own included. Null and empty texts have
-    fingerprint 0 and link like any other; repeated rows are all returned. A null id is kept and takes no part
-    in the minimum; where all ids of a group are null, so is component_id. Other columns are not read. An
-    empty table gives an empty result. Ids are whole numbers.
+    fingerprint 0 and link like any other; repeated rows are all returned. A row without an id links like any
+    other and takes no part in the minimum; where all ids of a component are null, so is component_id. One id on
+    different texts joins nothing. Other columns are not read. An empty table gives an empty result. Ids are whole
+    numbers.
     """
     if not distance < blocks <= BITS:
         raise ValueError("there must be more blocks than differing bits")
     sig = materialise(fingerprints(docs, id_col, text_col, shingle), "sig")
-    classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("node")), "classes")
+    classes = materialise(sig.groupBy("fp").agg(F.min("id").cast("long").alias("least")), "classes")
+    # A class is its fingerprint, so that ids play no part in what links.
     keys = F.explode(block_keys(F.col("fp"), block_masks(blocks, distance))).alias("key")
-    components = connected_components(near_edges(classes.where("node is not null").select("node", "fp", keys), distance))
-    found = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    components = connected_components(near_edges(classes.select(F.col("fp").alias("node"), "fp", keys), distance))
+    ids = smallest_of_component(components, classes.withColumnRenamed("fp", "node"), "least").select(F.col("node").alias("fp"), F.col("least").alias("smallest"))
+    found = classes.join(ids, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return sig.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
@@ -229,23 +244,31 @@ def bits_apart(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _links_of_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, name: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of nodes with equal keys, sorted by key, and different names, all of them within the distance.
+def blocks_for(classes: int, similarity: float) -> tuple[int, int]:
+    """(bits of a block, number of blocks): blocks lengthen with the logarithm of the classes, so that buckets stay small."""
+    width = max(LEAST_WIDTH, math.ceil(math.log2(max(classes, 1) / MEAN_BUCKET)))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+    return width, math.ceil(math.log(MISSED) / math.log(1 - agree))
+
+
+def pairs_of_frame(key: np.ndarray, fp: np.ndarray, name: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j, bits) of rows of a frame, sorted by key, that might be similar.
 
-    Short runs give all such pairs. Of a long one every row is linked to its closest row in the front that reaches it
-    first, and all rows to their neighbours in the order of fingerprints, so that the pairs grow with the rows.
+    Keys are equal, names differ, fingerprints differ in at most ``distance`` bits and the smaller of the sizes is at
+    least ``ratio`` of the larger. Rows of one name are never compared, so that a large group that is joined already
+    costs little.
     """
     first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
     sizes = np.diff(np.append(first, len(key)))
     none = np.empty(0, np.int64)
-    a, b = [none], [none]
+    found = [(none, none, none)]
 
     def add(x: np.ndarray, y: np.ndarray) -> None:
-        fine = name[x] != name[y]
+        fine = (name[x] != name[y]) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
         x, y = x[fine], y[fine]
-        near = _near(fp[x], fp[y], distance)
-        a.append(x[near])
-        b.append(y[near])
+        apart = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=-1, dtype=np.int64)
+        near = apart <= distance
+        found.append((x[near], y[near], apart[near]))
 
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     for shift in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
@@ -254,21 +277,35 @@ def _links_of_pairs(key: np.ndarray, fp: np.ndarray, node: np.ndarray, name: np.
             break
         add(same, same + shift)
     for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        rows = np.arange(at, at + n)
-        order = rows[np.lexsort(fp[rows].T)]
-        for shift in range(1, 5):
-            add(order[:-shift], order[shift:])
-        rest = rows
-        while len(rest) > 1:
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):
-                part, front = front[:FRONT], front[FRONT:]
-                apart = np.bitwise_count(fp[part][:, None] ^ fp[rest][None, :]).sum(axis=-1, dtype=np.int16)
-                near = apart.min(axis=0) <= distance
-                add(part[apart.argmin(axis=0)[near]], rest[near])
-                front, rest = np.concatenate((front, rest[near])), rest[~near]
-    x, y = node[np.concatenate(a)], node[np.concatenate(b)]
-    return np.minimum(x, y).astype(np.int64), np.maximum(x, y).astype(np.int64)
+        rows = at + np.argsort(name[at : at + n], kind="stable")
+        mine = name[rows]
+        for lo in range(0, n, FRONT):
+            hi = min(lo + FRONT, n)
+            # Where the whole front has one name, its other rows are passed over.
+            begin = int(np.searchsorted(mine, mine[lo], "right")) if mine[lo] == mine[hi - 1] else lo
+            for to in range(begin, n, 1 << 14):
+                rest = rows[to : to + (1 << 14)]
+                apart = np.bitwise_count(fp[rows[lo:hi], None] ^ fp[None, rest]).sum(axis=-1, dtype=np.int16)
+                i, j = np.nonzero(apart <= distance)
+                i, j = i + lo, j + to
+                i, j = i[j > i], j[j > i]
+                add(rows[i], rows[j])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def best_of_pairs(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows, for every row two: that with the fewest differing bits, and that whose other row is in most pairs.
+
+    Returns (row, other, bits, pairs of the other).
+    """
+    own, other, bits = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((apart, apart))
+    degree = np.bincount(own)[other] if len(own) else own
+    out = []
+    for order in (np.lexsort((other, bits, own)), np.lexsort((other, -degree, own))):
+        first = order[np.concatenate(([True], own[order][1:] != own[order][:-1]))] if len(own) else order
+        out.append(first)
+    best = np.unique(np.concatenate(out))
+    return own[best], other[best], bits[best], degree[best]
 
 
 @contextmanager
@@ -283,23 +320,25 @@ def _small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, width: int = 16, draws: int = 80, slack: int = 15) -> DataFrame:
-    """Near-duplicate groups by similarity of shingles: (id, component_id) for every row of ``docs``.
-
-    Rows link where the Jaccard similarity of their sets of shingles is ``similarity`` or more, computed from the sets.
-    Candidates are those whose wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
-    ``slack`` more, and share one of ``draws`` blocks of ``width`` random bits, as nearly all such pairs do (the tests
-    measure it). Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
-    """
+def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int, slack: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, print, mark) of all texts, and (mark, component) of the classes of equal sets of shingles."""
     bits = BITS * words
-    rng = np.random.default_rng(SEED)
-    chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(draws)])
 
-    @F.pandas_udf("mark binary, shingles binary")
+    @F.pandas_udf("mark binary, shingles binary, size int")
     def simhash(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
         marks = [wide_fingerprint(x, words) + hashlib.md5(x.tobytes()).digest() for x in sets]
-        return pd.DataFrame({"mark": marks, "shingles": [x.tobytes() for x in sets]}, dtype=object)
+        return pd.DataFrame({"mark": pd.Series(marks, dtype=object), "shingles": pd.Series([x.tobytes() for x in sets], dtype=object), "size": pd.Series([len(x) for x in sets], dtype="int32")})
+
+    text = F.col(text_col)
+    sig = docs.select(F.col(id_col).alias("id"), _print_of(text).alias("print"), simhash(text).alias("s"))
+    with _small_batches(docs.sparkSession):
+        # Rows have numbers of their own; they hold once they are written.
+        sig = materialise(sig.select("id", "print", "s.*", F.monotonically_increasing_id().alias("row")), "sig")
+    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.first("size").alias("size")), "classes")
+    width, draws = blocks_for(classes.count(), similarity)
+    rng = np.random.default_rng(SEED)
+    chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(draws)])
 
     @F.pandas_udf("array<long>")
     def keys(fps: pd.Series) -> pd.Series:
@@ -315,46 +354,94 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    sig = docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("s")).select("id", "s.mark", "s.shingles")
-    with _small_batches(docs.sparkSession):
-        sig = materialise(sig, "sig")
-    classes = materialise(sig.groupBy("mark").agg(F.min("id").cast("long").alias("node")), "classes")
     fp = F.substring("mark", 1, bits // 8).alias("fp")
-    keyed = materialise(classes.where("node is not null").select("node", fp).select("node", F.col("node").alias("name"), "fp", keys("fp").alias("keys")), "keys")
+    keyed = materialise(classes.select("node", "size", fp).withColumn("keys", keys("fp")), "keys")
     near = bits_apart(similarity, bits) + slack
-    key = lambda at, n: F.explode(F.slice("keys", at, n)).alias("key")
-
-    def links(named: DataFrame, at: int, n: int) -> DataFrame:
-        """Confirmed edges (a, b) between the names of nodes that share one of these keys."""
-        pairs = materialise(near_edges(named.select("node", "name", "fp", key(at, n)), near).distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-        # One row, with its set, for each class of a candidate node.
-        known = sig.join(classes.join(ends, "node"), "mark").where("id = node")
-        known = materialise(known.groupBy("node", "mark").agg(F.first("shingles").alias("shingles")).drop("mark"), "sets")
-        both = pairs.join(known.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def candidates(named: DataFrame, at: int, n: int, best: bool) -> DataFrame:
+        """Pairs (a, b) of nodes of different names, a < b: for every node its best two (:func:`best_of_pairs`), or all."""
+
+        def compare(frame: pd.DataFrame) -> pd.DataFrame:
+            fp = np.frombuffer(b"".join(frame["fp"]), np.uint64).reshape(len(frame), -1)
+            key, node, name, size = (frame[c].to_numpy() for c in ("key", "node", "name", "size"))
+            i, j, apart = pairs_of_frame(key, fp, name, size, near, similarity)
+            if best:
+                i, j, apart, degree = best_of_pairs(i, j, apart)
+                return pd.DataFrame({"a": node[i], "b": node[j], "apart": apart, "degree": degree})
+            return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
+
+        rows = named.select("node", "name", "size", "fp", F.explode(F.slice("keys", at, n)).alias("key"))
+        pairs = in_buckets(rows, compare, "a long, b long" + ", apart long, degree long" * best)
+        if best:
+            nearest, central = F.min(F.struct("apart", "b")).alias("p"), F.max(F.struct("degree", -F.col("b"))).alias("q")
+            pairs = materialise(pairs.groupBy("a").agg(nearest, central), "best")
+            pairs = pairs.select("a", "p.b").union(pairs.select("a", -F.col("q.col2")))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def joined(named: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``named`` with the names joined that a pair of truly similar sets joins."""
+        ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b"))).distinct()
+        known = materialise(sig.join(ends, "row").select("row", "shingles"), "sets")
+        both = pairs.join(known.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
+        both = both.join(known.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         with _small_batches(docs.sparkSession):
             true = materialise(both.where(similar("x", "y") >= similarity).select("a", "b"), "true")
-        names = named.select("node", F.col("name")).distinct()
-        true = true.join(names.select(F.col("node").alias("a"), F.col("name").alias("m")), "a")
-        return true.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
+        names = named.select("node", "name")
+        links = true.join(names.select(F.col("node").alias("a"), F.col("name").alias("m")), "a")
+        links = links.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
+        components = connected_components(links).select(F.col("node").alias("name"), "component")
+        out = named.join(components, "name", "left").withColumn("name", F.coalesce("component", "name"))
+        return materialise(out.select("node", "name", "size", "fp", "keys"), "named")
+
+    # First, by some of the blocks, every row meets its best ones only: that joins most of a large group. Then all
+    # pairs of all blocks are compared whose rows are still apart.
+    named, tested, part = keyed.withColumn("name", F.col("node")), None, math.ceil(FIRST_SHARE * draws)
+    for at, n, best in [*((1 + k * part, part, True) for k in range(FIRST_ROUNDS)), (1, draws, False)]:
+        pairs = candidates(named, at, n, best)
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        named = joined(named, pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+    found = classes.join(named.select("node", F.col("name").alias("component")), "node").select("mark", "component")
+    return sig.select("id", "print", "mark", "row"), materialise(found, "found")
+
+
+def _print_of(text: Column) -> Column:
+    """128 bits by which a text is known again."""
+    return F.concat(F.hex(F.xxhash64(text, F.lit(1))), F.lit("-"), F.hex(F.xxhash64(text, F.lit(2))))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, slack: int = 15) -> DataFrame:
+    """Near-duplicate groups by similarity of shingles: (id, component_id) for every row of ``docs``.
 
-    # The first draws join most of a large group. For the rest, classes stand under the name of their component, so
-    # that only links between components that are still apart are emitted.
-    once = materialise(connected_components(links(keyed, 1, FIRST_DRAWS)), "components")
-    named = keyed.drop("name").join(once, "node", "left").withColumn("name", F.coalesce("component", "node"))
-    named = materialise(named.select("node", F.col("name"), "fp", "keys"), "named")
-    twice = connected_components(links(named, FIRST_DRAWS + 1, max(1, draws - FIRST_DRAWS)))
-    whole = named.select("node", "name").distinct().join(twice.withColumnRenamed("node", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component_id"))
-    found = materialise(classes.join(whole, "node", "left").select("mark", "component_id"), "found")
-    return sig.select("id", "mark").join(found, "mark").select(F.col("id").alias(id_col), "component_id")
+    Rows link where the Jaccard similarity of their sets of shingles is ``similarity`` or more, computed from the sets.
+    Candidates are those whose wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
+    ``slack`` more, and share a block, as nearly all such pairs do (the tests measure it); all candidates that are not
+    joined already are compared. Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
+    """
+    sig, found = _similar_classes(docs, id_col, text_col, shingle, similarity, words, slack)
+    least = sig.groupBy("mark").agg(F.min("id").cast("long").alias("least")).join(found, "mark")
+    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = materialise(found.join(ids, "component").select("mark", "component_id"), "ids")
+    return sig.join(found, "mark").select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates: the rows whose id is the smallest of their group, with all columns.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, slack: int = 15) -> DataFrame:
+    """``docs`` without near-duplicates, with all columns: of each group the row with the smallest id.
 
-    Rows without an id stay, and rows that repeat the kept id stay too: they are the same document.
+    Where rows of a group repeat that id one of them stays, by a hash of its columns; where no row of a group has an
+    id, one of them stays all the same. Texts without words are one group.
     """
-    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__dropped"), "left_anti")
+    sig, found = _similar_classes(docs, id_col, text_col, shingle, similarity, words, slack)
+    rows = sig.groupBy("mark", "id", "print").agg(F.count("*").alias("n")).join(found, "mark")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "print")).alias("first"))
+    kept = materialise(first.select("first.id", "first.print").withColumn("kept", F.lit(True)), "kept")
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["print"] == kept["print"]), "left").select(rows["id"], rows["print"], "n", F.coalesce("kept", F.lit(False)).alias("kept"))
+    # What goes, and the kept rows that occur again: these few are grouped, all others only pass an anti-join.
+    special = materialise(rows.where("not kept or n > 1").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("kept").alias("__kept")), "special")
+    marked = docs.withColumn("__key", _print_of(F.col(text_col)))
+    same = marked[id_col].eqNullSafe(special["__id"]) & (marked["__key"] == special["__print"])
+    once = marked.join(special, same, "left_anti").select(*docs.columns)
+    again = marked.join(special.where("__kept"), same).select(*docs.columns, "__id", "__print")
+    columns = F.struct(*[F.col(c) for c in docs.columns])
+    again = again.groupBy("__id", "__print").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(again)

@@ -103,11 +103,41 @@ def test_edges(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (7, 2), (7, 2), (2, 2), (None, 2), (9, 9)], key=str)
     kept = simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 2, None, 9], key=str)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 9]
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs.where("doc_id <> 2 or doc_id is null")).collect()) == [3, 7, 9]
+    assert [r["doc_id"] for r in simhash.keep_one_of_each(docs.where("doc_id is null").union(docs.where("doc_id is null"))).collect()] == [None]
     assert simhash.simhash_groups(docs.limit(0)).count() == 0 and simhash.keep_one_of_each(docs.limit(0)).count() == 0
     assert [r["component_id"] for r in simhash.simhash_groups(docs.where("doc_id is null")).collect()] == [None]
 
 
+def test_ids_play_no_part_in_what_links(spark, monkeypatch):
+    """A chain of fingerprints holds through rows without an id; an id on two texts joins nothing."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda t, shingle=4: int(t, 16))
+    rows = [(1, "0"), (None, "f"), (2, "ff"), (7, "ffff00000000"), (7, "ffff000000000000"), (5, "fffe000000000000")]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.sparkSession.createDataFrame([(i, int(np.uint64(int(t, 16)).view(np.int64))) for i, t in rows], "id long, fp long"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (7, 7), (7, 5), (5, 5)], key=str)
+
+
+def test_pairs_of_frame_are_all_pairs():
+    rng = np.random.default_rng(9)
+    key = np.sort(np.concatenate((np.zeros(300, np.int64), rng.integers(1, 40, 400))))
+    fp = rng.integers(0, 4, (700, 2)).astype(np.uint64)
+    name, size = rng.choice([7, 7, 7, 7, *range(100, 140)], 700), rng.integers(50, 100, 700)
+    i, j, apart = simhash.pairs_of_frame(key, fp, name, size, 2, 0.8)
+    got = sorted(tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True))
+    far = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[a], fp[b], strict=True))
+    want = [(a, b) for b in range(700) for a in range(b) if key[a] == key[b] and name[a] != name[b] and far(a, b) <= 2 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])]
+    assert got == sorted(want) and all(far(a, b) == d for a, b, d in zip(i, j, apart, strict=True))
+    own, other, bits, degree = simhash.best_of_pairs(i, j, apart)
+    partners = {o: [(d, int(y if x == o else x)) for x, y, d in zip(i, j, apart, strict=True) if o in (x, y)] for o in set(own.tolist())}
+    assert set(own.tolist()) == {*i.tolist(), *j.tolist()} and len(own) <= 2 * len(partners)
+    for o, mine in partners.items():
+        best = [(bits[k], degree[k]) for k in np.nonzero(own == o)[0]]
+        assert min(d for d, _ in mine) in [d for d, _ in best] and max(len(partners[p]) for _, p in mine) in [n for _, n in best]
+
+
 def jaccard(a, b, n=5):
     grams = lambda t: {tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))}
     x, y = grams(a), grams(b)
@@ -178,3 +208,40 @@ def test_release_deletes_what_was_written(spark):
     assert not shared._written
     with pytest.raises(Exception, match="(?i)not.exist|not found"):
         kept.count()
+
+
+def similar_pairs(texts, least, n=5):
+    """{(a, b): similarity} of all pairs of ids, a < b, by counting shared shingles."""
+    sets = {i: set(simhash.shingle_set(t, n).tolist()) for i, t in texts.items()}
+    where, shared_by = {}, {}
+    for i in sorted(sets):
+        for g in sets[i]:
+            for j in where.setdefault(g, []):
+                shared_by[j, i] = shared_by.get((j, i), 0) + 1
+            where[g].append(i)
+    both = {p: k / (len(sets[p[0]]) + len(sets[p[1]]) - k) for p, k in shared_by.items()}
+    return {p: j for p, j in both.items() if j >= least}
+
+
+def test_groups_of_documents_equal_all_pairs(spark):
+    """Whole groups of sf0.01: what is linked is what pairs of 0.8 and more link."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pairs = similar_pairs(texts, 0.8)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in sorted(pairs):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    empty = sorted(i for i, t in texts.items() if not (t or "").split())
+    want = {i: find(i) if i not in empty else empty[0] for i in texts}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    near = [p for p in pairs if texts[p[0]] != texts[p[1]]]
+    assert len(near) >= 20 and np.mean([got[a] == got[b] for a, b in near]) >= 0.95
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.998
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing below 0.8 joins
