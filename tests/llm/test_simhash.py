@@ -242,6 +242,6 @@ def test_groups_of_documents_equal_all_pairs(spark):
     want = {i: find(i) if i not in empty else empty[0] for i in texts}
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
     near = [p for p in pairs if texts[p[0]] != texts[p[1]]]
-    assert len(near) >= 20 and np.mean([got[a] == got[b] for a, b in near]) >= 0.95
+    assert len(near) >= 10 and np.mean([got[a] == got[b] for a, b in near]) >= 0.95
     assert np.mean([got[i] == want[i] for i in want]) >= 0.998
     assert all(want[i] == want[c] for i, c in got.items())  # nothing below 0.8 joins
