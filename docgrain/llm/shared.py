@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: What this process has written to the shared folder and not deleted.
 _written: set[str] = set()
 
@@ -54,11 +56,17 @@ def _delete(spark: SparkSession, name: str) -> None:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files stay until :func:`forget` or :func:`release`, since results are read late.
+    The files stay until :func:`forget` or :func:`release`, since results are read late; those of its shuffles go at
+    once, since nothing reads them again.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

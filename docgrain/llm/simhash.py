@@ -6,9 +6,10 @@ only one row for each distinct fingerprint and key is shuffled, and a bucket emi
 forest, never all its pairs.
 
 For similarities that leave far more bits differing than 64-bit blocks can separate (a Jaccard similarity of 0.8
-leaves one bit in seven), wide fingerprints of several words are compared: their blocks are drawn at random from all
-bits, many enough that nearly all such pairs share one. The distance over all bits only names candidates; the exact
-similarity of the sets of shingles decides on each.
+leaves one bit in seven), wide fingerprints of several words are compared. They are split into blocks in several
+orders of their bits, and a row stands in each block's bucket as it is and with its least certain bit turned, so that
+nearly all such pairs meet. The distance over all bits only names candidates; the exact similarity of the sets of
+shingles decides on each.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ SHORT_RUN = 48
 FRONT = 64
 #: Bits of the blocks of wide fingerprints, at least, and the mean size of a bucket that lengthens them.
 LEAST_WIDTH, MEAN_BUCKET = 16, 512
-#: Chance that a pair at the threshold shares no block.
-MISSED = 0.002
+#: Chance that a pair at the threshold meets in no block, and how often, of two that differ in one bit of a block, this
+#: is the least certain bit of either (the tests measure both).
+MISSED, TURNED = 0.001, 0.6
 #: Share of the blocks that each of the first rounds joins, row by nearest row, and the number of these rounds.
 FIRST_SHARE, FIRST_ROUNDS = 0.2, 2
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
@@ -98,15 +100,17 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text, shingle)]))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
-    """SimHash of ``64 * words`` bits of distinct shingles."""
+def wide_fingerprint(hashes: np.ndarray, words: int) -> tuple[bytes, bytes]:
+    """SimHash of ``64 * words`` bits of distinct shingles, and for each bit how certain it is, from 0 to 15, two in a byte."""
     counts = sum((_counted(hashes[at : at + (1 << 15)], words) for at in range(0, len(hashes), 1 << 15)), np.zeros(BITS * words, np.int64))
-    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+    far = np.abs(2 * counts - len(hashes)) / math.sqrt(max(1, len(hashes)))
+    sure = np.minimum(15, 8 * far).astype(np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), (sure[::2] | sure[1::2] << 4).tobytes()
 
 
 def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets of hashes, as the bytes of :func:`shingle_set`."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    """Of two sets of 32-bit hashes, sorted."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -247,8 +251,27 @@ def bits_apart(similarity: float, bits: int) -> int:
 def blocks_for(classes: int, similarity: float) -> tuple[int, int]:
     """(bits of a block, number of blocks): blocks lengthen with the logarithm of the classes, so that buckets stay small."""
     width = max(LEAST_WIDTH, math.ceil(math.log2(max(classes, 1) / MEAN_BUCKET)))
-    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
-    return width, math.ceil(math.log(MISSED) / math.log(1 - agree))
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = same**width + TURNED * width * (1 - same) * same ** (width - 1)
+    return width, math.ceil(math.log(MISSED) / math.log(1 - meet))
+
+
+def drawn_blocks(bits: int, width: int, blocks: int) -> np.ndarray:
+    """The bits of each block: blocks split the bits, and again in another order where more blocks are wanted."""
+    rng = np.random.default_rng(SEED)
+    each = bits // width
+    return np.concatenate([rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-blocks // each))])[:blocks]
+
+
+def wide_keys(fps: list[bytes], sure: list[bytes], chosen: np.ndarray) -> np.ndarray:
+    """Keys (rows x 2 blocks): of every block as it is, then with its least certain bit turned."""
+    each = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+    half = np.frombuffer(b"".join(sure), np.uint8).reshape(len(fps), -1)
+    certain = np.stack((half & 15, half >> 4), axis=2).reshape(len(fps), -1)[:, chosen]
+    drawn = np.unpackbits(each, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # rows x blocks x width
+    own = (drawn << np.arange(chosen.shape[1])).sum(axis=2)
+    turned = own ^ (1 << certain.argmin(axis=2))
+    return np.concatenate((own * len(chosen) + np.arange(len(chosen)), turned * len(chosen) + np.arange(len(chosen))), axis=1)
 
 
 def pairs_of_frame(key: np.ndarray, fp: np.ndarray, name: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,40 +347,30 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     """Rows (id, print, mark) of all texts, and (mark, component) of the classes of equal sets of shingles."""
     bits = BITS * words
 
-    @F.pandas_udf("mark binary, shingles binary, size int")
+    @F.pandas_udf("mark binary, sure binary, shingles binary, size int")
     def simhash(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        marks = [wide_fingerprint(x, words) + hashlib.md5(x.tobytes()).digest() for x in sets]
-        return pd.DataFrame({"mark": pd.Series(marks, dtype=object), "shingles": pd.Series([x.tobytes() for x in sets], dtype=object), "size": pd.Series([len(x) for x in sets], dtype="int32")})
+        out = []
+        for text in texts:
+            x = shingle_set(text, shingle)
+            fp, sure = wide_fingerprint(x, words)
+            out.append((fp + hashlib.md5(x.tobytes()).digest(), sure, np.unique(x.astype("<u4")).tobytes(), len(x)))
+        return pd.DataFrame(out, columns=["mark", "sure", "shingles", "size"])
 
     text = F.col(text_col)
     sig = docs.select(F.col(id_col).alias("id"), _print_of(text).alias("print"), simhash(text).alias("s"))
     with _small_batches(docs.sparkSession):
         # Rows have numbers of their own; they hold once they are written.
         sig = materialise(sig.select("id", "print", "s.*", F.monotonically_increasing_id().alias("row")), "sig")
-    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.first("size").alias("size")), "classes")
-    width, draws = blocks_for(classes.count(), similarity)
-    rng = np.random.default_rng(SEED)
-    chosen = np.stack([rng.choice(bits, width, replace=False) for _ in range(draws)])
-
-    @F.pandas_udf("array<long>")
-    def keys(fps: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(fps), 1000):  # bounds the memory of the drawn bits
-            part = fps.iloc[at : at + 1000]
-            each = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), bits // 8)
-            drawn = np.unpackbits(each, axis=1, bitorder="little")[:, chosen].astype(np.int64)  # rows x draws x width
-            out += list((drawn << np.arange(width)).sum(axis=2) * draws + np.arange(draws))
-        return pd.Series(out, dtype=object)
+    fp = F.substring("mark", 1, bits // 8).alias("fp")
+    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sure").alias("sure")), "classes")
+    width, blocks = blocks_for(classes.count(), similarity)
+    chosen = drawn_blocks(bits, width, blocks)
+    near = bits_apart(similarity, bits) + slack
 
     @F.pandas_udf("double")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    fp = F.substring("mark", 1, bits // 8).alias("fp")
-    keyed = materialise(classes.select("node", "size", fp).withColumn("keys", keys("fp")), "keys")
-    near = bits_apart(similarity, bits) + slack
-
     def candidates(named: DataFrame, at: int, n: int, best: bool) -> DataFrame:
         """Pairs (a, b) of nodes of different names, a < b: for every node its best two (:func:`best_of_pairs`), or all."""
 
@@ -370,7 +383,16 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
                 return pd.DataFrame({"a": node[i], "b": node[j], "apart": apart, "degree": degree})
             return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
 
-        rows = named.select("node", "name", "size", "fp", F.explode(F.slice("keys", at, n)).alias("key"))
+        mine = chosen[at : at + n]
+
+        @F.pandas_udf("array<long>")
+        def keys(fps: pd.Series, sure: pd.Series) -> pd.Series:
+            out = []
+            for k in range(0, len(fps), 1000):  # bounds the memory of the drawn bits
+                out += list(wide_keys(list(fps.iloc[k : k + 1000]), list(sure.iloc[k : k + 1000]), mine))
+            return pd.Series(out, dtype=object)
+
+        rows = named.select("node", "name", "size", "fp", F.explode(keys("fp", "sure")).alias("key"))
         pairs = in_buckets(rows, compare, "a long, b long" + ", apart long, degree long" * best)
         if best:
             nearest, central = F.min(F.struct("apart", "b")).alias("p"), F.max(F.struct("degree", -F.col("b"))).alias("q")
@@ -391,12 +413,12 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         links = links.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
         components = connected_components(links).select(F.col("node").alias("name"), "component")
         out = named.join(components, "name", "left").withColumn("name", F.coalesce("component", "name"))
-        return materialise(out.select("node", "name", "size", "fp", "keys"), "named")
+        return materialise(out.select(*named.columns), "named")
 
     # First, by some of the blocks, every row meets its best ones only: that joins most of a large group. Then all
     # pairs of all blocks are compared whose rows are still apart.
-    named, tested, part = keyed.withColumn("name", F.col("node")), None, math.ceil(FIRST_SHARE * draws)
-    for at, n, best in [*((1 + k * part, part, True) for k in range(FIRST_ROUNDS)), (1, draws, False)]:
+    named, tested, part = classes.select("node", F.col("node").alias("name"), "size", fp, "sure"), None, math.ceil(FIRST_SHARE * blocks)
+    for at, n, best in [*((k * part, part, True) for k in range(FIRST_ROUNDS)), (0, blocks, False)]:
         pairs = candidates(named, at, n, best)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         named = joined(named, pairs)
@@ -415,8 +437,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Rows link where the Jaccard similarity of their sets of shingles is ``similarity`` or more, computed from the sets.
     Candidates are those whose wide fingerprints differ in at most the bits that ``similarity`` leaves on average, and
-    ``slack`` more, and share a block, as nearly all such pairs do (the tests measure it); all candidates that are not
-    joined already are compared. Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
+    ``slack`` more, and meet in a block, as nearly all such pairs do (the tests measure it); all candidates that are
+    not joined already are compared, by 32-bit hashes of their shingles. Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
     """
     sig, found = _similar_classes(docs, id_col, text_col, shingle, similarity, words, slack)
     least = sig.groupBy("mark").agg(F.min("id").cast("long").alias("least")).join(found, "mark")
