@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, smallest_of_component, sorted_groups
+from docgrain.llm.shared import connected_components, materialise, merged, smallest_of_component, sorted_groups
 
 TABLES = 6
 HASHES = 2
@@ -83,20 +83,6 @@ def bucket_keys(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, pr
     return out
 
 
-def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after the classes of a and b are joined; a label is the smallest index of its class."""
-    while len(a):
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            break
-        a, b = a[apart], b[apart]
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def links_of_bucket(key: int, part: np.ndarray, node: np.ndarray, size: np.ndarray, unit: np.ndarray, keys: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each class, root index of each class) by the pairs of one bucket.
 
@@ -116,7 +102,7 @@ def links_of_bucket(key: int, part: np.ndarray, node: np.ndarray, size: np.ndarr
         i, j = i[ahead], j[ahead]
         for begin in range(0, len(i), TILE // 16):
             a, b = i[begin : begin + TILE // 16], j[begin : begin + TILE // 16]
-            root = _merge(root, a, b)
+            root = merged(root, a, b)
             earlier = np.zeros(len(a), bool)
             for t in range(table + 1):
                 for p in range(probes):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the classes of a and b are joined; a label is the smallest index of its class."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def smallest_of_component(components: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """(node, value): for every node of ``components`` the smallest value over its component, of (node, value); nulls do not count.
 

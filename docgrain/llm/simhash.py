@@ -8,15 +8,16 @@ forest, never all its pairs.
 For similarities that leave far more bits differing than 64-bit blocks can separate (a Jaccard similarity of 0.8
 leaves one bit in seven), wide fingerprints of several words are compared. They are split into blocks in several
 orders of their bits, and a row stands in each block's bucket as it is and with its least certain bit turned, so that
-nearly all such pairs meet. The distance over all bits only names candidates; the exact similarity of the sets of
-shingles decides on each.
+nearly all such pairs meet. The distance over all bits only names candidates: it gives groups, by spanning forests
+again. Inside a group the exact similarity of the sets of shingles decides on each pair that is within the distance
+and not joined yet.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import combinations
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, smallest_of_component, sorted_groups
+from docgrain.llm.shared import connected_components, materialise, merged, smallest_of_component, sorted_groups
 
 SEED = 42
 BITS = 64
@@ -39,8 +40,8 @@ LEAST_WIDTH, MEAN_BUCKET = 16, 512
 #: Chance that a pair at the threshold meets in no block, and how often, of two that differ in one bit of a block, this
 #: is the least certain bit of either (the tests measure both).
 MISSED, TURNED = 0.001, 0.6
-#: Share of the blocks that each of the first rounds joins, row by nearest row, and the number of these rounds.
-FIRST_SHARE, FIRST_ROUNDS = 0.2, 2
+#: Bytes of sets that one task compares at once; groups with more are dealt out in pairs of parts.
+SET_BYTES = 1 << 24
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
 LONG_RUN = 100_000
 
@@ -108,11 +109,12 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> tuple[bytes, bytes]:
     return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), (sure[::2] | sure[1::2] << 4).tobytes()
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Of two sets of 32-bit hashes, sorted."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets, as sorted arrays."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
@@ -161,64 +163,54 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[i
 def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges between nodes of equal keys, sorted by key, whose fingerprints (rows of words) differ in at most ``distance`` bits.
 
-    They connect exactly what the pairs within the distance connect.
+    They are a spanning forest of what the pairs within the distance connect.
     """
     first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
     sizes = np.diff(np.append(first, len(key)))
-    a, b = [], []
+    root = np.arange(len(key))
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     for shift in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
         same = np.nonzero((key[shift:] == key[:-shift]) & short[:-shift])[0]
         if not len(same):
             break
         near = same[_near(fp[same], fp[same + shift], distance)]
-        a.append(node[near])
-        b.append(node[near + shift])
+        root = merged(root, near, near + shift)
+    some = np.nonzero(root != np.arange(len(key)))[0]
+    a, b = [node[root[some]]], [node[some]]
     for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        for root, others in _forest(fp[at : at + n], node[at : at + n], distance):
-            a.append(np.full(len(others), root))
+        for start, others in _forest(fp[at : at + n], node[at : at + n], distance):
+            a.append(np.full(len(others), start))
             b.append(others)
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *a]).astype(np.int64), np.concatenate([none, *b]).astype(np.int64)
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
-def in_buckets(keyed: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], types: str) -> DataFrame:
-    """``compare`` over frames sorted by ``key`` that never cut a run of equal keys, of rows (key, fp, ...).
+def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
+    """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
 
-    Buckets of more than LONG_RUN rows are dealt out in parts: every pair of parts is a bucket of its own.
+    They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes. Rows with the same
+    node count as joined already. Buckets of more than LONG_RUN rows are dealt out in parts: every pair of parts is a
+    bucket of its own.
     """
-    columns = [c for c in keyed.columns if c != "key"]
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
     hot = materialise(hot.select("key", "parts"), "hot")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in sorted_groups(batches, "key"):
-            yield compare(frame)
+            fp = frame["fp"].to_numpy()
+            fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
+            a, b = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy(), distance)
+            yield pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
 
-    dealt = keyed
+    dealt = keyed.select("node", "fp", "key")
     if not hot.isEmpty():
         # Part i of a hot bucket goes to every pair of parts (i, j); each pair is a bucket of its own.
         part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        wide = keyed.join(hot, "key").withColumn("i", part).withColumn("j", other)
-        wide = wide.select(*columns, F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
-        dealt = keyed.join(hot, "key", "left_anti").select(*columns, "key").unionByName(wide)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(run, types)
-
-
-def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
-    """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
-
-    They are enough to give all components. Rows with the same node count as joined already.
-    """
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        fp = frame["fp"].to_numpy().view(np.uint64).reshape(len(frame), 1)
-        a, b = links_of_frame(frame["key"].to_numpy(), fp, frame["node"].to_numpy(), distance)
-        return pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
-
-    return in_buckets(keyed, compare, "a long, b long")
+        wide = dealt.join(hot, "key").withColumn("i", part).withColumn("j", other)
+        wide = wide.select("node", "fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+        dealt = dealt.join(hot, "key", "left_anti").select("node", "fp", "key").unionByName(wide)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -274,61 +266,33 @@ def wide_keys(fps: list[bytes], sure: list[bytes], chosen: np.ndarray) -> np.nda
     return np.concatenate((own * len(chosen) + np.arange(len(chosen)), turned * len(chosen) + np.arange(len(chosen))), axis=1)
 
 
-def pairs_of_frame(key: np.ndarray, fp: np.ndarray, name: np.ndarray, size: np.ndarray, distance: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (i, j, bits) of rows of a frame, sorted by key, that might be similar.
-
-    Keys are equal, names differ, fingerprints differ in at most ``distance`` bits and the smaller of the sizes is at
-    least ``ratio`` of the larger. Rows of one name are never compared, so that a large group that is joined already
-    costs little.
-    """
-    first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
-    sizes = np.diff(np.append(first, len(key)))
-    none = np.empty(0, np.int64)
-    found = [(none, none, none)]
+def similar_links(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """For each row the smallest index of its class, by pairs within the distance whose sets are similar.
 
-    def add(x: np.ndarray, y: np.ndarray) -> None:
-        fine = (name[x] != name[y]) & (np.minimum(size[x], size[y]) >= ratio * np.maximum(size[x], size[y]))
-        x, y = x[fine], y[fine]
-        apart = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=-1, dtype=np.int64)
-        near = apart <= distance
-        found.append((x[near], y[near], apart[near]))
-
-    short = np.repeat(sizes <= SHORT_RUN, sizes)
-    for shift in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
-        same = np.nonzero((key[shift:] == key[:-shift]) & short[:-shift])[0]
-        if not len(same):
-            break
-        add(same, same + shift)
-    for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
-        rows = at + np.argsort(name[at : at + n], kind="stable")
-        mine = name[rows]
-        for lo in range(0, n, FRONT):
-            hi = min(lo + FRONT, n)
-            # Where the whole front has one name, its other rows are passed over.
-            begin = int(np.searchsorted(mine, mine[lo], "right")) if mine[lo] == mine[hi - 1] else lo
-            for to in range(begin, n, 1 << 14):
-                rest = rows[to : to + (1 << 14)]
-                apart = np.bitwise_count(fp[rows[lo:hi], None] ^ fp[None, rest]).sum(axis=-1, dtype=np.int16)
-                i, j = np.nonzero(apart <= distance)
-                i, j = i + lo, j + to
-                i, j = i[j > i], j[j > i]
-                add(rows[i], rows[j])
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def best_of_pairs(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs of rows, for every row two: that with the fewest differing bits, and that whose other row is in most pairs.
-
-    Returns (row, other, bits, pairs of the other).
+    With more than one part, only pairs from different parts count: those of one part meet elsewhere. A pair that is
+    joined already is passed over; close pairs come first, so that few are left in a large class.
     """
-    own, other, bits = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((apart, apart))
-    degree = np.bincount(own)[other] if len(own) else own
-    out = []
-    for order in (np.lexsort((other, bits, own)), np.lexsort((other, -degree, own))):
-        first = order[np.concatenate(([True], own[order][1:] != own[order][:-1]))] if len(own) else order
-        out.append(first)
-    best = np.unique(np.concatenate(out))
-    return own[best], other[best], bits[best], degree[best]
+    n, size = len(fp), np.array([len(x) for x in sets])
+    root, across = np.arange(n), part.min() != part.max()
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for lo in range(0, n, FRONT):
+        hi = min(lo + FRONT, n)
+        apart = np.bitwise_count(fp[lo:hi, None] ^ fp[None, lo:]).sum(axis=-1, dtype=np.int16)
+        i, j = np.nonzero((apart <= distance) & (np.minimum(size[lo:hi, None], size[lo:]) >= similarity * np.maximum(size[lo:hi, None], size[lo:])))
+        apart, i, j = apart[i, j], i + lo, j + lo
+        fine = (j > i) & ((part[i] != part[j]) if across else True)
+        order = np.argsort(apart[fine], kind="stable")
+        for x, y in zip(i[fine][order].tolist(), j[fine][order].tolist(), strict=True):
+            a, b = find(x), find(y)
+            if a != b and jaccard(sets[x], sets[y]) >= similarity:
+                root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(n)], np.int64)
 
 
 @contextmanager
@@ -367,64 +331,42 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     chosen = drawn_blocks(bits, width, blocks)
     near = bits_apart(similarity, bits) + slack
 
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    def candidates(named: DataFrame, at: int, n: int, best: bool) -> DataFrame:
-        """Pairs (a, b) of nodes of different names, a < b: for every node its best two (:func:`best_of_pairs`), or all."""
-
-        def compare(frame: pd.DataFrame) -> pd.DataFrame:
-            fp = np.frombuffer(b"".join(frame["fp"]), np.uint64).reshape(len(frame), -1)
-            key, node, name, size = (frame[c].to_numpy() for c in ("key", "node", "name", "size"))
-            i, j, apart = pairs_of_frame(key, fp, name, size, near, similarity)
-            if best:
-                i, j, apart, degree = best_of_pairs(i, j, apart)
-                return pd.DataFrame({"a": node[i], "b": node[j], "apart": apart, "degree": degree})
-            return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}).drop_duplicates()
-
-        mine = chosen[at : at + n]
-
-        @F.pandas_udf("array<long>")
-        def keys(fps: pd.Series, sure: pd.Series) -> pd.Series:
-            out = []
-            for k in range(0, len(fps), 1000):  # bounds the memory of the drawn bits
-                out += list(wide_keys(list(fps.iloc[k : k + 1000]), list(sure.iloc[k : k + 1000]), mine))
-            return pd.Series(out, dtype=object)
-
-        rows = named.select("node", "name", "size", "fp", F.explode(keys("fp", "sure")).alias("key"))
-        pairs = in_buckets(rows, compare, "a long, b long" + ", apart long, degree long" * best)
-        if best:
-            nearest, central = F.min(F.struct("apart", "b")).alias("p"), F.max(F.struct("degree", -F.col("b"))).alias("q")
-            pairs = materialise(pairs.groupBy("a").agg(nearest, central), "best")
-            pairs = pairs.select("a", "p.b").union(pairs.select("a", -F.col("q.col2")))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def joined(named: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``named`` with the names joined that a pair of truly similar sets joins."""
-        ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b"))).distinct()
-        known = materialise(sig.join(ends, "row").select("row", "shingles"), "sets")
-        both = pairs.join(known.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a")
-        both = both.join(known.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-        with _small_batches(docs.sparkSession):
-            true = materialise(both.where(similar("x", "y") >= similarity).select("a", "b"), "true")
-        names = named.select("node", "name")
-        links = true.join(names.select(F.col("node").alias("a"), F.col("name").alias("m")), "a")
-        links = links.join(names.select(F.col("node").alias("b"), F.col("name").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
-        components = connected_components(links).select(F.col("node").alias("name"), "component")
-        out = named.join(components, "name", "left").withColumn("name", F.coalesce("component", "name"))
-        return materialise(out.select(*named.columns), "named")
-
-    # First, by some of the blocks, every row meets its best ones only: that joins most of a large group. Then all
-    # pairs of all blocks are compared whose rows are still apart.
-    named, tested, part = classes.select("node", F.col("node").alias("name"), "size", fp, "sure"), None, math.ceil(FIRST_SHARE * blocks)
-    for at, n, best in [*((k * part, part, True) for k in range(FIRST_ROUNDS)), (0, blocks, False)]:
-        pairs = candidates(named, at, n, best)
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        named = joined(named, pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-    found = classes.join(named.select("node", F.col("name").alias("component")), "node").select("mark", "component")
-    return sig.select("id", "print", "mark", "row"), materialise(found, "found")
+    @F.pandas_udf("array<long>")
+    def keys(fps: pd.Series, sure: pd.Series) -> pd.Series:
+        out = []
+        for k in range(0, len(fps), 1000):  # bounds the memory of the drawn bits
+            out += list(wide_keys(list(fps.iloc[k : k + 1000]), list(sure.iloc[k : k + 1000]), chosen))
+        return pd.Series(out, dtype=object)
+
+    keyed = classes.select("node", fp, F.explode(keys(fp, F.col("sure"))).alias("key"))
+    candidates = connected_components(near_edges(keyed, near))
+
+    # One row, with its set, for each class that is a candidate; small groups share a task, large ones have many.
+    groups = materialise(sig.join(candidates.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), fp, "shingles"), "sets")
+    sums = groups.groupBy("component").agg(F.sum(F.octet_length("shingles") + 64).alias("bytes"))
+    total = sums.agg(F.sum("bytes")).first()[0] or 0
+    sums = sums.withColumn("parts", F.ceil(F.col("bytes") / SET_BYTES).cast("int"))
+    dealt = groups.join(sums, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    alone = F.pmod(F.xxhash64("component"), F.lit(max(1, total // SET_BYTES)))
+    pair = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = dealt.withColumn("bucket", F.when(F.col("parts") == 1, alone).otherwise(pair)).select("bucket", "component", "node", "fp", "shingles", "part")
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, group in frame.groupby("component"):
+            group = group.sort_values("node")
+            node, part = group["node"].to_numpy(), group["part"].to_numpy()
+            wide = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
+            root = similar_links(wide, [np.frombuffer(x, "<u4") for x in group["shingles"]], part, near, similarity)
+            some = np.nonzero(root != np.arange(len(root)))[0]
+            a.append(node[root[some]])
+            b.append(node[some])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    true = connected_components(dealt.groupBy("bucket").applyInPandas(links, "a long, b long"))
+    named = classes.select("node", "mark").join(true, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
+    return sig.select("id", "print", "mark", "row"), materialise(named, "found")
 
 
 def _print_of(text: Column) -> Column:

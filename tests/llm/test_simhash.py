@@ -120,22 +120,26 @@ def test_ids_play_no_part_in_what_links(spark, monkeypatch):
     assert got == sorted([(1, 1), (None, 1), (2, 1), (7, 7), (7, 5), (5, 5)], key=str)
 
 
-def test_pairs_of_frame_are_all_pairs():
+@pytest.mark.parametrize("parts", [1, 3])
+def test_similar_links_are_those_of_all_pairs(parts):
+    """A base with many copies that are similar to it and not to each other, and others; whole or in pairs of parts."""
     rng = np.random.default_rng(9)
-    key = np.sort(np.concatenate((np.zeros(300, np.int64), rng.integers(1, 40, 400))))
-    fp = rng.integers(0, 4, (700, 2)).astype(np.uint64)
-    name, size = rng.choice([7, 7, 7, 7, *range(100, 140)], 700), rng.integers(50, 100, 700)
-    i, j, apart = simhash.pairs_of_frame(key, fp, name, size, 2, 0.8)
-    got = sorted(tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True))
-    far = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[a], fp[b], strict=True))
-    want = [(a, b) for b in range(700) for a in range(b) if key[a] == key[b] and name[a] != name[b] and far(a, b) <= 2 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])]
-    assert got == sorted(want) and all(far(a, b) == d for a, b, d in zip(i, j, apart, strict=True))
-    own, other, bits, degree = simhash.best_of_pairs(i, j, apart)
-    partners = {o: [(d, int(y if x == o else x)) for x, y, d in zip(i, j, apart, strict=True) if o in (x, y)] for o in set(own.tolist())}
-    assert set(own.tolist()) == {*i.tolist(), *j.tolist()} and len(own) <= 2 * len(partners)
-    for o, mine in partners.items():
-        best = [(bits[k], degree[k]) for k in np.nonzero(own == o)[0]]
-        assert min(d for d, _ in mine) in [d for d, _ in best] and max(len(partners[p]) for _, p in mine) in [n for _, n in best]
+    base = np.unique(rng.integers(0, 1 << 31, 200))
+    sets = [base, *(np.unique(np.concatenate((base[rng.random(len(base)) > 0.12], rng.integers(0, 1 << 31, 20)))) for _ in range(80))]
+    sets += [np.unique(rng.integers(0, 1 << 31, 200)) for _ in range(40)]
+    fp = np.stack([np.frombuffer(simhash.wide_fingerprint(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 4)[0], np.uint64) for x in sets])
+    part, root = rng.integers(0, parts, len(sets)), np.arange(len(sets))
+    for i in range(parts):
+        for j in range(i, parts):
+            rows = np.nonzero((part == i) | (part == j))[0]
+            found = simhash.similar_links(fp[rows], [sets[k] for k in rows], part[rows], 54, 0.8)
+            root = shared.merged(root, rows[found], rows)
+    want = np.arange(len(sets))
+    for b in range(len(sets)):
+        for a in range(b):
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and np.bitwise_count(fp[a] ^ fp[b]).sum() <= 54:
+                want = shared.merged(want, np.array([a]), np.array([b]))
+    assert root.tolist() == want.tolist() and (want == 0).sum() > 20
 
 
 def jaccard(a, b, n=5):
