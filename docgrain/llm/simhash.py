@@ -40,8 +40,10 @@ LEAST_WIDTH, MEAN_BUCKET = 16, 512
 #: Chance that a pair at the threshold meets in no block, and how often, of two that differ in one bit of a block, this
 #: is the least certain bit of either (the tests measure both).
 MISSED, TURNED = 0.001, 0.6
-#: Bytes of sets that one task compares at once; groups with more are dealt out in pairs of parts.
-SET_BYTES = 1 << 24
+#: Bytes of sets that one task compares at once; groups with more are dealt out in parts.
+SET_BYTES = 1 << 25
+#: Rows of a large group, those with most candidates, that meet all others before the parts meet each other.
+HUBS = 32
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
 LONG_RUN = 100_000
 
@@ -160,36 +162,40 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> Iterator[tuple[i
             yield int(members[0]), members[1:]
 
 
-def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between nodes of equal keys, sorted by key, whose fingerprints (rows of words) differ in at most ``distance`` bits.
+def links_of_frame(key: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b), and for every row how many others it is close to (in long runs by a sample), between nodes of equal keys, sorted by key, whose fingerprints (rows of words) differ in at most ``distance`` bits.
 
     They are a spanning forest of what the pairs within the distance connect.
     """
     first = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
     sizes = np.diff(np.append(first, len(key)))
-    root = np.arange(len(key))
+    root, degree = np.arange(len(key)), np.zeros(len(key), np.int64)
     short = np.repeat(sizes <= SHORT_RUN, sizes)
     for shift in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
         same = np.nonzero((key[shift:] == key[:-shift]) & short[:-shift])[0]
         if not len(same):
             break
         near = same[_near(fp[same], fp[same + shift], distance)]
+        degree[near] += 1
+        degree[near + shift] += 1
         root = merged(root, near, near + shift)
     some = np.nonzero(root != np.arange(len(key)))[0]
     a, b = [node[root[some]]], [node[some]]
     for at, n in zip(first[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True):
+        for k in np.linspace(at, at + n - 1, 32).astype(np.int64):
+            degree[at : at + n] += _near(fp[at : at + n], fp[k], distance) * (n // 32)
         for start, others in _forest(fp[at : at + n], node[at : at + n], distance):
             a.append(np.full(len(others), start))
             b.append(others)
-    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64), degree
 
 
-def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
+def near_edges(keyed: DataFrame, distance: int, degrees: bool = False) -> DataFrame:
     """Edges (a, b) between nodes of (node, fp, key) that share a key and differ in at most ``distance`` bits.
 
     They are enough to give all components; ``fp`` is a long or, for wide fingerprints, bytes. Rows with the same
     node count as joined already. Buckets of more than LONG_RUN rows are dealt out in parts: every pair of parts is a
-    bucket of its own.
+    bucket of its own. With ``degrees`` there are also rows (a, null, n): n rows were close to the node in some bucket.
     """
     # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
     hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
@@ -199,8 +205,15 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
         for frame in sorted_groups(batches, "key"):
             fp = frame["fp"].to_numpy()
             fp = np.frombuffer(b"".join(fp), np.uint64) if fp.dtype == object else fp.view(np.uint64)
-            a, b = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), frame["node"].to_numpy(), distance)
-            yield pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
+            node = frame["node"].to_numpy()
+            a, b, degree = links_of_frame(frame["key"].to_numpy(), fp.reshape(len(frame), -1), node, distance)
+            edges = pd.DataFrame({"a": a, "b": b}).query("a != b").drop_duplicates()
+            if not degrees:
+                yield edges
+                continue
+            yield edges.assign(n=0)
+            own, at = np.unique(node[degree > 0], return_inverse=True)
+            yield pd.DataFrame({"a": own, "b": pd.array([None] * len(own), "Int64"), "n": np.bincount(at, degree[degree > 0], len(own)).astype(np.int64)})
 
     dealt = keyed.select("node", "fp", "key")
     if not hot.isEmpty():
@@ -210,7 +223,7 @@ def near_edges(keyed: DataFrame, distance: int) -> DataFrame:
         wide = dealt.join(hot, "key").withColumn("i", part).withColumn("j", other)
         wide = wide.select("node", "fp", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
         dealt = dealt.join(hot, "key", "left_anti").select("node", "fp", "key").unionByName(wide)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(compare, "a long, b long" + ", n long" * degrees)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
@@ -266,14 +279,15 @@ def wide_keys(fps: list[bytes], sure: list[bytes], chosen: np.ndarray) -> np.nda
     return np.concatenate((own * len(chosen) + np.arange(len(chosen)), turned * len(chosen) + np.arange(len(chosen))), axis=1)
 
 
-def similar_links(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, distance: int, similarity: float) -> np.ndarray:
-    """For each row the smallest index of its class, by pairs within the distance whose sets are similar.
+def similar_links(fp: np.ndarray, sets: list[np.ndarray], name: np.ndarray, here: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """For each row the smallest index of its class, by names and by pairs within the distance whose sets are similar.
 
-    With more than one part, only pairs from different parts count: those of one part meet elsewhere. A pair that is
-    joined already is passed over; close pairs come first, so that few are left in a large class.
+    Of a pair one row at least must be at home (``here``). A pair that is joined already is passed over; close pairs
+    come first, so that few are left in a large class.
     """
     n, size = len(fp), np.array([len(x) for x in sets])
-    root, across = np.arange(n), part.min() != part.max()
+    _, first, which = np.unique(name, return_index=True, return_inverse=True)
+    root = first[which]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -286,7 +300,7 @@ def similar_links(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, dist
         apart = np.bitwise_count(fp[lo:hi, None] ^ fp[None, lo:]).sum(axis=-1, dtype=np.int16)
         i, j = np.nonzero((apart <= distance) & (np.minimum(size[lo:hi, None], size[lo:]) >= similarity * np.maximum(size[lo:hi, None], size[lo:])))
         apart, i, j = apart[i, j], i + lo, j + lo
-        fine = (j > i) & ((part[i] != part[j]) if across else True)
+        fine = (j > i) & (name[i] != name[j]) & (here[i] | here[j])
         order = np.argsort(apart[fine], kind="stable")
         for x, y in zip(i[fine][order].tolist(), j[fine][order].tolist(), strict=True):
             a, b = find(x), find(y)
@@ -295,6 +309,23 @@ def similar_links(fp: np.ndarray, sets: list[np.ndarray], part: np.ndarray, dist
     return np.array([find(i) for i in range(n)], np.int64)
 
 
+def _linked_names(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(node, component) of the names that similar sets join, of (bucket, component, node, name, fp, shingles, here)."""
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for _, group in frame.groupby("component"):
+            group = group.sort_values("node")
+            name = group["name"].to_numpy()
+            wide = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
+            root = similar_links(wide, [np.frombuffer(x, "<u4") for x in group["shingles"]], name, group["here"].to_numpy(), distance, similarity)
+            a.append(name[root])
+            b.append(name)
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).query("a != b").drop_duplicates()
+
+    return connected_components(rows.groupBy("bucket").applyInPandas(links, "a long, b long"))
+
+
 @contextmanager
 def _small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """What is materialised meanwhile reaches Python in batches of few rows: sets of shingles can be large."""
@@ -339,32 +370,47 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         return pd.Series(out, dtype=object)
 
     keyed = classes.select("node", fp, F.explode(keys(fp, F.col("sure"))).alias("key"))
-    candidates = connected_components(near_edges(keyed, near))
-
-    # One row, with its set, for each class that is a candidate; small groups share a task, large ones have many.
-    groups = materialise(sig.join(candidates.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), fp, "shingles"), "sets")
-    sums = groups.groupBy("component").agg(F.sum(F.octet_length("shingles") + 64).alias("bytes"))
-    total = sums.agg(F.sum("bytes")).first()[0] or 0
-    sums = sums.withColumn("parts", F.ceil(F.col("bytes") / SET_BYTES).cast("int"))
-    dealt = groups.join(sums, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    alone = F.pmod(F.xxhash64("component"), F.lit(max(1, total // SET_BYTES)))
-    pair = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = dealt.withColumn("bucket", F.when(F.col("parts") == 1, alone).otherwise(pair)).select("bucket", "component", "node", "fp", "shingles", "part")
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for _, group in frame.groupby("component"):
-            group = group.sort_values("node")
-            node, part = group["node"].to_numpy(), group["part"].to_numpy()
-            wide = np.frombuffer(b"".join(group["fp"]), np.uint64).reshape(len(group), -1)
-            root = similar_links(wide, [np.frombuffer(x, "<u4") for x in group["shingles"]], part, near, similarity)
-            some = np.nonzero(root != np.arange(len(root)))[0]
-            a.append(node[root[some]])
-            b.append(node[some])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    true = connected_components(dealt.groupBy("bucket").applyInPandas(links, "a long, b long"))
+    met = materialise(near_edges(keyed, near, degrees=True), "met")
+    candidates = connected_components(met.select("a", "b"))
+
+    # One row, with its set, for each class that is a candidate; small groups share a task, large ones have parts.
+    groups = sig.join(candidates.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), fp, "shingles")
+    groups = materialise(groups.withColumn("bytes", F.octet_length("shingles") + 64), "sets")
+    sums = groups.groupBy("component").agg(F.sum("bytes").alias("whole"))
+    total = sums.agg(F.sum("whole")).first()[0] or 0
+    sums = materialise(sums.select("component", F.ceil(F.col("whole") / SET_BYTES).cast("int").alias("parts")), "parts")
+    dealt = groups.drop("bytes").join(sums, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    alone = F.pmod(F.xxhash64("component"), F.lit(max(1, 2 * total // SET_BYTES)))
+    columns = ["bucket", "component", "node", "name", "fp", "shingles", "here"]
+
+    def in_parts(rows: DataFrame, part: str, here: Column) -> DataFrame:
+        bucket = F.when(F.col("parts") == 1, alone).otherwise(F.xxhash64("component", part))
+        return rows.withColumn("bucket", bucket).withColumn("here", here).select(*columns)
+
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    plain = in_parts(dealt.withColumn("name", F.col("node")), "part", F.lit(True))
+    large = not sums.where("parts > 1").isEmpty()
+    if large:
+        degrees = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")).join(candidates, "node")
+        degrees = degrees.join(sums.where("parts > 1"), "component")
+        hubs = degrees.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max_by("node", F.struct("n", "node")).alias("node"))
+        guests = dealt.join(hubs.select("node"), "node").withColumn("name", F.col("node")).withColumn("other", every).where("other <> part")
+        plain = plain.unionByName(in_parts(guests, "other", F.lit(False)))
+    true = _linked_names(plain, near, similarity)
+    if large:
+        # Rows of the name that most rows of a group have stay in their part; those of other names go to all parts.
+        named = dealt.where("parts > 1").join(true, "node", "left").withColumn("name", F.coalesce(true["component"], "node")).drop(true["component"])
+        named = materialise(named, "named")
+        most = named.groupBy("component", "name").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("name", F.struct("n", "name")).alias("most"))
+        both = named.join(most, "component")
+        others = both.where("name <> most").withColumn("other", every)
+        again = in_parts(both.where("name = most"), "part", F.lit(True)).unionByName(in_parts(others, "other", F.col("other") == F.col("part")))
+        more = _linked_names(again, near, similarity).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        firsts = true.select("component").distinct().withColumn("node", F.col("component"))
+        more = more.join(firsts, "component", "left")
+        true = true.join(more.select("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(
+            more.where("node is null").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+        )
     named = classes.select("node", "mark").join(true, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
     return sig.select("id", "print", "mark", "row"), materialise(named, "found")
 
