@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,31 @@ def forget(df: DataFrame) -> None:
         _written.difference_update([p for p in _written if p.rpartition("/")[2] == root.rpartition("/")[2]])
 
 
+#: Words of 64 bits of a filter: 8 MB, whatever it is made of.
+FILTER_WORDS = 1 << 20
+
+
+def may_be_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of 64-bit hashes that holds for all in the only column of ``keys`` and, while they are few, for few others.
+
+    It keeps rows that a join would drop out of its shuffle. Its size is fixed; with many keys it holds for nearly
+    everything, and the join alone decides.
+    """
+    h = F.col(keys.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.groupBy(h.bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    words = np.zeros(FILTER_WORDS, np.int64)
+    words[found["w"].to_numpy()] = found["bits"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        x = hashes.to_numpy().astype(np.int64)
+        return pd.Series((shared.value[x & (FILTER_WORDS - 1)] >> (x >> 40 & 63) & 1).astype(bool))
+
+    return test
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph with edges (a, b): rows (node, component), component its smallest node.
 

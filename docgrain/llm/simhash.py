@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, merged, smallest_of_component, sorted_groups
+from docgrain.llm.shared import connected_components, materialise, may_be_in, merged, smallest_of_component, sorted_groups
 
 SEED = 42
 BITS = 64
@@ -46,6 +46,8 @@ SET_BYTES = 1 << 25
 HUBS = 32
 #: A bucket with more fingerprints than this is dealt out again, in pairs of parts, over many tasks.
 LONG_RUN = 100_000
+#: One node in as many is counted to find such buckets.
+SEEN = 32
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -197,8 +199,9 @@ def near_edges(keyed: DataFrame, distance: int, degrees: bool = False) -> DataFr
     node count as joined already. Buckets of more than LONG_RUN rows are dealt out in parts: every pair of parts is a
     bucket of its own. With ``degrees`` there are also rows (a, null, n): n rows were close to the node in some bucket.
     """
-    # Counts are combined before their shuffle; the keys that come out are those of unusually large buckets.
-    hot = keyed.groupBy("key").count().where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
+    # One node in SEEN is enough to see which buckets are unusually large; the parts do not change what is found.
+    seen = keyed.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SEEN)) == 0).groupBy("key").agg((F.count("*") * SEEN).alias("count"))
+    hot = seen.where(F.col("count") > LONG_RUN).withColumn("parts", F.ceil(F.col("count") / (LONG_RUN // 2)).cast("int"))
     hot = materialise(hot.select("key", "parts"), "hot")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,7 +377,8 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     candidates = connected_components(met.select("a", "b"))
 
     # One row, with its set, for each class that is a candidate; small groups share a task, large ones have parts.
-    groups = sig.join(candidates.withColumnRenamed("node", "row"), "row").select("component", F.col("row").alias("node"), fp, "shingles")
+    row, candidates = F.xxhash64("row"), materialise(candidates.withColumnRenamed("node", "row"), "candidates")
+    groups = sig.where(may_be_in(candidates.select(row))(row)).join(candidates, "row").select("component", F.col("row").alias("node"), fp, "shingles")
     groups = materialise(groups.withColumn("bytes", F.octet_length("shingles") + 64), "sets")
     sums = groups.groupBy("component").agg(F.sum("bytes").alias("whole"))
     total = sums.agg(F.sum("whole")).first()[0] or 0
@@ -391,7 +395,7 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     plain = in_parts(dealt.withColumn("name", F.col("node")), "part", F.lit(True))
     large = not sums.where("parts > 1").isEmpty()
     if large:
-        degrees = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")).join(candidates, "node")
+        degrees = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")).join(candidates.withColumnRenamed("row", "node"), "node")
         degrees = degrees.join(sums.where("parts > 1"), "component")
         hubs = degrees.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max_by("node", F.struct("n", "node")).alias("node"))
         guests = dealt.join(hubs.select("node"), "node").withColumn("name", F.col("node")).withColumn("other", every).where("other <> part")
@@ -449,9 +453,11 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # What goes, and the kept rows that occur again: these few are grouped, all others only pass an anti-join.
     special = materialise(rows.where("not kept or n > 1").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("kept").alias("__kept")), "special")
     marked = docs.withColumn("__key", _print_of(F.col(text_col)))
+    marked = marked.withColumn("__maybe", may_be_in(special.select(F.xxhash64("__id", "__print")))(F.xxhash64(F.col(id_col).cast(sig.schema["id"].dataType), F.col("__key"))))
     same = marked[id_col].eqNullSafe(special["__id"]) & (marked["__key"] == special["__print"])
-    once = marked.join(special, same, "left_anti").select(*docs.columns)
-    again = marked.join(special.where("__kept"), same).select(*docs.columns, "__id", "__print")
+    sure = marked.where("not __maybe").select(*docs.columns)
+    once = sure.unionByName(marked.where("__maybe").join(special, same, "left_anti").select(*docs.columns))
+    again = marked.where("__maybe").join(special.where("__kept"), same).select(*docs.columns, "__id", "__print")
     columns = F.struct(*[F.col(c) for c in docs.columns])
     again = again.groupBy("__id", "__print").agg(F.min_by(columns, F.xxhash64(*docs.columns)).alias("__row")).select("__row.*")
     return once.unionByName(again)
