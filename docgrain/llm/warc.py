@@ -1,7 +1,8 @@
 """WARC archives, compressed record by record with a Zstandard dictionary that the archive carries.
 
 An archive is a skippable frame (magic 0x184D2A5D) with a dictionary built from its own first records, then one
-Zstandard frame for each WARC record. Records with equal payloads are written once; the others revisit that one.
+Zstandard frame for each WARC record, the first of which describes the archive. Where the first records are too few
+to train on, the dictionary is their raw content. Records with equal payloads are written once; the others revisit that one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ SKIPPABLE = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
 
-#: Records, in bytes, from which an archive's dictionary is built; they are held until it is.
-SAMPLE_BYTES = 1 << 20
+#: What an archive's dictionary is built from: records are held until there are so many, with so many bytes of which
+#: each gives RECORD_SAMPLE at most, or until HELD_BYTES are held.
+SAMPLE_RECORDS, SAMPLE_BYTES, RECORD_SAMPLE, HELD_BYTES = 16, 1 << 20, 1 << 17, 1 << 26
 DICTIONARY_BYTES = 1 << 15
 #: Size at which a task begins its next archive.
 ARCHIVE_BYTES = 1 << 28
@@ -53,17 +55,28 @@ def _record(kind: str, name: str, headers: dict[str, str], block: bytes, date: s
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
-    """A response record, or a revisit record, whose block is the HTTP header alone."""
+def info_record(name: str, date: str = DATE) -> bytes:
+    """The record that begins an archive."""
+    fields = b"format: WARC File Format 1.1\r\nsoftware: docgrain\r\n"
+    return _record("warcinfo", f"{URN}{name}", {"Content-Type": "application/warc-fields"}, fields, date)
+
+
+def page_record(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
+    """A response record, or a revisit record, whose block is the HTTP header alone.
+
+    ``name`` is unique among all records, as ids of pages need not be; pages are named by fields of their own.
+    """
     digest = digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     headers = {"WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http;msgtype=response"}
     if url is not None:
         headers["WARC-Target-URI"] = _uri(url)
+    if page_id is not None:
+        headers["X-Page-ID"] = str(page_id)
     if not revisit:
-        return _record("response", f"{URN}{'' if page_id is None else page_id}", headers, http + payload, date)
-    headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{URN}{'' if refers_to is None else refers_to}>"}
-    return _record("revisit", f"{URN}{'' if page_id is None else page_id}", headers, http, date)
+        return _record("response", f"{URN}{name}", headers, http + payload, date)
+    headers |= {"WARC-Profile": REVISIT_PROFILE, "X-Refers-To-Page": "" if refers_to is None else str(refers_to)}
+    return _record("revisit", f"{URN}{name}", headers, http, date)
 
 
 class ArchiveWriter:
@@ -75,8 +88,11 @@ class ArchiveWriter:
         self.fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(self.hidden, compression=None)
         self.held: list[bytes] | None = []
-        self.held_bytes = self.raw = self.records = self.written = 0
+        self.sample_bytes = self.held_bytes = self.raw = self.records = self.written = 0
         self.compressor: zstandard.ZstdCompressor | None = None
+        self.name = path.rpartition("/")[2].partition(".")[0]
+        self.add(info_record(self.name))
+        self.records = 0  # of pages
 
     def add(self, record: bytes) -> None:
         self.records += 1
@@ -86,7 +102,8 @@ class ArchiveWriter:
             return
         self.held.append(record)
         self.held_bytes += len(record)
-        if self.held_bytes >= SAMPLE_BYTES:
+        self.sample_bytes += min(len(record), RECORD_SAMPLE)
+        if (len(self.held) >= SAMPLE_RECORDS and self.sample_bytes >= SAMPLE_BYTES) or self.held_bytes >= HELD_BYTES:
             self._begin()
 
     def _put(self, data: bytes) -> None:
@@ -94,17 +111,15 @@ class ArchiveWriter:
         self.written += len(data)
 
     def _begin(self) -> None:
-        """Builds the dictionary from the records held and writes them. Too few of them: no dictionary and no leading frame."""
+        """Builds the dictionary from the records held and writes them."""
+        samples = [r[:RECORD_SAMPLE] for r in self.held]
         try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, [r[: 1 << 17] for r in self.held], k=256, d=8, level=3)
-        except zstandard.ZstdError:
-            dictionary = None
-        if dictionary is not None:
-            data = dictionary.as_bytes()
-            self._put(struct.pack("<II", SKIPPABLE, len(data)) + data)
-            self.compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
-        else:
-            self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True)
+            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, level=3)
+        except zstandard.ZstdError:  # too few or too small
+            dictionary = zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data = dictionary.as_bytes()
+        self._put(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         held, self.held = self.held, None
         for record in held:
             self._put(self.compressor.compress(record))
@@ -154,10 +169,10 @@ def parse_record(record: bytes) -> dict:
         raise ValueError("the record's length is wrong")
     http, _, payload = rest[:size].partition(b"\r\n\r\n")
     kind = fields["warc-type"]
-    bare = lambda v: int(x) if v and (x := v.strip("<>").removeprefix(URN)) else None
+    bare = lambda v: int(v) if v else None
     out = {"record_type": kind, "page_id": None, "url": fields.get("warc-target-uri"), "payload": None, "payload_digest": None, "payload_bytes": 0, "refers_to": None}
     if kind in ("response", "revisit"):
-        out |= {"page_id": bare(fields["warc-record-id"]), "refers_to": bare(fields.get("warc-refers-to")), "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:")}
+        out |= {"page_id": bare(fields.get("x-page-id")), "refers_to": bare(fields.get("x-refers-to-page")), "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:")}
         out["payload_bytes"] = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
         if kind == "response":
             out["payload"] = payload
@@ -195,7 +210,7 @@ def write_archives(records: DataFrame, out: str, archive_bytes: int = ARCHIVE_BY
             for page_id, url, html, revisit, ref in batch[["page_id", "url", "html", "revisit", "refers_to"]].itertuples(index=False):
                 if archive is None:
                     archive = ArchiveWriter(f"{out}/part-{task.partitionId():05d}-{k:04d}.warc.zst", str(task.taskAttemptId()))
-                archive.add(page_record(None if page_id is None else int(page_id), url, html.encode("utf-8", "surrogatepass"), None if ref is None else int(ref), bool(revisit)))
+                archive.add(page_record(f"{archive.name}:{archive.records}", None if page_id is None else int(page_id), url, html.encode("utf-8", "surrogatepass"), None if ref is None else int(ref), bool(revisit)))
                 if archive.written >= archive_bytes:
                     done.append(archive.close())
                     archive, k = None, k + 1
@@ -203,7 +218,7 @@ def write_archives(records: DataFrame, out: str, archive_bytes: int = ARCHIVE_BY
             done.append(archive.close())
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    ordered = records.sortWithinPartitions("page_id", "url", F.octet_length("html"), "revisit")
+    ordered = records.sortWithinPartitions("page_id", "url", F.sha2("html", 256), "revisit")
     # Ids as text: pandas has no whole numbers beside nulls.
     ordered = ordered.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return materialise(ordered.mapInPandas(write, "path string, records long, bytes long"), "archives")
