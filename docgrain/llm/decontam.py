@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -44,6 +45,7 @@ class WindowSet:
     words: np.ndarray  # ids of all items' words, one item after the other
     items: list[str | None]
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, starts in words, items
+    last: bool = True  # of its benchmark
 
     @classmethod
     def of(cls, rows: list[tuple[str | None, str | None]], n: int = WINDOW) -> WindowSet:
@@ -114,7 +116,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Itera
     count = max(1, -(-size // BLOCK_BYTES))
     for k in range(count):
         block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else rows
-        yield WindowSet.of([(r["item"], r["text"]) for r in block.collect()], n)  # at most a block's bytes
+        yield replace(WindowSet.of([(r["item"], r["text"]) for r in block.collect()], n), last=k == count - 1)  # at most a block's bytes
 
 
 def _scanner(docs: DataFrame, windows: WindowSet):
@@ -137,35 +139,44 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
 
     Null and empty texts have no words. An item without words has no window; an item without an id marks hits and
     is not listed; repeated items count once. An empty benchmark hits nothing. All rows and columns of ``docs`` stay.
-    The benchmark is collected in blocks of a bounded size and each block is broadcast; with several blocks the
-    documents are scanned once for each, and the results are merged in the row.
+    The benchmark is collected in blocks of a bounded size and each block is broadcast. With several blocks the
+    documents are numbered and written once and scanned once for each block, from which only hits and numbers are kept.
     """
-    done = None
-    for k, windows in enumerate(_blocks(benchmark, item_col, item_text_col, n)):
-        now = _scanner(docs, windows)(F.col(text_col))
-        if k == 0:
-            done = docs.withColumn(into, now)
-        else:
-            # Written, so that one worker never holds two blocks.
-            done = materialise(done, "scan").withColumn(into, _merged(F.col(into), _scanner(docs, windows)(F.col(text_col))))
-    return done
-
-
-def _merged(a: Column, b: Column) -> Column:
-    @F.pandas_udf(SCAN_TYPE)
-    def merge(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    row = "__row" + "_" * max(map(len, docs.columns))  # no column of docs
+    found, numbered = [], None
+    for windows in _blocks(benchmark, item_col, item_text_col, n):
+        if windows.last and numbered is None:
+            return docs.withColumn(into, _scanner(docs, windows)(F.col(text_col)))
+        if numbered is None:
+            numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        hits = numbered.select(row, _scanner(docs, windows)(F.col(text_col)).alias("h")).where("h.n_hit > 0")
+        found.append(materialise(hits, "hits"))  # written, so that one worker never holds two blocks
+
+    @F.pandas_udf("n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    def merge(several: pd.Series) -> pd.DataFrame:
         out = []
-        for n, xi, yi, xs, ys in zip(x["n_words"], x["items"], y["items"], x["spans"], y["spans"], strict=True):
+        for hits in several:
             spans: list[list[int]] = []
-            for s in sorted((s["start"], s["end"]) for s in [*xs, *ys]):
+            for s in sorted((s["start"], s["end"]) for h in hits for s in h["spans"]):
                 if spans and s[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], s[1])
                 else:
                     spans.append(list(s))
-            out.append((n, sum(e - s for s, e in spans), sorted({*xi, *yi}), [{"start": s, "end": e} for s, e in spans]))
-        return pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans"])
-
-    return merge(a, b)
+            out.append((sum(e - s for s, e in spans), sorted({x for h in hits for x in h["items"]}), [{"start": s, "end": e} for s, e in spans]))
+        return pd.DataFrame(out, columns=["n_hit", "items", "spans"])
+
+    # At most one row for each block and document.
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.collect_list("h").alias("several"))
+    merged = every.select(row, merge("several").alias(row + "m"))
+    size = _scanner(docs, WindowSet.of([]))(F.col(text_col))["n_words"]
+    m, none = F.col(row + "m"), "array<string>"
+    hits = F.struct(
+        size.alias("n_words"),
+        F.coalesce(m["n_hit"], F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(m["items"], F.array().cast(none)).alias("items"),
+        F.coalesce(m["spans"], F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+    )
+    return numbered.join(merged, row, "left").select(*docs.columns, hits.alias(into))
 
 
 def is_contaminated(hits: Column, share: int = 20) -> Column:
