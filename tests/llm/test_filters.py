@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 
 import pyarrow.fs
@@ -10,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from docgrain.llm import decontam, queries, urlfilter, warc
+from docgrain.llm import decontam, queries, shared, urlfilter, warc
 from tests.oracle import assert_same, connect
 
 
@@ -133,6 +134,28 @@ def test_archive_begins_with_its_dictionary(spark, tmp_path):
         list(warc.read_frames(io.BytesIO(data[:-5])))
 
 
+@pytest.mark.parametrize("bodies", [["a"], ["a", "b", "<p>c</p>"], ["x" * 3_000_000, "y"], ["word " * i for i in range(40)]])
+def test_every_archive_has_its_dictionary(spark, tmp_path, bodies):
+    """Also with few, small or large records; names of records are unique although page ids repeat."""
+    root = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame([(i // 2, "http://x", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(warc.plan_records(pages), root).first()["path"]
+    fs, _ = pyarrow.fs.FileSystem.from_uri(root)
+    data = fs.open_input_stream(path, compression=None).read()
+    assert data[:4] == b"\x5d\x2a\x4d\x18" and int.from_bytes(data[4:8], "little") >= 8
+    records = list(warc.read_frames(io.BytesIO(data)))
+    names = [line for r in records for line in r.split(b"\r\n\r\n")[0].split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+    assert len(set(names)) == len(records) == len(bodies) + 1 and b"WARC-Type: warcinfo" in records[0]
+    assert sorted(warc.parse_record(r)["payload"] or b"" for r in records[1:]) == sorted(b.encode() for b in bodies)
+
+
+def test_archives_are_released(spark):
+    found = warc.archive_pages(pages_of(spark).limit(5))
+    assert found.count() == 5
+    shared.release(spark)
+    assert not [x for x in os.listdir(shared.shared_dir(spark).removeprefix("file:")) if "-warc-" in x]
+
+
 def test_a_task_begins_new_archives(spark, tmp_path):
     rng = random.Random(9)
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"{rng.getrandbits(400_000):x}") for i in range(60)], "page_id long, url string, html string").coalesce(1)
