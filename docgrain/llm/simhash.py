@@ -342,17 +342,18 @@ def _small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 
 
 def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, words: int, slack: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, print, mark) of all texts, and (mark, component) of the classes of equal sets of shingles."""
+    """Rows (id, print, mark) of all texts, and (mark, component) of the classes of equal sets of shingles that have
+    several rows or are joined with others; any other class is alone."""
     bits = BITS * words
 
-    @F.pandas_udf("mark binary, sure binary, shingles binary, size int")
+    @F.pandas_udf("mark binary, sure binary, shingles binary")
     def simhash(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             x = shingle_set(text, shingle)
             fp, sure = wide_fingerprint(x, words)
-            out.append((fp + hashlib.md5(x.tobytes()).digest(), sure, np.unique(x.astype("<u4")).tobytes(), len(x)))
-        return pd.DataFrame(out, columns=["mark", "sure", "shingles", "size"])
+            out.append((fp + hashlib.md5(x.tobytes()).digest(), sure, np.unique(x.astype("<u4")).tobytes()))
+        return pd.DataFrame(out, columns=["mark", "sure", "shingles"])
 
     text = F.col(text_col)
     sig = docs.select(F.col(id_col).alias("id"), _print_of(text).alias("print"), simhash(text).alias("s"))
@@ -360,7 +361,7 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         # Rows have numbers of their own; they hold once they are written.
         sig = materialise(sig.select("id", "print", "s.*", F.monotonically_increasing_id().alias("row")), "sig")
     fp = F.substring("mark", 1, bits // 8).alias("fp")
-    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.first("size").alias("size"), F.first("sure").alias("sure")), "classes")
+    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.first("sure").alias("sure")), "classes")
     width, blocks = blocks_for(classes.count(), similarity)
     chosen = drawn_blocks(bits, width, blocks)
     near = bits_apart(similarity, bits) + slack
@@ -415,8 +416,10 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
         true = true.join(more.select("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(
             more.where("node is null").select(F.col("component").alias("node"), F.col("whole").alias("component"))
         )
-    named = classes.select("node", "mark").join(true, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
-    return sig.select("id", "print", "mark", "row"), materialise(named, "found")
+    true = materialise(true, "joined")
+    some = classes.where((F.col("n") > 1) | may_be_in(true.select(F.xxhash64("node")))(F.xxhash64("node"))).select("node", "mark", "n").join(true, "node", "left")
+    found = some.where("n > 1 or component is not null").select("mark", F.coalesce("component", "node").alias("component"))
+    return sig.select("id", "print", "mark"), materialise(found, "found")
 
 
 def _print_of(text: Column) -> Column:
@@ -433,10 +436,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     not joined already are compared, by 32-bit hashes of their shingles. Equal sets are one class. Rows and ids are treated as in :func:`simhash_groups`.
     """
     sig, found = _similar_classes(docs, id_col, text_col, shingle, similarity, words, slack)
-    least = sig.groupBy("mark").agg(F.min("id").cast("long").alias("least")).join(found, "mark")
-    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = materialise(found.join(ids, "component").select("mark", "component_id"), "ids")
-    return sig.join(found, "mark").select(F.col("id").alias(id_col), "component_id")
+    least = _of_groups(sig, found).groupBy("component").agg(F.min("id").cast("long").alias("component_id"))
+    found = materialise(found.join(least, "component").select("mark", F.lit(True).alias("grouped"), "component_id"), "ids")
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id").cast("long"))
+    return sig.join(found, "mark", "left").select(F.col("id").alias(id_col), component.alias("component_id"))
+
+
+def _of_groups(sig: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``sig`` whose class is in ``found``, with its component."""
+    return sig.where(may_be_in(found.select(F.xxhash64("mark")))(F.xxhash64("mark"))).join(found, "mark")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, slack: int = 15) -> DataFrame:
@@ -446,7 +454,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     id, one of them stays all the same. Texts without words are one group.
     """
     sig, found = _similar_classes(docs, id_col, text_col, shingle, similarity, words, slack)
-    rows = sig.groupBy("mark", "id", "print").agg(F.count("*").alias("n")).join(found, "mark")
+    rows = _of_groups(sig, found).groupBy("component", "id", "print").agg(F.count("*").alias("n"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "print")).alias("first"))
     kept = materialise(first.select("first.id", "first.print").withColumn("kept", F.lit(True)), "kept")
     rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["print"] == kept["print"]), "left").select(rows["id"], rows["print"], "n", F.coalesce("kept", F.lit(False)).alias("kept"))
