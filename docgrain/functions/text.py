@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # The stop list of content tokens.
 STOP_WORDS = (
-    "the a an and or of to in on for with by at from as is are was were be been "
-    "this that these those it its his her their our your they we you i"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "at", "from", "as", "is", "are", "was", "were", "be", "been", "this",
+    "that", "these", "those", "it", "its", "his", "her", "their", "our", "your", "they", "we", "you", "i",
+)
 
 # Corporate suffixes and the acronyms that stand for whole names.
 CORPORATE_SUFFIXES = ("inc", "llc", "ltd", "corp", "co", "company", "gmbh", "plc", "lp", "llp", "incorporated", "corporation", "limited")
@@ -25,12 +25,17 @@ ALIASES = {
 }
 
 # Names that are no entities.
-MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
-WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar",
+    "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+)
+WEEKDAYS = (
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+)
 GENERIC_NAMES = (
-    "total report table figure exhibit data number year page section appendix note source other various unknown n/a none "
-    "percent rate count type category overview"
-).split()
+    "total", "report", "table", "figure", "exhibit", "data", "number", "year", "page", "section", "appendix", "note", "source", "other", "various",
+    "unknown", "n/a", "none", "percent", "rate", "count", "type", "category", "overview",
+)
 
 # Patterns of dates, cases and places.
 DATE = r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b"

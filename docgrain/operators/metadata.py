@@ -17,25 +17,34 @@ ITEM_TYPES = ["pistol", "rifle", "shotgun", "revolver", "handgun", "ar-15", "ak-
 INCIDENT_TYPES = ["shooting", "trafficking", "theft", "straw purchase", "smuggling", "illegal sale", "homicide", "robbery", "diversion", "recovery", "seizure", "arson", "explosion", "bombing", "fire"]
 MAKERS = ["glock", "smith & wesson", "ruger", "sig sauer", "remington", "colt", "beretta", "winchester", "springfield", "taurus", "mossberg", "kel-tec", "fn herstal", "savage", "henry", "marlin", "kimber", "walther", "heckler & koch", "browning"]
 REPORT_TYPES = [
+    ("AFMER", ("afmer", "firearms manufacturing and export", "manufacturing and export")),
+    ("NFCTA", ("nfcta", "national firearms commerce and trafficking")),
+    ("Firearms-Commerce", ("firearms commerce", "commerce report")),
     ("Theft-Loss", ("theft", "theft_loss", "theft/loss", "stolen")),
+    ("Explosives-EIR", ("explosives incident", "eir", "explosive incident")),
     ("Arson", ("arson", "incendiary")),
     ("Tracing", ("tracing center", "etrace", "trace data", "ntc")),
+    ("FFL-Statistics", ("ffl statistics", "licensee statistics", "ffl inventory")),
 ]
 STATES = (
-    "alabama,alaska,arizona,arkansas,california,colorado,connecticut,delaware,florida,georgia,hawaii,idaho,illinois,indiana,iowa,kansas,"
-    "kentucky,louisiana,maine,maryland,massachusetts,michigan,minnesota,mississippi,missouri,montana,nebraska,nevada,new hampshire,"
-    "new jersey,new mexico,new york,north carolina,north dakota,ohio,oklahoma,oregon,pennsylvania,rhode island,south carolina,"
-    "south dakota,tennessee,texas,utah,vermont,virginia,washington,west virginia,wisconsin,wyoming"
-).split(",")
+    "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho",
+    "illinois", "indiana", "iowa", "kansas", "kentucky", "louisiana", "maine", "maryland", "massachusetts", "michigan", "minnesota", "mississippi",
+    "missouri", "montana", "nebraska", "nevada", "new hampshire", "new jersey", "new mexico", "new york", "north carolina", "north dakota", "ohio",
+    "oklahoma", "oregon", "pennsylvania", "rhode island", "south carolina", "south dakota", "tennessee", "texas", "utah", "vermont", "virginia",
+    "washington", "west virginia", "wisconsin", "wyoming",
+)
 NOISE = (
-    "The This That Bureau United States Report Section Page Figure Table Across Multiple Overview Summary Notes Trends Origin Connections "
-    "Distribution Investigators A An Document Date Case No Annual Statistical Update Key License Street City State Chief Branch Name Total "
-    "Source Number Amount Value Code Type Year Month Count Rate Percent Average Column Row Data Reference Rank Ranking Index Item Class "
-    "Category Sub Other All Each Per January February March April June July August September October November December However Therefore "
-    "Furthermore Additionally Moreover Including Following During Within Between Through Under Over Into From About With Without Although "
-    "Because Since While Where When Continued Appendix Exhibit Attachment Enclosure Foreword Preface Introduction Background Purpose Scope "
-    "Authority Policy Regulation Compliance Commerce Industry Licensed Manufacturer Dealer Importer Exporter Federal National International"
-).split()
+    "The", "This", "That", "Atf", "Bureau", "United", "States", "Report", "Section", "Page", "Figure", "Table", "Across", "Multiple", "Overview",
+    "Summary", "Notes", "Trends", "Origin", "Connections", "Distribution", "Investigators", "A", "An", "Document", "Date", "Case", "No", "Annual",
+    "Statistical", "Update", "Key", "License", "Street", "City", "State", "Chief", "Branch", "Name", "Total", "Source", "Number", "Amount", "Value",
+    "Code", "Type", "Year", "Month", "Count", "Rate", "Percent", "Average", "Column", "Row", "Data", "Reference", "Rank", "Ranking", "Index", "Item",
+    "Class", "Category", "Sub", "Other", "All", "Each", "Per", "January", "February", "March", "April", "June", "July", "August", "September",
+    "October", "November", "December", "However", "Therefore", "Furthermore", "Additionally", "Moreover", "Including", "Following", "During",
+    "Within", "Between", "Through", "Under", "Over", "Into", "From", "About", "With", "Without", "Although", "Because", "Since", "While", "Where",
+    "When", "Continued", "Appendix", "Exhibit", "Attachment", "Enclosure", "Foreword", "Preface", "Introduction", "Background", "Purpose", "Scope",
+    "Authority", "Policy", "Regulation", "Compliance", "Commerce", "Industry", "Licensed", "Manufacturer", "Dealer", "Importer", "Exporter",
+    "Federal", "National", "International",
+)
 COMPANY_WORDS = ("Inc", "LLC", "Corp", "Company", "Firearms", "Arms", "Guns")
 PROPER = r"\b([A-Z][a-z]+(?:\s+(?:&\s+)?[A-Z][a-z]+){0,3})\b"
 SELLER = r"\bsold (?:to|by)\s+([A-Z][a-z]+(?:\s+(?:&\s+)?[A-Z][a-z]+){0,3})"
