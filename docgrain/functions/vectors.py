@@ -74,6 +74,23 @@ def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dim: int = DIM)
     return docs.select(id_col, F.inline(embed(F.col(text_col))))
 
 
+def embedding(text: Column, dim: int = DIM) -> Column:
+    """The vector of :func:`hash_embedding` as an array of ``dim`` numbers; all zero without content tokens."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, tuple[int, int]] = {}
+        out = []
+        for t in texts:
+            v = [0.0] * dim
+            for slot, weight in sparse_embedding(t, dim, known):
+                v[slot] = weight
+            out.append(v)
+        return pd.Series(out, dtype=object)
+
+    return embed(text)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -138,6 +138,19 @@ def document_detail(chunks: DataFrame, fields: list[str], by: str = "document_id
     return _same(shares, names, [by], "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
 
 
+def store_counts(chunks: DataFrame, by: str = "corpus") -> DataFrame:
+    """(by, chunks, documents, tables, cells): what a store holds, by corpus. chunks: document_id, content_type, cells."""
+    table = F.col("content_type") == "table"
+    return chunks.groupBy(by).agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents"), F.count_if(table).alias("tables"), F.count_if(F.col("cells").isNotNull()).alias("cells"))
+
+
+def document_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks of wanted (request, document_id, source_name) documents: by id, or by name where a request has no id."""
+    by_id = chunks.join(wanted.where("document_id is not null").select("request", "document_id"), "document_id")
+    by_name = chunks.join(wanted.where("document_id is null").select("request", "source_name"), "source_name")
+    return by_id.unionByName(by_name)
+
+
 def touching(of_nodes: DataFrame, chunks: DataFrame, by: str = "document_id") -> DataFrame:
     """Distinct (document, key): the graph's nodes, by (key, chunk_id), that a document's chunks mention."""
     return of_nodes.join(chunks.select("chunk_id", by), "chunk_id").select(by, "key").distinct()

@@ -397,6 +397,12 @@ def find_nodes(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.groupBy("term", "t").agg(F.min(F.struct(F.col("key") != F.col("t"), "key")).alias("best")).select("term", F.col("best.key").alias("key"))
 
 
+def top_nodes(nodes: DataFrame, k: int = 10) -> DataFrame:
+    """(key, label, type, count, rank) of the nodes with most mentions; ties by key. The limit is applied before the shuffle."""
+    best = nodes.orderBy(F.desc("count"), "key").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "key"))).select("key", "label", "type", "count", "rank")
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the nodes of ``keys`` (key) and the edges at them."""
     left = edges.join(keys.select(F.col("key").alias("src")), "src", "left_anti").join(keys.select(F.col("key").alias("dst")), "dst", "left_anti")

@@ -27,8 +27,10 @@ STRUCTURED = ("table", "chart", "figure")
 
 #: Places to which scores are compared, so that sums in another order leave ties as ties.
 PLACES = 9
-#: Queries up to this number are broadcast as one matrix; more are taken block by block.
+#: Queries that are multiplied with a batch of vectors at once.
 QUERY_BLOCK = 1024
+#: Bytes of query vectors that one scan of the vectors answers; more are taken by further scans.
+QUERY_BYTES = 1 << 26
 #: Vectors that a block of queries is multiplied with at once.
 VECTOR_SLICE = 2048
 #: Query terms up to this number are broadcast against the postings.
@@ -84,33 +86,36 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 45, id_col: str
     """Best ``k`` vectors of each query by cosine: (query_id, chunk_id, score, rank); exact, ties to the smaller id.
 
     Zero, null and ill-formed vectors score 0. ``match`` names a column of both tables that must agree before ranks
-    are given. Queries are sent as a matrix, block by block; each batch of vectors is multiplied with it and keeps
-    its best ``k`` for each query, so that only k rows a query and batch are shuffled.
+    are given. Ids may be numbers or strings. Up to QUERY_BYTES of queries are sent to all tasks; each batch of vectors
+    is multiplied with them, block by block, and keeps its best ``k`` for each query, so that the vectors are scanned
+    once and only k rows a query and batch are shuffled.
     """
     wanted = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else []))
     columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else [])]
     rows = vectors.where(F.col(id_col).isNotNull()).select(*columns)
+    types = f"q {wanted.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     found = None
-    for block in _blocks(wanted):
-        part = rows.mapInPandas(_batch_best(block, k, bool(match), exclude_self), "q long, id long, score double")
+    for group in _groups(wanted):
+        part = rows.mapInPandas(_batch_best(group, k, bool(match), exclude_self), types)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = rows.sparkSession.createDataFrame([], "q long, id long, score double")
+        found = rows.sparkSession.createDataFrame([], types)
     order = Window.partitionBy("q").orderBy(F.desc(F.round("score", PLACES)), "id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select(F.col("q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
-def _blocks(wanted: DataFrame) -> Iterator[list]:
-    """Query rows in blocks of QUERY_BLOCK, one block in memory at a time."""
-    block: list = []
+def _groups(wanted: DataFrame) -> Iterator[list]:
+    """Query rows in groups of QUERY_BYTES, one group in memory at a time."""
+    group, size = [], 0
     for row in wanted.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+        group.append(row)
+        size += 8 * len(row["v"] or ()) + 64
+        if size >= QUERY_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _unit(rows: list, width: int) -> np.ndarray:
@@ -124,26 +129,30 @@ def _unit(rows: list, width: int) -> np.ndarray:
     return out
 
 
-def _batch_best(block: list, k: int, match: bool, exclude_self: bool):
-    ids = np.array([r["q"] for r in block], np.int64)
-    width = max((len(r["v"]) for r in block if r["v"] is not None), default=0)
-    matrix = _unit([r["v"] for r in block], width)
-    labels = np.array([r["m"] for r in block], dtype=object) if match else None
+def _batch_best(group: list, k: int, match: bool, exclude_self: bool):
+    width = max((len(r["v"]) for r in group if r["v"] is not None), default=0)
+    blocks = []
+    for at in range(0, len(group), QUERY_BLOCK):
+        rows = group[at : at + QUERY_BLOCK]
+        blocks.append(([r["q"] for r in rows], _unit([r["v"] for r in rows], width), [r["m"] for r in rows] if match else None))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (b.iloc[i : i + VECTOR_SLICE] for b in batches for i in range(0, len(b), VECTOR_SLICE)):
-            mine = batch["id"].to_numpy(np.int64)
-            score = matrix @ _unit(list(batch["v"]), width).T
-            out = []
-            for i, q in enumerate(ids):
-                ok = np.ones(len(mine), bool)
-                if match:
-                    ok &= (batch["m"] == labels[i]).to_numpy()
-                if exclude_self:
-                    ok &= mine != q
-                at = np.nonzero(ok)[0]
-                at = at[np.lexsort((mine[at], -np.round(score[i][at], PLACES)))[:k]]
-                out.append(pd.DataFrame({"q": q, "id": mine[at], "score": score[i][at]}))
+            mine = batch["id"].to_numpy()
+            place = np.empty(len(mine), np.int64)
+            place[np.argsort(mine, kind="stable")] = np.arange(len(mine))
+            unit, out = _unit(list(batch["v"]), width).T, []
+            for ids, matrix, labels in blocks:
+                score = matrix @ unit
+                for i, q in enumerate(ids):
+                    ok = np.ones(len(mine), bool)
+                    if match:
+                        ok &= (batch["m"] == labels[i]).to_numpy()
+                    if exclude_self:
+                        ok &= mine != q
+                    at = np.nonzero(ok)[0]
+                    at = at[np.lexsort((place[at], -np.round(score[i][at], PLACES)))[:k]]
+                    out.append(pd.DataFrame({"q": q, "id": mine[at], "score": score[i][at]}))
             if out:
                 yield pd.concat(out)
 

@@ -183,6 +183,12 @@ def family_catalog(tables: DataFrame, families: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("n_tables"), "family")
 
 
+def family_summary(tables: DataFrame, families: DataFrame) -> DataFrame:
+    """(table_id, family, n_tables, years) of every table; one that no family has yet stands alone with n_tables null."""
+    catalog = family_catalog(tables, families).select("family", "n_tables", "years")
+    return tables.select("table_id").join(families.select("table_id", "family"), "table_id", "left").join(catalog, "family", "left").select("table_id", "family", "n_tables", "years")
+
+
 def find_tables(tables: DataFrame, question: str, families: DataFrame | None = None, k: int = 4) -> DataFrame:
     """Best ``k`` tables of a question by shared words, plus 2 for its year and minus 1 for another; with families, up to 3 of other years."""
     words = F.array_distinct(T.content_tokens(F.lit(question)))

@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ class Settings:
     min_evidence: float = 0.10
     visual_boost: float = 1.05
     retries: int = 1
+    #: Whether chunks are also searched by their embeddings.
+    dense: bool = True
 
 
 def lexical_similarity(hits: DataFrame, chunks: DataFrame, questions: DataFrame, dim: int = 384) -> DataFrame:
@@ -47,20 +50,36 @@ def lexical_similarity(hits: DataFrame, chunks: DataFrame, questions: DataFrame,
     return hits.join(sums, ["query_id", "chunk_id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
+def dense_lane(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` chunks of each question by the cosine of their embeddings, as a lane; a column ``embedding`` of the chunks is used where there is one."""
+    from docgrain.functions.vectors import embedding
+
+    rows = chunks.select("chunk_id", F.col("embedding") if "embedding" in chunks.columns else embedding(F.col("text")).alias("embedding"))
+    asked = questions.select("query_id", embedding(F.col("question")).alias("embedding"))
+    best = search.vector_topk(rows, asked, k).where("score > 0")
+    return best.select("query_id", "chunk_id", "score", F.lit("vector").alias("source"), F.lit(0).alias("lane"))
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None) -> DataFrame:
-    """Hits (query_id, chunk_id, score, source, doc_source) of planned questions: BM25 and further ``lanes``, adjusted, pooled and capped by source.
+    """Hits (query_id, chunk_id, score, source, doc_source) of planned questions: embeddings, BM25 and further ``lanes``, adjusted, pooled and capped by source.
 
-    chunks: chunk_id, text, doc_source, content_type, document_date.
+    Hits of the lane ``table_row`` that the cut left out come back. chunks: chunk_id, text, doc_source, content_type,
+    document_date.
     """
     bm = search.bm25_topk(chunks, questions, 2 * settings.top_k)
     bm = bm.select("query_id", "chunk_id", (search.BM25_SHARE * F.col("score")).alias("score"), F.lit("bm25").alias("source"), F.lit(1).alias("lane"))
-    fused = search.fuse(bm if lanes is None else bm.unionByName(lanes.select(*bm.columns)))
+    more = [lanes.select(*bm.columns)] if lanes is not None else []
+    more += [dense_lane(chunks, questions, 3 * settings.top_k)] if settings.dense else []
+    fused = search.fuse(reduce(DataFrame.unionByName, more, bm))
     counts = chunks.groupBy("doc_source").agg(F.count("*").alias("source_chunks"))
     rows = fused.join(chunks.select("chunk_id", "text", "doc_source", "content_type", "document_date"), "chunk_id").join(questions.select("query_id", "question", "intent"), "query_id").join(counts, "doc_source", "left")
     boost = F.when(F.col("content_type").isin(*search.STRUCTURED) & F.col("intent").isin("table", "visual") & F.col("source").isin("bm25", "vector"), settings.visual_boost).otherwise(1.0)
     score = search.adjusted_score(F.col("score") * boost, source=F.col("doc_source"), lane=F.col("source"), quality=T.chunk_quality(F.col("text")), years=search.question_years(F.col("question")), date=F.col("document_date"), source_chunks=F.coalesce("source_chunks", F.lit(9999)))
     rows = rows.withColumn("score", score).select("query_id", "chunk_id", "score", "source", "doc_source")
-    return search.cap_sources(search.pool(rows, max(5 * settings.top_k, 60)).drop("rank"))
+    best = search.cap_sources(search.pool(rows, max(5 * settings.top_k, 60)).drop("rank"))
+    if lanes is None:
+        return best
+    return best.unionByName(rows.where("source = 'table_row'").join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
 
 
 def evaluate(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> DataFrame:

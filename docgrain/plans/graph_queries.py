@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgrain.functions import text as T
 from docgrain.operators import audit, graph
 from docgrain.session import materialise, table
 
@@ -160,7 +161,114 @@ def graph_quality(spark: SparkSession, sf: str) -> DataFrame:
     return audit.graph_quality(names, edges).withColumn("junk_ratio", F.round("junk_ratio", 6))
 
 
+GRAPH_QUALITY_SQL = f"""
+WITH {EDGES_CTE}, p AS (SELECT p_name AS s FROM part UNION ALL SELECT r_name FROM region),
+j AS (SELECT trim(s) AS s, lower(regexp_replace(trim(s), '\\s+', ' ', 'g')) AS k FROM p),
+f AS (
+  SELECT length(k) < 3 OR k IN ({", ".join(f"'{w}'" for w in (*T.MONTHS, *T.WEEKDAYS, *T.GENERIC_NAMES))})
+    OR regexp_matches(k, '^(q[1-4]|fy\\d{{2,4}}|[12]\\d{{3}}|\\d{{1,4}}(st|nd|rd|th)?)$')
+    OR length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) / greatest(length(s), 1) < 0.4 OR length(s) > 80 AS junk FROM j
+)
+SELECT count(*) AS n_nodes, count(*) FILTER (junk) AS n_junk, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM e WHERE typed) AS n_typed,
+  round(count(*) FILTER (junk) / greatest(count(*), 1), 6) AS junk_ratio, CASE WHEN count(*) FILTER (junk) / greatest(count(*), 1) < 0.05 THEN 'ok' ELSE 'noisy' END AS verdict FROM f
+"""
+
+
+def graph_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours over any edge of the first suppliers, with the number of chunks of what is reached."""
+    edges = materialise(_edges(spark, sf).select("src", "dst", "typed"))
+    seeds = table(spark, sf, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("customer "), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("seed"))
+    return graph.within_hops(edges, seeds, 1)
+
+
+GRAPH_NEAR_SQL = f"""
+WITH {EDGES_CTE}, s AS (SELECT 'customer ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS seed FROM customer WHERE c_custkey % 100 = 0)
+SELECT seed, seed AS node, 0 AS hops FROM s UNION ALL SELECT seed, other, 1 FROM s JOIN adj ON node = seed
+"""
+
+
+def _of_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    meets, typed = _relations(spark, sf)
+    rows = meets.select("src", "dst", "chunk_id").unionByName(typed.select("src", "dst", "chunk_id"))
+    return rows.select(F.explode(F.array("src", "dst")).alias("key"), "chunk_id").distinct()
+
+
+def graph_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all nodes within a typed step of the seeds."""
+    edges = materialise(_edges(spark, sf).select("src", "dst", "typed"))
+    seeds = table(spark, sf, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("customer "), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("seed"))
+    return graph.chunks_within(_of_nodes(spark, sf), graph.within_hops(edges, seeds, 1, typed_only=True)).groupBy("seed").agg(F.count("*").alias("n_chunks"))
+
+
+GRAPH_CHUNKS_SQL = f"""
+WITH {EDGES_CTE}, s AS (SELECT 'customer ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS seed FROM customer WHERE c_custkey % 100 = 0),
+o AS (SELECT src AS key, chunk FROM m UNION SELECT dst, chunk FROM m UNION SELECT src, chunk FROM t UNION SELECT dst, chunk FROM t),
+r AS (SELECT seed, seed AS node FROM s UNION SELECT seed, dst FROM s JOIN t ON src = seed)
+SELECT seed, count(DISTINCT chunk) AS n_chunks FROM r JOIN o ON key = node GROUP BY seed
+"""
+
+
+def graph_top(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf).withColumn("label", F.col("key"))
+    return graph.top_nodes(nodes, 20).select("key", "type", "count", "rank")
+
+
+GRAPH_TOP_SQL = f"""
+WITH {EDGES_CTE}, x AS (SELECT src AS name FROM m UNION ALL SELECT dst FROM m UNION ALL SELECT src FROM t UNION ALL SELECT dst FROM t),
+c AS (SELECT name AS key, split_part(name, ' ', 1) AS type, count(*) AS count FROM x GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY count DESC, key) AS INTEGER) AS rank FROM c)
+SELECT key, type, count, rank FROM r WHERE rank <= 20
+"""
+
+
+def graph_removal(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges that are left when every tenth supplier goes."""
+    edges = materialise(_edges(spark, sf).select("src", "dst", "rel", "weight"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    gone = nodes.where("key like 'supplier%0'")
+    return graph.remove_nodes(nodes, edges, gone)[1].select("src", "dst", "rel", "weight")
+
+
+GRAPH_REMOVAL_SQL = f"WITH {EDGES_CTE} SELECT src, dst, rel, CAST(weight AS BIGINT) AS weight FROM e WHERE NOT (src LIKE 'supplier%0' OR dst LIKE 'supplier%0')"
+
+
+def graph_untyped(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that meet in an order and are not typed in either direction; suppliers of one returned order are typed here."""
+    lines = table(spark, sf, "lineitem")
+    name = F.concat(F.lit("supplier "), F.lpad(F.col("l_suppkey").cast("string"), 8, "0"))
+    orders = lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_sort(F.collect_set(name)).alias("names"))
+    returned = lines.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_sort(F.collect_set(name)).alias("names"))
+    typed = graph.cooccurrences(returned).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "chunk_id")
+    return graph.cooccurrences(orders, typed=typed).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+GRAPH_UNTYPED_SQL = f"""
+WITH {EDGES_CTE}, rn AS (SELECT l_orderkey, list_sort(list_distinct(list('supplier ' || lpad(CAST(l_suppkey AS VARCHAR), 8, '0')))) AS names FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
+ri AS (SELECT l_orderkey, names, unnest(range(1, len(names) + 1)) AS i FROM rn),
+rt AS (SELECT l_orderkey AS chunk, names[i] AS src, unnest(names[i + 1:]) AS dst FROM ri)
+SELECT src, dst, count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.chunk = m.chunk AND rt.src = m.src AND rt.dst = m.dst) GROUP BY ALL
+"""
+
+
+def group_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of group sizes, of customers by nation and segment."""
+    sizes = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    return graph.community_stats(sizes).select("n", F.round("mean", 6).alias("mean"), "max", "p90")
+
+
+GROUP_SIZES_SQL = """
+WITH s AS (SELECT count(*) AS k FROM customer GROUP BY c_nationkey, c_mktsegment), r AS (SELECT k, row_number() OVER (ORDER BY k DESC) - 1 AS i, count(*) OVER () AS n FROM s)
+SELECT any_value(n) AS n, round(avg(k), 6) AS mean, max(k) AS max, max(k) FILTER (i = CAST(floor(n * 0.1) AS BIGINT)) AS p90 FROM r
+"""
+
+
 QUERIES = {
+    "graph_near": graph_near,
+    "graph_chunks": graph_chunks,
+    "graph_top": graph_top,
+    "graph_removal": graph_removal,
+    "graph_untyped": graph_untyped,
+    "group_sizes": group_sizes,
     "graph_cooccur": graph_cooccur,
     "graph_edges": graph_edges,
     "graph_nodes": graph_nodes,
@@ -176,6 +284,13 @@ QUERIES = {
 }
 
 SQL = {
+    "graph_quality": GRAPH_QUALITY_SQL,
+    "graph_near": GRAPH_NEAR_SQL,
+    "graph_chunks": GRAPH_CHUNKS_SQL,
+    "graph_top": GRAPH_TOP_SQL,
+    "graph_removal": GRAPH_REMOVAL_SQL,
+    "graph_untyped": GRAPH_UNTYPED_SQL,
+    "group_sizes": GROUP_SIZES_SQL,
     "graph_cooccur": GRAPH_COOCCUR_SQL,
     "graph_edges": GRAPH_EDGES_SQL,
     "graph_nodes": GRAPH_NODES_SQL,
