@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.operators import audit, evaluation, tables
+from docgrain.operators import audit, evaluation, metrics, tables
 from docgrain.session import materialise, table
 from docgrain.streaming import ingest
 
@@ -212,7 +212,43 @@ FROM d JOIN t USING (source) LEFT JOIN e USING (source) GROUP BY d.source
 """
 
 
+def answer_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of conversations as answers: a hit names a word of the turn before, a refusal is expected of short turns."""
+    turns = table(spark, sf, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 3).alias("points"), (F.length("text") < 40).alias("expect_refusal"))
+    return evaluation.score_answers(turns.join(before, ["conv_id", "turn"]).select(F.col("text").alias("answer"), "points", "expect_refusal"))
+
+
+ANSWER_SCORES_SQL = f"""
+WITH r AS (
+  SELECT lower(coalesce(a.text, '')) AS answer, string_split(coalesce(b.text, ''), ' ')[1:3] AS points, length(b.text) < 40 AS refuse
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn
+), x AS (
+  SELECT refuse, ({" OR ".join(f"contains(answer, '{m}')" for m in evaluation.REFUSALS)}) AS refused, len(list_filter(points, lambda p: contains(answer, lower(p)))) > 0 AS named FROM r
+), h AS (SELECT *, named AND NOT refused AS hit FROM x)
+SELECT count(*) AS n, round(avg(CAST(hit AS DOUBLE)) FILTER (NOT refuse), 4) AS hit_rate, round(avg(CAST(refused AS DOUBLE)) FILTER (refuse), 4) AS refusal_accuracy,
+  round(avg(CASE WHEN refuse THEN CAST(refused AS DOUBLE) ELSE CAST(hit AS DOUBLE) END), 4) AS correct FROM h
+"""
+
+
+def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean discounts by ship mode of two halves of the years, as metrics that must not fall."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("metric"))
+    late, early = F.col("l_shipdate") >= F.lit("1995-06-17").cast("timestamp"), F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp")
+    now = rows.agg(F.round(F.avg(F.when(late, F.col("l_tax"))), 4).alias("value"))
+    base = rows.agg(F.round(F.avg(F.when(early, F.col("l_tax"))), 4).alias("value"))
+    return metrics.gate(now, base, 0.0005)
+
+
+REGRESSION_GATE_SQL = """
+WITH m AS (SELECT l_returnflag AS metric, round(avg(l_tax) FILTER (l_shipdate >= TIMESTAMP '1995-06-17'), 4) AS value, round(avg(l_tax) FILTER (l_shipdate < TIMESTAMP '1995-06-17'), 4) AS base FROM lineitem GROUP BY l_returnflag)
+SELECT metric, value, base, coalesce(value >= base - 0.0005, false) AS ok FROM m
+"""
+
+
 QUERIES = {
+    "answer_scores": answer_scores,
+    "regression_gate": regression_gate,
     "table_rows": table_rows,
     "table_families": table_families,
     "row_lookup": row_lookup,
@@ -229,6 +265,8 @@ QUERIES = {
 }
 
 SQL = {
+    "answer_scores": ANSWER_SCORES_SQL,
+    "regression_gate": REGRESSION_GATE_SQL,
     "table_rows": TABLE_ROWS_SQL,
     "row_lookup": ROW_LOOKUP_SQL,
     "table_sql": TABLE_SQL_SQL,

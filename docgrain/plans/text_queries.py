@@ -290,6 +290,85 @@ FROM k
 """
 
 
+NUMBERS_SQL = (
+    r"list_filter(list_transform(regexp_extract_all(regexp_replace(coalesce({0}, ''), '\[\d+\]|\(?\bp(?:age|\.)?\s*\d+\)?', ' ', 'g'), '\d[\d,]*\.?\d*'), "
+    r"lambda x: regexp_replace(x, '[.,]+$', '')), lambda x: length(x) >= 2 AND NOT regexp_matches(x, '^(?:19|20)\d{{2}}$'))"
+)
+ANSWER_GROUNDING_SQL = rf"""
+WITH r AS (
+  SELECT a.conv_id, a.turn, a.text, replace(coalesce(b.text, ''), ',', '') AS context FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn
+), x AS (
+  -- RE2 has no look-behind: the stop before a cut is kept by a mark.
+  SELECT *, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.;])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+') AS parts FROM r
+)
+SELECT conv_id, turn, array_to_string(list_filter({NUMBERS_SQL.format('text')}, lambda x: NOT contains(context, replace(x, ',', ''))), ',') AS unsupported,
+  least(6, len(list_filter(parts, lambda p: length(regexp_replace(p, '^\s+|\s+$', '', 'g')) > 8))) AS n_claims FROM x
+"""
+
+
+def report_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Report type, incident type and state of each page's URL and text."""
+    t = F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    rows = table(spark, sf, "pages").select("page_id", t.alias("t"))
+    hits = T.vocabulary_hits(F.col("t"), metadata.INCIDENT_TYPES)
+    return rows.select("page_id", T.first_label(F.col("t"), metadata.REPORT_TYPES).alias("report_type"), metadata.state(F.col("t"), list(metadata.STATES)).alias("us_state"), F.array_join(hits, "|").alias("incidents"))
+
+
+def _labels_sql() -> str:
+    cases = " ".join(f"WHEN {' OR '.join(f'contains(l, {chr(39)}{k}{chr(39)})' for k in keys)} THEN '{name}'" for name, keys in metadata.REPORT_TYPES)
+    words = ", ".join(f"'{w}'" for w in sorted(metadata.INCIDENT_TYPES))
+    states = "|".join(sorted(metadata.STATES, key=lambda n: (-len(n), n)))
+    return rf"""
+WITH p AS (SELECT page_id, lower(coalesce(url, '') || ' ' || coalesce(html, '')) AS l FROM pages),
+s AS (SELECT *, regexp_extract(l, '\b({states})\b', 1) AS st FROM p)
+SELECT page_id, CASE {cases} ELSE '' END AS report_type,
+  array_to_string(list_transform(string_split(st, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS us_state,
+  array_to_string(list_filter([{words}], lambda w: contains(l, w)), '|') AS incidents FROM s
+"""
+
+
+def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of requested hosts: half of the requests give an id, half a name."""
+    host = F.regexp_extract("url", r"://([^/?#]+)", 1)
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("chunk_id"), T.document_id(host).alias("document_id"), host.alias("source_name"))
+    wanted = table(spark, sf, "pages").where("page_id % 100 = 0").select(F.col("page_id").alias("request"), host.alias("source_name"))
+    wanted = wanted.withColumn("document_id", F.when(F.col("request") % 200 == 0, T.document_id(F.col("source_name"))))
+    return audit.document_chunks(rows, wanted).select("request", "chunk_id")
+
+
+DOCUMENT_CHUNKS_SQL = """
+WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages)
+SELECT a.page_id AS request, b.page_id AS chunk_id FROM p a JOIN p b ON a.host = b.host WHERE a.page_id % 100 = 0
+"""
+
+
+def store_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select(F.col("source").alias("corpus"), F.md5("text").alias("document_id"), F.when(F.col("lang") == "en", "table").otherwise("text").alias("content_type"), F.when(F.length("text") > 500, F.lit("x")).alias("cells"))
+    return audit.store_counts(rows)
+
+
+STORE_COUNTS_SQL = """
+SELECT source AS corpus, count(*) AS chunks, count(DISTINCT md5(text)) AS documents, count(*) FILTER (lang = 'en') AS tables, count(*) FILTER (length(text) > 500) AS cells
+FROM documents GROUP BY source
+"""
+
+
+def metadata_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of customers' and documents' fields that are filled, by language, with the critical ones that fall short."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    shares = audit.coverage(rows, ["text", "source", "quality"], ["lang"])
+    out = audit.metadata_verdict(shares, ["text", "quality"])
+    return out.select("lang", "n_rows", "text", "source", "quality", F.array_join("missing", ",").alias("missing"), "verdict")
+
+
+METADATA_GAPS_SQL = """
+WITH d AS (SELECT lang, count(*) AS n_rows, round(avg(CASE WHEN text <> '' THEN 1.0 ELSE 0.0 END), 2) AS text, round(avg(CASE WHEN source <> '' THEN 1.0 ELSE 0.0 END), 2) AS source,
+  round(avg(CASE WHEN quality IS NOT NULL THEN 1.0 ELSE 0.0 END), 2) AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang)
+SELECT *, concat_ws(',', CASE WHEN text < 0.9 THEN 'text' END, CASE WHEN quality < 0.9 THEN 'quality' END) AS missing,
+  CASE WHEN text < 0.9 OR quality < 0.9 THEN 'gaps' ELSE 'ok' END AS verdict FROM d
+"""
+
+
 QUERIES = {
     "token_stats": token_stats,
     "source_names": source_names,
@@ -309,10 +388,19 @@ QUERIES = {
     "metadata_coverage": metadata_coverage,
     "parse_quality": parse_quality,
     "answer_grounding": answer_grounding,
+    "report_labels": report_labels,
+    "document_chunks": document_chunks,
+    "store_counts": store_counts,
+    "metadata_gaps": metadata_gaps,
     "plan_questions": plan_questions,
 }
 
 SQL = {
+    "answer_grounding": ANSWER_GROUNDING_SQL,
+    "report_labels": _labels_sql(),
+    "document_chunks": DOCUMENT_CHUNKS_SQL,
+    "store_counts": STORE_COUNTS_SQL,
+    "metadata_gaps": METADATA_GAPS_SQL,
     "token_stats": TOKEN_STATS_SQL,
     "source_names": SOURCE_NAMES_SQL,
     "exact_dedup": EXACT_DEDUP_SQL,
