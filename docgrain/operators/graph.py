@@ -8,6 +8,8 @@ write what the next round reads.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -403,10 +405,41 @@ def top_nodes(nodes: DataFrame, k: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "key"))).select("key", "label", "type", "count", "rank")
 
 
+# Nodes of these types with two mentions need no further check; names that a service sees at once.
+TRUSTED_TYPES, TRUSTED_COUNT, VERIFY_BATCH = ("manufacturer", "firearm", "person", "organization", "case"), 2, 40
+
+
+def verify_nodes(nodes: DataFrame, edges: DataFrame, reject: Callable[[list[str]], set[str]] | None = None, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, verdicts) without names that are none: first by rule, then by a service.
+
+    ``reject`` gets labels, VERIFY_BATCH at once, and returns those that are no entities; trusted types with support
+    and names of earlier ``verdicts`` (key, verdict: keep or drop) are not asked again. Without a service only the
+    rule and earlier verdicts count.
+    """
+    trusted = F.col("type").isin(*TRUSTED_TYPES) & (F.col("count") >= TRUSTED_COUNT)
+    rows = nodes.select("key", "label", trusted.alias("trusted"), T.is_junk_name(F.col("label")).alias("junk"))
+    none = rows.sparkSession.createDataFrame([], "key string, verdict string")
+    known = verdicts if verdicts is not None else none
+    asked = rows.where("not junk and not trusted").join(known, "key", "left_anti")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), VERIFY_BATCH):
+                part = batch.iloc[at : at + VERIFY_BATCH]
+                bad = reject(part["label"].tolist())
+                yield pd.DataFrame({"key": part["key"], "verdict": ["drop" if x in bad else "keep" for x in part["label"]]})
+
+    new = materialise(asked.select("key", "label").mapInPandas(judge, "key string, verdict string")) if reject else none
+    every = known.unionByName(new)
+    # A trusted name stays whatever an earlier verdict said.
+    dropped = rows.join(every, "key", "left").where("junk or (verdict = 'drop' and not trusted)").select("key")
+    return *remove_nodes(nodes, edges, materialise(dropped)), every
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the nodes of ``keys`` (key) and the edges at them."""
     left = edges.join(keys.select(F.col("key").alias("src")), "src", "left_anti").join(keys.select(F.col("key").alias("dst")), "dst", "left_anti")
-    return nodes.join(keys, "key", "left_anti"), left
+    return nodes.join(keys, "key", "left_anti").select(*nodes.columns), left.select(*edges.columns)
 
 
 def export_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, of_nodes: DataFrame, most: int = 2000, chunks: int = 25) -> tuple[DataFrame, DataFrame]:

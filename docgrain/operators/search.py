@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
+from docgrain.session import materialise
 
 #: BM25, lanes and boosts.
 K1, B = 1.5, 0.75
@@ -35,6 +36,8 @@ QUERY_BYTES = 1 << 26
 VECTOR_SLICE = 2048
 #: Query terms up to this number are broadcast against the postings.
 BROADCAST_TERMS = 200_000
+#: Query terms up to this number are part of the plan, so that the corpus is tokenised once.
+LITERAL_TERMS = 4_000
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -63,12 +66,20 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 30, id_col: str =
     """
     words = queries.select(F.col(query_id).alias("q"), F.explode(T.content_tokens(F.col(query_text))).alias("term"))
     wanted = words.groupBy("q", "term").agg(F.count("*").alias("times"))
-    size = corpus_size(chunks, text_col).first()
     terms = wanted.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     rows = chunks.select(F.col(id_col).alias("id"), T.content_tokens(F.col(text_col)).alias("words"))
-    rows = rows.select("id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-    rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    if terms.limit(LITERAL_TERMS + 1).count() <= LITERAL_TERMS:
+        # The corpus is tokenised once: a row keeps its length and those of its words that any query has.
+        known = [r["term"] for r in terms.collect()]
+        rows = rows.select("id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*known)).alias("mine"))
+        rows = materialise(rows, "matches")
+        size = rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_dl")).first()
+        rows = rows.select("id", "dl", F.explode("mine").alias("term"))
+    else:
+        size = corpus_size(chunks, text_col).first()
+        rows = rows.select("id", F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+        rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     tf = rows.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").withColumn("idf", bm25_idf(F.col("df"), F.lit(size["n_docs"])) * F.col("times"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 from docgrain.operators import search
+from docgrain.operators.evaluation import is_insufficient
 from docgrain.plans import planner
 from docgrain.session import materialise
 
@@ -121,18 +122,65 @@ def compose(ranked: DataFrame, chunks: DataFrame, most_lines: int = 4) -> DataFr
     return out.select("query_id", said.alias("answer"), "confidence", "citations")
 
 
-def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None) -> DataFrame:
-    """Answers to all questions (query_id, question); a weak first retrieval is repeated with the question's content words."""
+# How an answer is marked whose numbers the sources do not have, the confidence it has at most, and how many are named.
+CAVEAT = "\n\n\u26a0 Verification note: the following figure(s) could not be matched to the cited sources: {} \u2014 treat with caution."
+CAVEAT_CONFIDENCE, CAVEAT_NUMBERS = 0.4, 6
+
+
+def grounded(answers: DataFrame, contexts: DataFrame, regenerate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``answers`` (query_id, answer, confidence, ...) whose numbers are those of their ``contexts`` (query_id, context).
+
+    Answers with other numbers are made once more by ``regenerate``, which gets (query_id, unsupported) and returns
+    (query_id, answer), and the one with fewer such numbers stays; what is left is named in a caveat, and confidence is
+    cut. An answer without a context has no supported number.
+    """
+    rows = answers.join(contexts.select("query_id", F.col("context").alias("__context")), "query_id", "left")
+    rows = rows.withColumn("__bad", T.unsupported_numbers(F.col("answer"), F.col("__context")))
+    if regenerate:
+        again = regenerate(rows.where(F.size("__bad") > 0).select("query_id", F.col("__bad").alias("unsupported")))
+        rows = rows.join(again.select("query_id", F.col("answer").alias("__again")), "query_id", "left")
+        other = T.unsupported_numbers(F.col("__again"), F.col("__context"))
+        better = F.col("__again").isNotNull() & (F.size(other) < F.size("__bad"))
+        rows = rows.withColumns({"answer": F.when(better, F.col("__again")).otherwise(F.col("answer")), "__bad": F.when(better, other).otherwise(F.col("__bad"))}).drop("__again")
+    flagged = F.size("__bad") > 0
+    head, tail = CAVEAT.split("{}")
+    note = F.concat(F.col("answer"), F.lit(head), F.array_join(F.slice("__bad", 1, CAVEAT_NUMBERS), ", "), F.lit(tail))
+    low = F.round(F.least("confidence", F.lit(CAVEAT_CONFIDENCE)), 3)
+    rows = rows.withColumns({"answer": F.when(flagged, note).otherwise(F.col("answer")), "confidence": F.when(flagged, low).otherwise(F.col("confidence"))})
+    return rows.select(*answers.columns)
+
+
+def _again(chunks: DataFrame, planned: DataFrame, hits: DataFrame, which: DataFrame, settings: Settings) -> DataFrame:
+    """``hits`` with what the content words of some questions find that they have not found yet."""
+    again = materialise(which.withColumn("question", planner.reformulate(F.col("question"))), "again")
+    if again.isEmpty():
+        return hits
+    more = retrieve(chunks, again, settings).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
+
+
+def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None, regenerate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Answers to all questions (query_id, question).
+
+    A weak first retrieval is repeated with the question's content words, and so is one whose answer says nothing;
+    of the two answers the one that says something stays. Numbers are checked against the cited chunks.
+    """
     planned = materialise(planner.plan_questions(questions), "questions")
     hits = materialise(evaluate(materialise(retrieve(chunks, planned, settings, lanes), "hits"), chunks, planned, settings), "evidence")
     if settings.retries:
         best = hits.groupBy("query_id").agg(F.max("eval_score").alias("best"), F.count("*").alias("n"))
-        weak = planned.join(best, "query_id", "left").where(planner.is_weak(F.col("best"), F.col("n"))).drop("best", "n")
-        again = materialise(weak.withColumn("question", planner.reformulate(F.col("question"))), "weak")
-        if not again.isEmpty():
-            more = retrieve(chunks, again, settings).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-            hits = hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
-    return compose(materialise(rerank(hits, chunks, planned, settings), "ranked"), chunks)
+        hits = _again(chunks, planned, hits, planned.join(best, "query_id", "left").where(planner.is_weak(F.col("best"), F.col("n"))).drop("best", "n"), settings)
+    out = materialise(compose(materialise(rerank(hits, chunks, planned, settings), "ranked"), chunks), "answers")
+    if settings.retries:
+        silent = planned.join(out.where(is_insufficient(F.col("answer"))).select("query_id"), "query_id", "left_semi")
+        if not silent.isEmpty():
+            mine = _again(chunks, silent, hits.join(silent.select("query_id"), "query_id", "left_semi"), silent, settings)
+            second = compose(materialise(rerank(mine, chunks, silent, settings), "ranked"), chunks).where(~is_insufficient(F.col("answer")))
+            second = materialise(second, "answers")
+            out = out.join(second.select("query_id"), "query_id", "left_anti").unionByName(second)
+    cited = out.select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id")
+    contexts = cited.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("context"))  # at most top_k chunks a question
+    return grounded(out, contexts, regenerate)
 
 
 def decompose(question: str, chat: Callable[[list[str]], list[str]], most: int = 3) -> list[str]:

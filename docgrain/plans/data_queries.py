@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrain.operators import audit, evaluation, metrics, tables
-from docgrain.session import materialise, table
+from docgrain.plans import ingest as ingestion
+from docgrain.session import materialise, spread, table
 from docgrain.streaming import ingest
 
 
@@ -246,7 +247,31 @@ SELECT metric, value, base, coalesce(value >= base - 0.0005, false) AS ok FROM m
 """
 
 
+def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The journal of documents when those with an even id were indexed before, some with another text."""
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_name"), "text")
+    old = F.when(F.col("document_id") % 10 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    known = docs.where("document_id % 2 = 0").select("document_id", F.md5(F.coalesce(old, F.lit(""))).alias("hash"))
+    return ingestion.journal(docs, known)
+
+
+INGEST_DOCUMENTS_SQL = """
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS hash, md5(coalesce(CASE WHEN doc_id % 10 = 0 THEN text || '.' ELSE text END, '')) AS old FROM documents),
+f AS (SELECT hash, min(doc_id) AS first FROM d GROUP BY hash)
+SELECT doc_id AS document_id, d.hash, CASE WHEN doc_id <> first THEN 'duplicate' WHEN doc_id % 2 <> 0 THEN 'new' WHEN old = d.hash THEN 'unchanged' ELSE 'updated' END AS status
+FROM d JOIN f ON f.hash = d.hash
+"""
+
+
+def ingest_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages' texts indexed end to end: the graph's nodes."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.col("url").alias("source_name"), F.col("html").alias("text"))
+    return ingestion.ingest(pages).nodes.select("key", "type", "count", "n_chunks")
+
+
 QUERIES = {
+    "ingest_documents": ingest_documents,
+    "ingest_graph": ingest_graph,
     "answer_scores": answer_scores,
     "regression_gate": regression_gate,
     "table_rows": table_rows,
@@ -265,6 +290,7 @@ QUERIES = {
 }
 
 SQL = {
+    "ingest_documents": INGEST_DOCUMENTS_SQL,
     "answer_scores": ANSWER_SCORES_SQL,
     "regression_gate": REGRESSION_GATE_SQL,
     "table_rows": TABLE_ROWS_SQL,
