@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import connected_components, materialise, may_be_in, merged, smallest_of_component, sorted_groups
+from docgrain.llm.shared import connected_components, forget, materialise, may_be_in, merged, smallest_of_component, sorted_groups
 
 SEED = 42
 BITS = 64
@@ -346,22 +346,26 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     several rows or are joined with others; any other class is alone."""
     bits = BITS * words
 
-    @F.pandas_udf("mark binary, sure binary, shingles binary")
+    @F.pandas_udf("mark binary, sure binary")
     def simhash(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             x = shingle_set(text, shingle)
             fp, sure = wide_fingerprint(x, words)
-            out.append((fp + hashlib.md5(x.tobytes()).digest(), sure, np.unique(x.astype("<u4")).tobytes()))
-        return pd.DataFrame(out, columns=["mark", "sure", "shingles"])
+            out.append((fp + hashlib.md5(x.tobytes()).digest(), sure))
+        return pd.DataFrame(out, columns=["mark", "sure"])
+
+    @F.pandas_udf("binary")
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_set(t, shingle).astype("<u4")).tobytes() for t in texts], dtype=object)
 
     text = F.col(text_col)
     sig = docs.select(F.col(id_col).alias("id"), _print_of(text).alias("print"), simhash(text).alias("s"))
-    with _small_batches(docs.sparkSession):
-        # Rows have numbers of their own; they hold once they are written.
-        sig = materialise(sig.select("id", "print", "s.*", F.monotonically_increasing_id().alias("row")), "sig")
+    sig = materialise(sig.select("id", "print", "s.*"), "sig")
     fp = F.substring("mark", 1, bits // 8).alias("fp")
-    classes = materialise(sig.groupBy("mark").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.first("sure").alias("sure")), "classes")
+    classes = sig.groupBy("mark").agg(F.min("print").alias("print"), F.count("*").alias("n"), F.first("sure").alias("sure"))
+    # Classes have numbers of their own; they hold once they are written.
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     width, blocks = blocks_for(classes.count(), similarity)
     chosen = drawn_blocks(bits, width, blocks)
     near = bits_apart(similarity, bits) + slack
@@ -377,10 +381,16 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     met = materialise(near_edges(keyed, near, degrees=True), "met")
     candidates = connected_components(met.select("a", "b"))
 
-    # One row, with its set, for each class that is a candidate; small groups share a task, large ones have parts.
-    row, candidates = F.xxhash64("row"), materialise(candidates.withColumnRenamed("node", "row"), "candidates")
-    groups = sig.where(may_be_in(candidates.select(row))(row)).join(candidates, "row").select("component", F.col("row").alias("node"), fp, "shingles")
-    groups = materialise(groups.withColumn("bytes", F.octet_length("shingles") + 64), "sets")
+    # One row, with its set, for each class that is a candidate: the sets are made from the texts that are known again.
+    # Small groups share a task, large ones have parts.
+    candidates = materialise(candidates, "candidates")
+    some = classes.where(may_be_in(candidates.select(F.xxhash64("node")))(F.xxhash64("node"))).select("node", "print", fp)
+    wanted = materialise(candidates.join(some, "node"), "wanted")
+    known = docs.select(text.alias("text"), _print_of(text).alias("print"))
+    known = known.where(may_be_in(wanted.select(F.xxhash64("print")))(F.xxhash64("print"))).select("print", set_of("text").alias("shingles"))
+    groups = wanted.join(known.groupBy("print").agg(F.first("shingles").alias("shingles")), "print").select("component", "node", "fp", "shingles")
+    with _small_batches(docs.sparkSession):
+        groups = materialise(groups.withColumn("bytes", F.octet_length("shingles") + 64), "sets")
     sums = groups.groupBy("component").agg(F.sum("bytes").alias("whole"))
     total = sums.agg(F.sum("whole")).first()[0] or 0
     sums = materialise(sums.select("component", F.ceil(F.col("whole") / SET_BYTES).cast("int").alias("parts")), "parts")
@@ -396,7 +406,7 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     plain = in_parts(dealt.withColumn("name", F.col("node")), "part", F.lit(True))
     large = not sums.where("parts > 1").isEmpty()
     if large:
-        degrees = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")).join(candidates.withColumnRenamed("row", "node"), "node")
+        degrees = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")).join(candidates, "node")
         degrees = degrees.join(sums.where("parts > 1"), "component")
         hubs = degrees.groupBy("component", F.pmod(F.xxhash64("node"), F.lit(HUBS))).agg(F.max_by("node", F.struct("n", "node")).alias("node"))
         guests = dealt.join(hubs.select("node"), "node").withColumn("name", F.col("node")).withColumn("other", every).where("other <> part")
@@ -419,7 +429,10 @@ def _similar_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int,
     true = materialise(true, "joined")
     some = classes.where((F.col("n") > 1) | may_be_in(true.select(F.xxhash64("node")))(F.xxhash64("node"))).select("node", "mark", "n").join(true, "node", "left")
     found = some.where("n > 1 or component is not null").select("mark", F.coalesce("component", "node").alias("component"))
-    return sig.select("id", "print", "mark"), materialise(found, "found")
+    found = materialise(found, "found")
+    for table in (met, candidates, wanted, groups, sums, true, classes):
+        forget(table)
+    return sig.select("id", "print", "mark"), found
 
 
 def _print_of(text: Column) -> Column:
@@ -460,6 +473,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["print"] == kept["print"]), "left").select(rows["id"], rows["print"], "n", F.coalesce("kept", F.lit(False)).alias("kept"))
     # What goes, and the kept rows that occur again: these few are grouped, all others only pass an anti-join.
     special = materialise(rows.where("not kept or n > 1").select(F.col("id").alias("__id"), F.col("print").alias("__print"), F.col("kept").alias("__kept")), "special")
+    for table in (sig, found, kept):
+        forget(table)
     marked = docs.withColumn("__key", _print_of(F.col(text_col)))
     marked = marked.withColumn("__maybe", may_be_in(special.select(F.xxhash64("__id", "__print")))(F.xxhash64(F.col(id_col).cast(sig.schema["id"].dataType), F.col("__key"))))
     same = marked[id_col].eqNullSafe(special["__id"]) & (marked["__key"] == special["__print"])
