@@ -238,7 +238,7 @@ def rerank_score(*, evidence: Column, question_tokens: Column, text_tokens: Colu
     return F.round(0.7 * F.coalesce(evidence, F.lit(0.0)) + 0.3 * T.overlap(question_tokens, text_tokens) + bonus, 4)
 
 
-def final_order(hits: DataFrame, k: int, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
+def final_order(hits: DataFrame, k: int | Column, query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """Best ``k`` hits of each query by rerank score, with ranks from 1.
 
     Where ``numeric`` is true and no table with cells (``is_table``) would be among them, the best such table takes

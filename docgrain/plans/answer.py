@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -15,6 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgrain import services
 from docgrain.functions import text as T
 from docgrain.operators import search
 from docgrain.operators.evaluation import is_insufficient
@@ -61,21 +63,35 @@ def dense_lane(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return best.select("query_id", "chunk_id", "score", F.lit("vector").alias("source"), F.lit(0).alias("lane"))
 
 
+def prefetch_lane(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` chunks, by their embeddings, of the sources that belong to a question's domain, as a lane; none for other domains."""
+    from docgrain.functions.vectors import embedding
+
+    asked = questions.where(F.col("domain").isin(*planner.PREFETCH_SOURCES)).select("query_id", "domain", embedding(F.col("question")).alias("embedding"))
+    of = F.explode(planner.source_domains(F.col("doc_source"), planner.PREFETCH_SOURCES)).alias("domain")
+    vector = F.col("embedding") if "embedding" in chunks.columns else F.col("text")
+    rows = chunks.select("chunk_id", of, vector.alias("embedding"))
+    rows = rows if "embedding" in chunks.columns else rows.withColumn("embedding", embedding(F.col("embedding")))
+    best = search.vector_topk(rows, asked, k, match="domain").where("score > 0")
+    return best.select("query_id", "chunk_id", "score", F.lit("vector").alias("source"), F.lit(0).alias("lane"))
+
+
 def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None) -> DataFrame:
     """Hits (query_id, chunk_id, score, source, doc_source) of planned questions: embeddings, BM25 and further ``lanes``, adjusted, pooled and capped by source.
 
-    Hits of the lane ``table_row`` that the cut left out come back. chunks: chunk_id, text, doc_source, content_type,
+    Sources of a question's domain are searched besides and gain. Hits of the lane ``table_row`` that the cut left out come back. chunks: chunk_id, text, doc_source, content_type,
     document_date.
     """
     bm = search.bm25_topk(chunks, questions, 2 * settings.top_k)
     bm = bm.select("query_id", "chunk_id", (search.BM25_SHARE * F.col("score")).alias("score"), F.lit("bm25").alias("source"), F.lit(1).alias("lane"))
     more = [lanes.select(*bm.columns)] if lanes is not None else []
-    more += [dense_lane(chunks, questions, 3 * settings.top_k)] if settings.dense else []
+    if settings.dense:
+        more += [dense_lane(chunks, questions, 3 * settings.top_k), prefetch_lane(chunks, questions, 2 * settings.top_k)]
     fused = search.fuse(reduce(DataFrame.unionByName, more, bm))
     counts = chunks.groupBy("doc_source").agg(F.count("*").alias("source_chunks"))
-    rows = fused.join(chunks.select("chunk_id", "text", "doc_source", "content_type", "document_date"), "chunk_id").join(questions.select("query_id", "question", "intent"), "query_id").join(counts, "doc_source", "left")
+    rows = fused.join(chunks.select("chunk_id", "text", "doc_source", "content_type", "document_date"), "chunk_id").join(questions.select("query_id", "question", "intent", "domain"), "query_id").join(counts, "doc_source", "left")
     boost = F.when(F.col("content_type").isin(*search.STRUCTURED) & F.col("intent").isin("table", "visual") & F.col("source").isin("bm25", "vector"), settings.visual_boost).otherwise(1.0)
-    score = search.adjusted_score(F.col("score") * boost, source=F.col("doc_source"), lane=F.col("source"), quality=T.chunk_quality(F.col("text")), years=search.question_years(F.col("question")), date=F.col("document_date"), source_chunks=F.coalesce("source_chunks", F.lit(9999)))
+    score = search.adjusted_score(F.col("score") * boost, source=F.col("doc_source"), lane=F.col("source"), quality=T.chunk_quality(F.col("text")), years=search.question_years(F.col("question")), date=F.col("document_date"), source_chunks=F.coalesce("source_chunks", F.lit(9999)), domain_hit=F.array_contains(planner.source_domains(F.col("doc_source"), planner.BOOSTED_SOURCES), F.col("domain")))
     rows = rows.withColumn("score", score).select("query_id", "chunk_id", "score", "source", "doc_source")
     best = search.cap_sources(search.pool(rows, max(5 * settings.top_k, 60)).drop("rank"))
     if lanes is None:
@@ -83,6 +99,21 @@ def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Setti
     return best.unionByName(rows.where("source = 'table_row'").join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
 
 
+def compare(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Hits for what comparing questions compare: each target is asked for by itself, in front of the question.
+
+    A chunk that several targets find stands once for a question, with its best score. Other questions give none.
+    """
+    asked = questions.where(planner.is_comparison(F.col("question")))
+    parts = asked.select("*", F.posexplode(planner.comparison_targets(F.col("question"))).alias("__at", "__target")).withColumn("__id", F.concat_ws(":", F.col("query_id").cast("string"), "__at"))
+    parts = materialise(parts.withColumn("question", F.concat_ws(" ", "__target", "question")), "targets")
+    ids = parts.select(F.col("__id").alias("__sub"), F.col("query_id").alias("__query"))
+    found = retrieve(chunks, parts.withColumn("query_id", F.col("__id")).drop("__id", "__at", "__target"), settings)
+    found = found.withColumnRenamed("query_id", "__sub").join(ids, "__sub")
+    best = found.groupBy(F.col("__query").alias("query_id"), "chunk_id").agg(F.max("score").alias("score"), F.max_by("source", F.struct("score", "source")).alias("source"), F.min("doc_source").alias("doc_source"))
+    return best.select("query_id", "chunk_id", "score", "source", "doc_source")
+
+
 def evaluate(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Hits with eval_score, those without evidence left out."""
     rows = lexical_similarity(hits, chunks, questions).join(chunks.select("chunk_id", "text", "content_type", "has_metadata", "confidence"), "chunk_id").join(questions.select("query_id", "question", "intent"), "query_id")
@@ -93,13 +124,48 @@ def evaluate(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings:
 
 
 def rerank(hits: DataFrame, chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Best hits in their final order; a ``reranker`` may replace rerank_score."""
+    """Best hits in their final order; a ``reranker`` may replace rerank_score.
+
+    A column ``top_k`` of the questions, where it is not null, stands for that of the settings.
+    """
     rows = hits.join(chunks.select("chunk_id", "text", "content_type", "has_cells"), "chunk_id").join(questions.select("query_id", "question", "intent"), "query_id")
     numeric = (F.col("intent") == "table") | F.col("question").rlike(NUMERIC)
     score = search.rerank_score(evidence=F.col("eval_score"), question_tokens=T.content_tokens(F.col("question")), text_tokens=T.content_tokens(F.col("text")), content_type=F.col("content_type"), has_cells=F.col("has_cells"), wants_structure=numeric | (F.col("intent") == "visual"))
     rows = rows.withColumns({"rerank_score": score, "numeric": numeric, "is_table": (F.col("content_type") == "table") & F.col("has_cells")})
     rows = rows.select(*hits.columns, "rerank_score", "numeric", "is_table")
-    return search.final_order(reranker(rows) if reranker else rows, settings.top_k)
+    rows = reranker(rows) if reranker else rows
+    if "top_k" not in questions.columns:
+        return search.final_order(rows, settings.top_k)
+    rows = rows.join(questions.select("query_id", F.coalesce("top_k", F.lit(settings.top_k)).alias("__k")), "query_id")
+    return search.final_order(rows, F.col("__k")).drop("__k")
+
+
+# How many passages a chat service orders, how much of each it reads, and what a place is worth.
+LISTED, LISTED_CHARS, PLACE_WORTH = 10, 200, 0.05
+
+
+def listwise(chunks: DataFrame, questions: DataFrame, service: str) -> Callable[[DataFrame], DataFrame]:
+    """A reranker by a chat service that orders the best ten passages of a question: of n places named the first gains 0.05 n, the last 0.05.
+
+    A passage that is named twice gains twice; a reply without a list of numbers, and numbers of no passage, change nothing.
+    """
+    head = "Rank passages by relevance to the question. Reply with a list of their numbers only, best first, like [3,0,1].\nQ: "
+
+    def apply(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id")
+        first = rows.select("query_id", "chunk_id", (F.row_number().over(order) - 1).alias("place")).where(F.col("place") < LISTED)
+        first = materialise(first.join(chunks.select("chunk_id", F.substring("text", 1, LISTED_CHARS).alias("head")), "chunk_id"), "listed")
+        line = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), F.coalesce("head", F.lit("")))
+        lists = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))  # LISTED lines
+        prompt = F.concat(F.lit(head), F.coalesce("question", F.lit("")), F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+        replies = lists.join(questions.select("query_id", "question"), "query_id").select("query_id", services.apply("chat", prompt, service).alias("reply"))
+        places = F.from_json(F.regexp_extract(F.coalesce("reply", F.lit("")), r"(?s)\[.*\]", 0), "array<int>")
+        named = replies.select("query_id", places.alias("places")).select("query_id", F.size("places").alias("n"), F.posexplode("places").alias("at", "place"))
+        gains = named.groupBy("query_id", "place").agg(F.sum((F.col("n") - F.col("at")) * PLACE_WORTH).alias("gain"))
+        gains = first.join(gains, ["query_id", "place"]).select("query_id", "chunk_id", "gain")
+        return rows.join(gains, ["query_id", "chunk_id"], "left").withColumn("rerank_score", F.round(F.col("rerank_score") + F.coalesce("gain", F.lit(0.0)), 4)).select(*rows.columns)
+
+    return apply
 
 
 def compose(ranked: DataFrame, chunks: DataFrame, most_lines: int = 4) -> DataFrame:
@@ -159,24 +225,40 @@ def _again(chunks: DataFrame, planned: DataFrame, hits: DataFrame, which: DataFr
     return hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
 
 
-def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None, regenerate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None, regenerate: Callable[[DataFrame], DataFrame] | None = None, service: str | None = None, on_stage: Callable[[str, float], None] | None = None) -> DataFrame:
     """Answers to all questions (query_id, question).
 
-    A weak first retrieval is repeated with the question's content words, and so is one whose answer says nothing;
-    of the two answers the one that says something stays. Numbers are checked against the cited chunks.
+    Questions that compare are asked for each target besides. A weak first retrieval is repeated with the question's
+    content words, and so is one whose answer says nothing; of the two answers the one that says something stays.
+    Numbers are checked against the cited chunks. A chat ``service`` refines the plan and orders the best passages.
+    ``on_stage`` is told each stage's name and seconds when its result is written.
     """
-    planned = materialise(planner.plan_questions(questions), "questions")
-    hits = materialise(evaluate(materialise(retrieve(chunks, planned, settings, lanes), "hits"), chunks, planned, settings), "evidence")
+
+    def stage(name: str, rows: DataFrame) -> DataFrame:
+        start = time.perf_counter()
+        out = materialise(rows, name)
+        if on_stage:
+            on_stage(name, time.perf_counter() - start)
+        return out
+
+    planned = planner.plan_questions(questions)
+    planned = stage("questions", planner.refine(planned, service) if service else planned)
+    found = stage("hits", retrieve(chunks, planned, settings, lanes))
+    if not planned.where(planner.is_comparison(F.col("question"))).isEmpty():
+        extra = compare(chunks, planned, settings).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+        found = stage("compared", found.unionByName(extra))
+    hits = stage("evidence", evaluate(found, chunks, planned, settings))
     if settings.retries:
         best = hits.groupBy("query_id").agg(F.max("eval_score").alias("best"), F.count("*").alias("n"))
         hits = _again(chunks, planned, hits, planned.join(best, "query_id", "left").where(planner.is_weak(F.col("best"), F.col("n"))).drop("best", "n"), settings)
-    out = materialise(compose(materialise(rerank(hits, chunks, planned, settings), "ranked"), chunks), "answers")
+    reranker = listwise(chunks, planned, service) if service else None
+    out = stage("answers", compose(stage("ranked", rerank(hits, chunks, planned, settings, reranker)), chunks))
     if settings.retries:
         silent = planned.join(out.where(is_insufficient(F.col("answer"))).select("query_id"), "query_id", "left_semi")
         if not silent.isEmpty():
             mine = _again(chunks, silent, hits.join(silent.select("query_id"), "query_id", "left_semi"), silent, settings)
-            second = compose(materialise(rerank(mine, chunks, silent, settings), "ranked"), chunks).where(~is_insufficient(F.col("answer")))
-            second = materialise(second, "answers")
+            second = compose(stage("ranked_again", rerank(mine, chunks, silent, settings, reranker)), chunks).where(~is_insufficient(F.col("answer")))
+            second = stage("answers_again", second)
             out = out.join(second.select("query_id"), "query_id", "left_anti").unionByName(second)
     cited = out.select("query_id", F.explode("citations.chunk_id").alias("chunk_id")).join(chunks.select("chunk_id", "text"), "chunk_id")
     contexts = cited.groupBy("query_id").agg(F.array_join(F.collect_list("text"), " ").alias("context"))  # at most top_k chunks a question

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrain import services
 from docgrain.functions import text as T
+from docgrain.operators.extraction import first_json
 from docgrain.operators.metadata import STATES
 
 # Word lists of the intents, in the order in which they are applied; later ones win.
@@ -31,6 +33,10 @@ DOMAINS = [
     ("explosives", ("explosive", "bomb", "pipe bomb", "ied", "pyrotechnic", "detonator", "blast", "explosion incident")),
     ("selling", ("top selling", "best selling", "most sold", "caliber", "calibres", "selling distribution", "retail sales", "firearms sold")),
 ]
+# Parts of source names that belong to a domain: those searched for it besides, and those that gain for it.
+PREFETCH_SOURCES = {"manufacture": ("afmer",), "export": ("nfcta_export",), "selling": ("nfcta_selling",)}
+BOOSTED_SOURCES = {"export": ("nfcta_export",), "pmf": ("pmf", "privately_made", "ghost"), "manufacture": ("afmer",), "selling": ("nfcta_selling",)}
+INTENTS = ("fact", "entity", "relationship", "pattern", "timeline", "table", "visual", "multi")
 COMPARE = r"(?i)(\bcompare\b|\bcomparison\b|\bversus\b|\bvs\.?\b|\bmore\b.{1,40}\bor\b|\bwhich (?:is|was|had|reported|state|year|manufacturer)\b.{0,40}(?:higher|greater|more|larger|highest|most|largest|fewer|lower|fewest))"
 COMPARE_STOP = ("According", "Compare", "From", "In", "The", "Report", "United", "States", "Which", "What", "Federal", "National", "Final")
 
@@ -66,6 +72,26 @@ def plan_questions(questions: DataFrame, text_col: str = "question") -> DataFram
     return out.withColumns({"use_graph": graph, "use_metadata": metadata, "domain": domain, "mode": mode}).drop("__low")
 
 
+def source_domains(source: Column, named: dict[str, tuple[str, ...]]) -> Column:
+    """The domains of which a source's name has a part, as an array in the order of ``named``; none for a null name."""
+    low = F.lower(F.coalesce(source, F.lit("")))
+    return F.array_compact(F.array(*[F.when(has_any(low, parts), name) for name, parts in named.items()]))
+
+
+def refine(planned: DataFrame, service: str, text_col: str = "question") -> DataFrame:
+    """``planned`` with intent, use_graph and use_metadata as a chat service gives them, and its top_k (else null).
+
+    Replies that are no JSON, and values that are none of the known, leave the plan as it is.
+    """
+    head = f'Classify the question for a retriever. Reply with JSON only: {{"intent": one of [{",".join(INTENTS)}], "use_graph": bool, "use_metadata": bool, "top_k": int}}.\n'
+    reply = services.apply("chat", F.concat(F.lit(head), F.coalesce(F.col(text_col), F.lit(""))), service)
+    rows = planned.withColumn("__r", F.from_json(first_json(reply), "intent string, use_graph boolean, use_metadata boolean, top_k int"))
+    known = F.when(F.col("__r.intent").isin(*INTENTS), F.col("__r.intent"))
+    top = F.when(F.col("__r.top_k") > 0, F.col("__r.top_k"))
+    said = {"intent": F.coalesce(known, "intent"), "use_graph": F.coalesce("__r.use_graph", "use_graph"), "use_metadata": F.coalesce("__r.use_metadata", "use_metadata"), "top_k": top}
+    return rows.withColumns(said).drop("__r")
+
+
 def select_corpora(question: str, available: list[str], names: list[str], intent: str = "fact", explicit: list[str] | None = None) -> list[str]:
     """Corpora to search: those asked for, all for broad questions, those that the question names or is about, else all."""
     if explicit:
