@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
+from docgrain.functions.vectors import embedding
+from docgrain.operators import search
 
 GARBLED = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
 
@@ -71,6 +73,42 @@ def parse_quality(pages: DataFrame, by: list[str], text_col: str = "text") -> Da
     return out.withColumn("bad", (F.col("empty_ratio") > 0.7) | (F.col("garble_ratio") > 0.02))
 
 
+def better_parse(pages: DataFrame, fallback: DataFrame, by: list[str]) -> DataFrame:
+    """The pages of each document, with a verdict: those of the ``fallback`` parser where the first parse is bad and the
+    second has fewer empty pages or less garble; both tables have the same columns.
+
+    Verdicts: ok, reparsed, poor_kept (the fallback is no better) and poor_no_fallback. A document that only the
+    fallback has is reparsed.
+    """
+    one = parse_quality(pages, by).select(*by, "bad", F.col("empty_ratio").alias("e1"), F.col("garble_ratio").alias("g1"))
+    two = parse_quality(fallback, by).select(*by, F.col("empty_ratio").alias("e2"), F.col("garble_ratio").alias("g2"))
+    better = (F.col("e2") < F.col("e1")) | (F.col("g2") < F.col("g1"))
+    verdict = F.when(~F.col("bad"), "ok").when(F.col("e2").isNull(), "poor_no_fallback").when(better, "reparsed").otherwise("poor_kept")
+    judged = _same(one, two, by, "left").select(*by, verdict.alias("verdict"))
+    only = two.join(one.withColumnsRenamed({k: f"__{k}" for k in by}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by], "left_anti")
+    judged = judged.unionByName(only.select(*by, F.lit("reparsed").alias("verdict")))
+    first = _same(pages, judged.where("verdict <> 'reparsed'"), by)
+    return first.unionByName(_same(fallback, judged.where("verdict = 'reparsed'"), by))
+
+
+#: What a probe needs, how much of it is asked for, and among how many hits its document must be.
+PROBE_LEAST, PROBE_CHARS, PROBE_HITS = 120, 300, 3
+
+
+def self_probe(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(document_id) of documents that are found by the start of their first long chunk, by id, among the first three vectors.
+
+    ``documents`` (document_id) are those to probe, all by default. chunks: chunk_id, document_id, text, embedding.
+    """
+    long = chunks.where(F.length("text") > PROBE_LEAST)
+    long = long if documents is None else long.join(documents.select("document_id").distinct(), "document_id", "left_semi")
+    probes = long.groupBy("document_id").agg(F.min_by(F.substring("text", 1, PROBE_CHARS), "chunk_id").alias("text"))
+    asked = probes.select(F.col("document_id").alias("query_id"), embedding(F.col("text")).alias("embedding"))
+    hits = search.vector_topk(chunks, asked, PROBE_HITS)
+    found = hits.join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    return found.where(F.col("query_id") == F.col("document_id")).select("document_id").distinct()
+
+
 def graph_quality(nodes: DataFrame, edges: DataFrame, name_col: str = "label") -> DataFrame:
     """One row: nodes, junk names, their share, typed edges, verdict."""
     n = nodes.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum(T.is_junk_name(F.col(name_col)).cast("int")), F.lit(0)).alias("n_junk"))

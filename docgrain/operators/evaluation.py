@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain import services
+from docgrain.functions import text as T
 from docgrain.operators.extraction import first_json
 
 # What a refusal says.
@@ -64,8 +65,8 @@ def entity_pairs(mentions: DataFrame) -> DataFrame:
     return out.where("second_document is not null")
 
 
-# How much of a context, a passage and the joined passages a judge reads; claims of an answer that are judged.
-CONTEXT_CHARS, PASSAGE_CHARS, JOINED_EACH, JOINED_CHARS, MOST_CLAIMS = 6000, 600, 500, 5000, 6
+# How much of a context, a passage and the joined passages a judge reads.
+CONTEXT_CHARS, PASSAGE_CHARS, JOINED_EACH, JOINED_CHARS = 6000, 600, 500, 5000
 
 
 def judge_faithfulness(answers: DataFrame, service: str | None) -> DataFrame:
@@ -83,12 +84,6 @@ def judge_faithfulness(answers: DataFrame, service: str | None) -> DataFrame:
     return got.select("query_id", F.when(~skipped, F.coalesce("g.supported", F.lit(False))).alias("supported"), F.coalesce("g.unsupported_claims", none).alias("unsupported_claims"), "g.score", skipped.alias("skipped"))
 
 
-def claims(text: Column) -> Column:
-    """The first claims of a text: its sentences and lines of over eight characters."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.;])\s+|\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.slice(F.filter(parts, lambda p: F.length(p) > 8), 1, MOST_CLAIMS)
-
-
 def _share_of_yes(rows: DataFrame, prompt: Column, service: str, name: str) -> DataFrame:
     """(query_id, name): the share of yes among the replies that say yes or no, to 4 places; null where none does."""
     said = F.lower(F.regexp_extract(F.coalesce(services.apply("chat", prompt, service), F.lit("")), r"(?i)^\W*(yes|no)\b", 1))
@@ -105,9 +100,9 @@ def context_precision(contexts: DataFrame, service: str) -> DataFrame:
 def context_recall(truths: DataFrame, contexts: DataFrame, service: str) -> DataFrame:
     """(query_id, context_recall): the share of claims that a chat service finds in the passages (query_id, rank, text).
 
-    truths: query_id and points (expected points, each a claim) or truth (a text, of which :func:`claims` are taken).
+    truths: query_id and points (expected points, each a claim) or truth (a text, of which the first claims are taken).
     """
-    points = F.filter("points", lambda p: F.length(p) > 2) if "points" in truths.columns else claims(F.col("truth"))
+    points = F.filter("points", lambda p: F.length(p) > 2) if "points" in truths.columns else T.claims(F.col("truth"))
     heads = F.array_sort(F.collect_list(F.struct("rank", F.substring(F.coalesce("text", F.lit("")), 1, JOINED_EACH).alias("head"))))
     # The passages of a question are its ranked hits: top_k at most.
     joined = contexts.groupBy("query_id").agg(F.substring(F.array_join(F.transform(heads, lambda x: x["head"]), "\n"), 1, JOINED_CHARS).alias("context"))

@@ -219,6 +219,39 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 30,
     return rank.select("node", "rank")
 
 
+def personal_pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 30, tolerance: float = 1e-6, damping: float = DAMPING) -> DataFrame:
+    """(query_id, node, rank): PageRank over (a, b, weight) from the seeds (query_id, node) of every query, in the same rounds.
+
+    As :func:`pagerank` ranks them for each query alone, but for nodes that a query does not reach, which have no row.
+    A query whose ranks have settled is set aside; seeds that are no nodes are ignored, and a query with none left has
+    no rows.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
+    out = both.groupBy("node").agg(F.sum("weight").alias("out"))
+    steps = materialise(both.join(out, "node").select("node", "other", (F.col("weight") / F.col("out")).alias("p")))
+    nodes = steps.select("node").distinct()
+    least = nodes.count() * tolerance
+    start = seeds.select("query_id", "node").distinct().join(nodes, "node", "left_semi")
+    sizes = start.groupBy("query_id").agg((1.0 / F.count("*")).alias("restart"))
+    restart = materialise(start.join(sizes, "query_id").select("query_id", "node", "restart"))
+    rank, settled = restart.select("query_id", "node", F.col("restart").alias("rank")), None
+    for _ in range(rounds):
+        flow = rank.join(steps, "node").groupBy("query_id", F.col("other").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+        mine = restart.join(rank.select("query_id").distinct(), "query_id", "left_semi")
+        parts = flow.select("query_id", "node", (damping * F.col("flow")).alias("new"), F.lit(0.0).alias("old"))
+        parts = parts.unionByName(mine.select("query_id", "node", ((1 - damping) * F.col("restart")).alias("new"), F.lit(0.0).alias("old")))
+        parts = parts.unionByName(rank.select("query_id", "node", F.lit(0.0).alias("new"), F.col("rank").alias("old")))
+        now = materialise(parts.groupBy("query_id", "node").agg(F.sum("new").alias("rank"), F.abs(F.sum("new") - F.sum("old")).alias("moved")))
+        still = now.groupBy("query_id").agg(F.sum("moved").alias("moved")).where(F.col("moved") >= least).select("query_id")
+        still = materialise(still)
+        done = now.join(still, "query_id", "left_anti").select("query_id", "node", "rank")
+        settled = done if settled is None else settled.unionByName(done)
+        rank = now.join(still, "query_id", "left_semi").select("query_id", "node", "rank")
+        if still.isEmpty():
+            return settled
+    return settled.unionByName(rank)
+
+
 def rank_chunks(ranks: DataFrame, of_nodes: DataFrame, k: int = 30) -> DataFrame:
     """Best ``k`` (chunk_id, score): a chunk has the rank of its best node, by (key, chunk_id)."""
     rows = ranks.join(of_nodes, ranks["node"] == of_nodes["key"])

@@ -101,6 +101,19 @@ def table_text(cells: Column, most: int = 40) -> Column:
     return F.array_join(F.concat(F.array(line(cells["columns"]), rule), F.transform(F.slice(rows, 1, most), line), tail), "\n")
 
 
+def cells_markdown(cells: Column) -> Column:
+    """A grid (array of rows of strings) as a piped table: white space made single, empty rows left out, rows as wide as
+    the first; empty for a grid without any text."""
+    clean = F.transform(cells, lambda row: F.transform(row, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    kept = F.filter(clean, lambda row: F.exists(row, lambda c: c != ""))
+    head = F.try_element_at(kept, F.lit(1))
+    line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
+    wide = lambda row: F.slice(F.concat(row, F.array_repeat(F.lit(""), F.greatest(F.size(head) - F.size(row), F.lit(0)))), F.lit(1), F.size(head))
+    rule = line(F.transform(head, lambda c: F.lit("---")))
+    body = F.transform(F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0))), lambda row: line(wide(row)))
+    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.array_join(F.concat(F.array(line(head), rule), body), "\n")).otherwise("")
+
+
 def table_title(heading: Column, text: Column) -> Column:
     """A caption among the first four lines, at most 160 characters, else the heading."""
     lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), r"\n"), 1, 4), lambda x: F.regexp_replace(T.strip(x), r"^\[+|\]+$", ""))

@@ -83,6 +83,61 @@ def build_graph(chunks: DataFrame, extracted: DataFrame | None = None) -> tuple[
     return graph.aggregate_nodes(own.unionByName(ends)), edges
 
 
+# Characters of a first page that stand for a document, and pages up to which extraction is on by itself.
+SUMMARY_CHARS, AUTO_PAGES = 1200, 40
+
+
+def summary_anchors(pages: DataFrame) -> DataFrame:
+    """(document_id, source_name, page, text): one line that stands for a document, its name, its year and the start of
+    its first page that has a text, lines joined by bars.
+
+    pages: document_id, source_name, page, text. Documents without text have none.
+    """
+    rows = pages.where(F.coalesce(T.strip(F.col("text")), F.lit("")) != "")
+    first = rows.groupBy("document_id").agg(F.min_by(F.struct("source_name", F.substring("text", 1, SUMMARY_CHARS).alias("text")), F.struct("page", "text")).alias("p"))
+    name, year = F.coalesce("p.source_name", F.lit("")), T.year_of_name(F.coalesce("p.source_name", F.lit("")))
+    lines = F.filter(F.transform(F.split("p.text", r"\r\n|[\n\r]"), T.strip), lambda x: x != "")
+    label = F.concat(F.lit("[DOC SUMMARY: "), name, F.when(F.coalesce(year, F.lit("")) != "", F.concat(F.lit(" ("), year, F.lit(")"))).otherwise(""), F.lit("] "))
+    return first.select("document_id", F.col("p.source_name").alias("source_name"), F.lit(1).alias("page"), F.concat(label, F.array_join(lines, " | ")).alias("text"))
+
+
+def wants_extraction(pages: Column, mode: str = "auto") -> Column:
+    """Whether a service extracts from a document of so many pages: never, always, or, by itself, from short ones."""
+    if mode not in ("off", "auto", "on"):
+        raise ValueError(f"not a mode: {mode}")
+    return F.lit(mode == "on") if mode != "auto" else F.coalesce(pages, F.lit(0)) <= AUTO_PAGES
+
+
+def close_fields(chunks: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Enriched ``chunks`` with what a service found (chunk_id, entities): makers and organisations join theirs, an empty
+    place, item, incident and case take the first of its kind, all names join the entities, of which 30 stay.
+    """
+    rows = chunks.join(extracted.select("chunk_id", F.col("entities").alias("__e")), "chunk_id", "left")
+    kind = lambda name: F.transform(F.filter("__e", lambda e: F.lower(e["type"]) == name), lambda e: e["name"])
+    joined = lambda column, names: F.array_sort(F.array_distinct(F.concat(F.coalesce(column, F.array().cast("array<string>")), names)))
+    blank = lambda column: F.coalesce(F.col(column), F.lit("")) == ""
+    fields = {c: joined(F.col(c), kind(name)) for c, name in (("manufacturers", "manufacturer"), ("organizations", "organization"))}
+    fields |= {c: F.when(blank(c), F.coalesce(F.try_element_at(kind(name), F.lit(1)), c)).otherwise(F.col(c)) for c, name in (("location", "location"), ("item_type", "firearm"), ("incident_type", "incident"), ("case_reference", "case"))}
+    fields["entities"] = F.slice(joined(F.col("entities"), F.transform("__e", lambda e: e["name"])), 1, 30)
+    fields = {c: F.when(F.col("__e").isNull(), F.col(c)).otherwise(v) for c, v in fields.items()}
+    return rows.withColumns(fields).select(*chunks.columns)
+
+
+def backfill(chunks: DataFrame, vocabulary: metadata.Vocabulary | None = None) -> DataFrame:
+    """``chunks`` of an older index (text, content_type, source_name, heading, cells, table_title, report_type, us_state)
+    with what is blank filled: labels of all chunks from their names, cells, titles and states of tables."""
+    v = vocabulary or metadata.Vocabulary()
+    table, blank = F.col("content_type") == "table", lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    label = T.first_label(F.coalesce("source_name", F.lit("")), v.reports)
+    fields = {
+        "cells": F.when(table & F.col("cells").isNull(), tables.table_cells("text")).otherwise(F.col("cells")),
+        "table_title": F.when(table & blank("table_title"), tables.table_title(F.col("heading"), F.col("text"))).otherwise(F.col("table_title")),
+        "report_type": F.when(blank("report_type"), label).otherwise(F.col("report_type")),
+        "us_state": F.when(table & blank("us_state"), metadata.state(F.col("text"), v.states)).otherwise(F.col("us_state")),
+    }
+    return chunks.withColumns(fields).select(*chunks.columns)
+
+
 def ingest(docs: DataFrame, known: DataFrame | None = None, corpus: str = "pdf", service: str | None = None) -> Indexed:
     """Index documents (document_id, source_name, text): deduplicate, chunk, gate, enrich, parse tables, embed, build the graph.
 

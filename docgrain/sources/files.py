@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -92,13 +94,7 @@ def write_version(df: DataFrame, root: str, expected: int | None = None) -> int:
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """Number of the newest complete version; 0 if there is none."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return 0
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([int(m[1]) for p in done if (m := re.fullmatch(r"v(\d+)", p.getName()))], default=0)
+    return max(versions(spark, root), default=0)
 
 
 def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -107,3 +103,104 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     if not version:
         raise FileNotFoundError(f"no version below {root}")
     return spark.read.parquet(f"{root}/v{version:08d}")
+
+
+def restore_version(spark: SparkSession, root: str, version: int) -> int:
+    """Write an older version of a table again as the newest, so that nothing is lost, and return its number."""
+    return write_version(read_version(spark, root, version), root)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions of a table, newest first: its backups."""
+    fs, path = _file_system(spark, root)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if blob_exists(spark, f"{root}/{s.getPath().getName()}/_SUCCESS")]
+    return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)", n))), reverse=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def put_blob(spark: SparkSession, path: str, content: bytes) -> str:
+    """Write one small object whole, or not at all, in the place of what was there."""
+    fs, target = _file_system(spark, path)
+    _, half = _file_system(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(half)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(half, target):
+        raise OSError(f"cannot write {path}")
+    return path
+
+
+def get_blob(spark: SparkSession, path: str) -> bytes:
+    """What :func:`put_blob` wrote."""
+    fs, place = _file_system(spark, path)
+    source = fs.open(place)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    finally:
+        source.close()
+
+
+def blob_exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def save_seed(spark: SparkSession, root: str, name: str, note: str = "") -> dict:
+    """Give the newest version of a table a name, under which it can be restored; a name that is used already moves."""
+    seed = {"name": _plain_name(name), "version": latest_version(spark, root), "note": note}
+    if not seed["version"]:
+        raise FileNotFoundError(f"no version below {root}")
+    put_blob(spark, f"{root}/seeds/{seed['name']}.json", json.dumps(seed).encode())
+    return seed
+
+
+def seeds(spark: SparkSession, root: str) -> list[dict]:
+    """The named versions of a table, by name."""
+    fs, place = _file_system(spark, f"{root}/seeds")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+    return [json.loads(get_blob(spark, f"{root}/seeds/{n}")) for n in names if re.fullmatch(r"[^.].*\.json", n)]
+
+
+def restore_seed(spark: SparkSession, root: str, name: str) -> int:
+    """Write a named version again as the newest."""
+    return restore_version(spark, root, json.loads(get_blob(spark, f"{root}/seeds/{_plain_name(name)}.json"))["version"])
+
+
+def _plain_name(name: str) -> str:
+    """A name without folders or leading dots."""
+    plain = re.sub(r"[^A-Za-z0-9._-]+", "_", name.replace("\\", "/").rsplit("/", 1)[-1]).lstrip(".")
+    if not plain:
+        raise ValueError(f"not a name: {name!r}")
+    return plain
+
+
+def decode_uploads(uploads: DataFrame) -> DataFrame:
+    """(name, content, error) of uploads (name, content in base64): names without folders; what cannot be read is an error, not a failure."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("name", F.lit("")), r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]+", "_"), r"^\.+", "")
+    content = F.try_to_binary(F.regexp_replace("content", r"\s+", ""), F.lit("base64"))
+    error = F.when(plain == "", "no name").when(content.isNull(), "not base64")
+    return uploads.select(plain.alias("name"), F.when(error.isNull(), content).alias("content"), error.alias("error"))
+
+
+def stage_uploads(spark: SparkSession, uploads: DataFrame, folder: str) -> list[dict]:
+    """Write the files of one upload request below ``folder``, one at a time, and return name, path and error of each."""
+    out = []
+    for row in decode_uploads(uploads).toLocalIterator():
+        path = None if row["error"] else put_blob(spark, f"{folder}/{row['name']}", bytes(row["content"]))
+        out.append({"name": row["name"], "path": path, "error": row["error"]})
+    return out
+
+
+def point_get(chunks: DataFrame, ids: list) -> DataFrame:
+    """The chunks of some ids; the filter reaches the scan."""
+    return chunks.where(F.col("chunk_id").isin(ids))
