@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgrain.operators import audit, evaluation, metrics, tables
 from docgrain.plans import ingest as ingestion
 from docgrain.session import materialise, spread, table
-from docgrain.streaming import ingest
+from docgrain.streaming import ingest, jobs
 
 
 def _nation_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,7 +269,63 @@ def ingest_graph(spark: SparkSession, sf: str) -> DataFrame:
     return ingestion.ingest(pages).nodes.select("key", "type", "count", "n_chunks")
 
 
+def summary_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """The line that stands for each document, under a name with a year."""
+    name = F.concat(F.lit("report_"), (1990 + F.col("doc_id") % 40).cast("string"), F.lit(".txt"))
+    pages = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("document_id"), name.alias("source_name"), F.lit(1).alias("page"), "text")
+    return ingestion.summary_anchors(pages).select("document_id", "text")
+
+
+SUMMARY_ANCHORS_SQL = r"""
+WITH d AS (SELECT doc_id, (1990 + doc_id % 40)::INT::VARCHAR AS year, list_filter(list_transform(regexp_split_to_array(substring(text, 1, 1200), '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines
+  FROM documents WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
+SELECT doc_id AS document_id, '[DOC SUMMARY: report_' || year || '.txt (' || year || ')] ' || array_to_string(lines, ' | ') AS text FROM d
+"""
+
+
+def better_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of one parse, some of them empty, and of another, that has other gaps: which one stays."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    n = F.col("doc_id")
+    first = docs.withColumn("text", F.when(n % 4 == 0, F.lit("")).otherwise(F.col("text")))
+    second = docs.where(n % 5 != 0).withColumn("text", F.when(n % 8 == 0, F.lit("")).otherwise(F.col("text")))
+    return audit.better_parse(first, second, ["doc_id"]).select("doc_id", "verdict", F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
+BETTER_PARSE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS whole, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(text, '') END AS one, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 8 = 0 THEN '' ELSE coalesce(text, '') END AS two FROM documents),
+q AS (SELECT *, (length(regexp_replace(one, '^\s+|\s+$', '', 'g')) < 30)::INT AS e1, (length(regexp_replace(two, '^\s+|\s+$', '', 'g')) < 30)::INT AS e2,
+  round(len(regexp_extract_all(one, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(length(one), 1), 4) AS g1, round(len(regexp_extract_all(two, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]')) / greatest(length(two), 1), 4) AS g2 FROM d),
+v AS (SELECT *, CASE WHEN NOT (e1 > 0.7 OR g1 > 0.02) THEN 'ok' WHEN two IS NULL THEN 'poor_no_fallback' WHEN e2 < e1 OR g2 < g1 THEN 'reparsed' ELSE 'poor_kept' END AS verdict FROM q)
+SELECT doc_id, verdict, length(CASE WHEN verdict = 'reparsed' THEN two ELSE one END) AS n_chars FROM v
+"""
+
+
+def job_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of each user as a job's files, of which every third has no result: its state."""
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), F.lit("pdf").alias("corpus"), F.lit("f").alias("name"), F.col("event_id").cast("string").alias("path"), (F.col("event_id") % 1000).alias("k"), F.col("ts").alias("at"), F.col("user_id").alias("u"))
+    blank = lambda status: rows.select("job_id", "corpus", "name", "path", F.lit(status).alias("status"), F.lit(None).cast("long").alias("chunks"), F.lit(None).cast("double").alias("secs"), F.lit(None).cast("string").alias("error"), "at", "k", "u")
+    status = F.when(F.col("k") % 7 == 0, "failed").when(F.col("k") % 5 == 0, "skipped").otherwise("done")
+    over = blank("done").where("k % 3 <> 0 or u % 4 = 0").withColumns({"status": status, "chunks": F.col("k") % 10, "secs": (F.col("k") % 4).cast("double")})
+    marks = blank("finalised").where("u % 2 = 0").unionByName(blank("cancel").where("u % 8 = 2"))
+    log = blank("queued").unionByName(over).unionByName(marks).drop("k", "u")
+    return jobs.states(log).select("job_id", "total", "done", "skipped", "failed", "chunks", "remaining", F.round("eta_secs", 6).alias("eta_secs"), "status")
+
+
+JOB_STATES_SQL = """
+WITH e AS (SELECT user_id AS u, event_id % 1000 AS k FROM events),
+r AS (SELECT *, (k % 3 <> 0 OR u % 4 = 0) AS over FROM e),
+s AS (SELECT u, count(*) AS total, count(*) FILTER (over AND k % 7 <> 0 AND k % 5 <> 0) AS done, count(*) FILTER (over AND k % 7 <> 0 AND k % 5 = 0) AS skipped, count(*) FILTER (over AND k % 7 = 0) AS failed,
+  coalesce(sum(k % 10) FILTER (over), 0)::BIGINT AS chunks, count(*) FILTER (NOT over) AS remaining, coalesce(avg((k % 4)::DOUBLE) FILTER (over), 0) AS mean FROM r GROUP BY u)
+SELECT u::VARCHAR AS job_id, total, done, skipped, failed, chunks, remaining, round(remaining * mean, 6) AS eta_secs,
+  CASE WHEN u % 8 = 2 AND remaining = 0 THEN 'cancelled' WHEN u % 8 = 2 THEN 'cancelling' WHEN u % 2 <> 0 THEN 'staging' WHEN remaining = 0 THEN 'completed' WHEN remaining < total THEN 'running' ELSE 'queued' END AS status FROM s
+"""
+
+
 QUERIES = {
+    "summary_anchors": summary_anchors,
+    "better_parse": better_parse,
+    "job_states": job_states,
     "ingest_documents": ingest_documents,
     "ingest_graph": ingest_graph,
     "answer_scores": answer_scores,
@@ -290,6 +346,9 @@ QUERIES = {
 }
 
 SQL = {
+    "summary_anchors": SUMMARY_ANCHORS_SQL,
+    "better_parse": BETTER_PARSE_SQL,
+    "job_states": JOB_STATES_SQL,
     "ingest_documents": INGEST_DOCUMENTS_SQL,
     "answer_scores": ANSWER_SCORES_SQL,
     "regression_gate": REGRESSION_GATE_SQL,
