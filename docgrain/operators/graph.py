@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -277,97 +276,67 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-#: A component with more nodes than this is clustered by rounds over the whole cluster, not in one task.
-LOCAL_NODES = 200_000
+#: Rounds of moves in one level, and levels of merged communities, at most; both end earlier where nothing moves.
+MOVE_ROUNDS, MERGE_LEVELS = 24, 12
 
 
-def label_rounds(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) by label propagation over (a, b, weight): a node takes the label that weighs most among its neighbours.
+def _moves(edges: DataFrame, level: int) -> tuple[DataFrame, bool]:
+    """Labels (node, community) after rounds of moves over (a, b, weight), a = b for what lies inside a merged node, and whether any moved.
 
-    In each round half of the nodes, by a hash, may change, so that neighbours do not swap labels for ever; ties keep
-    the own label, else go to the smallest. Every step is a join and a grouped sum over the whole cluster.
+    A node goes to the neighbours' community by which modularity gains most, ties to the smallest. In a round one half
+    of the nodes, by a hash, may move, and a node alone in its community joins another such node only if that is
+    smaller, so that neighbours do not swap places for ever.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight"))
-    both = materialise(both)
-    labels = materialise(both.select("node").distinct().withColumn("community", F.col("node")))
-    for step in range(rounds):
+    links = edges.where("a <> b")
+    both = materialise(links.select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "weight")), "links")
+    ends = edges.select(F.col("a").alias("node"), "weight").unionByName(edges.select(F.col("b").alias("node"), "weight"))
+    strength = materialise(ends.groupBy("node").agg(F.sum("weight").alias("k")), "strength")
+    whole = strength.agg(F.sum("k")).first()[0] or 1.0
+    labels = strength.select("node", "k", F.col("node").alias("community"))
+    ever, quiet = False, 0
+    for step in range(MOVE_ROUNDS):
+        totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
         near = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
-        ranked = near.join(labels.withColumnRenamed("community", "own"), "node")
-        order = Window.partitionBy("node").orderBy(F.desc(F.round("w", 9)), F.desc(F.col("community") == F.col("own")), "community")
-        best = ranked.withColumn("r", F.row_number().over(order)).where("r = 1")
-        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
-        now = materialise(best.select("node", F.when(turn, F.col("community")).otherwise(F.col("own")).alias("community"), (F.col("community") != F.col("own")).alias("moves")))
-        labels = now.select("node", "community")
-        if now.where("moves").isEmpty():
+        near = near.unionByName(labels.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        rows = near.join(totals, "community").join(labels.select("node", "k", F.col("community").alias("own")), "node")
+        mine = F.col("community") == F.col("own")
+        gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(mine, F.col("k")).otherwise(0.0)) / whole, 9)
+        single = F.col("n") == 1
+        # The smallest loss; of equal ones the own community, then the smallest.
+        best = rows.groupBy("node", "k", "own").agg(F.min(F.struct((-gain).alias("loss"), (~mine).alias("other"), "community", single.alias("alone"))).alias("b"), F.max(mine & single).alias("alone"))
+        wants = (F.col("b.community") != F.col("own")) & ~(F.col("alone") & F.col("b.alone") & (F.col("b.community") > F.col("own")))
+        turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(step // 2)), F.lit(2)) == step % 2
+        now = materialise(best.select("node", "k", F.when(wants & turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), (wants & turn).alias("moved")), "moves")
+        labels = now.select("node", "k", "community")
+        moved = not now.where("moved").isEmpty()
+        ever, quiet = ever or moved, 0 if moved else quiet + 1
+        if quiet == 2:  # each half had its turn
             break
-    first = labels.groupBy("community").agg(F.min("node").alias("first"))
-    return labels.join(first, "community").select("node", F.col("first").alias("community"))
+    return labels.select("node", "community"), ever
 
 
-def communities(edges: DataFrame, min_size: int = 3, seed: int = 42) -> DataFrame:
-    """(node, community) by greedy modularity inside each component of (a, b, weight); small communities are left out.
+def communities(edges: DataFrame, min_size: int = 3) -> DataFrame:
+    """(node, community) by greedy modularity over (a, b, weight); small communities are left out.
 
-    A component of up to LOCAL_NODES nodes is clustered in one task, larger ones together by :func:`label_rounds`. A
+    Nodes move between communities in rounds over the whole cluster, then communities become nodes and move on, until
+    nothing moves (at most MERGE_LEVELS times): the same at every size. No step holds a component in one task. A
     community is named by its smallest node.
     """
-    parts = components(edges)
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    rows = materialise(edges.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component"))
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        names, code = np.unique(np.concatenate((frame["a"].astype(str), frame["b"].astype(str))), return_inverse=True)
-        half = len(frame)
-        label = louvain(len(names), code[:half], code[half:], frame["weight"].to_numpy(np.float64), seed)
-        first = pd.Series(names).groupby(label).transform("min")
-        return pd.DataFrame({"node": names, "community": first.to_numpy()})
-
-    found = rows.where(F.col("n") <= LOCAL_NODES).select("component", "a", "b", "weight").groupBy("component").applyInPandas(cluster, "node string, community string")
-    large = rows.where(F.col("n") > LOCAL_NODES)
-    if not large.isEmpty():
-        text = lambda c: F.col(c).cast("string").alias(c)
-        found = found.unionByName(label_rounds(large.select(text("a"), text("b"), "weight")))
-    found = materialise(found)
-    big = found.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    return found.join(big.select("community"), "community", "left_semi").select("node", "community")
-
-
-def louvain(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Labels 0..n-1 of nodes after greedy modularity moves and merging, repeated until nothing moves."""
-    label = np.arange(n)
-    rng = np.random.default_rng(seed)
-    while True:
-        size = int(label.max()) + 1
-        x, y = label[a], label[b]
-        keys, at = np.unique(np.minimum(x, y) * size + np.maximum(x, y), return_inverse=True)
-        w = np.bincount(at, weight)
-        u, v = keys // size, keys % size
-        strength = np.bincount(u, w, size) + np.bincount(v, w, size)
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        for i, j, k in zip(u.tolist(), v.tolist(), w.tolist(), strict=True):
-            if i != j:
-                near[i][j] = near[i].get(j, 0.0) + k
-                near[j][i] = near[j].get(i, 0.0) + k
-        of, total, whole, moved_ever = np.arange(size), strength.copy(), strength.sum(), False
-        for _ in range(20):
-            moved = False
-            for i in rng.permutation(size).tolist():
-                links: dict[int, float] = {}
-                for j, k in near[i].items():
-                    links[of[j]] = links.get(of[j], 0.0) + k
-                mine = of[i]
-                total[mine] -= strength[i]
-                gain = lambda c: links.get(c, 0.0) - strength[i] * total[c] / whole  # noqa: B023, E731
-                best = max([mine, *sorted(links)], key=lambda c: (gain(c), c == mine))
-                total[best] += strength[i]
-                if best != mine:
-                    of[i], moved = best, True
-            moved_ever |= moved
-            if not moved:
-                break
-        _, packed = np.unique(of, return_inverse=True)
-        label = packed[label]
-        if not moved_ever:
-            return label
+    level = materialise(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("weight")), "level")
+    found = None
+    for step in range(MERGE_LEVELS):
+        labels, moved = _moves(level, step)
+        if found is None:
+            found = labels
+        elif moved:
+            found = materialise(found.join(labels.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "found")
+        if not moved:
+            break
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))  # noqa: B023, E731
+        merged = level.join(side("a"), "a").join(side("b"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
+        level = materialise(merged, "level")
+    big = found.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= min_size)
+    return found.join(big, "community").select("node", F.col("first").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,14 +91,18 @@ def test_communities_of_two_cliques(spark):
     assert {r["component"] for r in graph.components(edges).collect()} == {"a0", "z1"}
 
 
-def test_large_components_are_clustered_by_rounds(spark, monkeypatch):
-    monkeypatch.setattr(graph, "LOCAL_NODES", 4)
-    clique = lambda names: [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
-    edges = spark.createDataFrame(clique([f"a{i}" for i in range(6)]) + clique([f"b{i}" for i in range(6)]) + [("a0", "b0", 1.0)] + clique(["c1", "c2", "c3"]), "a string, b string, weight double")
-    got = {}
-    for r in graph.communities(edges).collect():
-        got.setdefault(r["community"], set()).add(r["node"])
-    assert got["c1"] == {"c1", "c2", "c3"} and {n[0] for n in got["a0"]} == {"a"} and sum(map(len, got.values())) == 15
+def test_communities_of_a_planted_graph(spark):
+    rng = random.Random(3)
+    group = lambda i: i // 20
+    rows = [(f"{i:03d}", f"{j:03d}", 1.0) for i in range(160) for j in range(i) if rng.random() < (0.5 if group(i) == group(j) else 0.01)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    found = graph.communities(edges)
+    planted = spark.createDataFrame([(f"{i:03d}", str(group(i))) for i in range(160)], "node string, community string")
+    assert graph.modularity(edges, found) >= graph.modularity(edges, planted) - 0.01
+    kept = {tuple(r) for r in found.collect()}
+    assert len({n for n, _ in kept}) == len(kept) == 160 and kept == {tuple(r) for r in graph.communities(edges.repartition(7)).collect()}
+    triples = spark.createDataFrame([(f"{k}{x}", f"{k}{y}", 1.0) for k in "cdefgh" for x, y in ("12", "13", "23")], "a string, b string, weight double")
+    assert {r["community"] for r in graph.communities(triples).collect()} == {f"{k}1" for k in "cdefgh"}
 
 
 def test_briefs_and_stats(spark):
