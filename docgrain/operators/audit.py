@@ -143,6 +143,22 @@ def job_stats(events: DataFrame, by: str = "job_id") -> DataFrame:
     return rows.withColumns({"remaining": left, "eta_secs": left * F.coalesce("mean_secs", F.lit(0.0)), "per_minute": F.when(F.col("mean_secs") > 0, 60.0 / F.col("mean_secs")), "pct": pct})
 
 
+#: Reports that a caller sees.
+REPORTS = 200
+
+
+def latest_reports(reports: DataFrame, most: int = REPORTS) -> DataFrame:
+    """The newest reports (at, agent, stage, verdict, ...), newest first; ties by all columns. The log itself keeps them all."""
+    return reports.orderBy(F.desc("at"), *[c for c in reports.columns if c != "at"]).limit(most)
+
+
+def ordered_distinct(rows: DataFrame, by: list[str], value: str, place: str) -> DataFrame:
+    """``by`` with ``values``: the distinct values of each group in the order in which they first come; nulls are left out."""
+    first = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min(place).alias("__p"))
+    listed = F.array_sort(F.collect_list(F.struct("__p", F.col(value).alias("v"))))
+    return first.groupBy(*by).agg(F.transform(listed, lambda x: x["v"]).alias("values"))
+
+
 def manifest_actions(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
     """(doc_key, hash, action) of incoming files: create, skip where the content is known under the key, update where it changed."""
     known = manifest.select("doc_key", F.col("hash").alias("__known"))

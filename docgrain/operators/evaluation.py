@@ -148,3 +148,15 @@ def synthetic_sources(chunks: DataFrame, pairs: DataFrame | None = None, n: int
     both = F.array_sort(F.collect_list(F.struct("part", "text", "source")))
     out = parts.groupBy("place", "hops").agg(both.alias("p"))
     return out.select("place", "hops", F.transform("p", lambda x: x["text"]).alias("texts"), F.array_sort(F.array_distinct(F.transform("p", lambda x: x["source"]))).alias("sources"))
+
+
+def synthetic_questions(sources: DataFrame, service: str, corpus: str = "pdf") -> DataFrame:
+    """Golden records (id, question, intent, corpus, relevant_doc_files, expected_answer_points, synthetic, hops) that a
+    chat service makes from :func:`synthetic_sources`; replies without a question are left out."""
+    head = F.when(F.col("hops") > 1, "Ask one question that needs both passages.").otherwise("Ask one question that the passage answers.")
+    prompt = F.concat(head, F.lit(" Reply with JSON only: question, answer, answer_points.\n"), F.array_join("texts", "\n\n"))
+    replies = sources.select("place", "hops", "sources", first_json(services.apply("chat", prompt, service)).alias("reply"))
+    got = replies.withColumn("g", F.from_json("reply", "question string, answer string, answer_points array<string>")).where("trim(g.question) <> ''")
+    points = F.when(F.size("g.answer_points") > 0, F.col("g.answer_points")).otherwise(F.array_compact(F.array("g.answer")))
+    files = F.filter("sources", lambda s: F.coalesce(s, F.lit("")) != "")
+    return got.select(F.format_string("syn%03d", F.col("place") + 1).alias("id"), "g.question", F.lit("fact").alias("intent"), F.lit(corpus).alias("corpus"), files.alias("relevant_doc_files"), points.alias("expected_answer_points"), F.lit(True).alias("synthetic"), "hops")

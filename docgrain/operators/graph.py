@@ -27,6 +27,12 @@ def is_typed(rel: Column) -> Column:
     return ~F.coalesce(rel, F.lit("")).isin(*GENERIC_RELATIONS)
 
 
+def with_typed(edges: DataFrame) -> DataFrame:
+    """Stored edges with ``typed``: where it is missing or null, it follows from the relation."""
+    said = F.col("typed") if "typed" in edges.columns else F.lit(None).cast("boolean")
+    return edges.withColumn("typed", F.coalesce(said, is_typed(F.col("rel"))))
+
+
 def aggregate_nodes(mentions: DataFrame) -> DataFrame:
     """Nodes from mentions (name, type, chunk_id, corpus, description, seq).
 

@@ -13,25 +13,36 @@ from docgrain.functions import text as T
 THRESHOLD = 0.88
 
 
-def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, str] | None = None) -> DataFrame:
+def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(name, type, canonical) of distinct (name, type); ``names`` has name, type, seq.
 
     Canonical forms that agree are one. Within a type and a block (the first two characters) a new form joins the
     earlier one that it is most like, from ``threshold`` on, else it stands for itself. Only distinct forms of a block
-    meet in a task; empty forms stay empty.
+    meet in a task; empty forms stay empty. ``known`` (type, canonical) are the forms of earlier runs: they come first
+    and stay as they are, so that a registry grows batch by batch (:func:`grow`).
     """
     forms = names.withColumn("form", T.entity_name(F.col("name"), aliases))
-    distinct = forms.groupBy("type", "form").agg(F.min("seq").alias("first"))
+    distinct = forms.groupBy("type", "form").agg(F.min("seq").alias("first")).withColumn("old", F.lit(False))
+    if known is not None:
+        earlier = known.select("type", F.col("canonical").alias("form")).distinct()
+        new = distinct.join(earlier, ["type", "form"], "left_anti")
+        distinct = new.unionByName(earlier.select("type", "form", F.lit(None).cast(distinct.schema["first"].dataType).alias("first"), F.lit(True).alias("old")))
     blocks = distinct.where("form <> ''").withColumn("block", F.substring("form", 1, 2))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        known: dict[int, list[str]] = {}  # by length: a ratio of r needs lengths of which the shorter is at least r / (2 - r) of the longer
+        known_forms: dict[int, list[str]] = {}  # by length: a ratio of r needs lengths of which the shorter is at least r / (2 - r) of the longer
         order: dict[str, int] = {}
         out = []
-        for form in frame.sort_values(["first", "form"])["form"]:
+        frame = frame.assign(new=~frame["old"]).sort_values(["new", "first", "form"])
+        for form, old in zip(frame["form"], frame["old"], strict=True):
             best, at, n = form, threshold, len(form)
+            if old:
+                order[form] = len(order)
+                known_forms.setdefault(n, []).append(form)
+                out.append((form, form))
+                continue
             least = threshold / (2 - threshold)
-            near = [f for k in range(int(n * least), int(n / least) + 2) for f in known.get(k, ())]
+            near = [f for k in range(int(n * least), int(n / least) + 2) for f in known_forms.get(k, ())]
             matcher = SequenceMatcher(None)
             for other in sorted(near, key=order.__getitem__):
                 matcher.set_seqs(form, other)
@@ -41,7 +52,7 @@ def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, s
                         best, at = other, ratio
             if best == form:
                 order[form] = len(order)
-                known.setdefault(n, []).append(form)
+                known_forms.setdefault(n, []).append(form)
             out.append((form, best))
         return pd.DataFrame({"type": frame["type"].iloc[0], "form": [x for x, _ in out], "canonical": [y for _, y in out]})
 
@@ -50,6 +61,12 @@ def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, s
     return rows.select("name", "type", F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
+def grow(known: DataFrame | None, mapping: DataFrame) -> DataFrame:
+    """The registry (type, canonical) after a batch was resolved against it."""
+    found = mapping.where("canonical <> ''").select("type", "canonical")
+    return (found if known is None else known.select("type", "canonical").unionByName(found)).distinct()
+
+
 def remap(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Relations (src, dst, ...) with canonical ends; those that become loops or have an empty end go."""
     one = mapping.groupBy("name").agg(F.min("canonical").alias("canonical"))

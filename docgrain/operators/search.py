@@ -93,17 +93,18 @@ def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int = 30, id_col: str =
     return best.select(F.col("q").alias(query_id), F.col("id").alias(id_col), (F.col("raw") / top).alias("score"), "rank")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 45, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", match: str | None = None, exclude_self: bool = False) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 45, id_col: str = "chunk_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", match: str | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:
     """Best ``k`` vectors of each query by cosine: (query_id, chunk_id, score, rank); exact, ties to the smaller id.
 
     Zero, null and ill-formed vectors score 0. ``match`` names a column of both tables that must agree before ranks
-    are given. Ids may be numbers or strings. Up to QUERY_BYTES of queries are sent to all tasks; each batch of vectors
+    are given; ``where`` is a predicate on the vectors' table, which reaches the scan. Ids may be numbers or strings. Up to QUERY_BYTES of queries are sent to all tasks; each batch of vectors
     is multiplied with them, block by block, and keeps its best ``k`` for each query, so that the vectors are scanned
     once and only k rows a query and batch are shuffled.
     """
     wanted = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else []))
     columns = [F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *([F.col(match).alias("m")] if match else [])]
-    rows = vectors.where(F.col(id_col).isNotNull()).select(*columns)
+    usable = F.col(id_col).isNotNull()
+    rows = vectors.where(usable if where is None else usable & where).select(*columns)
     types = f"q {wanted.schema['q'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
     found = None
     for group in _groups(wanted):

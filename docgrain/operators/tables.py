@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docgrain import services
 from docgrain.functions import text as T
 
 CELLS = "struct<columns:array<string>,rows:array<array<string>>,n_rows:int,n_cols:int,format:string>"
@@ -202,6 +203,26 @@ def family_summary(tables: DataFrame, families: DataFrame) -> DataFrame:
     return tables.select("table_id").join(families.select("table_id", "family"), "table_id", "left").join(catalog, "family", "left").select("table_id", "family", "n_tables", "years")
 
 
+def unnamed_families(tables: DataFrame, families: DataFrame, names: DataFrame) -> DataFrame:
+    """(family, n_tables, years) of families that have no name yet in ``names`` (family, name), the largest first."""
+    named = names.where(F.coalesce("name", F.lit("")) != "").select("family")
+    return family_catalog(tables, families).join(named, "family", "left_anti").select("family", "n_tables", "years").orderBy(F.desc("n_tables"), "family")
+
+
+def name_families(tables: DataFrame, families: DataFrame, names: DataFrame, service: str, most: int = 3, samples: int = 3) -> DataFrame:
+    """(family, name, summary) of the largest unnamed families, as a chat service describes them from the titles of some
+    of their tables; replies without a name are left out, so that they are asked for again."""
+    wanted = unnamed_families(tables, families, names).limit(most)
+    order = Window.partitionBy("family").orderBy("table_id")
+    shown = tables.join(families, "table_id").join(wanted.select("family"), "family", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= samples)
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.coalesce("title", F.lit("")).alias("title")))), lambda x: x["title"]), "\n")
+    rows = shown.groupBy("family").agg(titles.alias("titles"))
+    prompt = F.concat(F.lit("Describe this family of tables. Reply with JSON only: name, summary.\n"), F.col("titles"))
+    reply = services.apply("chat", prompt, service)
+    got = rows.select("family", reply.alias("reply")).select("family", F.from_json(F.regexp_extract(F.coalesce("reply", F.lit("")), r"(?s)\{.*\}", 0), "name string, summary string").alias("g"))
+    return got.select("family", "g.name", "g.summary").where("trim(name) <> ''")
+
+
 def find_tables(tables: DataFrame, question: str, families: DataFrame | None = None, k: int = 4) -> DataFrame:
     """Best ``k`` tables of a question by shared words, plus 2 for its year and minus 1 for another; with families, up to 3 of other years."""
     words = F.array_distinct(T.content_tokens(F.lit(question)))

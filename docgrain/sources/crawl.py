@@ -6,6 +6,7 @@ import re
 import time
 from collections.abc import Callable
 from urllib.parse import urlsplit
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,17 @@ Fetch = Callable[[str], str]
 
 
 def sitemap_locations(xml: str, limit: int) -> list[str]:
-    """The first ``limit`` locations of a sitemap."""
-    return [x.strip() for x in re.findall(r"(?is)<(?:\w+:)?loc>(.*?)</(?:\w+:)?loc>", xml)][:limit]
+    """The first ``limit`` locations of a sitemap, in whatever namespace; what is no XML is searched for the elements' text.
+
+    A sitemap that declares entities or a document type is not parsed, so that none can be expanded.
+    """
+    try:
+        if re.search(r"(?i)<!(?:doctype|entity)", xml):
+            raise ElementTree.ParseError
+        found = [e.text or "" for e in ElementTree.fromstring(xml.strip()).iter() if str(e.tag).rsplit("}", 1)[-1].lower() == "loc"]
+    except ElementTree.ParseError:
+        found = re.findall(r"(?is)<(?:\w+:)?loc>(.*?)</(?:\w+:)?loc>", xml)
+    return [x.strip() for x in found if x.strip()][:limit]
 
 
 class Robots:
@@ -62,6 +72,13 @@ def page_records(pages: DataFrame) -> DataFrame:
     return pages.select("url", html.title(h).alias("title"), html.headings(h).alias("headings"), html.meta_date(h).alias("document_date"), html.html_text(h).alias("text"))
 
 
+def linked_documents(pages: DataFrame, suffix: str = ".pdf") -> DataFrame:
+    """(link, url, name) of the documents that crawled pages (url, html) link to, each once, with the first page by url and the file's name."""
+    found = html.absolute_links(pages, suffix=suffix)
+    once = found.groupBy("link").agg(F.min("url").alias("url"))
+    return once.select("link", "url", F.regexp_extract(F.regexp_replace("link", r"[?#].*$", ""), r"([^/]*)$", 1).alias("name"))
+
+
 def judge_results(results: DataFrame, question: str, similarity: DataFrame | None = None, least_chars: int = 200, relevance: float = 0.30, novelty: float = 0.88, most: int = 3) -> DataFrame:
     """Web results (title, url, content, score) with tier, verdict and reason; at most ``most`` are added.
 

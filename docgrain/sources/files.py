@@ -204,3 +204,14 @@ def stage_uploads(spark: SparkSession, uploads: DataFrame, folder: str) -> list[
 def point_get(chunks: DataFrame, ids: list) -> DataFrame:
     """The chunks of some ids; the filter reaches the scan."""
     return chunks.where(F.col("chunk_id").isin(ids))
+
+
+def resolve_sources(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, path) of wanted names: the file of that relative path, else the first by path with that base name, else null.
+
+    known: relative_path, path.
+    """
+    exact = known.groupBy(F.col("relative_path").alias("name")).agg(F.min("path").alias("__exact"))
+    loose = known.groupBy(T.basename(F.col("path")).alias("__base")).agg(F.min("path").alias("__loose"))
+    rows = wanted.select("name").distinct().join(exact, "name", "left").withColumn("__base", T.basename(F.col("name"))).join(loose, "__base", "left")
+    return rows.select("name", F.coalesce("__exact", "__loose").alias("path"))
