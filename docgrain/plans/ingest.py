@@ -138,14 +138,18 @@ def backfill(chunks: DataFrame, vocabulary: metadata.Vocabulary | None = None) -
     return chunks.withColumns(fields).select(*chunks.columns)
 
 
-def ingest(docs: DataFrame, known: DataFrame | None = None, corpus: str = "pdf", service: str | None = None) -> Indexed:
+def ingest(docs: DataFrame, known: DataFrame | None = None, corpus: str = "pdf", service: str | None = None, summaries: bool = False) -> Indexed:
     """Index documents (document_id, source_name, text): deduplicate, chunk, gate, enrich, parse tables, embed, build the graph.
 
     Documents that repeat an earlier one or are unchanged are only journalled. With ``service`` a chat service
-    extracts relations. Every result is written once and read from there.
+    extracts relations, and what it finds joins the chunks' fields; with ``summaries`` each document has a line that
+    stands for it. Every result is written once and read from there.
     """
     log = materialise(journal(docs, known), "journal")
     todo = docs.join(log.where("status in ('new', 'updated')").select("document_id"), "document_id", "left_semi")
+    if summaries:
+        lines = summary_anchors(todo.withColumn("page", F.lit(1)))
+        todo = todo.select("document_id", "source_name", "text").unionByName(lines.select("document_id", "source_name", "text"))
     cut = chunking.reclassify(chunking.chunk(todo, "document_id", keep=("source_name",)))
     cut = cut.where(T.gate_allows(F.col("text"), F.col("content_type"), F.lit("text")))
     rich = metadata.enrich(cut.withColumn("corpus", F.lit(corpus)))
@@ -153,7 +157,9 @@ def ingest(docs: DataFrame, known: DataFrame | None = None, corpus: str = "pdf",
     chunks = materialise(rich.withColumns({"cells": cells, "embedding": embedding(F.col("text"))}), "chunks")
     store = chunks.select("chunk_id", F.col("source_name").alias("source"), F.lit(1).alias("page"), "document_date", F.col("heading").alias("title"), "cells")
     known_tables, rows = tables.build_store(store.where("cells is not null"))
-    nodes, edges = build_graph(chunks, extraction.enrich(chunks, service=service) if service else None)
+    extracted = materialise(extraction.enrich(chunks, service=service), "extracted") if service else None
+    chunks = chunks if extracted is None else materialise(close_fields(chunks, extracted), "chunks")
+    nodes, edges = build_graph(chunks, extracted)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
     log = log.join(counts, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
     status = F.when(F.col("status").isin("new", "updated") & (F.col("chunks") == 0), "empty").otherwise(F.col("status"))

@@ -73,3 +73,12 @@ def test_dense_lane_with_ids_of_text(spark):
     chunks = spark.createDataFrame(pd.DataFrame({"chunk_id": ["x1", "x2", "x3"], "text": ["pistol traces in ohio", "rifle exports by year", ""]}))
     asked = spark.createDataFrame([("q", "traces of pistols in ohio: pistol traces")], "query_id string, question string")
     assert [r["chunk_id"] for r in answer.dense_lane(chunks, asked, 2).collect()] == ["x1"]
+
+
+def test_summaries_are_chunks_of_their_own(spark):
+    docs = spark.createDataFrame([("d", "report_2021.txt", "TITLE\n\nThe harbour was rebuilt after the storm of that winter, people say."), ("e", "x", None)], "document_id string, source_name string, text string")
+    batch = ingest.ingest(docs, summaries=True)
+    texts = [r["text"] for r in batch.chunks.collect()]
+    assert sum("[DOC SUMMARY: report_2021.txt (2021)]" in t for t in texts) == 1 and len(texts) == 2
+    assert batch.chunks.select("chunk_id").distinct().count() == 2
+    assert {r["document_id"]: r["status"] for r in batch.journal.collect()} == {"d": "new", "e": "empty"}
