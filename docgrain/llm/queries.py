@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import decontam, embed_dedup, langid, lmscore, mixing, pii, quality, simhash, urlfilter, warc
+from docgrain.llm import decontam, embed_dedup, fim, hard_negatives, langid, lmscore, mixing, packing, pii, quality, simhash, urlfilter, warc
 from docgrain.session import spread
 
 #: Rules of the URL query: host, path, action.
@@ -95,6 +96,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document for fill-in-middle training, and put together again."""
+    made = fim.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "fim.*")
+    sha = lambda text: F.sha2(text, 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 2,048; ``tokenizer`` is the path of a JSON file on the driver."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_documents(spark, sf_dir), Path(tokenizer).read_text(encoding="utf-8"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries of this subpackage by name."""
     return {
@@ -108,6 +133,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_lm_score": op9_lm_score,
         "op10_mixing": op10_mixing,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_packing": op13_packing,
     }
 
 
@@ -212,6 +240,58 @@ FROM p JOIN g USING (k)
 """
 
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         CAST(embedding AS DOUBLE[]) AS e
+  FROM embeddings
+), ok AS (
+  SELECT rid, vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS MATERIALIZED (
+  SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id, a.label = b.label AS same,
+         CASE WHEN len(a.e) = 0 THEN 0 ELSE CAST(list_dot_product(a.e, b.e) AS BIGINT) END AS s
+  FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id NULLS LAST) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
+QUALIFY rank <= 5
+"""
+
+MIDDLE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w) + 1) AS c2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS d3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS d4
+  FROM d
+), parts AS (
+  SELECT doc_id, t, n,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d3 >= 90 THEN 'plain'
+              WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(w[1:least(c1, c2)], ''), '') AS p,
+         coalesce(array_to_string(w[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS m,
+         coalesce(array_to_string(w[greatest(c1, c2) + 1:], ''), '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
     return {
@@ -219,4 +299,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": DECONTAMINATION_SQL,
         "op4_url_filter": URL_SQL,
         "op8_warc": WARC_SQL,
+        "op11_hard_negatives": NEGATIVES_SQL,
+        "op12_fill_in_middle": MIDDLE_SQL,
     }
