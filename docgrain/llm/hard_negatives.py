@@ -50,7 +50,7 @@ class Points:
         for n in np.unique(lengths).tolist():
             part = frame[lengths == n]
             vectors = np.stack(part["vector"].to_numpy()) if n else np.zeros((len(part), 0))
-            yield cls(vectors, part["row"].to_numpy(np.int64), part["id"].fillna(_LAST).to_numpy(np.int64), part["label"].to_numpy(np.int64))
+            yield cls(vectors, part["row"].to_numpy(np.int64), part["id"].to_numpy(np.int64), part["label"].to_numpy(np.int64))
 
 
 @dataclass
@@ -165,7 +165,7 @@ class Search:
 def _whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str, anchor: Column, scale: int) -> DataFrame:
     """(row, id, label, vector, anchor) of the rows that take part, dealt by direction; written."""
     x = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), x.alias("x"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(label_col).cast("long").alias("label"), x.alias("x"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
 
@@ -175,7 +175,7 @@ def _whole_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col:
                 part = frame[frame["x"].map(len) == n]
                 x = np.floor(scale * np.stack(part["x"].to_numpy())) if n else np.zeros((len(part), 0))
                 signs = x @ np.random.default_rng(SEED).normal(size=(n, DIRECTIONS)) > 0
-                yield pd.DataFrame({"id": part["id"].array, "label": part["label"].to_numpy(), "vector": list(x), "anchor": part["anchor"].to_numpy(), "side": signs @ (1 << np.arange(DIRECTIONS))})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "vector": list(x), "anchor": part["anchor"].to_numpy(), "side": signs @ (1 << np.arange(DIRECTIONS))})
 
     dealt = rows.mapInPandas(floored, "id long, label long, vector array<double>, anchor boolean, side long").withColumn("row", F.monotonically_increasing_id())
     dealt = materialise(dealt, "whole")  # row numbers hold once they are written
