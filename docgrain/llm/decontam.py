@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class WindowSet:
-    """Hashed windows of some items. Windows of one length are sorted by hash."""
+    """Different windows of some items, hashed, with the items that have them. Windows of one length are sorted by hash."""
 
     vocabulary: dict[bytes, int]
     words: np.ndarray  # ids of all items' words, one item after the other
     items: list[str | None]
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # hashes, starts in words, items
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # hashes, starts in words, ends in owners, owners
     last: bool = True  # of its benchmark
 
     @classmethod
@@ -62,12 +63,7 @@ class WindowSet:
             owners.setdefault(size, []).append(np.full(count, k))
             at += len(ids)
         words = np.concatenate([np.empty(0, np.uint64), *parts])
-        by_length = {}
-        for size in starts:
-            first, owner = np.concatenate(starts[size]), np.concatenate(owners[size])
-            hashes = _hash(words, first, size)
-            order = np.argsort(hashes, kind="stable")
-            by_length[size] = hashes[order], first[order], owner[order]
+        by_length = {size: _different(words, size, np.concatenate(starts[size]), np.concatenate(owners[size])) for size in starts}
         return cls(vocabulary, words, [x for x, _ in rows], by_length)
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[int]]:
@@ -78,27 +74,55 @@ class WindowSet:
         if words and self.by_length:
             ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
             unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-            for size, (hashes, starts, owners) in self.by_length.items():
+            for size, (hashes, starts, ends, owners) in self.by_length.items():
                 if size > len(words):
                     continue
+                met = np.zeros(len(hashes), bool)
                 at = np.nonzero(unknown[size:] == unknown[:-size])[0]
                 for part in (at[i : i + AT_ONCE] for i in range(0, len(at), AT_ONCE)):
                     keys = _hash(ids, part, size)
-                    lo, hi = np.searchsorted(hashes, keys, "left"), np.searchsorted(hashes, keys, "right")
-                    for k in np.nonzero(hi > lo)[0].tolist():
-                        p = int(part[k])
-                        mine = ids[p : p + size]
-                        near = np.arange(lo[k], hi[k])
-                        same = (self.words[starts[near][:, None] + np.arange(size)] == mine).all(axis=1)
-                        if same.any():
-                            edges[p] += 1
-                            edges[p + size] -= 1
-                            found.update(owners[near[same]].tolist())
+                    k, stop = np.searchsorted(hashes, keys, "left"), np.searchsorted(hashes, keys, "right")
+                    while len(part := part[k < stop]):  # once, unless different windows share a hash
+                        k, stop = k[k < stop], stop[k < stop]
+                        same = _equal(self.words, starts[k], ids, part, size)
+                        np.add.at(edges, part[same], 1)
+                        np.add.at(edges, part[same] + size, -1)
+                        met[k[same]] = True
+                        k = k + 1
+                for k in np.nonzero(met)[0].tolist():
+                    found.update(owners[ends[k] : ends[k + 1]].tolist())
         inside = np.concatenate(([0], (np.cumsum(edges)[:-1] > 0).astype(np.int8), [0]))
         turn = np.diff(inside)
         return len(words), np.stack((np.nonzero(turn == 1)[0], np.nonzero(turn == -1)[0]), axis=1), found
 
 
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: int) -> np.ndarray:
+    """Whether the windows of ``size`` words at these places of a and b are the same."""
+    same = np.ones(len(at), bool)
+    for k in range(size):
+        same &= a[at + k] == b[bt + k]
+    return same
+
+
+def _different(words: np.ndarray, size: int, starts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows (starts and items) the different ones: hashes, starts, and for each the items that have it, once."""
+    hashes = _hash(words, starts, size)
+    order = np.argsort(hashes, kind="stable")
+    hashes, starts, owners = hashes[order], starts[order], owners[order]
+    opens = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    first = np.maximum.accumulate(np.where(opens, np.arange(len(starts)), 0))
+    odd = np.nonzero(~_equal(words, starts, words, starts[first], size))[0]
+    if len(odd):  # different windows share a hash: those that are not the first are told apart by their words
+        window = [words[s : s + size].tobytes() for s in starts[odd].tolist()]
+        group = np.unique(window, return_inverse=True)[1]
+        opener = np.full(group.max() + 1, len(starts))
+        np.minimum.at(opener, group, odd)
+        first[odd] = opener[group]
+    pairs = np.unique(np.stack((first, owners), axis=1), axis=0)
+    kept, at = np.unique(pairs[:, 0], return_index=True)
+    return hashes[kept], starts[kept], np.append(at, len(pairs)), pairs[:, 1]
+
+
 def _hash(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash modulo 2**64 of the windows of ``size`` ids at ``starts``."""
     with np.errstate(over="ignore"):
@@ -109,14 +133,61 @@ def _hash(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         return out * _BASE
 
 
+def _segments(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """(item, text): items cut into texts of at most about ``size`` bytes that share n - 1 words, so that no window is lost."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for item, text in zip(frame["item"], frame["text"], strict=True):
+                if len(text) <= size // 4:
+                    yield pd.DataFrame({"item": [item], "text": [text]})
+                    continue
+                words = words_of(text)
+                begin = 0
+                while True:
+                    end, held = begin, 0
+                    while end < len(words) and (held < size or end - begin < 2 * n):
+                        held += len(words[end]) + 1
+                        end += 1
+                    yield pd.DataFrame({"item": [item], "text": [b" ".join(words[begin:end]).decode("utf-8", "surrogatepass")]})
+                    if end == len(words):
+                        break
+                    begin = end - n + 1
+
+    return rows.mapInPandas(cut, "item string, text string")
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[WindowSet]:
-    """The benchmark as window sets of about BLOCK_BYTES of text each, by a hash of the row."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    """The different rows of the benchmark as window sets of about BLOCK_BYTES of text each; long items are cut."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // BLOCK_BYTES))
-    for k in range(count):
-        block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else rows
-        yield replace(WindowSet.of([(r["item"], r["text"]) for r in block.collect()], n), last=k == count - 1)  # at most a block's bytes
+    if size <= BLOCK_BYTES:
+        yield WindowSet.of([(r["item"], r["text"]) for r in rows.collect()], n)
+        return
+    parts = -(-2 * size // BLOCK_BYTES)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), 0
+        for frame in batches:
+            sizes = held + frame["text"].map(lambda t: len(t.encode("utf-8", "surrogatepass"))).cumsum()
+            held = int(sizes.iloc[-1]) if len(sizes) else held
+            yield frame.assign(part=part, block=sizes // BLOCK_BYTES)
+
+    dealt = _segments(rows.repartition(parts), n, BLOCK_BYTES // 16).repartition(parts).mapInPandas(numbered, "item string, text string, part int, block long")
+    dealt = materialise(dealt, "benchmark")
+    # Blocks of different parts are put together as long as they fit: at most a row for every half block of the benchmark.
+    sizes = sorted((r["part"], r["block"], r["size"]) for r in dealt.groupBy("part", "block").agg(F.sum(F.octet_length("text")).alias("size")).collect())
+    groups: list[list[tuple[int, int]]] = []
+    held = BLOCK_BYTES + 1
+    for part, block, size in sizes:
+        if held + size > BLOCK_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append((part, block))
+        held += size
+    for k, group in enumerate(groups):
+        mine = reduce(Column.__or__, [(F.col("part") == p) & (F.col("block") == b) for p, b in group])
+        yield replace(WindowSet.of([(r["item"], r["text"]) for r in dealt.where(mine).collect()], n), last=k == len(groups) - 1)
 
 
 def _scanner(docs: DataFrame, windows: WindowSet):
