@@ -1,7 +1,7 @@
 """URL filters: host-suffix and path-prefix expressions joined to rules by short hash prefixes.
 
-DataFrame functions only. A URL is expanded into every (host suffix, path prefix) expression whose path
-length some rule has; expressions meet rules on the first eight hex digits of their SHA-256, and a match
+DataFrame functions only. A URL is expanded into every (host suffix, path prefix) expression whose number of
+labels and path length some rule has; expressions meet rules on the first eight hex digits of their SHA-256, and a match
 counts only where the full digests agree. Of the rules that fit, the longest host and path win.
 """
 
@@ -30,7 +30,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """Rules (host, path, action) as (prefix, digest, rule, action, path_len).
+    """Rules (host, path, action) as (prefix, digest, rule, action, path_len, labels).
 
     Hosts are lower-cased; rows with a null host, path or action are no rules. Of equal host and path,
     ``allow`` wins over ``block``. A rule's path begins with ``/``, its text is host and path joined.
@@ -44,17 +44,22 @@ def compile_rules(rules: DataFrame) -> DataFrame:
         F.concat("h", "p").alias("rule"),
         "action",
         F.length("p").alias("path_len"),
+        (F.length("h") - F.length(F.replace("h", F.lit("."))) + 1).alias("labels"),
     )
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of digests of all (host suffix, path prefix) expressions with a path length in ``lengths``."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat_ws(".", F.slice(labels, i, n)))
-    sizes = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.length(path))
-    pairs = F.transform(suffixes, lambda s: F.transform(sizes, lambda x: F.sha2(F.concat_ws("\n", s, F.substring(path, F.lit(1), x)), 256)))
-    return F.flatten(pairs)
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Array of digests of the (host suffix, path prefix) expressions of these shapes (labels, path length) that a URL has.
+
+    A suffix is taken from the host's end, so that a host of many labels costs no more than its length.
+    """
+    n = F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+    def one(labels: int, size: int) -> Column:
+        text = F.concat_ws("\n", F.substring_index(host, ".", -labels), F.substring(path, 1, size))
+        return F.when((n >= labels) & (F.length(path) >= size), F.sha2(text, 256))
+
+    return F.array_compact(F.array(*[one(*s) for s in shapes]))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -67,35 +72,32 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     spark = pages.sparkSession
     compiled = compile_rules(rules)
-    # At most one row for each path length, and paths are bounded by the longest rule.
-    seen = compiled.groupBy("path_len").count().collect()
-    lengths = sorted(row["path_len"] for row in seen)
+    # At most one row for each shape, and these are bounded by the longest rule.
+    seen = compiled.groupBy("labels", "path_len").count().collect()
+    shapes = sorted((row["labels"], row["path_len"]) for row in seen)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
-    if not lengths:
+    if not shapes:
         judged = rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
         return judged.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "host", "path", "rule", "verdict")
 
-    # One expansion for each distinct (id, url), so that copies of a row cost nothing more; they come back at the end.
-    once = rows.groupBy("id", "url", "host", "path").agg(F.count("*").alias("copies"))
-    exploded = once.select("*", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths)).alias("digest_u"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # rows stand for themselves: copies are spread like any other
+    exploded = numbered.select("*", F.explode_outer(expressions(F.col("host"), F.col("path"), shapes)).alias("digest_u"))
     exploded = exploded.withColumn("prefix", F.substring("digest_u", 1, PREFIX))
     if sum(row["count"] for row in seen) <= BROADCAST_RULES:
         joined = exploded.join(F.broadcast(compiled), "prefix", "left")
     else:
-        exploded = exploded.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)))
+        exploded = exploded.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
         salted = compiled.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = exploded.join(salted, ["prefix", "salt"], "left")
     fits = F.col("digest_u") == F.col("digest")  # the full digest confirms the short prefix
     rank = F.when(fits, F.struct(F.length("rule").alias("n"), "path_len", "rule", "action"))
-    best = joined.groupBy("id", "url", "host", "path", "copies").agg(F.max(rank).alias("best"))
-    judged = best.select(
+    best = joined.groupBy("row", "id", "url", "host", "path").agg(F.max(rank).alias("best"))
+    return best.select(
         F.col("id").alias(id_col),
         F.col("url").alias(url_col),
         "host",
         "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.action", F.lit(default)).alias("verdict"),
-        F.explode(F.expr("array_repeat(1, cast(copies as int))")).alias("copy"),
     )
-    return judged.drop("copy")
