@@ -19,8 +19,8 @@ from docgrain.llm.shared import materialise
 
 #: Blocks into which every source is dealt. Their sums are what is ordered; single documents only where a budget ends.
 BLOCKS = 2048
-#: A block with more rows, and more than this many times the mean of its source, holds copies of a row and is dealt anew.
-HOT_ROWS, HOT_TIMES = 10_000, 8
+#: Copies of one row that one task numbers; more are numbered in parts, by several tasks, with the same result.
+COPIES = 4096
 #: Exponents tried in one pass over the source sums.
 GRID = 33
 PASSES = 7
@@ -98,25 +98,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the budget. So a source uses at most its budget, and less by less than one document. Documents without tokens
     (null and empty texts) come with every full epoch. Null ids and sources are kept; repeated rows are documents
     of their own; equal hashes are ordered by id and size. An empty table gives an empty result. Other columns
-    are not read. Either of ``evenness`` and ``repeats`` may be None; with both None nothing is tempered.
+    are not read. How the rows are dealt over partitions makes no difference. Either of ``evenness`` and ``repeats`` may be None; with both None nothing is tempered.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("n_tokens"), F.xxhash64(F.col(text_col)).alias("print"))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", "print", F.lit(seed)), F.lit(BLOCKS)).cast("int"))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = materialise(rows.groupBy("id", "source", "n_tokens", "print").agg(F.count("*").alias("n")), "counted")
+    # Each copy of a row has a number, and a block by it: copies fill all blocks alike, and other rows keep theirs.
+    last = F.floor((F.col("n") - 1) / COPIES)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if (rows.agg(F.max("n")).first()[0] or 0) > COPIES:
+        parts = parts.repartition("id", "print", "part")
+    first = F.col("part") * COPIES
+    rows = parts.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", "print", "copy", F.lit(seed)), F.lit(BLOCKS)).cast("int"))
+    rows = materialise(rows.select("id", "source", "n_tokens", "print", "slot"), "tokens")
     shares = mixture(rows, "source", evenness, repeats, budget)
 
     # Everything that is ordered below is a sum over a block: at most BLOCKS rows for a source and epoch.
-    blocks = materialise(rows.groupBy("source", "slot").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n")), "blocks")
-    means = blocks.groupBy(F.col("source").alias("s")).agg((F.sum("n") / BLOCKS).alias("mean"))
-    hot = blocks.join(means, F.col("source").eqNullSafe(F.col("s"))).where((F.col("n") > HOT_ROWS) & (F.col("n") > HOT_TIMES * F.col("mean")))
-    hot = materialise(hot.select("s", F.col("slot").alias("k")), "hot")
-    if not hot.isEmpty():
-        # Rows equal in id and text share a hash. Which of them goes where makes no difference to the result's sums.
-        rows = rows.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("k")), "left")  # BLOCKS / HOT_TIMES rows a source
-        rows = rows.withColumn("slot", F.when(F.col("k").isNull(), F.col("slot")).otherwise(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(BLOCKS)).cast("int")))
-        rows = materialise(rows.drop("s", "k"), "tokens")
-        blocks = rows.groupBy("source", "slot").agg(F.sum("n_tokens").alias("held"))
-    blocks = blocks.select("source", "slot", "held")
+    blocks = rows.groupBy("source", "slot").agg(F.sum("n_tokens").alias("held"))
     sized = blocks.join(shares.select(F.col("source").alias("s"), "budget", "tokens", "weight"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
     rest = F.when(F.col("tokens") > 0, F.col("budget") - full * F.col("tokens")).otherwise(0)

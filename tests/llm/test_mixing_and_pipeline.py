@@ -77,14 +77,68 @@ def test_the_same_whatever_the_partitions(spark):
 
 
 def test_copies_of_a_row_are_dealt_over_blocks(spark, monkeypatch):
-    """A third of all rows equal in id and text: no block holds them all, and budgets stay."""
-    monkeypatch.setattr(mixing, "HOT_ROWS", 50)
+    """A third of all rows equal in id and text: no block holds them all, budgets stay, and partitions make no difference."""
     docs = corpus(spark).unionByName(spark.createDataFrame([(None, "same words here", "s1")] * 500, "doc_id long, text string, source string"))
+    found = []
+    for copies, parts in ((mixing.COPIES, 3), (mixing.COPIES, 11), (7, 5)):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        out = mixing.mix(docs.repartition(parts), evenness=0.9, repeats=2.0)
+        found.append(sorted(map(tuple, out.collect()), key=str))
+    assert found[0] == found[1] == found[2]
     out = mixing.mix(docs, evenness=None, repeats=None)
     assert out.where("doc_id is null").groupBy("block").count().agg(F.max("count")).first()[0] < 60
     assert out.count() == docs.count()
 
 
+def plain_rows(spark, docs, **target):
+    """The mixture's rows, one document at a time, from the shares that mixture() gives and the hashes of Spark."""
+    rows = docs.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("print")).collect()
+    shares = {r["source"]: r for r in mixing.mixture(spark.createDataFrame([(r["source"], r["n_tokens"]) for r in rows], "source string, n_tokens long"), **target).collect()}
+    hashes = lambda kind, values: [r[0] for r in spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i long, " + kind).orderBy("i").selectExpr("xxhash64(a, b, c, 7)").collect()]
+    seen = {}
+    copy = []
+    for r in rows:
+        key = (r["doc_id"], r["source"], r["n_tokens"], r["print"])
+        copy.append(seen.get(key, 0))
+        seen[key] = copy[-1] + 1
+    slots = [h % mixing.BLOCKS for h in hashes("a long, b long, c long", [(r["doc_id"], r["print"], k) for r, k in zip(rows, copy, strict=True)])]
+    out = []
+    for source, share in shares.items():
+        mine = [(r, s) for r, s in zip(rows, slots, strict=True) if r["source"] == source]
+        full = share["budget"] // share["tokens"] if share["tokens"] else 1
+        rest = share["budget"] - full * share["tokens"] if share["tokens"] else 0
+        for epoch in range(full + 1):
+            used = sorted({s for _, s in mine})
+            keys = dict(zip(used, hashes("a string, b int, c int", [(source, s, epoch) for s in used]), strict=True))
+            left = rest
+            for block, slot in enumerate(sorted(used, key=lambda s: (keys[s], s))):
+                inside = [r for r, s in mine if s == slot]
+                held = sum(r["n_tokens"] for r in inside)
+                if epoch < full or left >= held and left > 0:
+                    taken = inside
+                elif left <= 0:
+                    break
+                else:
+                    order = hashes("a long, b long, c int", [(r["doc_id"], r["print"], epoch) for r in inside])
+                    taken, total = [], 0
+                    for _, r in sorted(zip(order, inside, strict=True), key=lambda x: (x[0], x[1]["doc_id"], x[1]["n_tokens"], x[1]["print"])):
+                        total += r["n_tokens"]
+                        if total <= left:
+                            taken.append(r)
+                out += [(r["doc_id"], source, r["n_tokens"], epoch, block, share["weight"]) for r in taken]
+                if epoch == full:
+                    left -= held
+    return out
+
+
+@pytest.mark.parametrize("target", [{"evenness": 0.95, "repeats": 4.0}, {"evenness": None, "repeats": 1.5}])
+def test_rows_equal_a_plain_version(spark, target):
+    docs = corpus(spark)
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    short = lambda rows: sorted((r[0], r[1], r[2], r[3], r[4], round(r[5], 9)) for r in rows)
+    assert short(mixing.mix(docs, **target).collect()) == short(plain_rows(spark, docs, **target))
+
+
 def test_mixing_edges(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "one two", None), (3, "one two", None), (None, "three", "b"), (4, "\t \n", "c"), (5, "word " * 50000, "a")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, slot string, tokens int")

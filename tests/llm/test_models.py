@@ -1,6 +1,7 @@
 """Personal data, quality, language and language-model scores."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -113,9 +114,18 @@ def test_base_spans_of_random_texts():
 
 @pytest.mark.parametrize("part", ["1", "a", "1.", "a@", "1 ", "ab12", "f:", "0[.]"])
 def test_long_texts_take_linear_time(part):
-    began = time.perf_counter()
-    pii.default_detector().find(part * (1_000_000 // len(part)))
-    assert time.perf_counter() - began < 6
+    """Four times the text takes at most six times the time, whatever the machine."""
+    detector = pii.default_detector()
+
+    def seconds(size):
+        text, best = part * (size // len(part)), math.inf
+        for _ in range(2):
+            began = time.process_time()
+            detector.find(text)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(1_000_000) < 6 * max(seconds(250_000), 0.02)
 
 
 def test_long_secrets_are_whole():
