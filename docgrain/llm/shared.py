@@ -2,79 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.session import forget, materialise, new_path, release, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where that is unset, a local session gets a folder of its own; a cluster without it is an error,
-    since a machine's own folder is not seen by the other machines.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docgrain-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-#: What this process has written to the shared folder and not deleted.
-_written: set[str] = set()
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, which :func:`release` deletes."""
-    path = f"{shared_dir(spark)}/docgrain-{label}-{uuid.uuid4().hex}"
-    _written.add(path)
-    return path
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what this process has put into the shared folder; results that still read it must have been written."""
-    while _written:
-        _delete(spark, _written.pop())
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The files stay until :func:`forget` or :func:`release`, since results are read late; those of its shuffles go at
-    once, since nothing reads them again.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialise` wrote; it must not be read again."""
-    for root in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        _delete(df.sparkSession, root)
-        _written.difference_update([p for p in _written if p.rpartition("/")[2] == root.rpartition("/")[2]])
+__all__ = ["connected_components", "forget", "materialise", "may_be_in", "merged", "new_path", "release", "shared_dir", "smallest_of_component", "sorted_groups"]
 
 
 #: Words of 64 bits of a filter: 8 MB, whatever it is made of.

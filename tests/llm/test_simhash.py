@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from docgrain import session
 from docgrain.llm import queries, shared, simhash
 
 SCHEMA = "doc_id long, text string, lang string, component_id string, fp string, node string"
@@ -250,7 +251,7 @@ def test_release_deletes_what_was_written(spark):
     shared.forget(gone)
     assert kept.count() == 3
     shared.release(spark)
-    assert not shared._written
+    assert not session._written
     with pytest.raises(Exception, match="(?i)not.exist|not found"):
         kept.count()
 
