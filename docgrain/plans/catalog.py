@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgrain.plans import data_queries, graph_queries, search_queries, text_queries
+from docgrain.plans import data_queries, graph_queries, layout_queries, search_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-MODULES = (text_queries, search_queries, graph_queries, data_queries)
+MODULES = (text_queries, search_queries, graph_queries, data_queries, layout_queries)
 
 
 def queries() -> dict[str, Query]:
