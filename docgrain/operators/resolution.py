@@ -13,6 +13,38 @@ from docgrain.functions import text as T
 THRESHOLD = 0.88
 
 
+class Forms:
+    """Canonical forms of one type and block, in the order in which they came; a new form joins the one it is most like."""
+
+    def __init__(self, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        self.order: dict[str, int] = {}
+        self.by_length: dict[int, list[str]] = {}  # a ratio of r needs lengths of which the shorter is at least r / (2 - r) of the longer
+
+    def add(self, form: str) -> None:
+        """A form that stands for itself."""
+        if form not in self.order:
+            self.order[form] = len(self.order)
+            self.by_length.setdefault(len(form), []).append(form)
+
+    def place(self, form: str) -> str:
+        """The earlier form that this one joins, of equally like ones the earliest; else itself, which is then added."""
+        if form in self.order:
+            return form
+        best, at, n, least = form, self.threshold, len(form), self.threshold / (2 - self.threshold)
+        near = [f for k in range(int(n * least), int(n / least) + 2) for f in self.by_length.get(k, ())]
+        matcher = SequenceMatcher(None)
+        for other in sorted(near, key=self.order.__getitem__):
+            matcher.set_seqs(form, other)
+            if matcher.real_quick_ratio() >= at and matcher.quick_ratio() >= at:
+                ratio = matcher.ratio()
+                if ratio > at or (ratio == at and best == form):
+                    best, at = other, ratio
+        if best == form:
+            self.add(form)
+        return best
+
+
 def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(name, type, canonical) of distinct (name, type); ``names`` has name, type, seq.
 
@@ -30,30 +62,12 @@ def resolve(names: DataFrame, threshold: float = THRESHOLD, aliases: dict[str, s
     blocks = distinct.where("form <> ''").withColumn("block", F.substring("form", 1, 2))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        known_forms: dict[int, list[str]] = {}  # by length: a ratio of r needs lengths of which the shorter is at least r / (2 - r) of the longer
-        order: dict[str, int] = {}
-        out = []
+        known_forms, out = Forms(threshold), []
         frame = frame.assign(new=~frame["old"]).sort_values(["new", "first", "form"])
         for form, old in zip(frame["form"], frame["old"], strict=True):
-            best, at, n = form, threshold, len(form)
             if old:
-                order[form] = len(order)
-                known_forms.setdefault(n, []).append(form)
-                out.append((form, form))
-                continue
-            least = threshold / (2 - threshold)
-            near = [f for k in range(int(n * least), int(n / least) + 2) for f in known_forms.get(k, ())]
-            matcher = SequenceMatcher(None)
-            for other in sorted(near, key=order.__getitem__):
-                matcher.set_seqs(form, other)
-                if matcher.real_quick_ratio() >= at and matcher.quick_ratio() >= at:
-                    ratio = matcher.ratio()
-                    if ratio > at or (ratio == at and best == form):
-                        best, at = other, ratio
-            if best == form:
-                order[form] = len(order)
-                known_forms.setdefault(n, []).append(form)
-            out.append((form, best))
+                known_forms.add(form)
+            out.append((form, form if old else known_forms.place(form)))
         return pd.DataFrame({"type": frame["type"].iloc[0], "form": [x for x, _ in out], "canonical": [y for _, y in out]})
 
     mapped = blocks.groupBy("type", "block").applyInPandas(join, "type string, form string, canonical string")

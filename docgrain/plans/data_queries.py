@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docgrain.operators import audit, evaluation, metrics, tables
 from docgrain.plans import ingest as ingestion
-from docgrain.session import materialise, spread, table
-from docgrain.streaming import ingest, jobs
+from docgrain.session import materialise, new_path, spread, table
+from docgrain.streaming import ingest, jobs, state
 
 
 def _nation_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,7 +322,42 @@ SELECT u::VARCHAR AS job_id, total, done, skipped, failed, chunks, remaining, ro
 """
 
 
+def _arrivals(spark: SparkSession, runs: list[DataFrame], query) -> DataFrame:
+    """What a stream's query writes in runs of its own, one for each table that arrives, each from the last one's checkpoint."""
+    source, sink, checkpoint = (new_path(spark, x) for x in ("arrivals", "written", "state"))
+    for rows in runs:
+        rows.write.mode("append").parquet(source)
+        state.run(query(spark.readStream.schema(rows.schema).parquet(source)), sink, checkpoint).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def journal_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in two runs of a stream: a third first, then all, every fifth of them with another text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    first = docs.where("doc_id % 3 = 0").withColumn("seq", F.lit(1).cast("long"))
+    again = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("now "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))).withColumn("seq", F.lit(2).cast("long"))
+    found = _arrivals(spark, [first, again], lambda s: state.journal_stream(s, "doc_id"))
+    return found.select("id", "seq", "status")
+
+
+JOURNAL_STREAM_SQL = """
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(1 AS BIGINT) AS seq, 'new' AS status FROM documents WHERE doc_id % 3 = 0
+UNION ALL
+SELECT CAST(doc_id AS VARCHAR), CAST(2 AS BIGINT), CASE WHEN doc_id % 3 <> 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'updated' ELSE 'unchanged' END FROM documents
+"""
+
+
+def registry_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts by brand, resolved as they arrive in three runs of a stream."""
+    rows = table(spark, sf, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_partkey").cast("long").alias("seq"))
+    ends = rows.selectExpr("percentile(seq, array(0.3, 0.8))").first()[0] or [0, 0]
+    runs = [rows.where(F.col("seq") <= ends[0]), rows.where((F.col("seq") > ends[0]) & (F.col("seq") <= ends[1])), rows.where(F.col("seq") > ends[1])]
+    return _arrivals(spark, runs, state.resolve_stream).distinct().select("name", "type", "canonical")
+
+
 QUERIES = {
+    "journal_stream": journal_stream,
+    "registry_stream": registry_stream,
     "summary_anchors": summary_anchors,
     "better_parse": better_parse,
     "job_states": job_states,
@@ -346,6 +381,7 @@ QUERIES = {
 }
 
 SQL = {
+    "journal_stream": JOURNAL_STREAM_SQL,
     "summary_anchors": SUMMARY_ANCHORS_SQL,
     "better_parse": BETTER_PARSE_SQL,
     "job_states": JOB_STATES_SQL,
