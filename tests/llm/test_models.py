@@ -387,8 +387,39 @@ def test_vocabulary_windows_and_rare_words_grow(spark, monkeypatch):
     own = {w for w, i in scorer.vocabulary.items() if i < lmscore.SIZE - lmscore.BUCKETS or lmscore.SIZE < i < scorer.network.embed.shape[1]}
     rest = {}
     for w, n in counts.items():
-        if w not in own:
-            rest[lmscore.bucket(w)] = rest.get(lmscore.bucket(w), 0) + n
+        if w not in own:  # once more for each word seen once, and one, for what is unknown
+            rest[lmscore.bucket(w)] = rest.get(lmscore.bucket(w), 1) + n + (n == 1)
     for i, t in rows:
-        more = sum(np.log(counts[w] / rest[lmscore.bucket(w)]) for w in lmscore.words_of(t) if lmscore.SIZE - lmscore.BUCKETS <= scorer.vocabulary[w] < lmscore.SIZE)
+        more = sum(np.log(counts[w] / rest[lmscore.bucket(w)]) - scorer.unseen(w) for w in lmscore.words_of(t) if lmscore.SIZE - lmscore.BUCKETS <= scorer.vocabulary[w] < lmscore.SIZE)
         assert got[i]["log_prob"] == pytest.approx(plain[i][1] + more, rel=1e-4)
+
+
+def test_all_words_sum_to_one_at_most(spark):
+    """Known words and the unknown ones of a bucket, whose spellings are a distribution, share the bucket's probability."""
+    docs = spark.createDataFrame([(1, "abc abc abc xbc ybc qq rr rr"), (2, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)) * 2)], "doc_id long, text string")
+    scorer = lmscore.fit_scorer(docs)
+    shares = np.exp(scorer.network.within)
+    tokens = np.arange(len(shares))
+    for b in range(lmscore.SIZE - lmscore.BUCKETS, lmscore.SIZE):
+        known = shares[(scorer.network.known_as == b) & (tokens != b)].sum()
+        assert known + np.exp(scorer.unknown_share[b]) == pytest.approx(1)
+    spelling = lmscore.Spelling([b"ab", b"ba", b"a"] * 500)
+    alphabet = [c for c in spelling.ALPHABET if c != 32]
+    one = sum(np.exp(spelling.log_probability(bytes([a]))) for a in alphabet)
+    two = sum(np.exp(spelling.log_probability(bytes([a, b]))) for a in alphabet for b in alphabet)
+    assert np.exp(spelling.log_probability(b"")) + one + two < 1 and two > 0.1
+
+
+def test_gibberish_and_shuffled_words_score_below_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    scorer = lmscore.fit_scorer(docs.where("doc_id % 4 <> 1"))
+    rng = random.Random(5)
+    held = [r["text"] for r in docs.where("doc_id % 4 = 1").collect()]
+    shuffled = [" ".join(rng.sample(x, len(x))) for t in held for x in [t.split()]]
+    letters = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(60)) for _ in range(40)]
+
+    def mean(texts):
+        scored = scorer.score(texts)
+        return sum(s for _, s in scored) / sum(n for n, _ in scored)
+
+    assert mean(held) > mean(shuffled) and mean(held) > mean(letters) + 5
