@@ -9,13 +9,14 @@ write what the next round reads.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
-from docgrain.session import materialise
+from docgrain.session import forget, materialise
 
 #: Relations that say no more than that two names meet.
 GENERIC_RELATIONS = ("co_occurs", "related_to", "")
@@ -282,8 +283,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-#: Rounds of moves in one level, and levels of merged communities, at most; both end earlier where nothing moves.
-MOVE_ROUNDS, MERGE_LEVELS = 24, 12
+#: Rounds in which a node may go to any community; after them only to one of a smaller name, so that moves must end.
+FREE_ROUNDS = 24
+#: Levels of merged communities, far more than there are: each has fewer nodes than the one before.
+MERGE_LEVELS = 64
 
 
 def _moves(edges: DataFrame, level: int) -> tuple[DataFrame, bool]:
@@ -299,8 +302,8 @@ def _moves(edges: DataFrame, level: int) -> tuple[DataFrame, bool]:
     strength = materialise(ends.groupBy("node").agg(F.sum("weight").alias("k")), "strength")
     whole = strength.agg(F.sum("k")).first()[0] or 1.0
     labels = strength.select("node", "k", F.col("node").alias("community"))
-    ever, quiet = False, 0
-    for step in range(MOVE_ROUNDS):
+    ever, quiet, last = False, 0, None
+    for step in count():
         totals = labels.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
         near = both.join(labels.select(F.col("node").alias("other"), "community"), "other").groupBy("node", "community").agg(F.sum("weight").alias("w"))
         near = near.unionByName(labels.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
@@ -311,38 +314,71 @@ def _moves(edges: DataFrame, level: int) -> tuple[DataFrame, bool]:
         # The smallest loss; of equal ones the own community, then the smallest.
         best = rows.groupBy("node", "k", "own").agg(F.min(F.struct((-gain).alias("loss"), (~mine).alias("other"), "community", single.alias("alone"))).alias("b"), F.max(mine & single).alias("alone"))
         wants = (F.col("b.community") != F.col("own")) & ~(F.col("alone") & F.col("b.alone") & (F.col("b.community") > F.col("own")))
+        if step >= FREE_ROUNDS:
+            wants = wants & (F.col("b.community") < F.col("own"))
         turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(step // 2)), F.lit(2)) == step % 2
         now = materialise(best.select("node", "k", F.when(wants & turn, F.col("b.community")).otherwise(F.col("own")).alias("community"), (wants & turn).alias("moved")), "moves")
         labels = now.select("node", "k", "community")
+        if last is not None:
+            forget(last)
+        last = now
         moved = not now.where("moved").isEmpty()
         ever, quiet = ever or moved, 0 if moved else quiet + 1
         if quiet == 2:  # each half had its turn
-            break
-    return labels.select("node", "community"), ever
+            forget(both)
+            return labels.select("node", "community"), ever
 
 
-def communities(edges: DataFrame, min_size: int = 3) -> DataFrame:
-    """(node, community) by greedy modularity over (a, b, weight); small communities are left out.
+def _connected(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after communities that fall apart are split into their connected parts, each named by its smallest node.
 
-    Nodes move between communities in rounds over the whole cluster, then communities become nodes and move on, until
-    nothing moves (at most MERGE_LEVELS times): the same at every size. No step holds a component in one task. A
-    community is named by its smallest node.
+    No edge runs between such parts, so that modularity can only gain.
+    """
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))
+    inside = materialise(edges.where("a <> b").join(side("a"), "a").join(side("b"), "b").where("ca = cb").select("a", "b"), "inside")
+    parts = components(inside)
+    found = materialise(labels.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("community")), "parts")
+    forget(inside)
+    return found
+
+
+def hierarchy(edges: DataFrame) -> DataFrame:
+    """(level, node, community) by greedy modularity over (a, b, weight): level 0 has the smallest communities.
+
+    On each level nodes move between communities in rounds over the whole cluster; what a community's moves have torn
+    apart is split, and the communities, each connected now, are the nodes of the next level, until nothing moves. A
+    community of a level is a union of communities of the level before, named by its smallest part. The same at every
+    size and however the edges are dealt; no step holds a component in one task.
     """
     level = materialise(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("weight").cast("double").alias("weight")), "level")
-    found = None
+    found, levels = None, None
     for step in range(MERGE_LEVELS):
         labels, moved = _moves(level, step)
-        if found is None:
-            found = labels
-        elif moved:
-            found = materialise(found.join(labels.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "found")
+        if not moved and found is not None:
+            return levels
+        labels = _connected(level, labels)
+        found = labels if found is None else materialise(found.join(labels.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "found")
+        mine = found.select(F.lit(step).alias("level"), "node", "community")
+        levels = mine if levels is None else levels.unionByName(mine)
         if not moved:
-            break
+            return levels
         side = lambda x: labels.select(F.col("node").alias(x), F.col("community").alias(f"c{x}"))  # noqa: B023, E731
         merged = level.join(side("a"), "a").join(side("b"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight"))
-        level = materialise(merged, "level")
-    big = found.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= min_size)
-    return found.join(big, "community").select("node", F.col("first").alias("community"))
+        merged = materialise(merged, "level")
+        forget(level)
+        level = merged
+    raise RuntimeError(f"communities did not settle in {MERGE_LEVELS} levels")
+
+
+def communities(edges: DataFrame, min_size: int = 3) -> DataFrame:
+    """(node, community): the largest communities of :func:`hierarchy`, each connected; small ones are left out.
+
+    A community is named by its smallest node.
+    """
+    levels = hierarchy(edges)
+    last = levels.groupBy("node").agg(F.max_by("community", "level").alias("community"))
+    big = last.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first")).where(F.col("n") >= min_size)
+    return last.join(big, "community").select("node", F.col("first").alias("community"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
@@ -400,11 +436,42 @@ def community_stats(sizes: DataFrame, size_col: str = "n") -> DataFrame:
     return total.crossJoin(p90)
 
 
+def _grams(text: Column) -> Column:
+    """All runs of three characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))
+
+
 def find_nodes(nodes: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key): the node of that key, else the first node, by name, of which one contains the other."""
-    wanted = F.broadcast(terms.select("term", T.node_key(F.col("term")).alias("t")).distinct())
-    rows = nodes.select("key").join(wanted, F.contains(F.col("key"), F.col("t")) | F.contains(F.col("t"), F.col("key")))
-    return rows.groupBy("term", "t").agg(F.min(F.struct(F.col("key") != F.col("t"), "key")).alias("best")).select("term", F.col("best.key").alias("key"))
+    """(term, key): the node of that key, else the first node, by name, of which one contains the other.
+
+    Equal keys are joined. What contains the other has all its runs of three characters, so every other pair meets on
+    the run of the shorter that fewest nodes have, and ``contains`` decides among those that meet. Keys and terms of
+    one or two characters meet on all such runs of the other side's texts. Nothing is compared with everything.
+    """
+    wanted = materialise(terms.select("term", T.node_key(F.col("term")).alias("t")).distinct().where("term is not null"), "terms")
+    keys = nodes.select("key").where("key is not null").distinct()
+    equal = wanted.join(keys, F.col("key") == F.col("t")).select("term", "key")
+    rest = wanted.join(equal, "term", "left_anti").withColumn("side", F.lit(0))
+    long = lambda c: F.length(c) >= 3
+    short = lambda c: F.flatten(F.array(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1))), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    runs = lambda c: F.when(F.length(c) > 0, F.array_distinct(F.concat(F.when(long(c), _grams(c)).otherwise(F.array().cast("array<string>")), short(c)))).otherwise(F.array().cast("array<string>"))
+    of_keys = keys.select("key", F.explode(runs(F.col("key"))).alias("run"))
+    of_terms = rest.select("term", "t", F.explode(runs(F.col("t"))).alias("run"))
+    asked = materialise(of_terms.select("run").distinct(), "runs")
+    counts = materialise(of_keys.join(asked, "run", "left_semi").groupBy("run").agg(F.count("*").alias("n")), "counts")
+    # A text as the contained one: the rarest of its runs of its own kind stands for it; one that no node has finds none.
+    kind = lambda c: F.least(F.length(c), F.lit(3)) == F.length("run")
+    of_term = of_terms.where(kind(F.col("t"))).join(counts, "run", "left").groupBy("term", "t").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("b")).where("b.n > 0").select("term", "t", F.col("b.run").alias("run"))
+    inside = of_term.join(of_keys, "run").where(F.contains("key", "t")).select("term", "key")
+    term_counts = of_terms.groupBy("run").agg(F.count("*").alias("n"))
+    of_key = of_keys.where(kind(F.col("key"))).join(term_counts, "run").groupBy("key").agg(F.min(F.struct("n", "run")).alias("b")).select("key", F.col("b.run").alias("run"))
+    around = of_key.join(of_terms, "run").where(F.contains("t", "key")).select("term", "key")
+    # The empty key is in every term, and the empty term in every key.
+    blank = keys.where("key = ''").select("key")
+    none = rest.where("t = ''").select("term").join(F.broadcast(keys.agg(F.min("key").alias("key"))), F.col("key").isNotNull())
+    every = rest.join(F.broadcast(blank.limit(1)), F.lit(True)).select("term", "key")
+    first = inside.unionByName(around).unionByName(none).unionByName(every).groupBy("term").agg(F.min("key").alias("key"))
+    return equal.unionByName(first)
 
 
 def top_nodes(nodes: DataFrame, k: int = 10) -> DataFrame:

@@ -262,7 +262,32 @@ SELECT any_value(n) AS n, round(avg(k), 6) AS mean, max(k) AS max, max(k) FILTER
 """
 
 
+def graph_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Communities within communities of the graph of what meets."""
+    return graph.hierarchy(materialise(_places(spark, sf).withColumn("weight", F.lit(1.0))))
+
+
+def node_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The part that a term names, is in, or has in it: terms are pieces of names, names in phrases, and names."""
+    parts = table(spark, sf, "part")
+    nodes = parts.select(T.node_key(F.col("p_name")).alias("key"))
+    k = F.col("p_partkey") % 50
+    term = F.when(k == 0, F.substring("p_name", 2, 6)).when(k == 1, F.concat(F.lit("the "), "p_name", F.lit(" set"))).when(k == 2, F.col("p_name")).when(k == 3, F.substring("p_name", 1, 2)).when(k == 4, F.concat(F.lit("zz"), "p_name"))
+    return graph.find_nodes(nodes, parts.select(term.alias("term")).where("term is not null"))
+
+
+NODE_LOOKUP_SQL = r"""
+WITH n AS (SELECT DISTINCT lower(trim(regexp_replace(p_name, '\s+', ' ', 'g'))) AS key FROM part),
+t AS (
+  SELECT DISTINCT CASE p_partkey % 50 WHEN 0 THEN substr(p_name, 2, 6) WHEN 1 THEN 'the ' || p_name || ' set' WHEN 2 THEN p_name
+    WHEN 3 THEN substr(p_name, 1, 2) ELSE 'zz' || p_name END AS term FROM part WHERE p_partkey % 50 < 5
+), k AS (SELECT term, lower(trim(regexp_replace(term, '\s+', ' ', 'g'))) AS t FROM t)
+SELECT term, coalesce(min(key) FILTER (key = t), min(key)) AS key FROM k JOIN n ON contains(key, t) OR contains(t, key) GROUP BY term
+"""
+
 QUERIES = {
+    "graph_levels": graph_levels,
+    "node_lookup": node_lookup,
     "graph_near": graph_near,
     "graph_chunks": graph_chunks,
     "graph_top": graph_top,
@@ -284,6 +309,7 @@ QUERIES = {
 }
 
 SQL = {
+    "node_lookup": NODE_LOOKUP_SQL,
     "graph_quality": GRAPH_QUALITY_SQL,
     "graph_near": GRAPH_NEAR_SQL,
     "graph_chunks": GRAPH_CHUNKS_SQL,

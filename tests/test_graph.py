@@ -129,3 +129,64 @@ def test_empty_graph(spark):
     none = edges_of(spark, [("a", "a", "R", 1)])
     assert none.count() == 0 and graph.degrees(none).count() == 0 and graph.prune_edges(none).count() == 0
     assert graph.components(none.select(F.col("src").alias("a"), F.col("dst").alias("b"))).count() == 0
+
+
+def reach(start, links):
+    seen, todo = {start}, [start]
+    while todo:
+        for other in links.get(todo.pop(), ()):
+            if other not in seen:
+                seen.add(other)
+                todo.append(other)
+    return seen
+
+
+def test_every_community_of_every_level_is_connected(spark):
+    """A chain of cliques and a random graph: levels nest, communities hold together, modularity is not below the parts'."""
+    rng = random.Random(9)
+    rows = [(f"{k:02d}{i}", f"{k:02d}{j}", 1.0) for k in range(12) for i in range(4) for j in range(i)] + [(f"{k:02d}0", f"{k + 1:02d}3", 1.0) for k in range(11)]
+    rows += [(f"r{rng.randint(0, 40):02d}", f"r{rng.randint(0, 40):02d}", float(rng.randint(1, 3))) for _ in range(60)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight double")
+    found = graph.hierarchy(edges).collect()
+    levels = {}
+    for r in found:
+        levels.setdefault(r["level"], {})[r["node"]] = r["community"]
+    assert sorted(levels) == list(range(len(levels))) and len(levels) >= 2
+    for k, labels in levels.items():
+        assert set(labels) == {x for a, b, _ in rows for x in (a, b)}
+        links = {}
+        for a, b, _ in rows:
+            if labels[a] == labels[b]:
+                links.setdefault(a, set()).add(b)
+                links.setdefault(b, set()).add(a)
+        for name in set(labels.values()):
+            members = {n for n, c in labels.items() if c == name}
+            assert name in members and reach(name, links) == members
+        if k:
+            below = levels[k - 1]
+            assert all(labels[n] == labels[below[n]] for n in labels)
+    of = lambda labels: graph.modularity(edges, spark.createDataFrame(list(labels.items()), "node string, community string"))
+    scores = [of(levels[k]) for k in sorted(levels)]
+    parts = graph.modularity(edges, graph.components(edges).withColumnRenamed("component", "community"))
+    assert scores == sorted(scores) and scores[-1] > parts
+
+
+def test_torn_communities_are_split(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("b", "e", 1.0), ("f", "f", 1.0)], "a string, b string, weight double")
+    labels = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "x"), ("e", "y"), ("f", "x")], "node string, community string")
+    assert {tuple(r) for r in graph._connected(edges, labels).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e"), ("f", "f")}
+
+
+def test_nodes_are_found_without_a_nested_loop(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abé ") for _ in range(rng.randint(0, 5))).strip()
+    key = lambda t: " ".join(t.lower().split())
+    for more in ([], [""]):
+        keys, terms = sorted({key(word()) for _ in range(40)} - {""}) + more, sorted({word() + rng.choice(["", "A", " xyz"]) for _ in range(60)})
+        found = graph.find_nodes(spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(t,) for t in [*terms, None]], "term string"))
+        want = {}
+        for t in terms:
+            fits = [k for k in keys if k in key(t) or key(t) in k]
+            if fits:
+                want[t] = key(t) if key(t) in fits else min(fits)
+        assert {r["term"]: r["key"] for r in found.collect()} == want
