@@ -262,7 +262,7 @@ def find_rows(tables: DataFrame, rows: DataFrame, keys: DataFrame, common: int =
     then the words must all be in the row. A key of one word counts only if at most ``common`` tables have it. The
     score grows with the key's length and with a year that fits the table's source or date.
     """
-    wanted = F.broadcast(keys.withColumn("key_id", F.xxhash64("query_id", "key", "year")))
+    wanted = keys.withColumn("key_id", F.xxhash64("query_id", "key", "year"))
     cells = rows.select("table_id", "idx", F.explode("cells").alias("cell")).where(F.col("cell").rlike(r"\p{L}"))
     words = cells.select("table_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("cell"), F.lit(r"[A-Z0-9]{2,}"), F.lit(0)))).alias("word")).distinct()
     asked = wanted.select("key_id", "query_id", F.size("key").alias("n"), F.explode("key").alias("word"))
@@ -307,7 +307,7 @@ def run_select(spark: SparkSession, sql: str, tables: DataFrame, rows: DataFrame
     """
     if not is_safe_select(sql):
         return None
-    own = spark.newSession()
+    own, made = spark.newSession(), []
     for i, table_id in enumerate(ids, 1):
         meta = tables.where(F.col("table_id") == table_id).select("source", "page", "year", F.size("columns").alias("w")).first()
         if meta is None:
@@ -316,6 +316,7 @@ def run_select(spark: SparkSession, sql: str, tables: DataFrame, rows: DataFrame
         mine = mine.select(*[F.coalesce(F.try_element_at("cells", F.lit(j + 1)), F.lit("")).alias(f"c{j + 1}") for j in range(meta["w"])], F.lit(meta["source"]).alias("source"), F.lit(meta["page"]).alias("page"), F.lit(meta["year"]).alias("year"))
         name = f"docgrain_{uuid.uuid4().hex}"
         mine.createOrReplaceGlobalTempView(name)
+        made.append(name)
         own.sql(f"create temporary view t{i} as select * from global_temp.{name}")
     try:
         return own.sql(sql.rstrip().rstrip(";")).limit(most)
@@ -323,3 +324,6 @@ def run_select(spark: SparkSession, sql: str, tables: DataFrame, rows: DataFrame
         if "AnalysisException" in type(e).__name__ or "ParseException" in type(e).__name__:
             return None
         raise
+    finally:  # the result's plan has taken them in
+        for name in made:
+            spark.catalog.dropGlobalTempView(name)

@@ -6,6 +6,7 @@ search) are functions that a caller may pass; the defaults are the offline behav
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
@@ -13,12 +14,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgrain import services
 from docgrain.functions import text as T
-from docgrain.operators import search
+from docgrain.operators import search, tables
 from docgrain.operators.evaluation import is_insufficient
 from docgrain.plans import planner
 from docgrain.session import materialise
@@ -99,6 +101,89 @@ def retrieve(chunks: DataFrame, questions: DataFrame, settings: Settings = Setti
     return best.unionByName(rows.where("source = 'table_row'").join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
 
 
+# Rows of tables that a question gets at most, and what a computed result is worth.
+ROW_HITS, SQL_SCORE, SQL_EVIDENCE, SQL_ROWS = 4, 0.97, 0.95, 20
+#: Columns of the chunks that answers are made of.
+FIELDS = ("chunk_id", "text", "doc_source", "content_type", "document_date", "has_metadata", "confidence", "has_cells")
+
+
+@dataclass(frozen=True)
+class Store:
+    """Structured tables beside the chunks: what ``tables.build_store`` gives; a table's id is its chunk's as text."""
+
+    tables: DataFrame
+    rows: DataFrame
+
+
+@dataclass(frozen=True)
+class Graph:
+    """The entity graph beside the chunks: nodes, their chunks (key, chunk_id as text) and edges."""
+
+    nodes: DataFrame
+    of_nodes: DataFrame
+    edges: DataFrame
+
+
+def _as_chunks(rows: DataFrame) -> DataFrame:
+    """Found rows (chunk_id, text, doc_source, document_date) as chunks of tables."""
+    return rows.select("chunk_id", "text", "doc_source", F.lit("table").alias("content_type"), "document_date", F.lit(False).alias("has_metadata"), F.lit(1.0).alias("confidence"), F.lit(True).alias("has_cells"))
+
+
+def row_lane(store: Store, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lane, chunks): rows of tables that questions name, at most ROW_HITS a question, and the chunks that they are.
+
+    A row's chunk is named by its table and its text, and written as ``[TABLE ROW]``, its source and its cells.
+    """
+
+    @F.pandas_udf("array<array<string>>")
+    def keys(asked: pd.Series) -> pd.Series:
+        return asked.map(lambda q: tables.row_keys(q) if q else [])
+
+    wanted = questions.select("query_id", F.explode(keys(F.col("question"))).alias("key"), F.regexp_extract(F.coalesce("question", F.lit("")), T.YEAR, 0).alias("year"))
+    found = tables.find_rows(store.tables, store.rows, materialise(wanted, "keys"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "table_id")
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROW_HITS)
+    found = found.join(store.tables.select("table_id", F.col("source").alias("doc_source"), F.col("year").alias("document_date")), "table_id")
+    name = F.concat(F.lit("row:"), "table_id", F.lit(":"), F.lower(F.hex(F.xxhash64("row_text"))))
+    found = materialise(found.select("query_id", name.alias("chunk_id"), F.concat(F.lit("[TABLE ROW] "), "doc_source", F.lit("\n"), "row_text").alias("text"), "doc_source", "document_date", "score"), "rows")
+    lane = found.select("query_id", "chunk_id", "score", F.lit("table_row").alias("source"), F.lit(3).alias("lane"))
+    return lane, _as_chunks(found.dropDuplicates(["chunk_id"]))
+
+
+def sql_evidence(store: Store, statements: list[tuple]) -> tuple[DataFrame, DataFrame] | None:
+    """(hits, chunks) of SELECT statements over candidate tables, each (query_id, sql, table ids); None where none has a result.
+
+    Statements come from a service or a user, a handful at a time; those that are not allowed or fail give nothing.
+    The result is computed over all rows of its tables; its first SQL_ROWS rows are the text of a chunk.
+    """
+    spark, made = store.tables.sparkSession, []
+    for query, sql, ids in statements:
+        result = tables.run_select(spark, sql, store.tables, store.rows, ids)
+        if result is None or not (rows := [tuple(r) for r in result.collect()]):
+            continue
+        of = store.tables.where(F.col("table_id").isin(list(ids))).select("table_id", "source", "page").collect()
+        of = sorted(of, key=lambda r: list(ids).index(r["table_id"]))
+        where = "; ".join(f"{r['source']} p.{r['page']}" for r in of[:3])
+        lines = [" | ".join(result.columns), *(" | ".join("" if c is None else str(c) for c in r) for r in rows[:SQL_ROWS])]
+        text = f"[SQL RESULT] computed from {where}\nquery: {sql}\n" + "\n".join(lines)
+        made.append((query, f"sql:{hashlib.md5(f'{sql}|{ids}'.encode()).hexdigest()[:10]}", text, of[0]["source"] if of else "table_store"))
+    if not made:
+        return None
+    frame = spark.createDataFrame(made, "query_id long, chunk_id string, text string, doc_source string").withColumn("document_date", F.lit(""))
+    hits = frame.select("query_id", "chunk_id", F.lit(SQL_SCORE).alias("score"), F.lit("sql").alias("source"), "doc_source", F.lit(0.0).alias("similarity"), F.lit(SQL_EVIDENCE).alias("eval_score"))
+    return hits, _as_chunks(frame.dropDuplicates(["chunk_id"]))
+
+
+def expanded(ranked: DataFrame, places: DataFrame) -> DataFrame:
+    """``ranked`` hits and, after them, the other tables on the pages of those that are tables; ``places`` says where chunks are."""
+    kin = tables.expand_tables(ranked.select("query_id", "chunk_id", "eval_score"), places)
+    last = ranked.groupBy("query_id").agg(F.max("rank").alias("last"), F.max("numeric").alias("numeric"))
+    order = Window.partitionBy("query_id").orderBy("corpus", "document_id", "page", "chunk_id")
+    kin = kin.join(places, "chunk_id").join(last, "query_id").withColumn("rank", F.col("last") + F.row_number().over(order))
+    known = {"score": F.col("eval_score"), "source": F.lit("table_page"), "similarity": F.lit(0.0), "rerank_score": F.lit(0.0), "is_table": F.lit(True), "doc_source": F.col("document_id")}
+    return ranked.unionByName(kin.select(*[known.get(c, F.col(c)).cast(ranked.schema[c].dataType).alias(c) for c in ranked.columns]))
+
+
 def compare(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Hits for what comparing questions compare: each target is asked for by itself, in front of the question.
 
@@ -225,9 +310,33 @@ def _again(chunks: DataFrame, planned: DataFrame, hits: DataFrame, which: DataFr
     return hits.unionByName(materialise(evaluate(materialise(more, "hits"), chunks, planned, settings), "evidence"))
 
 
-def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None, regenerate: Callable[[DataFrame], DataFrame] | None = None, service: str | None = None, on_stage: Callable[[str, float], None] | None = None) -> DataFrame:
+def with_lanes(chunks: DataFrame, planned: DataFrame, store: Store | None = None, graph: Graph | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(chunks, lanes): the chunks, ids as text, with the table rows that questions name, and the lanes of store and graph.
+
+    Questions about relationships or patterns walk the graph by PageRank, others by steps.
+    """
+    from docgrain.plans import lanes as graph_lanes
+
+    chunks, found = chunks.withColumn("chunk_id", F.col("chunk_id").cast("string")), []
+    if store:
+        lane, rows = row_lane(store, planned)
+        found.append(lane)
+        chunks = chunks.unionByName(rows, allowMissingColumns=True)
+    if graph:
+        ranked = F.col("intent").isin("relationship", "pattern")
+        found.append(graph_lanes.pagerank_lane(graph.nodes, graph.of_nodes, graph.edges, planned.where(ranked)))
+        found.append(graph_lanes.graph_lane(graph.nodes, graph.of_nodes, graph.edges, planned.where(~F.coalesce(ranked, F.lit(False)))))
+    columns = ("query_id", "chunk_id", "score", "source", "lane")
+    return chunks, materialise(reduce(DataFrame.unionByName, [x.select(*columns) for x in found]), "lanes") if found else None
+
+
+def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Settings(), lanes: DataFrame | None = None, regenerate: Callable[[DataFrame], DataFrame] | None = None, service: str | None = None, on_stage: Callable[[str, float], None] | None = None, store: Store | None = None, graph: Graph | None = None, statements: list[tuple] | None = None) -> DataFrame:
     """Answers to all questions (query_id, question).
 
+    With a ``store`` the rows of tables that a question names are hits too, results of ``statements`` over it come
+    first, and where the chunks say their corpus, document_id and page the other tables of a hit's page follow; with a
+    ``graph`` its lanes are searched. Ids of chunks are text then.
+
     Questions that compare are asked for each target besides. A weak first retrieval is repeated with the question's
     content words, and so is one whose answer says nothing; of the two answers the one that says something stays.
     Numbers are checked against the cited chunks. A chat ``service`` refines the plan and orders the best passages.
@@ -243,6 +352,13 @@ def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Setting
 
     planned = planner.plan_questions(questions)
     planned = stage("questions", planner.refine(planned, service) if service else planned)
+    places = None
+    if store or graph:
+        whole, own = with_lanes(chunks, planned, store, graph)
+        if {"corpus", "document_id", "page"} <= set(chunks.columns):
+            places = whole.where("document_id is not null").select("chunk_id", "corpus", "document_id", "page", "content_type")
+        chunks = whole
+        lanes = own if lanes is None else lanes.withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(own)
     found = stage("hits", retrieve(chunks, planned, settings, lanes))
     if not planned.where(planner.is_comparison(F.col("question"))).isEmpty():
         extra = compare(chunks, planned, settings).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
@@ -251,8 +367,20 @@ def answer(chunks: DataFrame, questions: DataFrame, settings: Settings = Setting
     if settings.retries:
         best = hits.groupBy("query_id").agg(F.max("eval_score").alias("best"), F.count("*").alias("n"))
         hits = _again(chunks, planned, hits, planned.join(best, "query_id", "left").where(planner.is_weak(F.col("best"), F.col("n"))).drop("best", "n"), settings)
-    reranker = listwise(chunks, planned, service) if service else None
-    out = stage("answers", compose(stage("ranked", rerank(hits, chunks, planned, settings, reranker)), chunks))
+    computed = sql_evidence(store, statements) if store and statements else None
+    if computed:
+        hits = hits.unionByName(computed[0].withColumn("query_id", F.col("query_id").cast(hits.schema["query_id"].dataType)).select(*hits.columns))
+        chunks = chunks.unionByName(computed[1], allowMissingColumns=True)
+    ordered = listwise(chunks, planned, service) if service else None
+
+    def reranker(rows: DataFrame) -> DataFrame:
+        rows = ordered(rows) if ordered else rows
+        return rows.withColumn("rerank_score", F.when(F.col("source") == "sql", 1.0 + F.col("rerank_score")).otherwise(F.col("rerank_score")))  # before all others
+
+    ranked = stage("ranked", rerank(hits, chunks, planned, settings, reranker))
+    if places is not None:
+        ranked = stage("expanded", expanded(ranked, places))
+    out = stage("answers", compose(ranked, chunks))
     if settings.retries:
         silent = planned.join(out.where(is_insufficient(F.col("answer"))).select("query_id"), "query_id", "left_semi")
         if not silent.isEmpty():

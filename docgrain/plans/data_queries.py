@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.operators import audit, evaluation, metrics, tables
+from docgrain.functions import text as T
+from docgrain.operators import audit, derived, evaluation, metrics, tables
+from docgrain.plans import answer as answers
 from docgrain.plans import ingest as ingestion
+from docgrain.plans.text_queries import WORDS_SQL
 from docgrain.session import materialise, new_path, spread, table
+from docgrain.sources import store
 from docgrain.streaming import ingest, jobs, state
 
 
-def _nation_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """A chunk with a table in pipes for each region: its nations and their keys."""
-    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+def _named_nation() -> Column:
+    """A name of at least two words that no other nation has."""
+    return F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit(" "), F.col("n_name"))
+
+
+def _nation_tables(spark: SparkSession, sf: str, name: Column | None = None) -> DataFrame:
+    """A chunk with a table in pipes for each region: its nations, by name, and their keys."""
+    nations = table(spark, sf, "nation")
+    rows = (nations if name is None else nations.withColumn("n_name", name)).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     line = F.struct("n_name", F.concat(F.lit("| "), F.col("n_name"), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |")).alias("line"))
     text = F.array_join(F.concat(F.array(F.lit("| nation | key |"), F.lit("| --- | --- |")), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])), "\n")
     grouped = rows.groupBy("r_name", "r_regionkey").agg(text.alias("text"))
@@ -322,6 +332,59 @@ SELECT u::VARCHAR AS job_id, total, done, skipped, failed, chunks, remaining, ro
 """
 
 
+def answer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that name a nation, over chunks with tables: the nation's row first, then its table, then the other tables of the page."""
+    made = _nation_tables(spark, sf, _named_nation()).join(table(spark, sf, "region").select(F.col("r_name").alias("chunk_id"), "r_regionkey"), "chunk_id")
+    made = materialise(made, "tables")
+    store = answers.Store(*tables.build_store(made))
+    lines = F.array_join(F.transform("cells.rows", lambda r: F.array_join(r, " | ")), "\n")
+    chunks = made.select("chunk_id", lines.alias("text"), F.col("source").alias("doc_source"), F.lit("table").alias("content_type"), F.lit("").alias("document_date"), F.lit(False).alias("has_metadata"), F.lit(1.0).alias("confidence"), F.lit(True).alias("has_cells"), F.lit("c").alias("corpus"), F.lit("nations").alias("document_id"), (F.col("r_regionkey") % 2).cast("int").alias("page"))
+    asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit('where is "'), _named_nation(), F.lit('"')).alias("question"))
+    out = answers.answer(chunks, asked, answers.Settings(dense=False), store=store)
+    cited = out.select("query_id", F.explode("citations").alias("c"))
+    kind = F.when(F.col("c.chunk_id").startswith("row:"), F.concat(F.lit("row of "), F.split("c.chunk_id", ":")[1])).otherwise(F.col("c.chunk_id"))
+    return cited.select("query_id", F.col("c.ref").cast("int").alias("rank"), kind.alias("cited"))
+
+
+ANSWER_ROWS_SQL = """
+WITH r AS (SELECT r_name, r_regionkey % 2 AS page, r_regionkey FROM region),
+n AS (SELECT n_nationkey AS query_id, r_name, page FROM nation JOIN r ON n_regionkey = r_regionkey)
+SELECT query_id, CAST(1 AS INTEGER) AS rank, 'row of ' || r_name AS cited FROM n
+UNION ALL SELECT query_id, CAST(2 AS INTEGER), r_name FROM n
+UNION ALL SELECT query_id, CAST(2 + row_number() OVER (PARTITION BY query_id ORDER BY r.r_name) AS INTEGER), r.r_name FROM n JOIN r ON r.page = n.page AND r.r_name <> n.r_name
+"""
+
+
+def derived_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of words kept for documents, of which one in a hundred has changed, some are new and some are gone since."""
+    docs, root = table(spark, sf, "documents").select("doc_id", "text"), new_path(spark, "kept")
+    older = docs.where("doc_id % 100 <> 2").withColumn("text", F.when(F.col("doc_id") % 100 == 1, F.concat(F.lit("former "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    older = older.unionByName(docs.where("doc_id % 100 = 3").withColumn("doc_id", -1 - F.col("doc_id")))
+    count = lambda rows: rows.select("doc_id", F.size(T.content_tokens(F.col("text"))).alias("n_words"))
+    derived.refresh(older, root, "older", "doc_id", count)
+    return derived.refresh(docs, root, "newer", "doc_id", count)
+
+
+DERIVED_WORDS_SQL = f"SELECT doc_id, CAST(len({WORDS_SQL.format('text')}) AS INTEGER) AS n_words FROM documents"
+
+
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in a store, written in two batches, the first of them twice; in the second every seventh has another name, every eleventh is deleted."""
+    path = new_path(spark, "store")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("payload"))
+    store.put(rows, path, "first")
+    store.put(rows, path, "first")
+    later = rows.where("id % 7 = 0 or id % 11 = 0")
+    store.put(later.withColumn("payload", F.when(F.col("id") % 11 != 0, F.concat(F.lit("now "), "payload"))), path, "second")
+    return store.get(spark, path)
+
+
+STORE_ROUND_TRIP_SQL = """
+SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 7 = 0 THEN 'now ' || c_name ELSE c_name END AS payload,
+       CASE WHEN c_custkey % 7 = 0 THEN 'second' ELSE 'first' END AS batch FROM customer WHERE c_custkey % 11 <> 0
+"""
+
+
 def _arrivals(spark: SparkSession, runs: list[DataFrame], query) -> DataFrame:
     """What a stream's query writes in runs of its own, one for each table that arrives, each from the last one's checkpoint."""
     source, sink, checkpoint = (new_path(spark, x) for x in ("arrivals", "written", "state"))
@@ -356,6 +419,9 @@ def registry_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "derived_words": derived_words,
+    "store_round_trip": store_round_trip,
+    "answer_rows": answer_rows,
     "journal_stream": journal_stream,
     "registry_stream": registry_stream,
     "summary_anchors": summary_anchors,
@@ -381,6 +447,9 @@ QUERIES = {
 }
 
 SQL = {
+    "derived_words": DERIVED_WORDS_SQL,
+    "store_round_trip": STORE_ROUND_TRIP_SQL,
+    "answer_rows": ANSWER_ROWS_SQL,
     "journal_stream": JOURNAL_STREAM_SQL,
     "summary_anchors": SUMMARY_ANCHORS_SQL,
     "better_parse": BETTER_PARSE_SQL,
