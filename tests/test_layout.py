@@ -7,18 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrain.operators import layout, tables
-from docgrain.plans import layout_queries
-from tests.oracle import assert_same, connect
 
 ELEMENTS = "document string, page int, place int, kind string, left double, top double, right double, bottom double, text string"
 WORDS = "document string, page int, left double, top double, right double, bottom double, text string"
 
 
-@pytest.mark.parametrize("name", list(layout_queries.QUERIES))
-def test_query_equals_sql(spark, sf, name):
-    assert_same(layout_queries.QUERIES[name](spark, sf).toPandas(), connect(sf).execute(layout_queries.SQL[name]).df())
-
-
 def test_pages_are_read_from_the_top(spark):
     rows = [
         ("d", 1, 1, "text", 50.0, 700.0, 90.0, 690.0, " first "),

@@ -3,12 +3,9 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from docgrain.operators import search, text_index
-from docgrain.plans import search_queries
 from docgrain.session import new_path
-from tests.oracle import assert_same, connect
 
 
 def found(best):
@@ -106,9 +103,3 @@ def test_versions_of_files(spark, tmp_path):
     assert text_index.corpus_version(spark.read.parquet(path)) == first
     spark.range(1).write.mode("append").parquet(path)
     assert text_index.corpus_version(spark.read.parquet(path)) != first
-
-
-@pytest.mark.parametrize("name", ["bm25_index", "bm25_topk"])
-def test_query_equals_sql(spark, sf, name):
-    assert_same(search_queries.QUERIES[name](spark, sf).toPandas(), connect(sf).execute(search_queries.SQL[name]).df())
-    assert_same(search_queries.QUERIES[name](spark, sf).select(F.col("query_id"), "chunk_id", "score", "rank").toPandas(), connect(sf).execute(search_queries.SQL[name]).df())
