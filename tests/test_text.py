@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
@@ -94,3 +96,21 @@ def test_resolution(spark):
     assert got["Remingten", "maker"] == "remington" and got["Sturm Ruger", "maker"] == "sturm ruger"
     relations = spark.createDataFrame([("Smith & Wesson", "Smith and Weson"), ("Remingten", "Sturm Ruger")], "src string, dst string")
     assert resolution.remap(relations, resolution.resolve(rows)).collect() == [("remington", "sturm ruger")]
+
+
+def test_a_text_is_made_canonical_once_for_all_makers(spark):
+    """The vocabulary's names look at one canonical text; each had made its own."""
+    rows = spark.createDataFrame([("Sold by S&W, Inc. and Sig Sauer in West Virginia, not Virginia",)], "text string")
+    found = rows.select(metadata.makers(F.col("text"), metadata.MAKERS).alias("m"), metadata.state(F.col("text"), metadata.STATES).alias("s"), T.vocabulary_hits(F.col("text"), metadata.ITEM_TYPES).alias("i"))
+    assert found.first() == (["sig sauer", "smith and wesson"], "West Virginia", [])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|incorporated|") == 1
+
+
+def test_states_are_found_as_by_a_list_longest_first(spark):
+    names = ["ab", "abc", "abc d", "b", "new b", "new"]
+    texts = ["abc d", "abc de", "x abcd ab", "new b", "new bb", "zab", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = re.compile(r"\b(" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")\b")
+    expected = [(m.group(1) if (m := plain.search(t)) else "").title() for t in texts]
+    assert [r[0] for r in rows.select(metadata.state(F.col("text"), names)).collect()] == expected
