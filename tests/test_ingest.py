@@ -82,3 +82,11 @@ def test_summaries_are_chunks_of_their_own(spark):
     assert sum("[DOC SUMMARY: report_2021.txt (2021)]" in t for t in texts) == 1 and len(texts) == 2
     assert batch.chunks.select("chunk_id").distinct().count() == 2
     assert {r["document_id"]: r["status"] for r in batch.journal.collect()} == {"d": "new", "e": "empty"}
+
+
+def test_few_bytes_of_documents_are_dealt_to_many_tasks(spark):
+    """Chunking and enrichment are long work on few bytes: tasks sized by bytes did it one after another."""
+    docs = spark.createDataFrame([(i, f"{i}.txt", f"Agent Mary Stone sold rifle number {i} in Dayton, OH to a dealer of the town.") for i in range(40)], "document_id long, source_name string, text string").coalesce(1)
+    done = ingest.ingest(docs)
+    assert done.chunks.count() == 40
+    assert len(done.chunks.inputFiles()) > 1
