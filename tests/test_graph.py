@@ -190,3 +190,23 @@ def test_nodes_are_found_without_a_nested_loop(spark):
             if fits:
                 want[t] = key(t) if key(t) in fits else min(fits)
         assert {r["term"]: r["key"] for r in found.collect()} == want
+
+
+def test_paths_are_sought_from_both_ends(spark, monkeypatch):
+    """What is written for a pair lies within half of the way; from one end alone all leaves of the hub were reached."""
+    links = [("s", "a"), ("a", "hub"), ("hub", "b"), ("b", "d"), ("s", "c"), ("c", "hub")] + [("hub", f"leaf {i}") for i in range(300)]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    pairs = spark.createDataFrame([("s", "d"), ("d", "s"), ("a", "c"), ("s", "s"), ("s", "nowhere"), ("leaf 1", "d")], "src string, dst string")
+    plain, sizes = graph.materialise, []
+
+    def watched(df, label="step"):
+        out = plain(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", watched)
+    found = {(r["src"], r["dst"]): r["path"] for r in graph.shortest_paths(edges, pairs.where("src <> 'leaf 1'")).collect()}
+    assert found == {("s", "d"): ["s", "a", "hub", "b", "d"], ("d", "s"): ["d", "b", "hub", "a", "s"], ("a", "c"): ["a", "hub", "c"], ("s", "s"): ["s"]}
+    assert max(sizes[1:]) < 20
+    assert graph.shortest_paths(edges, pairs.where("src = 'leaf 1'"), 3).first()["path"] == ["leaf 1", "hub", "b", "d"]
+    assert graph.shortest_paths(edges, pairs.where("src = 'leaf 1'"), 2).isEmpty()
