@@ -114,3 +114,14 @@ def test_states_are_found_as_by_a_list_longest_first(spark):
     plain = re.compile(r"\b(" + "|".join(sorted(names, key=lambda n: (-len(n), n))) + r")\b")
     expected = [(m.group(1) if (m := plain.search(t)) else "").title() for t in texts]
     assert [r[0] for r in rows.select(metadata.state(F.col("text"), names)).collect()] == expected
+
+
+def test_embeddings_leave_a_task_in_small_batches(spark):
+    """A batch of 10,000 texts had been held as lists of dictionaries, one for each slot."""
+    texts = [(i, None if i % 50 == 7 else f"word{i} of the text number{i % 9}") for i in range(1000)]
+    rows = V.hash_embedding(spark.createDataFrame(texts, "id long, t string").coalesce(1), "id", "t")
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    expected = {(i, k, w) for i, t in texts for k, w in V.sparse_embedding(t, V.DIM, {})}
+    assert {tuple(r) for r in rows.collect()} == expected
+    dense = spark.createDataFrame(texts, "id long, t string").select("id", V.embedding(F.col("t")).alias("v")).collect()
+    assert {(r["id"], k, w) for r in dense for k, w in enumerate(r["v"]) if w} == expected
