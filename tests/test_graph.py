@@ -210,3 +210,20 @@ def test_paths_are_sought_from_both_ends(spark, monkeypatch):
     assert max(sizes[1:]) < 20
     assert graph.shortest_paths(edges, pairs.where("src = 'leaf 1'"), 3).first()["path"] == ["leaf 1", "hub", "b", "d"]
     assert graph.shortest_paths(edges, pairs.where("src = 'leaf 1'"), 2).isEmpty()
+
+
+def test_relations_between_numbers_and_counted_mentions(spark):
+    """Keys may be numbers, which are named after aggregation, and a row may stand for many mentions."""
+    rows = [(1, 2, "co_occurs", 7, 1, "", 7), (1, 2, "co_occurs", 8, 1, "", 8), (3, 3, "co_occurs", 8, 1, "", 8)]
+    relations = spark.createDataFrame(rows, "src long, dst long, rel string, chunk_id long, weight int, description string, seq long")
+    assert [(r["src"], r["dst"], r["weight"], r["n_chunks"]) for r in graph.aggregate_edges(relations, keys=True).collect()] == [(1, 2, 2, 2)]
+    mentions = spark.createDataFrame([("Acme Arms", "seller", 1, "c", "", 1, 3), ("acme arms", "seller", 2, "c", "", 2, 4)], "name string, type string, chunk_id long, corpus string, description string, seq long, n long")
+    assert [(r["key"], r["count"], r["n_chunks"]) for r in graph.aggregate_nodes(mentions).collect()] == [("acme arms", 7, 2)]
+
+
+def test_tasks_follow_the_rows(spark):
+    from docgrain.session import dealt
+
+    rows = spark.range(1000).coalesce(1)
+    assert dealt(rows, "id", n=1000, most=50).rdd.getNumPartitions() == 20
+    assert dealt(rows, "id", n=1000).rdd.getNumPartitions() == 4
