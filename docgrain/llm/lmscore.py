@@ -7,8 +7,8 @@ of the bucket's count as its probability there; words that the corpus does not h
 count, each by its spelling, so that all words there are have a sum of one at most. A document's score is the sum of the logarithms of its tokens'
 probabilities.
 
-The windows that train the network are a fixed share of all tokens. They are dealt to shards; passes over all shards
-train the network on each from the same start, and the results are averaged.
+Every window of the corpus trains the network, none twice after the start. The texts are dealt to shards and the shards
+to rounds; a round trains the network on each of its shards from the same start, and the results are averaged.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +36,15 @@ BUCKETS = 96
 #: Words read on each side.
 SIDE = 2
 WIDTH = 24
-#: The least number of windows, if there are as many, that train the network.
+#: Windows that give the start, about, and of a shard at least.
 WINDOWS = 300_000
-#: Share of all tokens, drawn evenly, whose windows train the network where that is more than WINDOWS.
-SHARE = 1 / 32
+#: Share of all windows that trains the network: every one.
+SHARE = 1.0
 #: Windows of a shard for every token number where that is more than WINDOWS: shards and the parameters that they send
 #: then both grow with the square root of the corpus.
 PER_TOKEN = 100
-#: Passes over all shards after the first shard has given the start.
-PASSES = 2
+#: Rounds that the shards are dealt to after the start.
+ROUNDS = 2
 #: Words with at least this times the square root of the number of tokens are predicted by themselves.
 OWN = 0.2
 #: Words with a known count that every task holds; counts of rarer words are joined.
@@ -102,14 +103,18 @@ def windows_of(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + SIDE + k] for k in OFFSETS] + [tokens[at]], axis=1)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """The softmax of each row, in place of ``z``."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
     """Whether no hidden row, of numbers from -1 to 1, gives a score whose exponential overflows."""
-    return bool((np.abs(w).sum(axis=0) + b).max(initial=0) < 75)
+    return bool((np.abs(w).sum(axis=-2) + b).max(initial=0) < 75)
 
 
 def _log_picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
@@ -174,9 +179,14 @@ class WindowNetwork:
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for i in range(0, len(order), batch):
-                for p, s, g in zip(self.parts, sums, self.gradients(windows[order[i : i + batch]]), strict=True):
+                rows, (embed, *others) = self._gradients(windows[order[i : i + batch]])
+                for p, s, g in zip(self.parts[1:], sums[1:], others, strict=True):
                     s += g * g
                     p -= rate * g / np.sqrt(s)
+                for k, (at, g) in enumerate(zip(rows, embed, strict=True)):  # other rows have no gradient
+                    s = sums[0][k][at] + g * g
+                    sums[0][k][at] = s
+                    self.embed[k][at] -= rate * g / np.sqrt(s)
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
         h = self.bias + self.embed[0][places[:, 0]]
@@ -185,26 +195,45 @@ class WindowNetwork:
         return np.tanh(h)
 
     def gradients(self, windows: np.ndarray) -> list[np.ndarray]:
-        n, token, each = len(windows), windows[:, -1], self.word_b.shape[1]
-        h, group = self.hidden(windows), token // each
-        g = [np.zeros_like(p) for p in self.parts]
-        d = np.exp(_log_softmax(h @ self.class_w + self.class_b))
-        d[np.arange(n), group] -= 1
-        g[2], g[3] = h.T @ d / n, d.sum(0) / n
-        dh = d @ self.class_w.T
-        for c in np.unique(group):
-            rows = np.nonzero(group == c)[0]
-            d = np.exp(_log_softmax(h[rows] @ self.word_w[c] + self.word_b[c]))
-            d[np.arange(len(rows)), token[rows] % each] -= 1
-            g[4][c], g[5][c] = h[rows].T @ d / n, d.sum(0) / n
-            dh[rows] += d @ self.word_w[c].T
-        dh = dh * (1 - h * h) / n
-        g[1] = dh.sum(0)
+        rows, (embed, *others) = self._gradients(windows)
+        whole = np.zeros_like(self.embed)
+        for k, at in enumerate(rows):
+            whole[k][at] = embed[k]
+        return [whole, *others]
+
+    def _gradients(self, windows: np.ndarray) -> tuple[list[np.ndarray], list]:
+        """The tokens that stand at each place, and the gradients of the parts: of ``embed`` those tokens' rows."""
+        n, (classes, each) = len(windows), self.word_b.shape
+        group = windows[:, -1] // each
+        windows = windows[np.argsort(_small(group, classes), kind="stable")]
+        token = windows[:, -1]
+        group, place, at = token // each, token % each, np.arange(n)
+        ends = np.searchsorted(group, np.arange(classes + 1)).tolist()
+        h = self.hidden(windows)
+        d = h @ self.class_w
+        d += self.class_b
+        _softmax(d, _bounded(self.class_w, self.class_b))[at, group] -= 1
+        g_class, dh = (h.T @ d / n, d.sum(0) / n), d @ self.class_w.T
+        g_word, bounded = (np.zeros_like(self.word_w), np.zeros_like(self.word_b)), _bounded(self.word_w, self.word_b)
+        for c, (i, j) in enumerate(zip(ends, ends[1:])):
+            if i < j:
+                d = h[i:j] @ self.word_w[c]
+                d += self.word_b[c]
+                _softmax(d, bounded)[at[: j - i], place[i:j]] -= 1
+                np.matmul(h[i:j].T, d, out=g_word[0][c])
+                d.sum(0, out=g_word[1][c])
+                dh[i:j] += d @ self.word_w[c].T
+        for g in g_word:
+            g /= n
+        dh *= (1 - h * h) / n
+        tokens, rows = [], []
         for k in range(len(OFFSETS)):
-            order = np.argsort(windows[:, k], kind="stable")
-            at, rows = _sums_by(windows[order, k], dh[order])
-            g[0][k][at] = rows
-        return g
+            column = _small(windows[:, k], self.embed.shape[1])
+            order = np.argsort(column, kind="stable")
+            found, sums = _sums_by(column[order], dh[order])
+            tokens.append(found)
+            rows.append(sums)
+        return tokens, [rows, dh.sum(0), *g_class, *g_word]
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Of the last column, given the others."""
@@ -300,6 +329,11 @@ class LanguageScorer:
         return [(n, s) for n, s in sums]
 
 
+def _small(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Numbers as 16 bits, where they fit, which numpy sorts faster."""
+    return numbers.astype(np.uint16) if below <= 1 << 16 else numbers
+
+
 def _sums_by(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.nonzero(np.concatenate(([True], owner[1:] != owner[:-1])))[0]
     return owner[starts], np.add.reduceat(value, starts, axis=0)
@@ -339,37 +373,52 @@ def _own_and_common(counts: DataFrame, total: int) -> tuple[list[tuple[bytes, in
     return common, min(own, len(common)), floor
 
 
-def _unpacked(packed: list[bytes], times: list[int]) -> np.ndarray:
-    """Windows in an order of their own: that of arrival must not matter."""
-    width = len(OFFSETS) + 1
-    rows = np.frombuffer(b"".join(packed), "<i4").reshape(-1, width).repeat(times, axis=0).astype(np.int32)
-    return rows[np.lexsort(rows.T)]
-
-
-def _averaged(net: WindowNetwork, sums: list[np.ndarray], dealt: DataFrame, batch: int, total: int) -> WindowNetwork:
+def _training(texts: list[str], times: list[int], vocabulary: Vocabulary, known_as: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """All windows of the texts, each so many times, at most ``most`` and a part at once, in an order of their own: that of arrival must not matter."""
+    waiting, held = [], 0
+    for text, n in sorted(zip(texts, times, strict=True)):
+        tokens = known_as[vocabulary.tokens(text)]
+        for at in range(0, len(tokens), AT_ONCE):
+            rows = windows_of(tokens, np.arange(at, min(at + AT_ONCE, len(tokens))))
+            left = n
+            while left:
+                now = min(left, max(1, AT_ONCE // len(rows)))
+                waiting.append(np.tile(rows, (now, 1)))
+                left, held = left - now, held + now * len(rows)
+                if held >= most:
+                    yield np.concatenate(waiting)
+                    waiting, held = [], 0
+    if waiting:
+        yield np.concatenate(waiting)
+
+
+def _averaged(net: WindowNetwork, sums: list[np.ndarray], dealt: DataFrame, held: Broadcast, batch: int, most: int) -> WindowNetwork:
     """Train on every shard from the same parameters and sums; the parameters are averaged by the numbers of windows."""
     start = dealt.sparkSession.sparkContext.broadcast((net, sums))
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
         net, sums = start.value
-        net, sums = WindowNetwork(*[p.copy() for p in net.parts]), [s.copy() for s in sums]
-        rows = _unpacked(list(frame["w"]), frame["n"].tolist())
-        net.train(rows, sums, 1, batch, seed=5)
-        flat = np.concatenate([x.ravel() for x in net.parts]) * np.float32(len(rows) / total)
-        return pd.DataFrame({"p": [flat.astype("<f4").tobytes()]})
-
-    trained = dealt.groupBy("shard").applyInPandas(train, "p binary")
-    flat = trained.rdd.map(lambda r: np.frombuffer(r["p"], "<f4")).treeReduce(lambda a, b: a + b, 4)
+        net, sums, n = WindowNetwork(*[p.copy() for p in net.parts]), [s.copy() for s in sums], 0
+        for rows in _training(list(frame["t"]), frame["n"].tolist(), *held.value[:2], most):
+            net.train(rows, sums, 1, batch, seed=5)
+            n += len(rows)
+        flat = np.concatenate([x.ravel() for x in net.parts])
+        return pd.DataFrame({"p": [flat.astype("<f4").tobytes()], "n": [n]})
+
+    trained = dealt.groupBy("shard").applyInPandas(train, "p binary, n long")
+    parts = trained.rdd.map(lambda r: (np.frombuffer(r["p"], "<f4").astype(np.float64) * r["n"], r["n"]))
+    flat, n = parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), 4)
+    if not n:
+        return net
     ends = np.cumsum([x.size for x in net.parts])[:-1]
-    return WindowNetwork(*[x.reshape(y.shape) for x, y in zip(np.split(flat, ends), net.parts, strict=True)])
+    return WindowNetwork(*[x.reshape(y.shape) for x, y in zip(np.split((flat / n).astype(np.float32), ends), net.parts, strict=True)])
 
 
 def fit_scorer(docs: DataFrame, text_col: str = "text", windows: int = WINDOWS) -> LanguageScorer:
-    """Vocabulary from the counts of all words; network from SHARE of all windows, but about ``windows`` at least.
+    """Vocabulary from the counts of all words; network from the windows of all tokens.
 
-    Every token of the corpus has the same chance to be a training window, drawn by a generator that the text
-    seeds. The driver sees about ``windows`` windows; the others are trained on where they are. Equal windows are
-    dealt evenly over the shards.
+    The driver sees the texts of about ``windows`` windows for the start; all are trained on where they are, in shards
+    of about ``windows`` or more. Equal texts are dealt evenly over the shards.
     """
     counts = materialise(word_counts(docs, text_col), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -394,57 +443,44 @@ def fit_scorer(docs: DataFrame, text_col: str = "text", windows: int = WINDOWS)
     spelling = Spelling([w for w, _ in common])
     scorer = LanguageScorer(vocabulary, None, spelling, {b: math.log(unknown[b]) - logs[b] for b in rest})
 
-    share, has_rare = min(1.0, max(SHARE, windows / max(total, 1))), floor > 1
+    has_rare = floor > 1
     shard_size = max(windows, PER_TOKEN * size if size > SIZE and windows >= WINDOWS else 0)
-    shards = max(1, round(share * total / shard_size))
+    shards = max(1, round(SHARE * total / shard_size))
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, known_as, scorer.spelling, scorer.unknown_share))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, known_as, spelling, unknown_share = held.value
+    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, _, spelling, unknown_share = held.value
         unseen = LanguageScorer(vocabulary, None, spelling, unknown_share).unseen
-        step = 4 * (len(OFFSETS) + 1)
         for batch in batches:
-            drawn, rare = [], []
+            rare = []
             for text in batch["t"]:
-                data = text.encode("utf-8", "surrogatepass")
-                rng = np.random.default_rng(zlib.crc32(data))
-                # Texts too short to expect a window give none as a whole, just as often as they should.
-                chance = min(1.0, share * (len(data) + 1)) if share < 1 else 1.0
-                if (passed := chance < 1 and rng.random() > chance) and not has_rare:
-                    continue
                 words = words_of(text)
                 tokens = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-                at = np.nonzero(rng.random(len(tokens)) < share / chance)[0]
-                if len(at) and not passed:
-                    flat = known_as[windows_of(tokens, at)].astype("<i4").tobytes()
-                    drawn += [flat[i : i + step] for i in range(0, len(flat), step)]
-                if has_rare:
-                    unknown = Counter(words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist())
-                    key = xxhash.xxh64_intdigest(data, 42)
+                unknown = Counter(words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist())
+                if unknown:
+                    key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
                     key -= (key >> 63) << 64
                     rare += [(key, w, n, n * (logs[bucket(w)] + unseen(w))) for w, n in unknown.items()]
-            yield pd.DataFrame({"w": pd.Series(drawn, dtype=object)}).reindex(columns=["w", "key", "word", "n", "less"])
-            if rare:
-                yield pd.DataFrame(rare, columns=["key", "word", "n", "less"]).assign(w=None)[["w", "key", "word", "n", "less"]]
+            yield pd.DataFrame(rare, columns=["key", "word", "times", "less"])
 
-    found = docs.select(F.col(text_col).alias("t")).where("t is not null").mapInPandas(draw, "w binary, key long, word binary, n long, less double")
-    found = materialise(found, "drawn")
-    equal = found.where("w is not null").groupBy("w").agg(F.count("*").alias("n"))
+    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
+    equal = texts.groupBy("t").agg(F.count("*").alias("n"))
     turn = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1))
     mine = F.floor(F.col("n") / shards) + F.when(F.col("turn") < F.col("n") % shards, 1).otherwise(0)
-    dealt = equal.withColumn("turn", turn).select("w", mine.cast("long").alias("n"), F.pmod(F.xxhash64("w") + F.col("turn"), F.lit(shards)).alias("shard"))
-    dealt = materialise(dealt, "windows")
-    start = F.pmod(F.xxhash64("w", F.lit(7)), F.lit(1 << 30)) < int((windows / shard_size) * (1 << 30))
-    first = dealt.where(F.col("shard") == 0).where(start).select("w", "n").toArrow()
+    dealt = equal.withColumn("turn", turn).select("t", mine.cast("long").alias("n"), F.pmod(F.xxhash64("t") + F.col("turn"), F.lit(shards)).alias("shard"))
+    dealt = materialise(dealt, "texts")
+    start = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) < int((windows / shard_size) * (1 << 30))
+    first = dealt.where(F.col("shard") == 0).where(start).select("t", "n").toArrow()
     net = WindowNetwork.new(tokens=size)
     sums, batch = net.no_steps(), max(1024, size // 2)
-    net.train(_unpacked(first["w"].to_pylist(), first["n"].to_pylist()), sums, 3, batch)
-    n_windows = dealt.agg(F.sum("n")).first()[0] or 0
-    for _ in range(PASSES if shards > 1 else 0):
-        net = _averaged(net, sums, dealt, batch, n_windows)
+    for rows in _training(first["t"].to_pylist(), first["n"].to_pylist(), vocabulary, known_as, 2 * windows):
+        net.train(rows, sums, 3, batch)
+    for r in range(min(ROUNDS, shards) if shards > 1 else 0):
+        net = _averaged(net, sums, dealt.where(F.col("shard") % min(ROUNDS, shards) == r), held, batch, 2 * shard_size)
     net.known_as, net.within, scorer.network = known_as, within, net
     if has_rare:  # a rare word occurs less than ``floor`` times, so no key is hot
-        each = found.where("word is not null").select("key", "word", F.col("n").alias("times"), "less").distinct()
+        found = texts.mapInPandas(rare_words, "key long, word binary, times long, less double")
+        each = materialise(found, "rare_words").distinct()
         each = each.join(counts.where(F.col("n") < floor), "word")
         scorer.rare = materialise(each.groupBy("key").agg(F.sum(F.col("times") * F.log("n") - F.col("less")).alias("more")), "rare")
     return scorer

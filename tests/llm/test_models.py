@@ -394,6 +394,26 @@ def test_vocabulary_windows_and_rare_words_grow(spark, monkeypatch):
         assert got[i]["log_prob"] == pytest.approx(plain[i][1] + more, rel=1e-4)
 
 
+def test_every_window_trains_the_network(spark, monkeypatch):
+    """All tokens are dealt to the shards, copies too, each to one round; parts are bounded and follow no order of arrival."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * k) % 23)}" for k in range(40))) for i in range(60)] + [(100 + i, "a b c") for i in range(30)] + [(900, None)], "doc_id long, text string")
+    dealt, averaged = [], lmscore._averaged
+
+    def watched(net, sums, rows, *rest):
+        dealt.extend((r["t"], r["n"]) for r in rows.collect())
+        return averaged(net, sums, rows, *rest)
+
+    monkeypatch.setattr(lmscore, "_averaged", watched)
+    lmscore.fit_scorer(docs, windows=200)
+    assert sum(n * len(lmscore.words_of(t)) for t, n in dealt) == 60 * 40 + 30 * 3
+    vocabulary, known_as = lmscore.Vocabulary([b"a", b"b"]), np.arange(lmscore.SIZE + 1, dtype=np.int32)
+    monkeypatch.setattr(lmscore, "AT_ONCE", 4)
+    parts = list(lmscore._training(["a b a b a b", "b"], [3, 2], vocabulary, known_as, 6))
+    again = list(lmscore._training(["b", "a b a b a b"], [2, 3], vocabulary, known_as, 6))
+    assert sum(len(p) for p in parts) == 20 and max(len(p) for p in parts) < 10
+    assert (np.concatenate(parts) == np.concatenate(again)).all()
+
+
 def test_all_words_sum_to_one_at_most(spark):
     """Known words and the unknown ones of a bucket, whose spellings are a distribution, share the bucket's probability."""
     docs = spark.createDataFrame([(1, "abc abc abc xbc ybc qq rr rr"), (2, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)) * 2)], "doc_id long, text string")
