@@ -103,3 +103,21 @@ def test_versions_of_files(spark, tmp_path):
     assert text_index.corpus_version(spark.read.parquet(path)) == first
     spark.range(1).write.mode("append").parquet(path)
     assert text_index.corpus_version(spark.read.parquet(path)) != first
+
+
+def test_terms_are_counted_in_the_row_and_tasks_are_sized_by_postings(spark, tmp_path):
+    """Words are those of the column function; repeated ids count once; the postings of a task do not grow with the corpus."""
+    from pyspark.sql import functions as F
+
+    from docgrain.functions import text as T
+    from docgrain.functions import vectors
+
+    texts = ["", None, "The CAT_2 cat; a I x9 Été İstanbul naïve", "of the and", "b" * 5000 + " b1 b1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    by_column = {r["chunk_id"]: r["w"] or [] for r in rows.select("chunk_id", T.content_tokens(F.coalesce("text", F.lit(""))).alias("w")).collect()}
+    assert by_column == {i: vectors.content_words(t) for i, t in enumerate(texts)}
+    now = text_index.update(rows.unionByName(rows).unionByName(rows.limit(3)), str(tmp_path / "twice"), "v")
+    assert now.n_docs == len(texts) and now.total_dl == sum(map(len, by_column.values()))
+    for n in (10**6, 10**8, 10**10):
+        tasks, spread = text_index._parts(n, 16, 32)
+        assert n / tasks <= text_index.POSTINGS and 32 * spread >= 4 * tasks
