@@ -18,6 +18,14 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k_recall: int = 5, k
     rel = relevant.where("item is not null").select("query_id", "item").distinct().withColumn("hit", F.lit(1))
     sizes = rel.groupBy("query_id").agg(F.count("*").alias("n_rel"))
     rows = ranked.join(rel, ["query_id", "item"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return judged_metrics(rows, sizes, k_recall, k_precision, k_ndcg)
+
+
+def judged_metrics(rows: DataFrame, sizes: DataFrame, k_recall: int = 5, k_precision: int = 5, k_ndcg: int = 10) -> DataFrame:
+    """:func:`ranking_metrics` of ranked rows that say whether they are a ``hit`` (0 or 1), and sizes (query_id, n_rel).
+
+    For relevance that follows from a column of the items: its pairs with the queries need not be listed.
+    """
     discount = F.col("hit") / F.log2(F.col("rank") + 1)
     per = rows.groupBy("query_id").agg(
         F.count_distinct(F.when((F.col("hit") == 1) & (F.col("rank") <= k_recall), F.col("item"))).alias("found"),

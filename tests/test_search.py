@@ -105,3 +105,27 @@ def test_answers(spark):
     asked = spark.createDataFrame([(1, "When was the harbour rebuilt?"), (2, "zebra")], "query_id int, question string")
     got = {r["query_id"]: r for r in answer.answer(chunks, asked).collect()}
     assert set(got) == {1} and "harbour" in got[1]["answer"] and len(got[1]["citations"]) == 9 and 0 < got[1]["confidence"] <= 1
+
+
+def test_a_task_hands_on_k_rows_for_each_query(monkeypatch):
+    """However many batches it has read; what it hands on is what sorting all of them gives."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(search, "VECTOR_SLICE", 32)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (5000, 3)).astype(float)
+    ids, labels = rng.permutation(5000), [None if i % 7 == 0 else "ab"[i % 2] for i in range(5000)]
+    frame = pd.DataFrame({"id": ids, "v": list(vectors), "m": labels})
+    group = [{"q": int(ids[i]), "v": vectors[i], "m": labels[i]} for i in range(5)]
+    for match in (False, True):
+        parts = list(search._batch_best(group, 4, match, True)(frame.iloc[i : i + 500] for i in range(0, 5000, 500)))
+        got = pd.concat(parts)
+        unit = search._unit(list(vectors), 3)
+        wanted = set()
+        for i, g in enumerate(group):
+            score = np.round(unit @ unit[i], search.PLACES)
+            may = [j for j in range(5000) if j != i and (not match or (labels[j] is not None and labels[j] == g["m"]))]
+            wanted |= {(g["q"], int(ids[j])) for j in sorted(may, key=lambda j: (-score[j], ids[j]))[:4]}
+        assert len(got) == len(wanted) and set(zip(got["q"], got["id"])) == wanted
