@@ -8,6 +8,9 @@ one page's boxes are the largest group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ CAPTION_BAND, CAPTION_LENGTH = 40, 120
 CAPTION = r"(?i)^\s*table\s*[\dA-Z\-.]+"
 CHART = r"(?i)\b(?:figure|fig\.|chart|graph|exhibit|diagram|illustration)\s*[\dA-Z]"
 PROBED, SPARSE, WIDE_IMAGE, CHART_PATHS = 5, 120, 600, 16
+#: Replies that are read at once.
+SLICE = 256
 TABLE_MARK = "[EXTRACTED TABLE]\n"
 
 PAGE = ("document", "page")
@@ -122,6 +127,34 @@ def marked_tables(boxes: DataFrame, words: DataFrame) -> DataFrame:
     return titled.join(grids, "table").where("markdown <> ''").select("document", "page", "top", F.concat(head, F.lit("\n"), "markdown").alias("text"))
 
 
+def _blocks_text(ids: list, kinds: list, texts: list, rows: list, columns: list, children: list) -> tuple[str, list[str]]:
+    """The lines of one reply's blocks, joined, and its tables as piped text; of blocks with one id the last is meant."""
+    last = {name: at for at, name in enumerate(ids) if name is not None}
+    lines, tables = [text for kind, text in zip(kinds, texts, strict=True) if kind == "LINE"], []
+    for table in (at for at, kind in enumerate(kinds) if kind == "TABLE"):
+        cells = {}
+        for cell in (last[name] for name in children[table] if name in last):
+            if kinds[cell] == "CELL" and rows[cell] >= 1 and columns[cell] >= 1:
+                words = (last[name] for name in children[cell] if name in last)
+                cells[rows[cell], columns[cell]] = " ".join(texts[w] for w in words if kinds[w] == "WORD")
+        if cells:
+            n_rows, n_columns = (max(place) for place in zip(*cells, strict=True))
+            body = ["| " + " | ".join(cells.get((r, c), "") for c in range(1, n_columns + 1)) + " |" for r in range(1, n_rows + 1)]
+            tables.append("\n".join(body[:1] + ["| " + " | ".join(["---"] * n_columns) + " |"] * (n_rows > 1) + body[1:]))
+    return "\n".join(lines), tables
+
+
+def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lines, tables) of replies whose blocks' fields are arrays: a reply is one row's work, without a shuffle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            fields = [part.column(name).to_pylist() for name in part.schema.names[1:]]
+            read = [_blocks_text(*reply) if reply[0] is not None else ("", []) for reply in zip(*fields, strict=True)]
+            lines, tables = pa.array([r[0] for r in read], pa.string()), pa.array([r[1] for r in read], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lines, tables], ["id", "lines", "tables"])
+
+
 def block_texts(replies: DataFrame, id_col: str = "page_id", json_col: str = "reply") -> DataFrame:
     """(id, text, tables) of a managed parser's replies: lines in their order, then the tables as piped text.
 
@@ -130,27 +163,10 @@ def block_texts(replies: DataFrame, id_col: str = "page_id", json_col: str = "re
     JSON has an empty text.
     """
     parsed = replies.select(F.col(id_col).alias("id"), F.from_json(F.col(json_col), BLOCKS)["Blocks"].alias("blocks"))
-    blocks = parsed.select("id", F.posexplode("blocks").alias("at", "b"))
-    children = F.flatten(F.transform(F.filter(F.col("b.Relationships"), lambda r: r["Type"] == "CHILD"), lambda r: r["Ids"]))
-    kinds = blocks.select("id", "at", F.col("b.Id").alias("block"), F.col("b.BlockType").alias("kind"), F.coalesce("b.Text", F.lit("")).alias("text"), F.coalesce("b.RowIndex", F.lit(1)).alias("row"), F.coalesce("b.ColumnIndex", F.lit(1)).alias("column"), F.coalesce(children, F.array().cast("array<string>")).alias("children"))
-    last = kinds.groupBy("id", "block").agg(F.max_by(F.struct("kind", "text", "row", "column", "children"), "at").alias("c"))
-    part = last.select("id", F.col("block").alias("child"), "c")
-    lines = kinds.where("kind = 'LINE'").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
-    lines = lines.select("id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("lines"))
-    cells = kinds.where("kind = 'TABLE'").select("id", F.col("at").alias("table"), F.posexplode("children").alias("nth", "child"))
-    cells = cells.join(part, ["id", "child"]).where("c.kind = 'CELL' and c.row >= 1 and c.column >= 1").select("id", "table", "nth", F.col("c.row").alias("row"), F.col("c.column").alias("column"), F.col("c.children").alias("children"))
-    words = cells.select("id", "table", "nth", F.posexplode("children").alias("k", "child")).join(part, ["id", "child"]).where("c.kind = 'WORD'")
-    words = words.groupBy("id", "table", "nth").agg(F.array_sort(F.collect_list(F.struct("k", F.col("c.text").alias("text")))).alias("w"))
-    words = words.select("id", "table", "nth", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("cell"))
-    cells = cells.drop("children").join(words, ["id", "table", "nth"], "left").withColumn("cell", F.coalesce("cell", F.lit("")))
-    cells = cells.groupBy("id", "table", "row", "column").agg(F.max_by("cell", "nth").alias("cell"))
-    grid = _grid(cells, ("id", "table"))
-    line = lambda row: F.concat(F.lit("| "), F.array_join(row, " | "), F.lit(" |"))
-    rule = F.when(F.size("cells") > 1, F.array(line(F.transform(F.col("cells")[0], lambda c: F.lit("---"))))).otherwise(F.array().cast("array<string>"))
-    body = F.transform(F.col("cells"), line)
-    marked = grid.select("id", "table", F.array_join(F.concat(F.slice(body, 1, 1), rule, F.slice(body, F.lit(2), F.size("cells"))), "\n").alias("markdown"))
-    marked = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table", "markdown"))).alias("t")).select("id", F.transform("t", lambda t: t["markdown"]).alias("tables"))
-    whole = parsed.select("id").join(lines, "id", "left").join(marked, "id", "left")
+    children = lambda b: F.coalesce(F.flatten(F.transform(F.filter(b["Relationships"], lambda r: r["Type"] == "CHILD"), lambda r: r["Ids"])), F.array().cast("array<string>"))
+    fields = {"ids": lambda b: b["Id"], "kinds": lambda b: b["BlockType"], "texts": lambda b: F.coalesce(b["Text"], F.lit("")), "rows": lambda b: F.coalesce(b["RowIndex"], F.lit(1)), "columns": lambda b: F.coalesce(b["ColumnIndex"], F.lit(1)), "children": children}
+    flat = parsed.select("id", *[F.transform("blocks", get).alias(name) for name, get in fields.items()])
+    whole = flat.mapInArrow(_read_blocks, f"id {parsed.schema['id'].dataType.simpleString()}, lines string, tables array<string>")
     texts = F.coalesce("tables", F.array().cast("array<string>"))
     joined = F.concat(F.coalesce("lines", F.lit("")), F.when(F.size(texts) > 0, F.concat(F.lit("\n\n"), F.array_join(texts, "\n\n"))).otherwise(""))
     return whole.select(F.col("id").alias(id_col), T.strip(joined).alias("text"), texts.alias("tables"))

@@ -139,3 +139,15 @@ def test_probe_edges(spark):
     docs = spark.createDataFrame([(d,) for d in ("scan", "text", "wide", "five", "one", "none")], "document string")
     got = {r["document"]: (r["route"], r["n_pages"]) for r in layout.probe(docs, spark.createDataFrame(rows, "document string, page int, text string, image_widths array<int>")).collect()}
     assert got == {"scan": ("pdf_scanned", 1), "text": ("pdf_text", 1), "wide": ("pdf_chart_heavy", 1), "five": ("pdf_text", 5), "one": ("pdf_chart_heavy", 3), "none": ("pdf_text", 0)}
+
+
+def test_replies_are_read_in_their_row(spark):
+    """Nothing is shuffled for a reply, so that replies of one id stay apart; of blocks with one id the last is meant."""
+    import json
+
+    block = lambda i, kind, text=None, row=None, column=None, ids=None: {"Id": i, "BlockType": kind, "Text": text, "RowIndex": row, "ColumnIndex": column, "Relationships": [{"Type": "CHILD", "Ids": ids}] if ids else None}
+    reply = json.dumps({"Blocks": [block("l", "LINE", "Top"), block("t", "TABLE", ids=["c", "d", "none"]), block("c", "CELL", row=1, column=1, ids=["w"]), block("d", "CELL", row=3, column=2, ids=["w", "l", "w"]), block("w", "WORD", "old"), block("w", "WORD", "new")]})
+    out = layout.block_texts(spark.createDataFrame([(1, reply), (1, reply), (2, "no json"), (3, None)], "page_id long, reply string"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = "Top\n\n| new |  |\n| --- | --- |\n|  |  |\n|  | new new |"
+    assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(1, whole), (1, whole), (2, ""), (3, "")]
