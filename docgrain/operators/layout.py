@@ -2,17 +2,20 @@
 
 No parser is called here. Elements (document, page, place, kind, left, top, right, bottom, text) have their origin at the
 bottom left, as layout models give them; words (document, page, left, top, right, bottom, text) at the top left, as text
-extractors do. ``place`` is the order in which a parser has found things. All of it is windows and joins over such tables;
-one page's boxes are the largest group.
+extractors do. ``place`` is the order in which a parser has found things. Reading order and probes are windows and joins
+over such tables; grids and captions are read in a row that holds a page's words, which are the largest group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from docgrain.functions import text as T
 from docgrain.operators import tables
@@ -23,11 +26,13 @@ CAPTION_BAND, CAPTION_LENGTH = 40, 120
 CAPTION = r"(?i)^\s*table\s*[\dA-Z\-.]+"
 CHART = r"(?i)\b(?:figure|fig\.|chart|graph|exhibit|diagram|illustration)\s*[\dA-Z]"
 PROBED, SPARSE, WIDE_IMAGE, CHART_PATHS = 5, 120, 600, 16
-#: Replies that are read at once.
+#: Replies, and pages of words, that are read at once.
 SLICE = 256
 TABLE_MARK = "[EXTRACTED TABLE]\n"
 
 PAGE = ("document", "page")
+EDGES = ("left", "top", "right", "bottom")
+CELLS = ArrayType(ArrayType(StringType()))
 BLOCKS = "struct<Blocks:array<struct<Id:string,BlockType:string,Text:string,RowIndex:int,ColumnIndex:int,SelectionStatus:string,Relationships:array<struct<Type:string,Ids:array<string>>>>>>"
 
 
@@ -81,21 +86,140 @@ def word_grids(words: DataFrame, keys: tuple[str, ...] = PAGE, column_gap: float
     """(keys, cells): words put into the rows and columns that their edges show, as an array of rows of strings.
 
     Rows are words whose heights overlap, columns words whose widths do, over all of a table; words of a cell are joined
-    from left to right. Cells without words are empty.
+    from left to right. Cells without words are empty. A table's words are read in one row.
     """
-    rows = islands(words, keys, "top", "bottom", -overlap, "row")
-    rows = islands(rows, keys, "left", "right", column_gap, "column")
-    cell = rows.groupBy(*keys, "row", "column").agg(F.array_sort(F.collect_list(F.struct("left", "right", "text"))).alias("w"))
-    cell = cell.select(*keys, "row", "column", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("cell"))
-    return _grid(cell, keys)
+    held = words.groupBy(*keys).agg(F.collect_list(_word()).alias("words"))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            group, found = _words_of(part.column("words"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _grids(group, part.num_rows, found, column_gap, overlap)], [*keys, "cells"])
 
-def _grid(cells: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, cells) from (keys, row, column, cell), rows and columns from 1; missing cells are empty."""
-    placed = cells.groupBy(*keys).agg(F.max("row").alias("n_rows"), F.max("column").alias("n_columns"), F.map_from_entries(F.collect_list(F.struct(F.struct("row", "column").alias("at"), "cell"))).alias("m"))
-    at = lambda r, c: F.coalesce(F.try_element_at("m", F.struct(r.alias("row"), c.alias("column"))), F.lit(""))
-    grid = F.transform(F.sequence(F.lit(1), "n_rows"), lambda r: F.transform(F.sequence(F.lit(1), "n_columns"), lambda c: at(r, c)))
-    return placed.select(*keys, grid.alias("cells"))
+    return held.mapInArrow(read, StructType([*held.schema.fields[:-1], StructField("cells", CELLS)]))
+
+
+def _word() -> Column:
+    """A positioned word in a row that holds a page's or a table's words."""
+    return F.struct(*[F.col(edge).cast("double").alias(edge) for edge in EDGES], F.col("text").cast("string").alias("text"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+
+def _owners(lists: pa.ListArray) -> np.ndarray:
+    """The row that each element of ``lists`` belongs to."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+
+
+def _edges(boxes: pa.StructArray) -> dict[str, np.ndarray]:
+    """Edges of boxes or words; null ones come before all others and are in no box."""
+    return {edge: pc.fill_null(boxes.field(edge).cast(pa.float64()), -np.inf).to_numpy(zero_copy_only=False) for edge in EDGES}
+
+
+def _words_of(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The row of each word of ``lists``; edges, texts and the order of the texts."""
+    flat = lists.flatten()
+    text = flat.field("text")
+    order = np.empty(len(flat), np.int64)
+    order[pc.sort_indices(text).to_numpy()] = np.arange(len(flat))
+    return _owners(lists), _edges(flat) | {"text": text.to_numpy(zero_copy_only=False), "order": order}
+
+
+def _taken(words: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {name: values[which] for name, values in words.items()}
+
+
+def _numbered(group: np.ndarray, low: np.ndarray, high: np.ndarray, gap: float) -> np.ndarray:
+    """What :func:`islands` gives, of arrays: for each interval its number in its group, from 1."""
+    order, n = np.lexsort((high, low, group)), len(group)
+    g, lo, hi = group[order], low[order], high[order]
+    first = np.append(True, g[1:] != g[:-1])[:n]
+    # The furthest end so far, inside each group: by the places of the ends in their order, groups one above the other.
+    ends = np.argsort(hi, kind="stable")
+    place = np.empty(n, np.int64)
+    place[ends] = np.arange(n)
+    reach = hi[ends[np.maximum.accumulate(g * n + place) - g * n]]
+    with np.errstate(invalid="ignore"):
+        opens = first | np.append(True, ~(lo[1:] - reach[:-1] < gap))[:n]
+    count = np.cumsum(opens)
+    starts = np.nonzero(first)[0]
+    out = np.empty(n, np.int64)
+    out[order] = count - np.repeat(count[starts] - 1, np.diff(np.append(starts, n)))
+    return out
+
+
+def _runs(keys: tuple[np.ndarray, ...], words: dict[str, np.ndarray]) -> tuple[np.ndarray, list[str]]:
+    """For each run of equal ``keys``, the last most important: one of its words, and its texts from left to right, joined."""
+    order = np.lexsort((words["order"], words["right"], words["left"], *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order[1:]] != key[order[:-1]]
+    starts, text = np.nonzero(new)[0], words["text"][order].tolist()
+    ends = np.append(starts, len(order))[1:].tolist()
+    return order[starts], [" ".join(t for t in text[i:j] if t is not None) for i, j in zip(starts.tolist(), ends, strict=True)]
+
+
+def _grids(group: np.ndarray, n: int, words: dict[str, np.ndarray], column_gap: float = 6.0, overlap: float = 2.0) -> pa.ListArray:
+    """The cells of the ``n`` groups of words."""
+    row, column = _numbered(group, words["top"], words["bottom"], -overlap), _numbered(group, words["left"], words["right"], column_gap)
+    high, wide = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.maximum.at(high, group, row)
+    np.maximum.at(wide, group, column)
+    base = np.cumsum(high * wide) - high * wide
+    one, cells = _runs((column, row, group), words)
+    flat = np.full((high * wide).sum(), "", object)
+    flat[base[group[one]] + (row[one] - 1) * wide[group[one]] + column[one] - 1] = cells
+    offsets = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    rows = pa.ListArray.from_arrays(offsets(np.repeat(wide, high)), pa.array(flat, pa.string()))
+    return pa.ListArray.from_arrays(offsets(high), rows)
+
+
+def _lines(group: np.ndarray, n: int, words: dict[str, np.ndarray]) -> list[str]:
+    """The words of each of the ``n`` groups, line by line."""
+    line = _numbered(group, words["top"], words["bottom"], -2.0)
+    one, texts = _runs((line, group), words)
+    out: list[list[str]] = [[] for _ in range(n)]
+    for g, text in zip(group[one].tolist(), texts, strict=True):
+        out[g].append(text)
+    return ["\n".join(lines) for lines in out]
+
+
+def _in_boxes(boxes: DataFrame, words: DataFrame, band: float) -> DataFrame:
+    """``boxes`` with the lines of the ``band`` above each (``above``) and the grid of the words inside (``cells``).
+
+    Words and boxes are shuffled once, by page; a page is read in its row, whose words are its memory.
+    """
+    columns = boxes.columns
+    held = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("boxes"))
+    held = held.join(words.groupBy(*PAGE).agg(F.collect_list(_word()).alias("words")), list(PAGE), "left").select("boxes", "words")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            found, (page, words) = part.column("boxes").flatten(), _words_of(part.column("words"))
+            edge, mine = _edges(found), _owners(part.column("boxes"))
+            x, y = (words["left"] + words["right"]) / 2, (words["top"] + words["bottom"]) / 2
+            sizes = np.bincount(mine, minlength=part.num_rows)
+            first, above, inside = np.cumsum(sizes) - sizes, [], []
+            for k in range(sizes.max(initial=0)):  # the k-th box of each page that has one, with the page's words
+                near = np.nonzero(sizes[page] > k)[0]
+                box = first[page[near]] + k
+                here = (x[near] >= edge["left"][box]) & (x[near] <= edge["right"][box])
+                top, at = edge["top"][box], y[near]
+                for ok, kept in ((here & (at >= np.maximum(top - band, 0)) & (at < top), above), (here & (at >= top) & (at <= edge["bottom"][box]), inside)):
+                    kept.append((near[ok], box[ok]))
+            (a, of_a), (i, of_i) = ([np.concatenate(x) for x in zip(*kept, strict=True)] for kept in (above, inside))
+            lines, cells = _lines(of_a, len(found), _taken(words, a)), _grids(of_i, len(found), _taken(words, i))
+            yield pa.RecordBatch.from_arrays([*found.flatten(), pa.array(lines, pa.string()), cells], [*columns, "above", "cells"])
+
+    return held.mapInArrow(read, StructType([*boxes.schema.fields, StructField("above", StringType()), StructField("cells", CELLS)]))
+
+
+def _caption() -> Column:
+    """The text above a box if it begins like a caption, or ""."""
+    text = T.strip(F.col("above"))
+    return F.when(text.rlike(CAPTION), F.substring(text, 1, CAPTION_LENGTH)).otherwise("")
 
 
 def captions(boxes: DataFrame, words: DataFrame, band: float = CAPTION_BAND) -> DataFrame:
@@ -103,28 +227,17 @@ def captions(boxes: DataFrame, words: DataFrame, band: float = CAPTION_BAND) ->
 
     The words whose middle is in the band are read line by line; they are a caption if they begin like one.
     """
-    named = boxes.withColumn("__box", F.monotonically_increasing_id())
-    inside = named.select("document", "page", F.col("left").alias("l"), F.col("right").alias("r"), F.col("top").alias("t"), "__box")
-    middle = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    near = words.join(inside, list(PAGE)).where(middle[0].between(F.col("l"), F.col("r")) & (middle[1] >= F.greatest(F.col("t") - band, F.lit(0))) & (middle[1] < F.col("t")))
-    near = islands(near, ("__box",), "top", "bottom", -2.0, "line")
-    lines = near.groupBy("__box", "line").agg(F.array_sort(F.collect_list(F.struct("left", "right", "text"))).alias("w"))
-    lines = lines.select("__box", "line", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"))
-    read = lines.groupBy("__box").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("x"))
-    text = T.strip(F.array_join(F.transform("x", lambda x: x["text"]), "\n"))
-    read = read.select("__box", F.when(text.rlike(CAPTION), F.substring(text, 1, CAPTION_LENGTH)).otherwise("").alias("caption"))
-    return named.join(read, "__box", "left").withColumn("caption", F.coalesce("caption", F.lit(""))).drop("__box")
+    whole = boxes if "bottom" in boxes.columns else boxes.withColumn("bottom", F.col("top"))
+    return _in_boxes(whole, words, band).select(*boxes.columns, _caption().alias("caption"))
 
 
 def marked_tables(boxes: DataFrame, words: DataFrame) -> DataFrame:
     """(document, page, top, text): the tables in boxes as piped text under their captions, as chunks have them."""
-    titled = captions(boxes, words).withColumn("table", F.xxhash64("document", "page", "left", "top", "right", "bottom"))
-    frame = titled.select("document", "page", F.col("left").alias("l"), F.col("top").alias("t"), F.col("right").alias("r"), F.col("bottom").alias("b"), "table")
-    x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
-    mine = words.join(frame, list(PAGE)).where(x.between(F.col("l"), F.col("r")) & y.between(F.col("t"), F.col("b")))
-    grids = word_grids(mine, ("table",)).select("table", tables.cells_markdown(F.col("cells")).alias("markdown"))
+    found = _in_boxes(boxes, words, CAPTION_BAND).select("document", "page", "top", _caption().alias("caption"), "cells")
+    # A generator makes the text once; a filter on the text itself would make it twice.
+    texts = found.select("document", "page", "top", "caption", F.explode_outer(F.array(tables.cells_markdown(F.col("cells")))).alias("markdown")).where("markdown <> ''")
     head = F.when(F.col("caption") == "", F.lit("[EXTRACTED TABLE]")).otherwise(F.concat(F.lit("[EXTRACTED TABLE: "), "caption", F.lit("]")))
-    return titled.join(grids, "table").where("markdown <> ''").select("document", "page", "top", F.concat(head, F.lit("\n"), "markdown").alias("text"))
+    return texts.select("document", "page", "top", F.concat(head, F.lit("\n"), "markdown").alias("text"))
 
 
 def _blocks_text(ids: list, kinds: list, texts: list, rows: list, columns: list, children: list) -> tuple[str, list[str]]:

@@ -45,21 +45,16 @@ FROM k WHERE kind <> 'picture' OR nth <= 4 GROUP BY document, page
 
 def _order_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders of each customer as a table of words, with a title above that is a caption for every other customer; boxes of the tables."""
-    orders = table(spark, sf, "orders")
-    count = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("least"))
-    key = orders.alias("o").join(first, "o_custkey")
-    words = key.select("o_custkey", ((F.col("o_orderkey") - F.col("least")) * 4 + 100).cast("double").alias("top"), F.explode(F.array(
-        F.struct(F.lit(50.0).alias("left"), F.lit(90.0).alias("right"), F.col("o_orderkey").cast("string").alias("text")),
-        F.struct(F.lit(120.0).alias("left"), F.lit(130.0).alias("right"), F.lit("is").alias("text")),
-        F.struct(F.lit(133.0).alias("left"), F.lit(150.0).alias("right"), F.col("o_orderstatus").alias("text")),
-        F.struct(F.lit(200.0).alias("left"), F.lit(260.0).alias("right"), F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")).alias("text")),
-    )).alias("w"))
-    words = words.where("w.text is not null").select(F.col("o_custkey").alias("document"), F.lit(1).alias("page"), "w.left", "top", "w.right", (F.col("top") + 3).alias("bottom"), "w.text")
-    title = count.select(F.col("o_custkey").alias("document"), F.explode(F.array(F.struct(F.lit(60.0).alias("l"), F.when(F.col("o_custkey") % 2 == 0, "Table").otherwise("Orders").alias("t")), F.struct(F.lit(100.0).alias("l"), F.col("o_custkey").cast("string").alias("t")))).alias("w"))
-    title = title.select("document", F.lit(1).alias("page"), F.col("w.l").alias("left"), F.lit(80.0).alias("top"), (F.col("w.l") + 30).alias("right"), F.lit(88.0).alias("bottom"), F.col("w.t").alias("text"))
-    boxes = words.groupBy("document", "page").agg(F.lit(40.0).alias("left"), F.min(F.col("top") - 1).alias("top"), F.lit(270.0).alias("right"), F.max("bottom").alias("bottom"))
-    return boxes, words.unionByName(title)
+    by_customer = Window.partitionBy("o_custkey")
+    orders = table(spark, sf, "orders").select("*", F.min("o_orderkey").over(by_customer).alias("least"), F.row_number().over(by_customer.orderBy("o_orderkey")).alias("nth"))
+    top = ((F.col("o_orderkey") - F.col("least")) * 4 + 100).cast("double")
+    word = lambda left, right, text, above=top, height=3: F.struct(F.lit(left).alias("left"), above.alias("top"), F.lit(right).alias("right"), (above + height).alias("bottom"), text.alias("text"))
+    line = F.array(word(50.0, 90.0, F.col("o_orderkey").cast("string")), word(120.0, 130.0, F.lit("is")), word(133.0, 150.0, F.col("o_orderstatus")), word(200.0, 260.0, F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority"))))
+    title = F.array(word(60.0, 90.0, F.when(F.col("o_custkey") % 2 == 0, "Table").otherwise("Orders"), F.lit(80.0), 8), word(100.0, 130.0, F.col("o_custkey").cast("string"), F.lit(80.0), 8))
+    words = orders.select(F.col("o_custkey").alias("document"), F.lit(1).alias("page"), F.inline(F.when(F.col("nth") == 1, F.concat(title, line)).otherwise(line))).where("text is not null")
+    ends = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+    boxes = ends.select(F.col("o_custkey").alias("document"), F.lit(1).alias("page"), F.lit(40.0).alias("left"), F.lit(99.0).alias("top"), F.lit(270.0).alias("right"), ((F.col("most") - F.col("least")) * 4 + 103).cast("double").alias("bottom"))
+    return boxes, words
 
 
 def word_tables(spark: SparkSession, sf: str) -> DataFrame:

@@ -151,3 +151,34 @@ def test_replies_are_read_in_their_row(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     whole = "Top\n\n| new |  |\n| --- | --- |\n|  |  |\n|  | new new |"
     assert sorted((r["page_id"], r["text"]) for r in out.collect()) == [(1, whole), (1, whole), (2, ""), (3, "")]
+
+
+def test_equal_boxes_have_a_table_each(spark):
+    """Boxes are told apart by their place in the page's row, not by their edges, so that words come once in each."""
+    box = ("d", 1, 0.0, 50.0, 100.0, 90.0)
+    words = [("d", 1, 10.0, 60.0, 20.0, 70.0, "a"), ("d", 1, 50.0, 60.0, 60.0, 70.0, "b"), ("d", 1, 10.0, 20.0, 40.0, 28.0, "Table"), ("d", 1, 45.0, 20.0, 60.0, 28.0, "7"), ("d", 1, 10.0, None, 20.0, 70.0, "nowhere"), ("d", 1, 80.0, 60.0, 90.0, 70.0, None), ("e", 1, 1.0, 60.0, 2.0, 70.0, "no box")]
+    boxes = spark.createDataFrame([box, box, ("d", 1, 0.0, 900.0, 9.0, 910.0), ("f", 1, 0.0, 50.0, 9.0, 60.0)], "document string, page int, left double, top double, right double, bottom double")
+    got = [tuple(r) for r in layout.marked_tables(boxes, spark.createDataFrame(words, WORDS)).collect()]
+    assert got == 2 * [("d", 1, 50.0, "[EXTRACTED TABLE: Table 7]\n| a | b |  |\n| --- | --- | --- |")]
+
+
+def test_words_are_shuffled_once(spark):
+    """Words and boxes go to their page once, and the text of a grid is made once, not again for each of its rows."""
+    boxes = spark.createDataFrame([("d", 1, 0.0, 50.0, 100.0, 90.0)], "document string, page int, left double, top double, right double, bottom double")
+    plan = layout.marked_tables(boxes, spark.createDataFrame([], WORDS))._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning") == 2
+    cells = spark.createDataFrame([], "cells array<array<string>>").select(tables.cells_markdown(F.col("cells")).alias("m"))
+    assert cells._jdf.queryExecution().sparkPlan().toString().count("regexp_replace") == 1
+
+
+def test_grids_of_many_tables_equal_islands(spark):
+    """Rows and columns of grids are those of the windows, whatever else the task reads."""
+    rng = random.Random(9)
+    words = [(str(d), 1, left := float(rng.randint(0, 150)), top := float(rng.randint(0, 90)), left + rng.randint(1, 30), top + rng.randint(3, 9), rng.choice(["x", "yy", "z"])) for d in range(40) for _ in range(rng.randint(1, 14))]
+    frame = spark.createDataFrame(words, WORDS)
+    numbered = layout.islands(layout.islands(frame, layout.PAGE, "top", "bottom", -2.0, "row"), layout.PAGE, "left", "right", 6.0, "column").collect()
+    want = {}
+    for d in {w[0] for w in words}:
+        mine = sorted((r for r in numbered if r["document"] == d), key=lambda r: (r["left"], r["right"], r["text"]))
+        want[d] = [[" ".join(r["text"] for r in mine if (r["row"], r["column"]) == (i, j)) for j in range(1, max(r["column"] for r in mine) + 1)] for i in range(1, max(r["row"] for r in mine) + 1)]
+    assert {r["document"]: r["cells"] for r in layout.word_grids(frame.repartition(3)).collect()} == want
