@@ -125,3 +125,18 @@ def test_embeddings_leave_a_task_in_small_batches(spark):
     assert {tuple(r) for r in rows.collect()} == expected
     dense = spark.createDataFrame(texts, "id long, t string").select("id", V.embedding(F.col("t")).alias("v")).collect()
     assert {(r["id"], k, w) for r in dense for k, w in enumerate(r["v"]) if w} == expected
+
+
+def test_vectors_of_texts_are_hashed_together(monkeypatch):
+    """A text's grams are hashed in one go, whatever is remembered: the sums are those of the plain sum over grams."""
+    from hashlib import md5
+
+    monkeypatch.setattr(V, "KNOWN_GRAMS", 3)
+    known = {}
+    for text in ("Alpha beta alpha beta gamma", "gamma delta epsilon zeta", "", None, "the of", "naïve ÉTÉ x_1"):
+        words, want = V.content_words(text), [0] * V.DIM
+        for gram in [*words, *[f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]]:
+            h = int(md5(gram.encode()).hexdigest(), 16)
+            want[h % V.DIM] += -1 if h >> 8 & 1 else 1
+        norm = sum(v * v for v in want) ** 0.5
+        assert V.text_vector(text, V.DIM, known).tolist() == [v / norm if norm else 0 for v in want]

@@ -121,3 +121,15 @@ def test_terms_are_counted_in_the_row_and_tasks_are_sized_by_postings(spark, tmp
     for n in (10**6, 10**8, 10**10):
         tasks, spread = text_index._parts(n, 16, 32)
         assert n / tasks <= text_index.POSTINGS and 32 * spread >= 4 * tasks
+
+
+def test_postings_of_a_term_leave_a_task_together():
+    """What is shuffled and sorted is an array for each term of many texts, not a row for each posting."""
+    import pyarrow as pa
+
+    texts = ["alpha beta alpha", "beta Gamma", None, "beta"]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([1, 2, 3, 4]), pa.array(texts, pa.string())], ["id", "print", "text"])
+    rows = pa.Table.from_batches(list(text_index._counted(iter([batch])))).to_pylist()
+    held = {r["term"]: [tuple(p.values()) for p in r["held"]] for r in rows if r["term"] is not None}
+    assert held == {"alpha": [(5, 3, 2)], "beta": [(5, 3, 1), (6, 2, 1), (8, 1, 1)], "gamma": [(6, 2, 1)]}
+    assert [[tuple(d.values()) for d in r["docs"]] for r in rows if r["term"] is None] == [[(5, 1, 3), (6, 2, 2), (7, 3, 0), (8, 4, 1)]]
