@@ -184,15 +184,18 @@ class WindowNetwork:
                     s += g * g
                     p -= rate * g / np.sqrt(s)
                 for k, (at, g) in enumerate(zip(rows, embed, strict=True)):  # other rows have no gradient
-                    s = sums[0][k][at] + g * g
+                    s = sums[0][k].take(at, axis=0)
+                    s += g * g
                     sums[0][k][at] = s
-                    self.embed[k][at] -= rate * g / np.sqrt(s)
+                    p = self.embed[k].take(at, axis=0)
+                    p -= rate * g / np.sqrt(s, out=s)
+                    self.embed[k][at] = p
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
-        h = self.bias + self.embed[0][places[:, 0]]
+        h = self.bias + self.embed[0].take(places[:, 0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += self.embed[k][places[:, k]]
-        return np.tanh(h)
+            h += self.embed[k].take(places[:, k], axis=0)
+        return np.tanh(h, out=h)
 
     def gradients(self, windows: np.ndarray) -> list[np.ndarray]:
         rows, (embed, *others) = self._gradients(windows)
@@ -214,23 +217,26 @@ class WindowNetwork:
         d += self.class_b
         _softmax(d, _bounded(self.class_w, self.class_b))[at, group] -= 1
         g_class, dh = (h.T @ d / n, d.sum(0) / n), d @ self.class_w.T
-        g_word, bounded = (np.zeros_like(self.word_w), np.zeros_like(self.word_b)), _bounded(self.word_w, self.word_b)
-        for c, (i, j) in enumerate(zip(ends, ends[1:])):
-            if i < j:
-                d = h[i:j] @ self.word_w[c]
-                d += self.word_b[c]
-                _softmax(d, bounded)[at[: j - i], place[i:j]] -= 1
-                np.matmul(h[i:j].T, d, out=g_word[0][c])
-                d.sum(0, out=g_word[1][c])
-                dh[i:j] += d @ self.word_w[c].T
-        for g in g_word:
-            g /= n
+        # A row's one stands for its bias; the rows of all classes share one softmax, products alone go class by class.
+        h1, w1, z = np.ones((n, WIDTH + 1), h.dtype), np.concatenate((self.word_w, self.word_b[:, None]), axis=1), np.empty((n, each), h.dtype)
+        h1[:, :-1] = h
+        parts = [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        for c, i, j in parts:
+            np.matmul(h1[i:j], w1[c], out=z[i:j])
+        _softmax(z, _bounded(self.word_w, self.word_b))[at, place] -= 1
+        g1, more = np.zeros_like(w1), np.empty_like(h)
+        for c, i, j in parts:
+            np.matmul(h1[i:j].T, z[i:j], out=g1[c])
+            np.matmul(z[i:j], self.word_w[c].T, out=more[i:j])
+        g1 /= n
+        g_word = g1[:, :-1], g1[:, -1]
+        dh += more
         dh *= (1 - h * h) / n
         tokens, rows = [], []
         for k in range(len(OFFSETS)):
             column = _small(windows[:, k], self.embed.shape[1])
             order = np.argsort(column, kind="stable")
-            found, sums = _sums_by(column[order], dh[order])
+            found, sums = _sums_by(column[order], dh.take(order, axis=0))
             tokens.append(found)
             rows.append(sums)
         return tokens, [rows, dh.sum(0), *g_class, *g_word]

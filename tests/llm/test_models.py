@@ -443,3 +443,17 @@ def test_gibberish_and_shuffled_words_score_below_held_out_documents(spark, sf):
         return sum(s for _, s in scored) / sum(n for n, _ in scored)
 
     assert mean(held) > mean(shuffled) and mean(held) > mean(letters) + 5
+
+
+def test_a_batch_has_one_softmax_for_the_words_of_all_classes(monkeypatch):
+    """The products alone go class by class; gradients are those of each window by itself."""
+    calls, plain = [], lmscore._softmax
+    monkeypatch.setattr(lmscore, "_softmax", lambda z, bounded: calls.append(z.shape) or plain(z, bounded))
+    rng = np.random.default_rng(1)
+    windows = rng.integers(0, lmscore.SIZE, (50, len(lmscore.OFFSETS) + 1)).astype(np.int32)
+    net = lmscore.WindowNetwork.new()
+    got = net.gradients(windows)
+    assert calls == [(50, lmscore.CLASSES), (50, lmscore.PER_CLASS)]
+    alone = [net.gradients(windows[i : i + 1]) for i in range(50)]
+    for k, part in enumerate(got):
+        np.testing.assert_allclose(part, np.mean([a[k] for a in alone], axis=0), atol=1e-6)
