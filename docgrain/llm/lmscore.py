@@ -17,16 +17,15 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.shared import materialise
+from docgrain.llm.shared import forget, materialise
 
 CLASSES = 32
 PER_CLASS = 32
@@ -49,10 +48,14 @@ ROUNDS = 2
 OWN = 0.2
 #: Words with a known count that every task holds; counts of rarer words are joined.
 COMMON = 200_000
-#: Rows whose classes are scored at once; their scores fit a cache.
-CACHED = 1 << 11
+#: Rows that are scored at once; their scores fit a cache.
+CACHED = 1 << 13
 #: Tokens scored at once.
 AT_ONCE = 1 << 16
+#: Occurrences of a token in a batch whose gradients are added side by side; those of more frequent ones go token by token.
+LEVELS = 24
+#: Parameters that are averaged in one group.
+SLICE = 1 << 13
 #: Words that a task counts before it hands its counts on; bounds its memory.
 HELD_WORDS = 200_000
 
@@ -76,6 +79,19 @@ def _number(i: int) -> int:
     return i if i < SIZE - BUCKETS else i + BUCKETS + 1
 
 
+class Numbers:
+    """Token numbers of the network, kept as bytes."""
+
+    def __init__(self, tokens: int):
+        self.dtype = np.dtype("<u2" if tokens <= 1 << 16 else "<i4")
+
+    def packed(self, tokens: np.ndarray) -> bytes:
+        return tokens.astype(self.dtype).tobytes()
+
+    def tokens(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, self.dtype)
+
+
 class Vocabulary(dict):
     """Token numbers of words; unknown words get their bucket's, and a bounded number of them is remembered."""
 
@@ -99,17 +115,19 @@ class Vocabulary(dict):
 
 def windows_of(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows of (neighbours..., token) for the positions ``at``; places beyond the ends are PAD."""
-    padded = np.concatenate((np.full(SIDE, PAD, np.int32), tokens, np.full(SIDE, PAD, np.int32)))
+    ends = np.full(SIDE, PAD, tokens.dtype)
+    padded = np.concatenate((ends, tokens, ends))
     return np.stack([padded[at + SIDE + k] for k in OFFSETS] + [tokens[at]], axis=1)
 
 
-def _softmax(z: np.ndarray, bounded: bool) -> np.ndarray:
-    """The softmax of each row, in place of ``z``."""
+def _less_picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """In place of ``z``, the gradient of the mean of -log softmax but for a factor of each row, which is returned."""
     if not bounded:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    whole = z @ np.ones(z.shape[1], z.dtype)
+    z[np.arange(len(z)), at] -= whole
+    return (1 / (whole * len(z)))[:, None]
 
 
 def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
@@ -122,7 +140,13 @@ def _log_picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
     if not bounded:
         z -= z.max(axis=1, keepdims=True)
     picked = z[np.arange(len(z)), at]
-    return picked - np.log(np.exp(z, out=z).sum(axis=1))
+    return picked - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
+def _put(rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """``rows[at] = values``, each row copied as one value, which is faster."""
+    whole = np.dtype((np.void, rows.shape[1] * rows.itemsize))
+    rows.view(whole)[:, 0][at] = values.view(whole)[:, 0]
 
 
 @dataclass
@@ -179,87 +203,123 @@ class WindowNetwork:
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for i in range(0, len(order), batch):
-                rows, (embed, *others) = self._gradients(windows[order[i : i + batch]])
+                found, (embed, *others) = self._gradients(windows[order[i : i + batch]])
                 for p, s, g in zip(self.parts[1:], sums[1:], others, strict=True):
                     s += g * g
-                    p -= rate * g / np.sqrt(s)
-                for k, (at, g) in enumerate(zip(rows, embed, strict=True)):  # other rows have no gradient
-                    s = sums[0][k].take(at, axis=0)
-                    s += g * g
-                    sums[0][k][at] = s
-                    p = self.embed[k].take(at, axis=0)
-                    p -= rate * g / np.sqrt(s, out=s)
-                    self.embed[k][at] = p
+                    g *= rate
+                    g /= np.sqrt(s)
+                    p -= g
+                rows, squares = self.embed.reshape(-1, WIDTH), sums[0].reshape(-1, WIDTH)  # other rows have no gradient
+                s = squares.take(found, axis=0)
+                s += embed * embed
+                _put(squares, found, s)
+                embed *= rate
+                embed /= np.sqrt(s, out=s)
+                p = rows.take(found, axis=0)
+                p -= embed
+                _put(rows, found, p)
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
-        h = self.bias + self.embed[0].take(places[:, 0], axis=0)
+        h = self.embed[0].take(places[:, 0], axis=0)
+        h += self.bias
         for k in range(1, len(OFFSETS)):
             h += self.embed[k].take(places[:, k], axis=0)
         return np.tanh(h, out=h)
 
     def gradients(self, windows: np.ndarray) -> list[np.ndarray]:
-        rows, (embed, *others) = self._gradients(windows)
+        found, (embed, *others) = self._gradients(windows)
         whole = np.zeros_like(self.embed)
-        for k, at in enumerate(rows):
-            whole[k][at] = embed[k]
+        whole.reshape(-1, WIDTH)[found] = embed
         return [whole, *others]
 
-    def _gradients(self, windows: np.ndarray) -> tuple[list[np.ndarray], list]:
-        """The tokens that stand at each place, and the gradients of the parts: of ``embed`` those tokens' rows."""
+    def _gradients(self, windows: np.ndarray) -> tuple[np.ndarray, list]:
+        """The rows of ``embed``, all places after one another, that the windows have, and the gradients of the parts: of ``embed`` those rows'."""
         n, (classes, each) = len(windows), self.word_b.shape
-        group = windows[:, -1] // each
-        windows = windows[np.argsort(_small(group, classes), kind="stable")]
-        token = windows[:, -1]
-        group, place, at = token // each, token % each, np.arange(n)
+        windows = windows[np.argsort(_small(windows[:, -1] // each, classes), kind="stable")]
+        token = windows[:, -1].astype(np.int64)
+        group = token // each
         ends = np.searchsorted(group, np.arange(classes + 1)).tolist()
-        h = self.hidden(windows)
-        d = h @ self.class_w
-        d += self.class_b
-        _softmax(d, _bounded(self.class_w, self.class_b))[at, group] -= 1
-        g_class, dh = (h.T @ d / n, d.sum(0) / n), d @ self.class_w.T
         # A row's one stands for its bias; the rows of all classes share one softmax, products alone go class by class.
-        h1, w1, z = np.ones((n, WIDTH + 1), h.dtype), np.concatenate((self.word_w, self.word_b[:, None]), axis=1), np.empty((n, each), h.dtype)
+        h = self.hidden(windows)
+        h1 = np.ones((n, WIDTH + 1), h.dtype)
         h1[:, :-1] = h
+        d = h1 @ np.concatenate((self.class_w, self.class_b[None]))
+        by = _less_picked(d, group, _bounded(self.class_w, self.class_b))
+        g_class, dh = (h1 * by).T @ d, d @ self.class_w.T
+        dh *= by
+        w1, z = np.concatenate((self.word_w, self.word_b[:, None]), axis=1), np.empty((n, each), h.dtype)
         parts = [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
         for c, i, j in parts:
             np.matmul(h1[i:j], w1[c], out=z[i:j])
-        _softmax(z, _bounded(self.word_w, self.word_b))[at, place] -= 1
-        g1, more = np.zeros_like(w1), np.empty_like(h)
+        by = _less_picked(z, token - group * each, _bounded(self.word_w, self.word_b))
+        h1 *= by
+        g_word, more = np.zeros_like(w1), np.empty_like(h)
         for c, i, j in parts:
-            np.matmul(h1[i:j].T, z[i:j], out=g1[c])
+            np.matmul(h1[i:j].T, z[i:j], out=g_word[c])
             np.matmul(z[i:j], self.word_w[c].T, out=more[i:j])
-        g1 /= n
-        g_word = g1[:, :-1], g1[:, -1]
+        more *= by
         dh += more
-        dh *= (1 - h * h) / n
-        tokens, rows = [], []
+        h *= h
+        dh *= np.subtract(1, h, out=h)
+        rows, owner = [], []
         for k in range(len(OFFSETS)):
             column = _small(windows[:, k], self.embed.shape[1])
-            order = np.argsort(column, kind="stable")
-            found, sums = _sums_by(column[order], dh.take(order, axis=0))
-            tokens.append(found)
-            rows.append(sums)
-        return tokens, [rows, dh.sum(0), *g_class, *g_word]
+            rows.append(np.argsort(column, kind="stable"))
+            owner.append(column[rows[-1]] + np.int64(k * self.embed.shape[1]))
+        found, embed = _rows_by(np.concatenate(owner), dh, np.concatenate(rows))
+        return found, [embed, dh.sum(0), g_class[:-1], g_class[-1], g_word[:, :-1], g_word[:, -1]]
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Of the last column, given the others."""
         more = 0.0
         if self.known_as is not None:
             more, windows = self.within[windows[:, -1]], self.known_as[windows]
-        token, (classes, each) = windows[:, -1], self.word_b.shape
-        group = token // each
-        h = self.hidden(windows)
-        out, bounded = np.empty(len(h)), _bounded(self.class_w, self.class_b)
-        for i in range(0, len(h), CACHED):
-            out[i : i + CACHED] = _log_picked(h[i : i + CACHED] @ self.class_w + self.class_b, group[i : i + CACHED], bounded)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(classes + 1))
-        for c in range(classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                out[rows] += _log_picked(h[rows] @ self.word_w[c] + self.word_b[c], token[rows] % each, _bounded(self.word_w[c], self.word_b[c]))
+        out, (classes, each) = np.empty(len(windows)), self.word_b.shape
+        bounded = _bounded(self.class_w, self.class_b), _bounded(self.word_w, self.word_b)
+        class_w, word_w = np.concatenate((self.class_w, self.class_b[None])), np.concatenate((self.word_w, self.word_b[:, None]), axis=1)
+        for at in range(0, len(windows), CACHED):
+            part = windows[at : at + CACHED]
+            order = np.argsort(_small(part[:, -1] // each, classes), kind="stable")
+            part = part[order]
+            token = part[:, -1].astype(np.int64)
+            group = token // each
+            ends = np.searchsorted(group, np.arange(classes + 1)).tolist()
+            h1, z = np.ones((len(part), WIDTH + 1), self.bias.dtype), np.empty((len(part), each), self.bias.dtype)
+            h1[:, :-1] = self.hidden(part)
+            logs = _log_picked(h1 @ class_w, group, bounded[0]).astype(np.float64)
+            for c, (i, j) in enumerate(zip(ends, ends[1:])):
+                if i < j:
+                    np.matmul(h1[i:j], word_w[c], out=z[i:j])
+            logs += _log_picked(z, token - group * each, bounded[1])
+            out[at + order] = logs
         return out + more
 
+    def sums(self, texts: Iterator[np.ndarray]) -> list[float]:
+        """The summed log-probability of each text, given its token numbers."""
+        sums: list[float] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if waiting:
+                logs = self.log_probabilities(np.concatenate([w for _, w in waiting]))
+                owners = np.repeat([k for k, _ in waiting], [len(w) for _, w in waiting])
+                for k, part in zip(*(x.tolist() for x in _sums_by(owners, logs)), strict=True):
+                    sums[k] += part
+                waiting.clear()
+                held = 0
+
+        for k, tokens in enumerate(texts):
+            sums.append(0.0)
+            for at in range(0, len(tokens), AT_ONCE):
+                waiting.append((k, windows_of(tokens, np.arange(at, min(at + AT_ONCE, len(tokens))))))
+                held += len(waiting[-1][1])
+                if held >= AT_ONCE:
+                    flush()
+        flush()
+        return sums
+
 
 class Spelling:
     """Probabilities of words as byte strings: each byte by the one before, and the end as one of them.
@@ -288,9 +348,11 @@ class Spelling:
 
 @dataclass
 class LanguageScorer:
-    """Vocabulary and network, and what the rare words add: (key, more) by the hash of the text, None without any.
+    """Vocabulary and network; ``spelling`` and, by bucket, the logarithm of the share of its count that unknown words have.
 
-    ``spelling`` and, by bucket, the logarithm of the share of its count that unknown words have are for all others.
+    ``corpus`` has the different texts that it was fitted on: (key, tokens, more), by the hash of the text the numbers that
+    the network knows its words by, and what the words' shares of their buckets add. ``rare`` has what the counts of
+    rare words add to that: (key, more), None without any.
     """
 
     vocabulary: Vocabulary
@@ -298,6 +360,7 @@ class LanguageScorer:
     spelling: Spelling
     unknown_share: dict[int, float]
     rare: DataFrame | None = None
+    corpus: DataFrame | None = None
 
     def unseen(self, word: bytes) -> float:
         """Log-probability of a word that the corpus does not have, within its bucket."""
@@ -305,34 +368,18 @@ class LanguageScorer:
 
     def score(self, texts: Iterator[str | None]) -> list[tuple[int, float]]:
         """(number of tokens, summed log-probability) of each text; 0 and 0.0 without words. Rare words count as unknown ones."""
-        sums: list[list] = []
-        waiting: list[tuple[int, np.ndarray]] = []
-        held = 0
+        scored: list[tuple[int, float]] = []
 
-        def flush() -> None:
-            nonlocal held
-            if waiting:
-                rows = np.concatenate([w for _, w in waiting])
-                logs = self.network.log_probabilities(rows)
-                owners = np.repeat([k for k, _ in waiting], [len(w) for _, w in waiting])
-                for k, part in zip(*(x.tolist() for x in _sums_by(owners, logs)), strict=True):
-                    sums[k][1] += part
-                waiting.clear()
-                held = 0
+        def numbers() -> Iterator[np.ndarray]:
+            for text in texts:
+                words = words_of(text)
+                tokens = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
+                unknown = Counter(words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist())
+                scored.append((len(tokens), sum(n * self.unseen(w) for w, n in unknown.items())))
+                yield tokens
 
-        for k, text in enumerate(texts):
-            words = words_of(text)
-            tokens = np.fromiter(map(self.vocabulary.__getitem__, words), np.int32, len(words))
-            unknown = Counter(words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist())
-            sums.append([len(tokens), sum(n * self.unseen(w) for w, n in unknown.items())])
-            for at in range(0, len(tokens), AT_ONCE):
-                part = np.arange(at, min(at + AT_ONCE, len(tokens)))
-                waiting.append((k, windows_of(tokens, part)))
-                held += len(part)
-                if held >= AT_ONCE:
-                    flush()
-        flush()
-        return [(n, s) for n, s in sums]
+        sums = self.network.sums(numbers())
+        return [(n, more + s) for (n, more), s in zip(scored, sums, strict=True)]
 
 
 def _small(numbers: np.ndarray, below: int) -> np.ndarray:
@@ -345,6 +392,23 @@ def _sums_by(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner[starts], np.add.reduceat(value, starts, axis=0)
 
 
+def _rows_by(owner: np.ndarray, value: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners, which come sorted, in an order of their own, and the sums of the ``value[rows]`` that they have."""
+    starts = np.nonzero(np.concatenate(([True], owner[1:] != owner[:-1])))[0]
+    counts = np.diff(np.append(starts, len(owner)))
+    most_first = np.argsort(-counts, kind="stable")
+    starts, counts = starts[most_first], counts[most_first]
+    sums = value.take(rows[starts], axis=0)
+    more = len(counts) - np.searchsorted(counts[::-1], np.arange(1, LEVELS + 1), side="right")  # owners with more than that
+    for level in range(1, LEVELS):
+        m = more[level - 1]
+        sums[:m] += value.take(rows[starts[:m] + level], axis=0)
+    for i in range(more[-1]):
+        rest = rows[starts[i] + LEVELS : starts[i] + counts[i]]
+        sums[i] += np.ones(len(rest), value.dtype) @ value.take(rest, axis=0)
+    return owner[starts], sums
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents: counted within tasks first, then by word."""
 
@@ -379,17 +443,19 @@ def _own_and_common(counts: DataFrame, total: int) -> tuple[list[tuple[bytes, in
     return common, min(own, len(common)), floor
 
 
-def _training(texts: list[str], times: list[int], vocabulary: Vocabulary, known_as: np.ndarray, most: int) -> Iterator[np.ndarray]:
+def _training(texts: list, times: list[int], vocabulary: Vocabulary | Numbers, known_as: np.ndarray | None, most: int) -> Iterator[np.ndarray]:
     """All windows of the texts, each so many times, at most ``most`` and a part at once, in an order of their own: that of arrival must not matter."""
     waiting, held = [], 0
     for text, n in sorted(zip(texts, times, strict=True)):
-        tokens = known_as[vocabulary.tokens(text)]
+        tokens = vocabulary.tokens(text)
+        if known_as is not None:
+            tokens = known_as[tokens]
         for at in range(0, len(tokens), AT_ONCE):
             rows = windows_of(tokens, np.arange(at, min(at + AT_ONCE, len(tokens))))
             left = n
             while left:
                 now = min(left, max(1, AT_ONCE // len(rows)))
-                waiting.append(np.tile(rows, (now, 1)))
+                waiting.append(rows if now == 1 else np.tile(rows, (now, 1)))
                 left, held = left - now, held + now * len(rows)
                 if held >= most:
                     yield np.concatenate(waiting)
@@ -398,26 +464,46 @@ def _training(texts: list[str], times: list[int], vocabulary: Vocabulary, known_
         yield np.concatenate(waiting)
 
 
-def _averaged(net: WindowNetwork, sums: list[np.ndarray], dealt: DataFrame, held: Broadcast, batch: int, most: int) -> WindowNetwork:
-    """Train on every shard from the same parameters and sums; the parameters are averaged by the numbers of windows."""
+def _averaged(net: WindowNetwork, sums: list[np.ndarray], dealt: DataFrame, batch: int, most: int) -> WindowNetwork:
+    """Train on every shard from the same parameters and sums; the parameters are averaged by the numbers of windows.
+
+    A task adds up its shards; then the parameters are added a slice at a time.
+    """
     start = dealt.sparkSession.sparkContext.broadcast((net, sums))
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
         net, sums = start.value
         net, sums, n = WindowNetwork(*[p.copy() for p in net.parts]), [s.copy() for s in sums], 0
-        for rows in _training(list(frame["t"]), frame["n"].tolist(), *held.value[:2], most):
+        for rows in _training(list(frame["tokens"]), frame["n"].tolist(), Numbers(net.embed.shape[1]), None, most):
             net.train(rows, sums, 1, batch, seed=5)
             n += len(rows)
         flat = np.concatenate([x.ravel() for x in net.parts])
         return pd.DataFrame({"p": [flat.astype("<f4").tobytes()], "n": [n]})
 
-    trained = dealt.groupBy("shard").applyInPandas(train, "p binary, n long")
-    parts = trained.rdd.map(lambda r: (np.frombuffer(r["p"], "<f4").astype(np.float64) * r["n"], r["n"]))
-    flat, n = parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]), 4)
-    if not n:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flat, n = None, 0
+        for frame in batches:
+            for p, m in zip(frame["p"], frame["n"].tolist(), strict=True):
+                part = np.frombuffer(p, "<f4").astype(np.float64) * m
+                flat, n = part if flat is None else flat + part, n + m
+        if n:
+            for k in range(0, len(flat), SLICE):
+                yield pd.DataFrame({"k": [k], "p": [flat[k : k + SLICE].astype("<f8").tobytes()], "n": [n]})
+
+    def mean(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted(zip(frame["p"], frame["n"].tolist(), strict=True))  # not as they arrive
+        whole = sum(np.frombuffer(p, "<f8") for p, _ in parts) / sum(n for _, n in parts)
+        return pd.DataFrame({"k": frame["k"].iloc[:1], "p": [whole.astype("<f4").tobytes()]})
+
+    trained = dealt.select("shard", "tokens", "n").groupBy("shard").applyInPandas(train, "p binary, n long")
+    means = materialise(trained.mapInPandas(slices, "k long, p binary, n long").groupBy("k").applyInPandas(mean, "k long, p binary"), "network")
+    found = sorted((r["k"], bytes(r["p"])) for r in means.collect())
+    forget(means)
+    start.unpersist()
+    if not found:
         return net
-    ends = np.cumsum([x.size for x in net.parts])[:-1]
-    return WindowNetwork(*[x.reshape(y.shape) for x, y in zip(np.split((flat / n).astype(np.float32), ends), net.parts, strict=True)])
+    flat, ends = np.frombuffer(b"".join(p for _, p in found), "<f4").astype(np.float32), np.cumsum([x.size for x in net.parts])[:-1]
+    return WindowNetwork(*[x.reshape(y.shape).copy() for x, y in zip(np.split(flat, ends), net.parts, strict=True)])
 
 
 def fit_scorer(docs: DataFrame, text_col: str = "text", windows: int = WINDOWS) -> LanguageScorer:
@@ -452,43 +538,41 @@ def fit_scorer(docs: DataFrame, text_col: str = "text", windows: int = WINDOWS)
     has_rare = floor > 1
     shard_size = max(windows, PER_TOKEN * size if size > SIZE and windows >= WINDOWS else 0)
     shards = max(1, round(SHARE * total / shard_size))
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, known_as, scorer.spelling, scorer.unknown_share))
-
-    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, _, spelling, unknown_share = held.value
-        unseen = LanguageScorer(vocabulary, None, spelling, unknown_share).unseen
-        for batch in batches:
-            rare = []
-            for text in batch["t"]:
-                words = words_of(text)
-                tokens = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-                unknown = Counter(words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist())
-                if unknown:
-                    key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
-                    key -= (key >> 63) << 64
-                    rare += [(key, w, n, n * (logs[bucket(w)] + unseen(w))) for w, n in unknown.items()]
-            yield pd.DataFrame(rare, columns=["key", "word", "times", "less"])
-
-    texts = docs.select(F.col(text_col).alias("t")).where("t is not null")
-    equal = texts.groupBy("t").agg(F.count("*").alias("n"))
+    numbers = Numbers(max(SIZE + 1, size))
+    shares = within.copy()
+    shares[list(logs)] = [-x for x in logs.values()]  # of a rare word, whose count comes by a join
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, known_as, shares, numbers))
+
+    @F.pandas_udf("tokens binary, rare binary, more double")
+    def numbered(texts: pd.Series) -> pd.DataFrame:
+        vocabulary, known_as, shares, numbers = held.value
+        rows = []
+        for text in texts:
+            words = words_of(text)
+            tokens = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+            rare = [words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist()]
+            rows.append((numbers.packed(known_as[tokens]), b" ".join(rare), float(shares[tokens].sum())))
+        return pd.DataFrame(rows, columns=["tokens", "rare", "more"])
+
+    # Each different text once: its words' numbers are read for the network and for the scores.
+    equal = docs.select(F.col(text_col).alias("t")).where("t is not null").groupBy("t").agg(F.count("*").alias("n"))
+    equal = materialise(equal.select("t", "n", F.xxhash64("t").alias("key"), numbered("t").alias("x")).select("t", "n", "key", "x.*"), "texts")
     turn = F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(shards)).cast("int") - 1))
     mine = F.floor(F.col("n") / shards) + F.when(F.col("turn") < F.col("n") % shards, 1).otherwise(0)
-    dealt = equal.withColumn("turn", turn).select("t", mine.cast("long").alias("n"), F.pmod(F.xxhash64("t") + F.col("turn"), F.lit(shards)).alias("shard"))
-    dealt = materialise(dealt, "texts")
-    start = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(1 << 30)) < int((windows / shard_size) * (1 << 30))
-    first = dealt.where(F.col("shard") == 0).where(start).select("t", "n").toArrow()
+    dealt = equal.withColumn("turn", turn).select("t", "tokens", "key", mine.cast("long").alias("n"), F.pmod(F.col("key") + F.col("turn"), F.lit(shards)).alias("shard"))
+    start = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)) < int((windows / shard_size) * (1 << 30))
+    first = dealt.where(F.col("shard") == 0).where(start).select("tokens", "n").toArrow()
     net = WindowNetwork.new(tokens=size)
     sums, batch = net.no_steps(), max(1024, size // 2)
-    for rows in _training(first["t"].to_pylist(), first["n"].to_pylist(), vocabulary, known_as, 2 * windows):
+    for rows in _training(first["tokens"].to_pylist(), first["n"].to_pylist(), numbers, None, 2 * windows):
         net.train(rows, sums, 3, batch)
     for r in range(min(ROUNDS, shards) if shards > 1 else 0):
-        net = _averaged(net, sums, dealt.where(F.col("shard") % min(ROUNDS, shards) == r), held, batch, 2 * shard_size)
-    net.known_as, net.within, scorer.network = known_as, within, net
+        net = _averaged(net, sums, dealt.where(F.col("shard") % min(ROUNDS, shards) == r), batch, 2 * shard_size)
+    net.known_as, net.within, scorer.network, scorer.corpus = known_as, within, net, equal.select("key", "tokens", "more")
     if has_rare:  # a rare word occurs less than ``floor`` times, so no key is hot
-        found = texts.mapInPandas(rare_words, "key long, word binary, times long, less double")
-        each = materialise(found, "rare_words").distinct()
-        each = each.join(counts.where(F.col("n") < floor), "word")
-        scorer.rare = materialise(each.groupBy("key").agg(F.sum(F.col("times") * F.log("n") - F.col("less")).alias("more")), "rare")
+        each = equal.where("length(rare) > 0").select("key", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
+        each = each.withColumn("word", F.col("word").cast("binary")).join(counts.where(F.col("n") < floor), "word")
+        scorer.rare = materialise(each.groupBy("key").agg(F.sum(F.log("n")).alias("more")), "rare")
     return scorer
 
 
@@ -499,21 +583,25 @@ def with_scores(docs: DataFrame, text_col: str = "text", into: str = "lm", windo
     probability of its own. All rows and columns stay; an empty table gives an empty result.
     """
     scorer = fit_scorer(docs, text_col, windows)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(scorer, rare=None))
-
-    @F.pandas_udf("n_tokens long, log_prob double, mean_log_prob double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        rows = shared.value.score(texts)
-        return pd.DataFrame([(n, s, s / n if n else None) for n, s in rows], columns=["n_tokens", "log_prob", "mean_log_prob"])
-
-    if scorer.rare is None:
-        return docs.withColumn(into, score(F.col(text_col)))
-    more = scorer.rare.select(F.col("key").alias("__key"), F.col("more").alias("__more"))
-    # Null texts have the hash of no text and no row in ``more``.
-    out = docs.withColumn("__key", F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))).withColumn(into, score(F.col(text_col))).join(more, "__key", "left")
-    n, whole = F.col(into)["n_tokens"], F.col(into)["log_prob"] + F.coalesce("__more", F.lit(0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(WindowNetwork(*scorer.network.parts))
+
+    @F.pandas_udf("n long, s double")
+    def score(tokens: pd.Series) -> pd.DataFrame:
+        network = shared.value
+        numbers = Numbers(network.embed.shape[1])
+        held = [numbers.tokens(x) for x in tokens]
+        return pd.DataFrame({"n": [len(x) for x in held], "s": network.sums(iter(held))}, columns=["n", "s"])
+
+    scored = scorer.corpus.select("key", score("tokens").alias("x"), "more").select("key", "x.n", (F.col("x.s") + F.col("more")).alias("s"))
+    if scorer.rare is not None:
+        scored = scored.join(scorer.rare, "key", "left").select("key", "n", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"))
+    # One row for a hash, whatever texts have it.
+    scored = scored.groupBy(F.col("key").alias("__key")).agg(F.min("n").alias("__n"), F.min("s").alias("__s"))
+    # Null texts have the hash of no text and no score.
+    out = docs.withColumn("__key", F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))).join(scored, "__key", "left")
+    n, whole = F.coalesce("__n", F.lit(0).cast("long")), F.coalesce("__s", F.lit(0.0))
     out = out.withColumn(into, F.struct(n.alias("n_tokens"), whole.alias("log_prob"), F.when(n > 0, whole / n).alias("mean_log_prob")))
-    return out.drop("__key", "__more")
+    return out.drop("__key", "__n", "__s")
 
 
 def perplexity(lm: Column) -> Column:
