@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,9 @@ CACHED = 1 << 13
 #: Tokens scored at once.
 AT_ONCE = 1 << 16
 #: Occurrences of a token in a batch whose gradients are added side by side; those of more frequent ones go token by token.
-LEVELS = 24
+LEVELS = 32
+#: Steps between two looks at how large the scores may get.
+LOOK = 8
 #: Parameters that are averaged in one group.
 SLICE = 1 << 13
 #: Words that a task counts before it hands its counts on; bounds its memory.
@@ -130,9 +133,9 @@ def _less_picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
     return (1 / (whole * len(z)))[:, None]
 
 
-def _bounded(w: np.ndarray, b: np.ndarray) -> bool:
-    """Whether no hidden row, of numbers from -1 to 1, gives a score whose exponential overflows."""
-    return bool((np.abs(w).sum(axis=-2) + b).max(initial=0) < 75)
+def _bounded(w: np.ndarray, b: np.ndarray, less: float = 0.0) -> bool:
+    """Whether no hidden row, of numbers from -1 to 1, gives a score whose exponential overflows, nor would with ``less`` more."""
+    return bool((np.abs(w).sum(axis=-2) + b).max(initial=0) < 75 - less)
 
 
 def _log_picked(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
@@ -200,11 +203,16 @@ class WindowNetwork:
     def train(self, windows: np.ndarray, sums: list[np.ndarray], epochs: int = 1, batch: int = 1024, rate: float = 0.05, seed: int = 3) -> None:
         """Go on from these parameters and sums, both of which change."""
         rng = np.random.default_rng(seed)
+        words, word_sums, step = self._words(), np.concatenate((sums[4], sums[5][:, None]), axis=1), 0
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for i in range(0, len(order), batch):
-                found, (embed, *others) = self._gradients(windows[order[i : i + batch]])
-                for p, s, g in zip(self.parts[1:], sums[1:], others, strict=True):
+                if step % LOOK == 0:  # a step moves a parameter by ``rate`` at most
+                    less = LOOK * rate * (WIDTH + 1)
+                    bounded = _bounded(self.class_w, self.class_b, less), _bounded(words[:, :-1], words[:, -1], less)
+                step += 1
+                found, (embed, *others) = self._gradients(windows[order[i : i + batch]], words, bounded)
+                for p, s, g in zip([*self.parts[1:4], words], [*sums[1:4], word_sums], others, strict=True):
                     s += g * g
                     g *= rate
                     g /= np.sqrt(s)
@@ -218,6 +226,12 @@ class WindowNetwork:
                 p = rows.take(found, axis=0)
                 p -= embed
                 _put(rows, found, p)
+        self.word_w[:], self.word_b[:] = words[:, :-1], words[:, -1]
+        sums[4][:], sums[5][:] = word_sums[:, :-1], word_sums[:, -1]
+
+    def _words(self) -> np.ndarray:
+        """Classes x (WIDTH + 1) x tokens of a class: the biases below the others."""
+        return np.concatenate((self.word_w, self.word_b[:, None]), axis=1)
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
         h = self.embed[0].take(places[:, 0], axis=0)
@@ -227,13 +241,14 @@ class WindowNetwork:
         return np.tanh(h, out=h)
 
     def gradients(self, windows: np.ndarray) -> list[np.ndarray]:
-        found, (embed, *others) = self._gradients(windows)
+        words = self._words()
+        found, (embed, *others, word) = self._gradients(windows, words, (_bounded(self.class_w, self.class_b), _bounded(self.word_w, self.word_b)))
         whole = np.zeros_like(self.embed)
         whole.reshape(-1, WIDTH)[found] = embed
-        return [whole, *others]
+        return [whole, *others, word[:, :-1], word[:, -1]]
 
-    def _gradients(self, windows: np.ndarray) -> tuple[np.ndarray, list]:
-        """The rows of ``embed``, all places after one another, that the windows have, and the gradients of the parts: of ``embed`` those rows'."""
+    def _gradients(self, windows: np.ndarray, words: np.ndarray, bounded: tuple[bool, bool]) -> tuple[np.ndarray, list]:
+        """The rows of ``embed``, all places after one another, that the windows have, and the gradients: of those rows, the other parts and ``words``."""
         n, (classes, each) = len(windows), self.word_b.shape
         windows = windows[np.argsort(_small(windows[:, -1] // each, classes), kind="stable")]
         token = windows[:, -1].astype(np.int64)
@@ -244,19 +259,19 @@ class WindowNetwork:
         h1 = np.ones((n, WIDTH + 1), h.dtype)
         h1[:, :-1] = h
         d = h1 @ np.concatenate((self.class_w, self.class_b[None]))
-        by = _less_picked(d, group, _bounded(self.class_w, self.class_b))
+        by = _less_picked(d, group, bounded[0])
         g_class, dh = (h1 * by).T @ d, d @ self.class_w.T
         dh *= by
-        w1, z = np.concatenate((self.word_w, self.word_b[:, None]), axis=1), np.empty((n, each), h.dtype)
+        z = np.empty((n, each), h.dtype)
         parts = [(c, i, j) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
         for c, i, j in parts:
-            np.matmul(h1[i:j], w1[c], out=z[i:j])
-        by = _less_picked(z, token - group * each, _bounded(self.word_w, self.word_b))
+            np.matmul(h1[i:j], words[c], out=z[i:j])
+        by = _less_picked(z, token - group * each, bounded[1])
         h1 *= by
-        g_word, more = np.zeros_like(w1), np.empty_like(h)
+        g_word, more = np.zeros_like(words), np.empty_like(h)
         for c, i, j in parts:
             np.matmul(h1[i:j].T, z[i:j], out=g_word[c])
-            np.matmul(z[i:j], self.word_w[c].T, out=more[i:j])
+            np.matmul(z[i:j], words[c, :-1].T, out=more[i:j])
         more *= by
         dh += more
         h *= h
@@ -267,7 +282,7 @@ class WindowNetwork:
             rows.append(np.argsort(column, kind="stable"))
             owner.append(column[rows[-1]] + np.int64(k * self.embed.shape[1]))
         found, embed = _rows_by(np.concatenate(owner), dh, np.concatenate(rows))
-        return found, [embed, dh.sum(0), g_class[:-1], g_class[-1], g_word[:, :-1], g_word[:, -1]]
+        return found, [embed, dh.sum(0), g_class[:-1], g_class[-1], g_word]
 
     def log_probabilities(self, windows: np.ndarray) -> np.ndarray:
         """Of the last column, given the others."""
@@ -276,7 +291,7 @@ class WindowNetwork:
             more, windows = self.within[windows[:, -1]], self.known_as[windows]
         out, (classes, each) = np.empty(len(windows)), self.word_b.shape
         bounded = _bounded(self.class_w, self.class_b), _bounded(self.word_w, self.word_b)
-        class_w, word_w = np.concatenate((self.class_w, self.class_b[None])), np.concatenate((self.word_w, self.word_b[:, None]), axis=1)
+        class_w, word_w = np.concatenate((self.class_w, self.class_b[None])), self._words()
         for at in range(0, len(windows), CACHED):
             part = windows[at : at + CACHED]
             order = np.argsort(_small(part[:, -1] // each, classes), kind="stable")
@@ -549,8 +564,10 @@ def fit_scorer(docs: DataFrame, text_col: str = "text", windows: int = WINDOWS)
         rows = []
         for text in texts:
             words = words_of(text)
-            tokens = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-            rare = [words[i] for i in np.nonzero((tokens >= SIZE - BUCKETS) & (tokens < SIZE))[0].tolist()]
+            tokens = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
+            at = np.nonzero(tokens < 0)[0]
+            rare = [words[i] for i in at.tolist()]
+            tokens[at] = [bucket(w) for w in rare]
             rows.append((numbers.packed(known_as[tokens]), b" ".join(rare), float(shares[tokens].sum())))
         return pd.DataFrame(rows, columns=["tokens", "rare", "more"])
 

@@ -353,6 +353,43 @@ def test_word_counts_are_of_all_documents(spark, monkeypatch):
     assert sum(r["n"] for r in lmscore.word_counts(docs).collect()) == 7
 
 
+def test_gradient_rows_are_added_by_owner():
+    """Owners that are met once, often, and more often than are added side by side."""
+    rng = np.random.default_rng(1)
+    owner = np.sort(np.concatenate((rng.integers(0, 50, 300), np.full(3 * lmscore.LEVELS, 7), np.full(lmscore.LEVELS, 60), [99])))
+    value, rows = rng.normal(size=(40, lmscore.WIDTH)), rng.integers(0, 40, len(owner))
+    found, sums = lmscore._rows_by(owner, value, rows)
+    whole = np.zeros((100, lmscore.WIDTH))
+    np.add.at(whole, owner, value[rows])
+    assert sorted(found) == sorted(set(owner.tolist())) and np.allclose(sums, whole[found])
+
+
+def test_large_scores_train_without_overflow():
+    """Parameters whose scores pass the bound give finite steps."""
+    net = lmscore.WindowNetwork.new(2)
+    net.class_w *= 1e4
+    net.word_w *= 1e4
+    rows = np.random.default_rng(0).integers(0, lmscore.SIZE, (500, len(lmscore.OFFSETS) + 1)).astype(np.int32)
+    net.train(rows, net.no_steps(), 2, 100)
+    assert all(np.isfinite(p).all() for p in net.parts)
+
+
+def test_different_texts_are_numbered_once(spark):
+    """Copies share one row of numbers, from which the network trains and scores; they give what the text itself gives."""
+    texts = ["a b c a", "b c zz, zz", "", "a b c a", None, "12 of A", "a b c a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scorer = lmscore.fit_scorer(docs)
+    rows = scorer.corpus.collect()
+    assert len(rows) == len({t for t in texts if t is not None})
+    numbers = lmscore.Numbers(scorer.network.embed.shape[1])
+    assert sorted(len(numbers.tokens(r["tokens"])) for r in rows) == [0, 3, 4, 4]
+    got = {r["doc_id"]: r["lm"] for r in lmscore.with_scores(docs).collect()}
+    for (i, text), (n, s) in zip(enumerate(texts), scorer.score(texts), strict=True):
+        assert got[i]["n_tokens"] == n and got[i]["log_prob"] == pytest.approx(s, rel=1e-5)
+    many = lmscore.Numbers(1 << 17)
+    assert many.tokens(many.packed(np.array([0, 70000]))).tolist() == [0, 70000]
+
+
 def test_lm_edges(spark):
     docs = edge_docs(spark)
     out = lmscore.with_scores(docs, into="scored")
