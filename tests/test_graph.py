@@ -78,6 +78,22 @@ def test_pagerank_against_dense_iteration(spark):
     assert graph.pagerank(edges, seeds.where("node = 'unknown'")).count() == 0
 
 
+def test_pagerank_settles_whatever_the_size(spark):
+    """Many pairs beside one path: what a round may leave does not grow with the nodes, and a path takes more than twenty plain rounds."""
+    n = 200_000
+    pairs = spark.range(n).select(F.concat(F.lit("p"), "id").alias("a"), F.concat(F.lit("q"), "id").alias("b"), F.lit(1.0).alias("weight"))
+    path = spark.range(60).select(F.format_string("w%03d", "id").alias("a"), F.format_string("w%03d", F.col("id") + 1).alias("b"), (1.0 + F.col("id") % 3).alias("weight"))
+    seeds = spark.createDataFrame([("w000",)], "node string")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(pairs.unionByName(path), seeds).where("rank <> 0").collect()}
+    m = np.zeros((61, 61))
+    for i in range(60):
+        m[i, i + 1] = m[i + 1, i] = 1.0 + i % 3
+    want = np.linalg.solve(np.eye(61) - 0.85 * (m / m.sum(axis=1, keepdims=True)).T, 0.15 * np.eye(61)[0])
+    assert [got.get(f"w{i:03d}", 0.0) for i in range(61)] == pytest.approx(want.tolist(), rel=0, abs=5e-10) and all(k[0] == "w" for k in got)
+    mine = graph.personal_pagerank(pairs.unionByName(path), seeds.withColumn("query_id", F.lit(7))).collect()
+    assert {r["node"]: r["rank"] for r in mine if abs(r["rank"]) > 1e-9} == pytest.approx({k: v for k, v in got.items() if abs(v) > 1e-9}, rel=0, abs=5e-10)
+
+
 def test_communities_of_two_cliques(spark):
     clique = lambda names: [(a, b, 1.0) for i, a in enumerate(names) for b in names[i + 1 :]]
     rows = clique([f"a{i}" for i in range(6)]) + clique([f"b{i}" for i in range(6)]) + [("a0", "b0", 1.0), ("z1", "z2", 1.0)]
