@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrain.operators import metrics, search
-from docgrain.plans import answer, planner
+from docgrain.plans import answer, planner, search_queries
 
 DOCS = [(1, "apple banana apple"), (2, "banana cherry"), (3, ""), (4, "durian"), (5, "apple banana apple")]
 
@@ -129,3 +129,15 @@ def test_a_task_hands_on_k_rows_for_each_query(monkeypatch):
             may = [j for j in range(5000) if j != i and (not match or (labels[j] is not None and labels[j] == g["m"]))]
             wanted |= {(g["q"], int(ids[j])) for j in sorted(may, key=lambda j: (-score[j], ids[j]))[:4]}
         assert len(got) == len(wanted) and set(zip(got["q"], got["id"])) == wanted
+
+
+def test_hybrid_fusion_asks_every_item(spark, tmp_path):
+    """Not only those whose ids are divisible by 100."""
+    texts = [(1, "red apples grow on old trees"), (2, "green pears grow on young trees"), (3, "nothing of the kind")]
+    spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(100, "red apples"), (101, "green pears"), (7, "old trees"), (8, None), (9, "zzz unknown")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r["query_id"], r["chunk_id"], r["score"]) for r in search_queries.hybrid_fusion(spark, str(tmp_path)).collect()]
+    best = {q: max((s, -c) for i, c, s in got if i == q) for q, _, _ in got}
+    assert {7, 100, 101} <= best.keys() and 8 not in best
+    assert {q: -c for q, (_, c) in best.items() if q != 9} == {100: 1, 101: 2, 7: 1}
