@@ -133,3 +133,21 @@ def test_postings_of_a_term_leave_a_task_together():
     held = {r["term"]: [tuple(p.values()) for p in r["held"]] for r in rows if r["term"] is not None}
     assert held == {"alpha": [(5, 3, 2)], "beta": [(5, 3, 1), (6, 2, 1), (8, 1, 1)], "gamma": [(6, 2, 1)]}
     assert [[tuple(d.values()) for d in r["docs"]] for r in rows if r["term"] is None] == [[(5, 1, 3), (6, 2, 2), (7, 3, 0), (8, 4, 1)]]
+
+
+def test_scores_by_document_are_those_of_joined_rows(spark, tmp_path, monkeypatch):
+    """Whole documents are scored in tasks, whatever the batches; ties, copies and ids that are strings included."""
+    words = [f"w{i:02d}" for i in range(40)]
+    texts = [(f"d{i:03d}", " ".join(words[(i // 2 * j) % 40] for j in range(1, 3 + i // 2 % 17))) for i in range(120)]
+    asked = spark.createDataFrame([(q, " ".join(words[(q * j) % 40] for j in range(1, 9))) for q in range(1, 13)] + [(90, "unknown"), (91, None)], "query_id int, question string")
+    root = str(tmp_path / "index")
+    text_index.update(spark.createDataFrame(texts, "chunk_id string, text string"), root, "1")
+    find = lambda: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in text_index.topk(spark, root, asked, 7).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = find()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(text_index.search, "LITERAL_TERMS", 0)
+    monkeypatch.setattr(text_index, "_scored", None)
+    assert got == find() and len({q for q, *_ in got}) == 12
